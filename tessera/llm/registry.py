@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard_join import jaccard_join
+from .lm_scores import score
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -27,8 +29,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model").read_bytes())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pack, op7_token_counts)}
+    return {f.__name__: f for f in (op5_pack, op7_token_counts, op8_jaccard_join, op10_lm_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
