@@ -6,11 +6,19 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import digests as chat_digests
+from .chat_format import format_chats
 from .common import table
+from .decontamination import decontaminate
+from .html_text import extract
 from .jaccard_join import jaccard_join
+from .license_digests import known_licenses, scan_licenses
 from .lm_scores import score
 from .packing import pack
+from .quality_rules import quality_rules
+from .revisits import header_lines, resolve_revisits
 from .token_counts import count_tokens
 
 
@@ -21,10 +29,49 @@ def tokenizer_file(name: str) -> Path:
     return Path(public_tokenizers.path(name))
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """Archive records of pages: each page's full response, a revisit just before it and one 1000 captures later."""
+    html = F.coalesce("html", F.lit(""))
+    at = F.col("page_id").cast("long")
+    text = lambda c: F.concat(F.lit(""), c.cast("string"))
+    one = pages.filter("page_id is not null").select(at.alias("page_id"), "url", F.md5(html.cast("binary")).alias("tag"), F.sha2(html.cast("binary"), 256).alias("sha"), F.octet_length(html).alias("size"))
+    full = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), text(F.col("size")), F.lit("date"), text(F.col("page_id")), F.lit("etag"), F.concat(F.lit("W/"), F.col("tag")))
+    short = lambda date: F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text(date), F.lit("etag"), F.col("tag"), F.lit("server"), F.lit("edge"))
+    k = F.col("page_id")
+    record = lambda n, ts, kind, headers, digest: F.struct((3 * k + n).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("payload_digest"))
+    none = F.lit(None).cast("string")
+    rows = F.array(record(0, 2 * k, "revisit", short(2 * k), none), record(1, 2 * k + 1, "response", full, F.col("sha")), record(2, 2 * k + 2001, "revisit", short(2 * k + 2001), none))
+    return one.select("url", F.explode(rows).alias("r")).select("r.record_id", "url", "r.ts", "r.kind", "r.headers", "r.payload_digest")
+
+
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = resolve_revisits(page_records(table(spark, sf_dir, "pages")))
+    return done.select("record_id", "page", "ts", "outcome", "refers_to", header_lines(F.col("headers")).alias("header_lines"), "payload_digest")
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_digests(format_chats(rows))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json").read_text())
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model").read_bytes())
 
@@ -33,12 +80,18 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pack, op7_token_counts, op8_jaccard_join, op10_lm_scores)}
+    every = (op1_revisits, op2_decontaminate, op3_licenses, op4_chat_format, op5_pack, op6_main_text, op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_lm_scores)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
