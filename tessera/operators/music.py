@@ -35,7 +35,7 @@ def meter(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) ->
     at = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("beats", F.explode(F.array(F.lit(4), F.lit(3))))
     phases = at.groupBy(*by, "beats", F.pmod("_i", "beats").alias("phase")).agg(F.avg(value).alias("_m"))
     per = Window.partitionBy(*by, "beats")
-    stood = phases.withColumn("contrast", F.round(F.max("_m").over(per) - F.avg("_m").over(per), 6)).withColumn("_r", F.row_number().over(per.orderBy(F.desc("_m"), "phase"))).filter("_r = 1")
+    stood = phases.withColumn("contrast", F.round(F.max("_m").over(per) - F.avg("_m").over(per), 9)).withColumn("_r", F.row_number().over(per.orderBy(F.desc("_m"), "phase"))).filter("_r = 1")
     best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("contrast"), F.desc("beats")))
     return stood.withColumn("_b", best).filter("_b = 1").select(*by, "beats", "phase", "contrast")
 
