@@ -17,6 +17,7 @@ doc_id is kept; repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -29,17 +30,40 @@ from pyspark.sql import functions as F
 from .common import batches, cut, keep_docs
 
 #: Word table of a task: entries, and the longest word kept.
-TABLE_ENTRIES, LONGEST_KEPT = 300_000, 64
+TABLE_ENTRIES, LONGEST_KEPT = 400_000, 64
 #: Pieces of one length that one task ranks.
-RANKED_TOGETHER = 100_000
+RANKED_TOGETHER = 20_000
 SPACES = re.compile("[ \n]+")
+# Texts of these characters alone are normalised by lower-casing them, and cut into words by WORDS.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+# The tokenizer's pattern, of which WORDS is the part for plain texts.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def byte_marks() -> dict[int, str]:
+    """The characters that stand for bytes: printable ones for themselves, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def cuts_as_words(spec: str) -> bool:
+    """Whether a tokenizer normalises and cuts plain texts as PLAIN and WORDS say."""
+    t = json.loads(spec)
+    kinds = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
+    first, *rest = (t["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    byte = bool(rest) and rest[0]["type"] == "ByteLevel" and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+    return kinds == ["NFC", "Replace", "Lowercase"] and first.get("pattern") == {"Regex": PATTERN} and first.get("invert") is True and byte and len(rest) == 1 and t["post_processor"] is None
 
 
 class WordIds(dict):
-    """Word between spaces -> its ids as little-endian unsigned 32-bit numbers.
+    """Word -> its ids as little-endian unsigned 32-bit numbers, each word encoded once.
 
     For tokenizers whose pre-tokenizer drops white space and never crosses it,
     as word_bpe_49k.json does: the ids of a text are those of its words in order.
+    A plain text's words are cut here and given to the tokenizer's model; of
+    other texts what stands between spaces is given to the whole tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -49,20 +73,30 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-
-    def of(self, texts: list[list[str]]) -> list[bytes]:
-        todo = list({w for words in texts for w in words if w not in self})
-        new = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True)}
-        short = {w: x for w, x in new.items() if len(w) <= LONGEST_KEPT}
-        if len(new) > len(short):
-            self.update(new)
-        else:
-            self.update(short)
-        out = [b"".join(map(self.__getitem__, words)) for words in texts]
-        for w in new.keys() - short.keys():
-            del self[w]
-        if len(self) > TABLE_ENTRIES:
-            self.clear()
+        self.model = self.tokenizer.model
+        self.plain, self.between = cuts_as_words(spec), {}
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in json.loads(spec)["added_tokens"]) or "(?!)")
+        self.marks = str.maketrans({chr(b): c for b, c in byte_marks().items()})
+
+    def __missing__(self, word: str) -> bytes:
+        marks = word if word.isascii() else word.encode().decode("latin-1").translate(self.marks)
+        ids = np.array([t.id for t in self.model.tokenize(marks)], "<u4").tobytes()
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= TABLE_ENTRIES:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if self.plain and PLAIN.fullmatch(text) and not self.added.search(text):
+            return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
+        words = SPACES.split(text)
+        new = list({w for w in words if w not in self.between})
+        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+        out = b"".join(self.between[w] if w in self.between else got[w] for w in words)
+        if len(self.between) + len(got) > TABLE_ENTRIES:
+            self.between.clear()
+        self.between.update((w, x) for w, x in got.items() if len(w) <= LONGEST_KEPT)
         return out
 
 
@@ -77,8 +111,8 @@ def pieces(docs: DataFrame, spec: str, size: int = 2048, end_id: int = 0) -> Dat
         table, end = WordIds(shared.value), np.asarray([end_id], "<u4").tobytes()
         for b in batches(it, 4 << 20):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), table.of([SPACES.split(t) for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = table.of(text) + end
                 n = len(ids) // 4
                 rows += [(doc, k, at, min(size, n - at), zlib.crc32(ids[4 * at : 4 * (at + size)])) for k, at in enumerate(range(0, n, size))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "piece", "start", "length", "ids_crc32"])
