@@ -16,6 +16,7 @@ from .html_text import extract
 from .jaccard_join import jaccard_join
 from .license_digests import known_licenses, scan_licenses
 from .lm_scores import score
+from .oracles import all_sql
 from .packing import pack
 from .quality_rules import quality_rules
 from .revisits import header_lines, resolve_revisits
@@ -86,7 +87,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    done = score(table(spark, sf_dir, "documents"))
+    return done.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -95,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return all_sql()
