@@ -185,7 +185,7 @@ def main_text(page: str | None) -> str:
     best = next((n for n in best.up() if n.tag in ("article", "main")), best)
     keep = {id(best)}
     if best.parent is not None:
-        least = max(10.0, best.score() * 0.2)
+        least = best.score() * 0.2
         for node, text, linked in found:
             chain = list(node.up())
             for n in chain:
