@@ -120,8 +120,8 @@ def voicings(spark: SparkSession, classes: Sequence[int], root: int, third: int,
         above = VOICES[VOICES.index(v) - 1]
         most = SPACING[above, v]
         # a pitch below is at most `most` under the one above: listed by octave, the join is on equal octaves
-        near = out.withColumn("_o", F.explode(F.sequence((F.col(above) - most).cast("int") / 12, F.col(above) / 12).cast("array<int>")))
-        out = near.join(one, (F.col("_o") == F.col(f"_o{v}")) & (F.col(v) <= F.col(above)) & (F.col(above) - F.col(v) <= most)).drop("_o", f"_o{v}")
+        near = out.withColumn("_o", F.explode(F.sequence(F.floor((F.col(above) - most) / 12), F.floor(F.col(above) / 12))))
+        out = near.join(one, (F.col("_o") == F.col(f"_o{v}").cast("long")) & (F.col(v) <= F.col(above)) & (F.col(above) - F.col(v) <= most)).drop("_o", f"_o{v}")
     has = lambda p: reduce(lambda a, v: a + F.when(F.pmod(F.col(v), F.lit(12)) == p, 1).otherwise(0), VOICES, F.lit(0))
     return out.filter((has(root) >= 1) & (has(third) <= 1))
 
@@ -142,17 +142,20 @@ def transition(prev: str, nxt: str) -> tuple[Column, Column]:
     return legal, cost - 0.5 * held
 
 
-def cheapest_chain(layers: DataFrame, order: str, nodes: list[str], length: int, move, node_cost: Column | None = None) -> DataFrame:
+def cheapest_chain(layers: DataFrame, order: str, nodes: list[str], length: int, move, near: tuple[str, int], node_cost: Column | None = None) -> DataFrame:
     """The cheapest path through layers 0 .. length - 1: cost and path (voicings as text); no row if there is none.
 
-    One join and one minimum per layer; the first in order of voices of equal ones."""
+    One join and one minimum per layer; the first in order of voices of equal ones. near: a node column and the
+    most that it moves by, on whose octaves the layers are joined, so that no product of layers is built."""
+    lead, reach = near
     text = F.concat_ws(",", *(F.col(n).cast("string") for n in nodes))
     own = node_cost if node_cost is not None else F.lit(0.0)
     step = layers.filter(F.col(order) == 0).select(*(F.col(n).alias(f"p_{n}") for n in nodes), F.round(own, 6).alias("cost"), text.alias("path"))
     for k in range(1, length):
         here = layers.filter(F.col(order) == k).select(*nodes, F.round(own, 6).alias("_own"), text.alias("_t")).withColumnsRenamed({n: f"n_{n}" for n in nodes})
         legal, cost = move("p_", "n_")
-        pairs = step.join(here, legal)
+        low, high = F.floor((F.col(f"p_{lead}") - reach) / 12), F.floor((F.col(f"p_{lead}") + reach) / 12)
+        pairs = step.withColumn("_o", F.explode(F.sequence(low, high))).join(here.withColumn("_b", F.floor(F.col(f"n_{lead}") / 12)), (F.col("_o") == F.col("_b")) & legal)
         best = pairs.groupBy(*(f"n_{n}" for n in nodes)).agg(F.min(F.struct(F.round(F.col("cost") + cost + F.col("_own"), 6).alias("cost"), F.concat("path", F.lit(" "), "_t").alias("path"))).alias("m"))
         step = best.select(*(F.col(f"n_{n}").alias(f"p_{n}") for n in nodes), "m.cost", "m.path")
     return step.groupBy().agg(F.min(F.struct("cost", "path")).alias("m")).filter("m is not null").select("m.cost", "m.path")
