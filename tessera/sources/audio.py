@@ -35,7 +35,7 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
 def encode_wav(x: np.ndarray, sr: int, width: int = 3) -> bytes:
     """WAV bytes (24 or 16 bits) of a (channel, sample) array, clipped to +-1."""
     top = (1 << (8 * width - 1)) - 1
-    v = np.round(np.clip(np.atleast_2d(x), -1, 1).T * top).astype("<i4")
+    v = np.ascontiguousarray(np.round(np.clip(np.atleast_2d(x), -1, 1).T * top).astype("<i4"))
     raw = v.view(np.uint8).reshape(*v.shape, 4)[:, :, :width].tobytes()
     out = io.BytesIO()
     with wave.open(out, "wb") as f:
