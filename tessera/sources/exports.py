@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -80,3 +83,47 @@ def chart(title: str, key: str, bpm: float, rows: list[tuple[str, int, float]])
     """The lines of a chart from (label, bars, seconds) rows."""
     out = [f"# {title}", "", f"Key: {key}  Tempo: {bpm:.1f}", "", "| section | bars | at |", "| --- | --- | --- |"]
     return out + [f"| {label} | {n} | {int(at // 60)}:{int(at % 60):02d} |" for label, n, at in rows]
+
+
+def session_json(title: str, analysis: dict, files: list[dict], **more) -> str:
+    """The whole result as one document."""
+    return json.dumps({"title": title, "analysis": analysis, "files": files, **more}, ensure_ascii=False, indent=2, default=str)
+
+
+def folder_name(title: str, key: str, bpm: float, taken: set[str]) -> str:
+    """Title [Key 76bpm], with a number if that is taken."""
+    plain = re.sub(r"\s+", " ", re.sub(r"[^\w() -]", "_", title)).strip() or "Track"
+    name = f"{plain} [{key} {bpm:.0f}bpm]"
+    k, out = 2, name
+    while out in taken:
+        out, k = f"{name} ({k})", k + 1
+    return out
+
+
+def project_text(title: str, bpm: float, sections: list[tuple[str, float]], tracks: list[tuple[str, str, int, bool]]) -> str:
+    """A plain-text audio project: tempo, markers and tracks (name, file, packed colour, muted)."""
+    out = ['<REAPER_PROJECT 0.1 "6.0" 0', f"  TEMPO {bpm:.3f} 4 4"]
+    out += [f'  MARKER {k} {at:.3f} "{label}"' for k, (label, at) in enumerate(sections, 1)]
+    for name, file, color, muted in tracks:
+        out += ["  <TRACK", f'    NAME "{name}"', f"    PEAKCOL {color}", f"    MUTESOLO {int(muted)} 0 0", "    <ITEM", "      POSITION 0", "      <SOURCE WAVE", f'        FILE "{file}"', "      >", "    >", "  >"]
+    return "\n".join([*out, ">"]) + "\n"
+
+
+def midi_bytes(notes: list[tuple[float, float, int, float]], program: int = 0, bpm: float = 120.0, drum: bool = False) -> bytes:
+    """A one-track MIDI file of notes (start, end, pitch, level) in seconds."""
+    ticks, channel = 480, 9 if drum else 0
+
+    def length(n: int) -> bytes:
+        out = [n & 0x7F]
+        while n := n >> 7:
+            out.append(n & 0x7F | 0x80)
+        return bytes(out[::-1])
+
+    beat = lambda t: round(t * bpm / 60 * ticks)
+    moves = sorted([(beat(a), 1, p, min(127, max(1, round(v * 127)))) for a, _, p, v in notes] + [(beat(z), 0, p, 0) for _, z, p, _ in notes])
+    body, last = length(0) + b"\xff\x51\x03" + struct.pack(">I", round(6e7 / bpm))[1:] + length(0) + bytes([0xC0 | channel, program]), 0
+    for at, on, pitch, level in moves:
+        body += length(at - last) + bytes([(0x90 if on else 0x80) | channel, pitch, level])
+        last = at
+    body += length(0) + b"\xff\x2f\x00"
+    return b"MThd" + struct.pack(">IHHH", 6, 0, 1, ticks) + b"MTrk" + struct.pack(">I", len(body)) + body
