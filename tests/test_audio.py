@@ -110,3 +110,10 @@ def test_streams(spark, tmp_path):
         q = f(live.event_stream(spark, str(src))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() > 0
+
+
+def test_patches():
+    for name in k.PATCHES:
+        y = k.render_part("x", [(0.0, 0.4, 60, 1.0)], 0.6, SR, name)
+        assert y.shape == (2, int(0.6 * SR)) and np.abs(y).max() == pytest.approx(10 ** (-14 / 20))
+    assert not k.render_part("keys", [], 0.2, SR).any()
