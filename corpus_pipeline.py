@@ -19,10 +19,15 @@ from tessera.llm.quality_rules import quality_rules
 from tessera.llm.registry import tokenizer_file
 
 
+#: Ids that a broadcast may hold.
+NAMED = 500_000
+
+
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids."""
-    named = ids.select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    """The rows of docs whose doc_id is in ids, which are broadcast if they are few."""
+    named = cut(ids.select(F.col("doc_id").alias("keep_id")).distinct())
+    few = named.count() <= NAMED
+    return docs.join(F.broadcast(named) if few else named, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
