@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -15,17 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    unset (tests on one machine) a temporary folder takes its place. Spark removes
+    the shuffles of earlier steps once nothing refers to them; release tells it to
+    look now, so that a job of many steps holds the files of one step and not of all.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    out = df.checkpoint()
+    if release:
+        gc.collect()
+        sc._jvm.System.gc()
+    return out
 
 
 def keep_docs(docs: DataFrame) -> DataFrame:

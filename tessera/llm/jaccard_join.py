@@ -13,15 +13,20 @@ The join over a cluster:
    shingles in a fixed order, so classes meet under those keys. The order is by
    hash, with keys that very many classes have put last: passages that many
    documents share then draw nobody together. At most 50,000 keys can be so
-   frequent, whatever the corpus holds.
-3. Each class goes once to the block of its most shared key. A block's task
-   joins its classes through an R-tree and merges what links, comparing only
-   classes that aren't merged yet, so a group of copies costs about one
-   comparison per member and gives one link per member. Large blocks are split.
-4. Components so far label the classes. Keys under which several labels meet
-   give the other pairs: again by an R-tree, in cells of bounded size (a hot
-   key's rows are dealt into chunks and each pair of chunks is a cell); only
-   pairs of different labels whose bound passes go on to be verified.
+   frequent, whatever the corpus holds. The second pass over the texts that this
+   takes is made where the pairs that the keys would draw together cost more.
+3. Rounds of blocks: each class goes once to the block of the first key under
+   which classes meet that aren't merged yet. Classes that have such a partner
+   there by the bound get their texts; a block's task joins them through an
+   R-tree and merges what links, comparing only classes that aren't merged yet,
+   so a group of copies costs about one comparison per member and gives one link
+   per member. Large blocks are split, by another hash in each round.
+   A key's classes are parted by bands of sizes, and of groups of the same
+   classes, which copies give under each of their keys, one is kept.
+4. Components so far label the classes. Groups where several labels meet give
+   the other pairs: again by an R-tree, in cells of bounded size (a hot group's
+   rows are dealt into chunks and each pair of chunks is a cell); only pairs of
+   different labels whose bound passes go on to be verified.
 
 Every pair of different sets that can link is thus compared or already merged.
 
@@ -33,7 +38,7 @@ a doc_id count as further texts under that name; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from itertools import pairwise
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +48,14 @@ from pyspark.sql import functions as F
 from .common import batches, cut, keep_docs
 from .components import connected_components
 
-#: Groups of a point; sets from LARGE on have WIDE groups.
-GROUPS, WIDE, LARGE = 64, 512, 4096
+#: Groups of a point: a power of two, about half the set's size between these.
+FEWEST, MOST = 64, 8192
 #: Shingles of a block's task, classes of a cell, classes that a broadcast may name.
 BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1500, 500_000
-#: A key is frequent from this many classes on, and from this part of all keys on.
-FREQUENT, FREQUENT_PART = 1000, 50_000
+#: A key is frequent from this many classes on, and from this part of all keys on; comparisons that a class's part of a pass costs.
+FREQUENT, FREQUENT_PART, PASS = 1000, 50_000, 400
+#: Rounds of blocks.
+ROUNDS = 3
 FAN = 32
 
 
@@ -87,16 +94,15 @@ def name_of(s: np.ndarray) -> int:
 
 def point(s: np.ndarray) -> bytes:
     """Counts per group, as bytes if all fit and 32-bit numbers if not."""
-    d = WIDE if len(s) >= LARGE else GROUPS
+    d = FEWEST
+    while d < MOST and 3 * d < len(s):
+        d *= 2
     c = np.bincount((s >> np.uint64(17)).astype(np.int64) & (d - 1), minlength=d)
-    return c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes()
+    return bytes([int(c.max(initial=0) > 255)]) + c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def points(encoded: list[bytes]) -> np.ndarray:
-    """Points side by side; wide ones are folded where a narrow one stands among them."""
-    rows = [np.frombuffer(x, np.uint8 if len(x) in (GROUPS, WIDE) else np.uint32).astype(np.int32) for x in encoded]
-    d = min(map(len, rows))
-    return np.stack([r if len(r) == d else r.reshape(-1, d).sum(0) for r in rows])
+def counts(encoded: bytes) -> np.ndarray:
+    return np.frombuffer(encoded, np.uint32 if encoded[0] else np.uint8, offset=1).astype(np.int32)
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -137,22 +143,52 @@ class CountTree:
         return self.order[at[self.passes(q, n, self.v[at], self.n[at], self.n[at])]]
 
 
-def merged(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join what links among the sets, one per merge."""
+class Near:
+    """Trees over points of one number of groups and the next, which is folded to it."""
+
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, num: int, den: int):
+        self.points, self.sizes, self.trees = points, sizes, {}
+        self.wide = np.array([len(p) for p in points])
+        for d in np.unique(self.wide).tolist():
+            own = np.flatnonzero((self.wide == d) | (self.wide == 2 * d))
+            folded = np.stack([points[k].reshape(-1, d).sum(0) for k in own.tolist()])
+            self.trees[d] = own, CountTree(folded, sizes[own], num, den)
+
+    def of(self, k: int) -> np.ndarray:
+        """Places of the points whose pair with k's the bound lets pass, k's own among them."""
+        p, d, n = self.points[k], int(self.wide[k]), int(self.sizes[k])
+        own, tree = self.trees[d]
+        found = own[tree.near(p, n)]
+        if d // 2 in self.trees:
+            own, tree = self.trees[d // 2]
+            less = own[tree.near(p.reshape(-1, d // 2).sum(0), n)]
+            found = np.concatenate([found, less[self.wide[less] < d]])
+        return found
+
+
+def runs_by_size(sizes: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Places in order of size, parted where no pair can link across; parts of one are left out."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    return [r for r in np.split(order, np.flatnonzero(den * n[:-1] < num * n[1:]) + 1) if len(r) > 1]
+
+
+def merged(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join what links among the sets, one per merge; those of equal labels are merged already."""
     sizes = np.array([len(s) for s in sets])
-    vectors = points([point(s) for s in sets])
-    tree, root, out = CountTree(vectors, sizes, num, den), np.arange(len(sets)), []
-    for i in np.argsort(sizes, kind="stable").tolist():
-        others = tree.near(vectors[i], int(sizes[i]))
-        others = others[root[others] != root[i]]
-        if len(others):  # the closest first
-            others = others[np.argsort(-np.minimum(vectors[others], vectors[i]).sum(1), kind="stable")]
-        while len(others):
-            j, others = int(others[0]), others[1:]
-            if links(sets[i], sets[j], num, den):
-                out.append((i, j))
-                root[root == root[j]] = root[i]
-                others = others[root[others] != root[i]]
+    out: list[tuple[int, int]] = []
+    root = np.unique(labels, return_inverse=True)[1]
+    for run in runs_by_size(sizes, num, den):
+        near = Near([counts(point(sets[k])) for k in run.tolist()], sizes[run], num, den)
+        for at, i in enumerate(run.tolist()):
+            others = run[near.of(at)]
+            others = others[root[others] != root[i]]
+            while len(others):
+                j, others = int(others[0]), others[1:]
+                if links(sets[i], sets[j], num, den):
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+                    others = others[root[others] != root[i]]
     return out
 
 
@@ -207,45 +243,76 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     docs = keep_docs(docs)
     frequent: set[int] = set()
     while True:
-        found = cut(signatures(docs, width, num, den, sorted(frequent)))
+        found = cut(signatures(docs, width, num, den, sorted(frequent)), release=True)
         classes = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(found, ["cls", "doc_id"])
         under = classes.select("cls", "n", F.explode("keys").alias("h"))
-        met = cut(under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
-        floor = max(FREQUENT, (met.agg(F.sum("df")).first()[0] or 0) // FREQUENT_PART)
-        new = {r["h"] for r in met.filter(F.col("df") >= floor).select("h").collect()} - frequent  # at most FREQUENT_PART
-        if not new or frequent:
+        met = cut(under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), release=True)
+        if frequent:
             break
-        frequent = new
-    shared = cut(under.join(met, "h"))
+        total, pairs = met.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("df") >= FREQUENT, F.col("df").cast("double") * F.col("df"))), F.lit(0.0))).first()
+        if pairs <= PASS * found.count():
+            break
+        floor = max(FREQUENT, total // FREQUENT_PART)
+        frequent = {r["h"] for r in met.filter(F.col("df") >= floor).select("h").collect()}  # at most FREQUENT_PART
+        if not frequent:
+            break
+    shared = cut(under.join(met, "h"), release=True)
 
-    # 3: one block for each class
-    block = shared.groupBy("cls").agg(F.max(F.struct("df", "h"))["h"].alias("block"), F.max("n").alias("n"))
-    sizes = block.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).filter("rows > 1")
-    parts = F.ceil(F.col("all") / BLOCK_SHINGLES)
-    placed = block.join(sizes, "block").select("cls", "block", F.pmod(F.xxhash64("cls"), parts).alias("part"))
-    placed = cut(placed.join(classes.select("cls", "doc_id"), "cls"))
+    # 3: rounds of one block for each class
+    def partnered(it):
+        """The rows that have a partner of another label in their block by the bound."""
+        for run in groups(it, 2):
+            sizes, names, rows = np.array([r[4] for r in run]), np.array([r[5] for r in run]), []
+            for part in runs_by_size(sizes, num, den):
+                if (names[part] == names[part[0]]).all():
+                    continue
+                near = Near([counts(run[k][6]) for k in part.tolist()], sizes[part], num, den)
+                rows += [(*run[k][:4], run[k][5]) for at, k in enumerate(part.tolist()) if (names[part[near.of(at)]] != names[k]).any()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["block", "part", "cls", "doc_id", "label"])
 
     def join_block(it):
         hashes = WordHashes()
         for run in groups(it, 2):
-            sets = {r[2]: s for r in run if name_of(s := shingle_set(r[3], width, hashes)) == r[2]}
-            if len(sets) > 1:
-                names = list(sets)
-                if rows := [(names[i], names[j]) for i, j in merged(list(sets.values()), num, den)]:
+            kept = {r[2]: (s, r[3]) for r in run if name_of(s := shingle_set(r[4], width, hashes)) == r[2]}
+            if len(kept) > 1:
+                names = list(kept)
+                if rows := [(names[i], names[j]) for i, j in merged([s for s, _ in kept.values()], [x for _, x in kept.values()], num, den)]:
                     yield pairs_out(rows)
 
-    blocks = with_texts(docs, placed, placed.count()).select("block", "part", "cls", "text").repartition("block", "part").sortWithinPartitions("block", "part", "cls")
-    first = cut(blocks.mapInArrow(join_block, "a long, b long"))
-    labels = cut(connected_components(first))
+    # under a key only classes of like sizes can link: it is parted by bands of sizes, each with the next one
+    band = F.floor(F.ln("n") / (1.001 * math.log(den / num)))
+    shared = cut(shared.select("h", "cls", "n", F.explode(F.array(band - 1, band)).alias("band")).select(F.xxhash64("h", "band").alias("h"), "cls", "n"), release=True)
+
+    def open_groups(labelled: DataFrame) -> DataFrame:
+        """The rows of the groups where several labels meet, of groups of the same classes only one; df: the group's size."""
+        mark = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df"), *mark).filter("lo < hi")
+        return cut(labelled.join(mixed.groupBy("df", "x1", "x2").agg(F.min("h").alias("h")).select("h", "df"), "h"), release=True)
+
+    def now_labelled(rows: DataFrame) -> DataFrame:
+        return rows.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", label)
+
+    label, labels = F.coalesce("label", "cls").alias("label"), None
+    for turn in range(ROUNDS):
+        # a group whose classes are all merged stays so: only the others are kept for what follows
+        shared = meeting = open_groups(shared.select("*", F.col("cls").alias("label")) if labels is None else now_labelled(shared))
+        block = meeting.groupBy("cls").agg(F.min("h").alias("block"), F.max("n").alias("n"), F.max("label").alias("label"))
+        sizes = block.groupBy("block").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        placed = block.join(sizes, "block").select("cls", "block", "label", F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("part"))
+        placed = placed.join(classes.select("cls", "doc_id", "n", "vec"), "cls").select("block", "part", "cls", "doc_id", "n", "label", "vec")
+        placed = cut(placed.repartition("block", "part").sortWithinPartitions("block", "part", "cls").mapInArrow(partnered, "block long, part long, cls long, doc_id long, label long"))
+        blocks = with_texts(docs, placed, placed.count()).select("block", "part", "cls", "label", "text").repartition("block", "part").sortWithinPartitions("block", "part", "cls")
+        found_links = cut(blocks.mapInArrow(join_block, "a long, b long"), release=True)
+        if labels is not None and found_links.isEmpty():
+            break
+        labels = cut(connected_components(found_links if labels is None else labels.toDF("a", "b").union(found_links)))
 
     # 4: what else meets under a key
-    label = F.coalesce("label", "cls").alias("label")
-    labelled = shared.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", "df", label)
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
     chunks = F.ceil(F.col("df") / CELL).cast("long")
     mine = F.pmod(F.xxhash64("cls"), F.col("chunks"))
     cells = (
-        labelled.join(mixed, "h").join(classes.select("cls", "vec"), "cls").withColumn("chunks", chunks).withColumn("mine", mine)
+        open_groups(now_labelled(shared)).join(classes.select("cls", "vec"), "cls").withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "n", "cls", "label", "mine", "vec")
         .repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls")
@@ -254,26 +321,26 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     def join_cell(it):
         out: set[tuple[int, int]] = set()
         for run in groups(it, 3):
-            if all(den * a[3] < num * b[3] for a, b in pairwise(run)):
-                continue
-            cls, name = np.array([r[4] for r in run]), np.array([r[5] for r in run])
-            chunk, n = np.array([r[6] for r in run]), np.array([r[3] for r in run])
-            vectors = points([r[7] for r in run])
-            tree = CountTree(vectors, n, num, den)
-            cross = run[0][1] != run[0][2]
-            for k in range(len(run)):
-                if cross and chunk[k] != run[0][1]:
+            sizes, cross = np.array([r[3] for r in run]), run[0][1] != run[0][2]
+            for part in runs_by_size(sizes, num, den):
+                rows = [run[k] for k in part.tolist()]
+                cls, name, chunk = (np.array([r[c] for r in rows]) for c in (4, 5, 6))
+                if (name == name[0]).all():
                     continue
-                at = tree.near(vectors[k], int(n[k]))
-                at = at[(name[at] != name[k]) & ((chunk[at] != chunk[k]) if cross else (at > k))]
-                out.update((min(int(cls[k]), x), max(int(cls[k]), x)) for x in cls[at].tolist())
+                near = Near([counts(r[7]) for r in rows], sizes[part], num, den)
+                for k in range(len(rows)):
+                    if cross and chunk[k] != run[0][1]:
+                        continue
+                    at = near.of(k)
+                    at = at[(name[at] != name[k]) & ((chunk[at] != chunk[k]) if cross else (at > k))]
+                    out.update((min(int(cls[k]), x), max(int(cls[k]), x)) for x in cls[at].tolist())
             if len(out) > 100_000:
                 yield pairs_out(sorted(out))
                 out = set()
         if out:
             yield pairs_out(sorted(out))
 
-    pairs = cut(cells.mapInArrow(join_cell, "a long, b long").distinct())
+    pairs = cut(cells.mapInArrow(join_cell, "a long, b long").distinct(), release=True)
     ends = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "doc_id"), "cls"))
 
     def to_sets(it):
