@@ -24,9 +24,9 @@ The join over a cluster:
    A key's classes are parted by bands of sizes, and of groups of the same
    classes, which copies give under each of their keys, one is kept.
 4. Components so far label the classes. Groups where several labels meet give
-   the other pairs: again by an R-tree, in cells of bounded size (a hot group's
-   rows are dealt into chunks and each pair of chunks is a cell); only pairs of
-   different labels whose bound passes go on to be verified.
+   the other pairs, in the same way but with every row of these groups, in cells
+   of bounded size (a hot group's rows are dealt into chunks and each pair of
+   chunks is a cell). Pairs are compared where they meet and are never emitted.
 
 Every pair of different sets that can link is thus compared or already merged.
 
@@ -51,11 +51,11 @@ from .components import connected_components
 #: Groups of a point: a power of two, about half the set's size between these.
 FEWEST, MOST = 64, 8192
 #: Shingles of a block's task, classes of a cell, classes that a broadcast may name.
-BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1500, 500_000
+BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1000, 500_000
 #: A key is frequent from this many classes on, and from this part of all keys on; comparisons that a class's part of a pass costs.
-FREQUENT, FREQUENT_PART, PASS = 1000, 50_000, 400
+FREQUENT, FREQUENT_PART, PASS = 1000, 50_000, 4000
 #: Rounds of blocks.
-ROUNDS = 3
+ROUNDS = 2
 FAN = 32
 
 
@@ -293,6 +293,13 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     def now_labelled(rows: DataFrame) -> DataFrame:
         return rows.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", label)
 
+    def compared(placed: DataFrame) -> DataFrame:
+        """Links that merge what links in each (block, part): first by the bound, then on the texts of what has a partner."""
+        rows = placed.join(classes.select("cls", "doc_id", "n", "vec"), "cls").select("block", "part", "cls", "doc_id", "n", "label", "vec")
+        near = cut(rows.repartition("block", "part").sortWithinPartitions("block", "part", "cls").mapInArrow(partnered, "block long, part long, cls long, doc_id long, label long"))
+        texts = with_texts(docs, near, near.count()).select("block", "part", "cls", "label", "text").repartition("block", "part").sortWithinPartitions("block", "part", "cls")
+        return cut(texts.mapInArrow(join_block, "a long, b long"), release=True)
+
     label, labels = F.coalesce("label", "cls").alias("label"), None
     for turn in range(ROUNDS):
         # a group whose classes are all merged stays so: only the others are kept for what follows
@@ -300,68 +307,18 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
         block = meeting.groupBy("cls").agg(F.min("h").alias("block"), F.max("n").alias("n"), F.max("label").alias("label"))
         sizes = block.groupBy("block").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         placed = block.join(sizes, "block").select("cls", "block", "label", F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("part"))
-        placed = placed.join(classes.select("cls", "doc_id", "n", "vec"), "cls").select("block", "part", "cls", "doc_id", "n", "label", "vec")
-        placed = cut(placed.repartition("block", "part").sortWithinPartitions("block", "part", "cls").mapInArrow(partnered, "block long, part long, cls long, doc_id long, label long"))
-        blocks = with_texts(docs, placed, placed.count()).select("block", "part", "cls", "label", "text").repartition("block", "part").sortWithinPartitions("block", "part", "cls")
-        found_links = cut(blocks.mapInArrow(join_block, "a long, b long"), release=True)
+        found_links = compared(placed.select("block", "part", "cls", "label"))
         if labels is not None and found_links.isEmpty():
             break
         labels = cut(connected_components(found_links if labels is None else labels.toDF("a", "b").union(found_links)))
 
-    # 4: what else meets under a key
+    # 4: what else meets: every row of the groups that are still open, in cells of bounded size
     chunks = F.ceil(F.col("df") / CELL).cast("long")
     mine = F.pmod(F.xxhash64("cls"), F.col("chunks"))
-    cells = (
-        open_groups(now_labelled(shared)).join(classes.select("cls", "vec"), "cls").withColumn("chunks", chunks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "n", "cls", "label", "mine", "vec")
-        .repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "cls")
-    )
-
-    def join_cell(it):
-        out: set[tuple[int, int]] = set()
-        for run in groups(it, 3):
-            sizes, cross = np.array([r[3] for r in run]), run[0][1] != run[0][2]
-            for part in runs_by_size(sizes, num, den):
-                rows = [run[k] for k in part.tolist()]
-                cls, name, chunk = (np.array([r[c] for r in rows]) for c in (4, 5, 6))
-                if (name == name[0]).all():
-                    continue
-                near = Near([counts(r[7]) for r in rows], sizes[part], num, den)
-                for k in range(len(rows)):
-                    if cross and chunk[k] != run[0][1]:
-                        continue
-                    at = near.of(k)
-                    at = at[(name[at] != name[k]) & ((chunk[at] != chunk[k]) if cross else (at > k))]
-                    out.update((min(int(cls[k]), x), max(int(cls[k]), x)) for x in cls[at].tolist())
-            if len(out) > 100_000:
-                yield pairs_out(sorted(out))
-                out = set()
-        if out:
-            yield pairs_out(sorted(out))
-
-    pairs = cut(cells.mapInArrow(join_cell, "a long, b long").distinct(), release=True)
-    ends = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "doc_id"), "cls"))
-
-    def to_sets(it):
-        hashes = WordHashes()
-        for b in batches(it, 4 << 20):
-            rows = [(c, s) for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if name_of(s := shingle_set(t, width, hashes)) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["cls", "s"])
-
-    def verify(it):
-        for b in batches(it, 4 << 20):
-            sets = [[np.frombuffer(x, np.uint64) for x in b.column(k).to_pylist()] for k in (2, 3)]
-            good = pa.array([links(x, y, num, den) for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["a", "b"])
-
-    if ends.isEmpty():
-        every = labels
-    else:
-        sets = with_texts(docs, ends, ends.count()).select("cls", "text").mapInArrow(to_sets, "cls long, s binary").dropDuplicates(["cls"])
-        both = pairs.join(sets.toDF("a", "s_a"), "a").join(sets.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-        second = both.mapInArrow(verify, "a long, b long")
-        every = connected_components(labels.toDF("a", "b").union(second))
+    cells = open_groups(now_labelled(shared)).withColumn("chunks", chunks).withColumn("mine", mine)
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("part", F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other"))
+    second = compared(cells.select(F.col("h").alias("block"), "part", "cls", "label"))
+    every = labels if second.isEmpty() else connected_components(labels.toDF("a", "b").union(second))
 
     reached = classes.select("cls", "doc_id").join(every.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", label)
     least = reached.groupBy("label").agg(F.min("doc_id").alias("component_id"))
