@@ -4,11 +4,7 @@ Training counts tokens over all training documents (Spark aggregates; each
 document's words, lower-cased A-Z, then one end). The model has three orders:
 
 * order 1 covers every token: P(w) = (c+1) / (N+V+1); unseen words share the +1;
-* orders 2 and 3 keep the n-grams with c >= max(2, share x N), found level by
-  level: an n-gram that frequent has only parts that frequent. At most 1/share
-  n-grams of an order can pass, however large the corpus is, so the automaton's
-  size has a proven bound and workers can hold it. What is gathered to find it
-  (all tokens, all pairs and triples of frequent parts) grows with the corpus.
+* orders 2 and 3 keep every n-gram that occurs twice or more, whatever N is.
 
 Kept n-grams get an absolute discount; what is left of a context's mass goes to
 the words that it has no n-gram for (Katz), in proportion to the next shorter
@@ -16,9 +12,13 @@ context. A state stands for a context, with arcs for its n-grams and one
 failure arc, weighted with the log of that share, to the context less its first
 word. Scoring goes once from left to right, carries the state and adds up.
 
-Words below the share aren't in the automaton: the traversal takes the failure
-arcs to the empty state, and their order-1 terms come from a join of the
-documents' rare words with the counts. Rare words are not hot keys by definition.
+While two occurrences are at least the share 5e-6 of all tokens, an order has at
+most 200,000 arcs and workers hold the automaton. Beyond that its arcs and failure
+weights are tables: a path's weight is the sum over its words of log P(w) and the
+failure weight of w, over its kept pairs and triples of what their arcs and failure
+weights add to that, so each text's n-grams are joined with one table of addends.
+Addends of n-grams above the share (at most 200,000 an order) are broadcast, so no
+hot key is shuffled; all others are joined by 64-bit hashes of their words.
 
 Defined results: null or empty text is the end token alone; repeated rows are
 scored each; a null doc_id's crc32 counts as 0; an empty table gives no rows;
@@ -36,10 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, cut, keep_docs
+from .jaccard_join import WordHashes, mix
 
 #: The end token: no word has a space in it.
 END = b" "
 FLUSH = 400_000
+#: Occurrences from which on a pair or triple is kept.
+LEAST = 2
 
 
 def tokens(text: str) -> list[bytes]:
@@ -182,11 +185,16 @@ class Automaton:
         return score
 
 
-def fit(docs: DataFrame, share: float = 5e-6, least: int = 2) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts of all words, from training docs (text)."""
-    sc = docs.sparkSession.sparkContext
+def counted_words(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """word, c of training docs (text), with the number of tokens and of distinct ones."""
     counts = cut(word_counts(docs))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    return counts, *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+
+
+def fit(docs: DataFrame, share: float = 5e-6, least: int = 2, counted: tuple[DataFrame, int, int] | None = None) -> tuple[Automaton, DataFrame]:
+    """The automaton, and the counts of all words, from training docs (text); whole while share of all tokens is at most least."""
+    sc = docs.sparkSession.sparkContext
+    counts, total, distinct = counted or counted_words(docs)
     floor = max(least, math.ceil(share * total))
     frequent = sorted((bytes(r["word"]), r["c"]) for r in counts.filter(F.col("c") >= floor).collect())  # at most 1/share
     words = [w for w, _ in frequent]
@@ -200,11 +208,126 @@ def fit(docs: DataFrame, share: float = 5e-6, least: int = 2) -> tuple[Automaton
     return Automaton(words, np.array([c for _, c in frequent], float), total, distinct, pairs, triples), counts.filter(F.col("c") < floor)
 
 
-def score(docs: DataFrame, share: float = 5e-6) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    rows = keep_docs(docs).select("text", "doc_id", F.xxhash64("doc_id", "text").alias("row"), held_out(F.col("doc_id")).alias("out"))
-    model, rare = fit(rows.filter(~F.col("out")), share)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of the n-gram whose first and last parts have the keys a and b."""
+    return mix(mix(a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + b)
+
+
+def gram_keys(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the start and the text's tokens, of its pairs and of its triples, in order."""
+    words = [END, *tokens(text)]
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    pairs = joined(w[:-1], w[1:])
+    return w, pairs, joined(pairs[:-1], pairs[1:])
+
+
+def repeated_grams(docs: DataFrame, least: int) -> DataFrame:
+    """o (2 or 3), k (its key), a and b (its parts' keys), c of every pair and triple with c >= least."""
+    schema = "o int, k long, a long, b long, c long"
+
+    def counted(o: int, held: list[tuple[np.ndarray, np.ndarray]]):
+        a, b = (np.concatenate([h[n] for h in held]) for n in (0, 1))
+        k, at, n = np.unique(joined(a, b), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), o, np.int32)), *(pa.array(x.view(np.int64)) for x in (k, a[at], b[at])), pa.array(n.astype(np.int64))], names=["o", "k", "a", "b", "c"])
+
+    def run(it):
+        hashes, held, size = WordHashes(), {2: [], 3: []}, 0
+        for batch in batches(it, 4 << 20):
+            for t in batch.column(0).to_pylist():
+                w, pairs, _ = gram_keys(t, hashes)
+                held[2].append((w[:-1], w[1:]))
+                held[3].append((pairs[:-1], pairs[1:]))
+                size += len(pairs)
+            if size > 2_000_000:
+                yield from (counted(o, held[o]) for o in (2, 3))
+                held, size = {2: [], 3: []}, 0
+        if size:
+            yield from (counted(o, held[o]) for o in (2, 3))
+
+    return docs.select("text").mapInArrow(run, schema).groupBy("o", "k", "a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+
+
+def addends(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least: int = 2, discount: float = 0.75) -> DataFrame:
+    """k, c, known, base, score: what each word, kept pair and kept triple adds to a text's sums, where words count as unseen until then."""
+
+    def hashed(it):
+        hashes = WordHashes()
+        for b in batches(it, 4 << 20):
+            k = np.fromiter(map(hashes.__getitem__, b.column(0).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column(1)], names=["k", "c"])
+
+    whole = float(total + distinct + 1)
+    tiny = lambda c: F.greatest(F.lit(1.0) - F.sum(c), F.lit(1e-12))
+    back = lambda rows: rows.groupBy("a").agg(F.log10(tiny("p") / tiny("lower")).alias("back"))
+    words = cut(counts.mapInArrow(hashed, "k long, c long").withColumn("p", (F.col("c") + 1) / F.lit(whole)))
+    kept = cut(repeated_grams(docs, least))
+    part = lambda rows, name, *cols: rows.select(F.col("k").alias(name), *cols)
+
+    def level(grams: DataFrame, shorter: DataFrame) -> DataFrame:
+        """The n-grams with p, and lower: what the next shorter context gives their last word."""
+        one = grams.join(part(shorter, "a", F.col("c").alias("of")), "a").join(part(shorter, "b", F.col("p").alias("lower")), "b")
+        return cut(one.select("k", "a", "b", "c", ((F.col("c") - discount) / F.col("of")).alias("p"), "lower"))
+
+    pairs = level(kept.filter("o = 2"), words)
+    triples = level(kept.filter("o = 3"), pairs)
+    back2, back3 = cut(back(pairs)), cut(back(triples))
+    after = lambda rows, backs: rows.join(part(backs.withColumnRenamed("a", "k"), "k", F.col("back").alias("own")), "k", "left")
+    arc = F.log10("p") - F.log10("lower") - F.col("back") + F.coalesce("own", F.lit(0.0))
+    zero = F.lit(0.0)
+    first = after(words, back2).withColumn("base", F.log10("p") + math.log10(whole)).select("k", "c", F.lit(1).alias("known"), "base", (F.col("base") + F.coalesce("own", zero)).alias("score"))
+    second = after(pairs.join(back2, "a"), back3).select("k", "c", F.lit(0).alias("known"), zero.alias("base"), arc.alias("score"))
+    third = triples.join(back3, "a").withColumn("own", zero).select("k", "c", F.lit(0).alias("known"), zero.alias("base"), arc.alias("score"))
+    return cut(first.union(second).union(third))
+
+
+def joined_scores(rows: DataFrame, train: DataFrame, counted: tuple[DataFrame, int, int], share: float) -> DataFrame:
+    """row, doc_id, out, main, n, known, base, score: a main row for each of rows and addends to it, by the tables."""
+    counts, total, distinct = counted
+    table = addends(train, counts, total, distinct)
+    hot = F.col("c") >= math.ceil(share * total)
+    top = sorted((r["k"], r["known"], r["base"], r["score"]) for r in table.filter(hot).drop("c").collect())  # at most 1/share an order
+    kinds = (np.int64, np.int64, float, float)
+    shared = rows.sparkSession.sparkContext.broadcast([np.array(c, t) for c, t in zip(zip(*top, strict=True) if top else [()] * 4, kinds, strict=True)])
+    unseen = -math.log10(total + distinct + 1)
+    schema = "row long, doc_id long, out boolean, k long, n long, main long, known long, base double, score double"
+
+    def run(it):
+        hashes, (keys, *values) = WordHashes(), shared.value
+        for b in batches(it, 2 << 20):
+            texts, doc, row, held = (c.to_pylist() for c in b.columns)
+            found = [gram_keys(t, hashes) for t in texts]
+            sizes = np.array([len(p) for _, p, _ in found])
+            k = np.concatenate([x for w, p, t in found for x in (w[1:], p, t)]).view(np.int64)
+            d = np.repeat(np.arange(len(texts)), 3 * sizes - 1)
+            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            is_hot = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+            known, base, score = (np.bincount(d[is_hot], v[at[is_hot]], len(texts)) for v in values)
+            k, d = k[~is_hot], d[~is_hot]
+            order = np.lexsort((k, d))
+            k, d = k[order], d[order]
+            new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, np.int64)
+            n = np.diff(np.r_[new, len(k)])
+            names, none = np.array(row, np.int64), len(new)
+            cat = lambda x, y, t: pa.array(np.concatenate([np.asarray(x, t), np.asarray(y, t)]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    cat(names, names[d[new]], np.int64), pa.array(doc + [None] * none, pa.int64()), pa.array(held + [None] * none, pa.bool_()), cat(names, k[new], np.int64), cat(sizes, n, np.int64),
+                    cat(np.ones(len(texts)), np.zeros(none), np.int64), cat(known, np.zeros(none), np.int64), cat(base + unseen * sizes, np.zeros(none), float), cat(score + unseen * sizes, np.zeros(none), float),
+                ],
+                names=schema.replace(",", "").split()[::2],
+            )
+
+    rest = table.filter(~hot).select(F.col("k").alias("key"), F.col("known").alias("known_"), F.col("base").alias("base_"), F.col("score").alias("score_"))
+    each = rows.mapInArrow(run, schema)
+    each = each.join(rest, (F.col("k") == F.col("key")) & (F.col("main") == 0), "left").filter("main = 1 or key is not null")
+    plus = lambda c: (F.col(c) + F.coalesce(F.col("n") * F.col(f"{c}_"), F.lit(0))).alias(c)
+    return each.select("row", "doc_id", "out", "main", F.when(F.col("main") == 1, F.col("n")).otherwise(0).alias("n"), plus("known"), plus("base"), plus("score"))
+
+
+def held_scores(rows: DataFrame, train: DataFrame, counted: tuple[DataFrame, int, int], share: float) -> DataFrame:
+    """row, doc_id, out, main, n, known, base, score: a main row for each of rows and addends to it, by the automaton that workers hold."""
+    model, rare = fit(train, share, LEAST, counted)
+    shared = rows.sparkSession.sparkContext.broadcast(vars(model))
     schema = "row long, doc_id long, out boolean, word binary, n long, main long, known long, base double, score double"
 
     def run(it):
@@ -225,12 +348,17 @@ def score(docs: DataFrame, share: float = 5e-6) -> DataFrame:
 
     each = rows.mapInArrow(run, schema).join(rare, "word", "left")
     term = F.when(F.col("main") == 0, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))).otherwise(0.0)
-    sums = (
-        each.select("row", "doc_id", "out", "main", F.when(F.col("main") == 1, F.col("n")).otherwise(0).alias("n"), (F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"), (F.col("base") + term).alias("base"), (F.col("score") + term).alias("score"))
-        .groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("out").alias("held_out"), *(F.sum(c).alias(c) for c in ("main", "n", "known", "base", "score")))
-    )
+    return each.select("row", "doc_id", "out", "main", F.when(F.col("main") == 1, F.col("n")).otherwise(0).alias("n"), (F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"), (F.col("base") + term).alias("base"), (F.col("score") + term).alias("score"))
+
+
+def score(docs: DataFrame, share: float = 5e-6) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
+    rows = keep_docs(docs).select("text", "doc_id", F.xxhash64("doc_id", "text").alias("row"), held_out(F.col("doc_id")).alias("out"))
+    train = rows.filter(~F.col("out"))
+    counted = counted_words(train)
+    each = (held_scores if share * counted[1] <= LEAST else joined_scores)(rows, train, counted, share)
+    sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("out").alias("held_out"), *(F.sum(c).alias(c) for c in ("main", "n", "known", "base", "score")))
     per = lambda c: F.col(c).cast("double") / F.col("main")  # noqa: E731  rows that are repeated have been added up
     return sums.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("main")))).select(
-        "doc_id", "held_out", per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score")
+        "doc_id", "held_out", per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(counted[1]).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score")
     )
