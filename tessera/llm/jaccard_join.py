@@ -243,8 +243,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     docs = keep_docs(docs)
     frequent: set[int] = set()
     while True:
-        found = cut(signatures(docs, width, num, den, sorted(frequent)), release=True)
-        classes = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(found, ["cls", "doc_id"])
+        found = cut(signatures(docs, width, num, den, sorted(frequent)).withColumn("at", F.monotonically_increasing_id()), release=True)
+        # one row for each class, also where rows are repeated: marks of groups are over distinct classes
+        classes = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "at")).alias("x")).select("cls", "x.*").join(found, ["cls", "doc_id", "at"])
         under = classes.select("cls", "n", F.explode("keys").alias("h"))
         met = cut(under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), release=True)
         if frequent:
