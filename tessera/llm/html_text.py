@@ -6,7 +6,10 @@ or comments, hidden parts) are left out. Each block of text passes points to its
 ancestors, for itself, its commas and its length, all of them to its container,
 half to the next and less further up; a container's points are discounted by its
 link density. The best container (or the article or main part around it) is
-kept, with those of its siblings that score well or are plain prose.
+kept, with those of its siblings that score well or are plain prose, and the
+headings, lists and other paragraphs that stand next to those. A part's name alone
+does not leave it out if it has the page's main element or most of the prose around
+it, nor if hardly anything would be left.
 
 Defined results: null or empty html, and pages with no text, give an empty text;
 repeated rows are read each; markup that ends early or isn't closed is read as
@@ -31,12 +34,14 @@ NAME = re.compile(r"[a-z0-9]+")
 # Elements of HTML by their role here.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "label", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "template", "head", "figcaption"}
+LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "label", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "template", "head"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-PARAGRAPH = {"p", "pre", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "summary"}
+PARAGRAPH = {"p", "pre", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "summary", "figcaption"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BESIDE = HEADINGS | {"p", "pre", "ul", "ol", "dl", "blockquote", "table", "figure"}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -46,15 +51,19 @@ UNLIKELY = {
     "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "toolbar", "widget", "pagination", "pager", "skip", "masthead", "contentinfo", "complementary", "alert", "dialog",
 }
+# Of these, names of parts that can be longer than the article that they go with.
+WITH_ARTICLE = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "sidebar", "cookie", "cookies", "consent", "gdpr"}
+#: Text of fewer characters is hardly anything.
+LITTLE = 25
 KEPT_WHOLE = {"html", "body", "article", "main"}
 BONUS = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
 
 class Node:
-    __slots__ = ("bonus", "chars", "links", "out", "parent", "points", "tag")
+    __slots__ = ("bonus", "chars", "links", "main", "names", "out", "parent", "points", "prose", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, names: set[str] | None = None):
+        self.tag, self.parent, self.out, self.names, self.main, self.prose = tag, parent, out, names, tag == "main", 0
         self.points, self.chars, self.links, self.bonus = 0.0, 0, 0, BONUS.get(tag, 0.0)
 
     def up(self):
@@ -67,22 +76,25 @@ class Node:
         return (self.points + self.bonus) * (1 - self.links / self.chars) if self.chars and self.points else 0.0
 
 
-def named_out(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes mark it as no article text."""
+def read_attributes(tag: str, attributes: str) -> tuple[bool, set[str]]:
+    """Whether an element's attributes hide it, and the names among them that mark it as no article text."""
+    names: set[str] = set()
     for a in ATTRIBUTE.finditer(attributes):
         key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if key in ("class", "id", "role") and tag not in KEPT_WHOLE and any(UNLIKELY.intersection(NAME.findall(x)) and not x.startswith(("has-", "no-", "with-")) for x in value.split()):
-            return True
-    return False
+            return True, names
+        if key in ("class", "id", "role") and tag not in KEPT_WHOLE:
+            for x in value.split():
+                if not x.startswith(("has-", "no-", "with-")):
+                    names |= UNLIKELY.intersection(NAME.findall(x))
+    return False, names
 
 
-def blocks(page: str) -> list[tuple[Node, str, int]]:
-    """The text blocks in page order: their element, their text and its characters inside links."""
+def blocks(page: str) -> list[tuple[Node, str, int, list[Node]]]:
+    """The text blocks in page order: their element, their text, its characters inside links and the parts around it that names mark."""
     at, here = 0, Node("html", None, False)
     held: list[str] = []
-    found: list[tuple[Node, str, int]] = []
+    found: list[tuple[Node, str, int, list[Node]]] = []
     linked, link = 0, 0
 
     def end_block() -> None:
@@ -90,7 +102,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
         if held:
             text = " ".join("".join(held).split())
             if text and not here.out:
-                found.append((block_of(here), text, min(linked, len(text))))
+                found.append((block_of(here), text, min(linked, len(text)), [n for n in here.up() if n.names]))
             held.clear()
         linked = 0
 
@@ -122,7 +134,7 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 end_block()
             for n in here.up():
                 if n.tag == tag and n.parent is not None:
-                    if tag in BLOCK or n.out:
+                    if tag in BLOCK or n.out or n.names:
                         end_block()
                     while here is not n:
                         link -= here.tag == "a"
@@ -158,21 +170,40 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                     here = n.parent
                     break
         inside = any(n.tag in ("article", "main") for n in here.up()) if tag == "header" else False
-        out = here.out or tag in LEFT_OUT or (tag == "header" and not inside) or named_out(tag, attributes)
-        if out and not here.out:
+        out = here.out or tag in LEFT_OUT or (tag == "header" and not inside)
+        hidden, names = read_attributes(tag, attributes)
+        out = out or hidden
+        if names or (out and not here.out):
             end_block()
-        here = Node(tag, here, out)
+        here = Node(tag, here, out, names)
+        if tag == "main" and not out:
+            for n in here.up():
+                n.main = True
         link += tag == "a"
     end_block()
     return found
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
+def without_named(found: list[tuple[Node, str, int, list[Node]]]) -> list[tuple[Node, str, int, list[Node]]]:
+    """The blocks that lie in no part which its name leaves out."""
+    for node, text, linked, _ in found:
+        if node.tag in PARAGRAPH:
+            for n in node.up():
+                n.prose += len(text) - linked
+
+    def whole(n: Node) -> bool:
+        around = next((x for x in n.parent.up() if x.tag in ("article", "main") or x.parent is None), n)
+        return n.main or (2 * n.prose > around.prose and not n.names & WITH_ARTICLE)
+
+    return [b for b in found if all(map(whole, b[3]))]
+
+
+def kept_blocks(found: list[tuple[Node, str, int, list[Node]]]) -> str:
     seen: dict[int, Node] = {}
-    for node, text, linked in found:
+    for node, text, linked, _ in found:
+        for n in node.up():
+            n.points, n.chars, n.links = 0.0, 0, 0
+    for node, text, linked, _ in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         start = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
         for level, n in enumerate(start.up()):
@@ -186,14 +217,40 @@ def main_text(page: str | None) -> str:
     keep = {id(best)}
     if best.parent is not None:
         least = best.score() * 0.2
-        for node, text, linked in found:
+        beside: dict[int, Node] = {}
+        for node, text, linked, _ in found:
             chain = list(node.up())
             for n in chain:
-                if n.parent is best.parent and id(n) not in keep:
+                if n.parent is best.parent:
+                    beside[id(n)] = n
                     prose = n.tag == "p" and linked < 0.25 * len(text) and (len(text) > 80 or text.endswith((".", "!", "?")))
                     if n.score() >= least or prose:
                         keep.add(id(n))
-    return " ".join(text for node, text, _ in found if any(id(n) in keep for n in node.up()))
+        if best.tag not in ("article", "main"):
+            for row in (list(beside.values()), list(beside.values())[::-1]):
+                run: list[Node] = []
+                near, back = False, row[0] is not next(iter(beside.values()))
+                for n in [*row, None]:
+                    if n is not None and id(n) not in keep and n.tag in BESIDE and n.links < 0.25 * n.chars:
+                        run.append(n)
+                        continue
+                    if near:
+                        while run and not back and run[-1].tag in HEADINGS and (n is None or id(n) not in keep):
+                            run.pop()  # a heading goes with what follows it
+                        keep.update(map(id, run))
+                    near, run = n is not None and id(n) in keep, []
+    return " ".join(text for node, text, _, _ in found if any(id(n) in keep for n in node.up()))
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    left = without_named(found)
+    text = kept_blocks(left) if left else ""
+    if len(left) < len(found) and len(text) < LITTLE:
+        every = kept_blocks(found)
+        if len(every) > 4 * len(text):
+            return every
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:
