@@ -1,4 +1,6 @@
-"""Known licence texts and notices, by SPDX name."""
+"""Known licence texts and notices, by SPDX name; long texts are in the folder licenses."""
+
+from pathlib import Path
 
 # Public licence texts, and the notices that commonly stand for longer ones.
 KNOWN = {
@@ -55,3 +57,31 @@ For more information, please refer to <https://unlicense.org/>""",
     "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
 }
+
+BSD_2 = KNOWN["BSD-2-Clause"][0]
+KNOWN["BSD-3-Clause"] = [
+    BSD_2.replace(
+        "\n\nTHIS SOFTWARE",
+        "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE",
+    )
+]
+
+# Title lines that stand before the texts of licences that have none of their own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+}
+for name, titles in TITLES.items():
+    KNOWN[name] += [f"{title}\n\n{KNOWN[name][0]}" for title in titles]
+
+#: What ends the terms of the licences that go on with how to apply them.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+    whole = path.read_text()
+    terms, end, _ = whole.partition(TERMS_END)
+    KNOWN[path.stem] = [whole, *([terms + end] if end else []), *KNOWN.get(path.stem, [])]
