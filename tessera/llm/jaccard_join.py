@@ -239,7 +239,9 @@ def with_texts(docs: DataFrame, wanted: DataFrame, known: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents whose sets link when den * |A and B| >= num * |A or B|."""
+    """doc_id, n_shingles, component_id: documents whose sets link when den * |A and B| >= num * |A or B|, for thresholds from 1/2 to below 1."""
+    if not 0 < num < den <= 2 * num:
+        raise ValueError(f"threshold {num}/{den} is not from 1/2 to below 1: points are compared over two widths and bands need unequal sizes")
     docs = keep_docs(docs)
     frequent: set[int] = set()
     while True:

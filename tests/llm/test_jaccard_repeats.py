@@ -1,5 +1,7 @@
 """Near copies in tables whose rows are repeated."""
 
+import pytest
+
 from tessera.llm import jaccard_join as jj
 
 
@@ -11,3 +13,9 @@ def test_repeated_rows_of_unrelated_pairs(spark):
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.jaccard_join(docs, 3, 90, 100).collect())
     assert got == sorted([(d, 78 + d % 2, d - d % 2) for d, _ in rows] * 2)
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 1), (49, 100), (0, 1), (3, 2)])
+def test_thresholds_that_would_lose_links_are_refused(num, den):
+    with pytest.raises(ValueError, match="threshold"):
+        jj.jaccard_join(None, 3, num, den)
