@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read by Spark alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset and
+    all run on one machine (tests), a temporary folder; elsewhere an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests on one machine) a temporary folder takes its place. Spark removes
-    the shuffles of earlier steps once nothing refers to them; release tells it to
-    look now, so that a job of many steps holds the files of one step and not of all.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: this cuts its lineage, and lost
+    executors lose nothing of it. The shuffle files that the step took are removed as it ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    out = df.checkpoint()
-    if release:
-        gc.collect()
-        sc._jvm.System.gc()
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.step_folder = folder
     return out
 
 
+def drop(*steps: DataFrame) -> None:
+    """Remove the files of steps that cut() wrote and nothing reads any more."""
+    for step in steps:
+        jvm = step.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(step.step_folder)
+        path.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep_docs(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (null: empty); other columns can't clash afterwards."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

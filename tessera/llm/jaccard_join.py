@@ -8,52 +8,51 @@ Pairs that survive are verified on their sets of 64-bit shingle hashes.
 
 The join over a cluster:
 
-1. Documents with equal sets form one class; only classes go on.
-2. Two sets can only link if they share one of their first n - ceil(t n) + 1
-   shingles in a fixed order, so classes meet under those keys. The order is by
-   hash, with keys that very many classes have put last: passages that many
-   documents share then draw nobody together. At most 50,000 keys can be so
-   frequent, whatever the corpus holds. The second pass over the texts that this
-   takes is made where the pairs that the keys would draw together cost more.
+1. One pass over the texts. Documents with equal sets form one class; only
+   classes go on.
+2. Sets that link differ in few shingles, d at most, and each of those changes one
+   group. Of m groups (m depends on the set's size class, and a set near the lower
+   end of its class is also dealt out as one of the class below) two such sets
+   agree in at least m - d, so they share one of their first d + 1 groups in any
+   common order. The fullest groups come first. A key is a group's number and
+   content: it stands for several shingles at once, so passages that many documents
+   share draw hardly any texts together, and no frequencies need to be known.
+   Classes meet under their keys; what meets nobody is done.
 3. Rounds of blocks: each class goes once to the block of the first key under
-   which classes meet that aren't merged yet. Classes that have such a partner
-   there by the bound get their texts; a block's task joins them through an
-   R-tree and merges what links, comparing only classes that aren't merged yet,
-   so a group of copies costs about one comparison per member and gives one link
-   per member. Large blocks are split, by another hash in each round.
-   A key's classes are parted by bands of sizes, and of groups of the same
-   classes, which copies give under each of their keys, one is kept.
-4. Components so far label the classes. Groups where several labels meet give
-   the other pairs, in the same way but with every row of these groups, in cells
-   of bounded size (a hot group's rows are dealt into chunks and each pair of
+   which classes meet that aren't merged yet. A block's task joins its sets through
+   an R-tree and merges what links, comparing only classes that aren't merged yet,
+   so a group of copies costs about one comparison per member. Large blocks are
+   split, by another hash in each round. Of keys with the same classes, which
+   copies give, one is kept.
+4. Components so far label the classes. Keys where several labels meet give the
+   other pairs, in the same way but with every class of these keys, in cells
+   of bounded size (a hot key's classes are dealt into chunks and each pair of
    chunks is a cell). Pairs are compared where they meet and are never emitted.
-
-Every pair of different sets that can link is thus compared or already merged.
+5. Every link lies within a component. Each component's classes are compared once
+   more, in cells, and their links counted.
 
 Defined results: null or empty text (no words) has an empty set and links with
-nothing; a null doc_id takes no part and has a null component; rows that repeat
-a doc_id count as further texts under that name; an empty table gives no rows.
+nothing; a null doc_id takes no part and has a null component and no links; rows
+that repeat a doc_id count as further texts under that name; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, keep_docs
+from .common import batches, cut, drop, keep_docs
 from .components import connected_components
 
-#: Groups of a point: a power of two, about half the set's size between these.
-FEWEST, MOST = 64, 8192
-#: Shingles of a block's task, classes of a cell, classes that a broadcast may name.
-BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1000, 500_000
-#: A key is frequent from this many classes on, and from this part of all keys on; comparisons that a class's part of a pass costs.
-FREQUENT, FREQUENT_PART, PASS = 1000, 50_000, 4000
+#: Groups of a point: a power of two, about an eighth of the set's size between these.
+FEWEST, MOST = 64, 1024
+#: Shingles of a block's task or a cell's chunk, classes of a chunk, classes that a broadcast may name.
+BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1000, 100_000
 #: Rounds of blocks.
 ROUNDS = 2
 FAN = 32
@@ -88,14 +87,14 @@ def shingle_set(text: str, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def name_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def point(s: np.ndarray) -> bytes:
     """Counts per group, as bytes if all fit and 32-bit numbers if not."""
     d = FEWEST
-    while d < MOST and 3 * d < len(s):
+    while d < MOST and 8 * d < len(s):
         d *= 2
     c = np.bincount((s >> np.uint64(17)).astype(np.int64) & (d - 1), minlength=d)
     return bytes([int(c.max(initial=0) > 255)]) + c.astype(np.uint8 if c.max(initial=0) < 256 else np.uint32).tobytes()
@@ -105,14 +104,60 @@ def counts(encoded: bytes) -> np.ndarray:
     return np.frombuffer(encoded, np.uint32 if encoded[0] else np.uint8, offset=1).astype(np.int32)
 
 
-def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    if den * len(a) < num * len(b):
-        return False
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    same = int((b[at] == a).sum())
-    return den * same >= num * (len(a) + len(b) - same)
+def differing(total: int, num: int, den: int) -> int:
+    """The most shingles that are in one of two linking sets alone, if they have `total` in all."""
+    return (den - num) * total // (den + num)
+
+
+def keys_of(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of which every two linking, different sets share one.
+
+    Sets of 2^j to 2^(j+1) - 1 shingles are in size class j, and also dealt out as
+    members of a class below where they can link with a set of that class.
+    """
+    n, out = len(s), []
+    j = n.bit_length() - 1
+    while j >= 0:
+        top = 2 ** (j + 1) - 1
+        if n > top * den // num:
+            break
+        d = differing(n + min(top, n * den // num) if n > top else n + n * den // num, num, den)
+        if d:
+            most = differing(top + top * den // num, num, den)
+            m = most + most // 4 + 1
+            group = (((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+            size = np.bincount(group, minlength=m)
+            ends = np.cumsum(size)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
+            key = mix((sums[ends] - sums[ends - size]) + mix(np.arange(m, dtype=np.uint64) + np.uint64(j << 40)))
+            out.append(key[np.lexsort((key, -size))[: d + 1]])
+        j -= 1
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+class Overlaps:
+    """Which of a list of sets link, by marking one set's shingles among those of all."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.n = np.array([len(s) for s in sets])
+        self.ends = np.cumsum(self.n)
+        distinct, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(distinct), np.int32)
+
+    def linking(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the places `others` whose sets link with the one at i."""
+        n, m = self.n[i], self.n[others]
+        others = others[(self.den * m >= self.num * n) & (self.num * m <= self.den * n)]
+        if not len(others):
+            return others
+        own = self.at[self.ends[i] - n : self.ends[i]]
+        self.mark[own] = 1
+        begin = np.concatenate([[0], np.cumsum(self.n[others])])
+        held = np.concatenate([self.at[self.ends[k] - self.n[k] : self.ends[k]] for k in others.tolist()])
+        same = np.add.reduceat(self.mark[held], begin[:-1])
+        self.mark[own] = 0
+        return others[self.den * same >= self.num * (n + self.n[others] - same)]
 
 
 class CountTree:
@@ -179,16 +224,36 @@ def merged(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> lis
     out: list[tuple[int, int]] = []
     root = np.unique(labels, return_inverse=True)[1]
     for run in runs_by_size(sizes, num, den):
+        if (root[run] == root[run[0]]).all():
+            continue
         near = Near([counts(point(sets[k])) for k in run.tolist()], sizes[run], num, den)
+        overlaps = Overlaps([sets[k] for k in run.tolist()], num, den)
         for at, i in enumerate(run.tolist()):
-            others = run[near.of(at)]
-            others = others[root[others] != root[i]]
-            while len(others):
-                j, others = int(others[0]), others[1:]
-                if links(sets[i], sets[j], num, den):
+            now = root[run]
+            if (now == now[0]).all():
+                break
+            others = near.of(at)
+            for j in run[overlaps.linking(at, others[now[others] != now[at]])].tolist():
+                if root[j] != root[i]:
                     out.append((i, j))
                     root[root == root[j]] = root[i]
-                    others = others[root[others] != root[i]]
+    return out
+
+
+def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool, num: int, den: int) -> np.ndarray:
+    """For each set the copies of those that link with it; across: only of those on the other side."""
+    sizes, out = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64)
+    for run in runs_by_size(sizes, num, den):
+        near = Near([counts(point(sets[k])) for k in run.tolist()], sizes[run], num, den)
+        overlaps = Overlaps([sets[k] for k in run.tolist()], num, den)
+        for at, i in enumerate(run.tolist()):
+            others = near.of(at)
+            others = others[others > at]
+            if across:
+                others = others[side[run[others]] != side[i]]
+            j = run[overlaps.linking(at, others)]
+            out[i] += copies[j].sum()
+            out[j] += copies[i]
     return out
 
 
@@ -205,126 +270,158 @@ def groups(it, keys: int):
         yield run
 
 
-def pairs_out(rows: list[tuple[int, int]]):
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def longs(rows: list[tuple], names: list[str]):
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
-def signatures(docs: DataFrame, width: int, num: int, den: int, frequent: list[int]) -> DataFrame:
-    """doc_id, cls (name of the set), n, vec (its point), keys (those under which it must be looked for)."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), np.int64).view(np.uint64))
+def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, cls (name of the set), n, keys (those under which it must be looked for)."""
 
     def run(it):
-        hashes, last = WordHashes(), np.sort(shared.value)
+        hashes = WordHashes()
         for b in batches(it, 4 << 20):
-            cls, n, vec, keys = [], [], [], []
+            cls, n, keys = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, width, hashes)
-                first = len(s) - -(-num * len(s) // den) + 1
-                k = s
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    k = np.concatenate([s[~late], s[late]])
                 cls.append(name_of(s))
                 n.append(len(s))
-                vec.append(point(s))
-                keys.append(k[: first if len(s) else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cls", "n", "vec", "keys"])
+                keys.append(keys_of(s, num, den).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "cls", "n", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, cls binary, n long, keys array<long>")
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n long, vec binary, keys array<long>")
 
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, n, vec (the point) and shingles (the set) of wanted classes (doc_id, id, cls)."""
 
-def with_texts(docs: DataFrame, wanted: DataFrame, known: int) -> DataFrame:
-    """wanted (doc_id, ...) with its documents' texts; wanted is broadcast only if it is known to be small."""
-    return docs.join(F.broadcast(wanted) if known <= NAMED else wanted, "doc_id")
+    def run(it):
+        hashes = WordHashes()
+        for b in batches(it, 4 << 20):
+            rows = []
+            for at, cls, text in zip(*(b.column(c).to_pylist() for c in ("id", "cls", "text")), strict=True):
+                s = shingle_set(text, width, hashes)
+                if name_of(s) == cls:  # rows may repeat a doc_id with another text
+                    rows.append((at, len(s), point(s), s.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "n", "vec", "shingles"])
 
+    known = F.broadcast(wanted) if wanted.count() <= NAMED else wanted
+    rows = docs.join(known, "doc_id").select("id", "cls", "text").mapInArrow(run, "id long, n long, vec binary, shingles binary")
+    return rows
 
-def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: documents whose sets link when den * |A and B| >= num * |A or B|, for thresholds from 1/2 to below 1."""
-    if not 0 < num < den <= 2 * num:
-        raise ValueError(f"threshold {num}/{den} is not from 1/2 to below 1: points are compared over two widths and bands need unequal sizes")
+
+def unpacked(shingles: bytes) -> np.ndarray:
+    return np.frombuffer(shingles, np.uint64)
+
+
+def in_cells(rows: DataFrame, group: str, chunks: str) -> DataFrame:
+    """rows with cell and side, each once for every pair of chunks that its own is in; a group's rows are dealt into chunks by id."""
+    one = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col(chunks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(chunks) - 1)))
+    return one.withColumn("cell", F.least("mine", "other") * F.col(chunks) + F.greatest("mine", "other")).withColumn("side", (F.col("mine") > F.col("other")).cast("long")).withColumn("across", (F.col("mine") != F.col("other")).cast("long"))
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with links, n_links (documents that it links with itself):
+    documents link when den * |A and B| >= num * |A or B|, for thresholds from 1/2 to 1."""
+    if not 0 < num <= den <= 2 * num:
+        raise ValueError(f"threshold {num}/{den} is not from 1/2 to 1: points are compared over two widths")
     docs = keep_docs(docs)
-    frequent: set[int] = set()
-    while True:
-        found = cut(signatures(docs, width, num, den, sorted(frequent)).withColumn("at", F.monotonically_increasing_id()), release=True)
-        # one row for each class, also where rows are repeated: marks of groups are over distinct classes
-        classes = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "at")).alias("x")).select("cls", "x.*").join(found, ["cls", "doc_id", "at"])
-        under = classes.select("cls", "n", F.explode("keys").alias("h"))
-        met = cut(under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), release=True)
-        if frequent:
-            break
-        total, pairs = met.agg(F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("df") >= FREQUENT, F.col("df").cast("double") * F.col("df"))), F.lit(0.0))).first()
-        if pairs <= PASS * found.count():
-            break
-        floor = max(FREQUENT, total // FREQUENT_PART)
-        frequent = {r["h"] for r in met.filter(F.col("df") >= floor).select("h").collect()}  # at most FREQUENT_PART
-        if not frequent:
-            break
-    shared = cut(under.join(met, "h"), release=True)
+    found = cut(signatures(docs, width, num, den).withColumn("at", F.monotonically_increasing_id()))
+    # one row for each class, also where rows are repeated
+    first = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.count("*").alias("copies"))
+    classes = cut(first.select("cls", "x.doc_id", F.col("x.at").alias("id"), "copies"))
+    under = found.join(classes.select(F.col("id").alias("at")), "at").select(F.col("at").alias("id"), F.explode("keys").alias("h"))
+    met = under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
+    shared = cut(under.join(met, "h"))
+    sets = cut(sets_of(docs, classes.join(shared.select("id").distinct(), "id").select("doc_id", "id", "cls"), width))
 
     # 3: rounds of one block for each class
     def partnered(it):
-        """The rows that have a partner of another label in their block by the bound."""
+        """The rows that have a partner of another label in their cell by the bound."""
         for run in groups(it, 2):
-            sizes, names, rows = np.array([r[4] for r in run]), np.array([r[5] for r in run]), []
+            sizes, names, rows = np.array([r[4] for r in run]), np.array([r[3] for r in run]), []
             for part in runs_by_size(sizes, num, den):
                 if (names[part] == names[part[0]]).all():
                     continue
-                near = Near([counts(run[k][6]) for k in part.tolist()], sizes[part], num, den)
-                rows += [(*run[k][:4], run[k][5]) for at, k in enumerate(part.tolist()) if (names[part[near.of(at)]] != names[k]).any()]
+                near = Near([counts(run[k][5]) for k in part.tolist()], sizes[part], num, den)
+                rows += [run[k][:4] for at, k in enumerate(part.tolist()) if (names[part[near.of(at)]] != names[k]).any()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["block", "part", "cls", "doc_id", "label"])
+                yield longs(rows, ["block", "part", "id", "label"])
 
     def join_block(it):
-        hashes = WordHashes()
         for run in groups(it, 2):
-            kept = {r[2]: (s, r[3]) for r in run if name_of(s := shingle_set(r[4], width, hashes)) == r[2]}
-            if len(kept) > 1:
-                names = list(kept)
-                if rows := [(names[i], names[j]) for i, j in merged([s for s, _ in kept.values()], [x for _, x in kept.values()], num, den)]:
-                    yield pairs_out(rows)
-
-    # under a key only classes of like sizes can link: it is parted by bands of sizes, each with the next one
-    band = F.floor(F.ln("n") / (1.001 * math.log(den / num)))
-    shared = cut(shared.select("h", "cls", "n", F.explode(F.array(band - 1, band)).alias("band")).select(F.xxhash64("h", "band").alias("h"), "cls", "n"), release=True)
+            if len(run) > 1 and (rows := [(run[i][2], run[j][2]) for i, j in merged([unpacked(r[4]) for r in run], [r[3] for r in run], num, den)]):
+                yield longs(rows, ["a", "b"])
 
     def open_groups(labelled: DataFrame) -> DataFrame:
-        """The rows of the groups where several labels meet, of groups of the same classes only one; df: the group's size."""
-        mark = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+        """The rows of the keys where several labels meet, of keys of the same classes only one; df: the key's classes."""
+        mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
         mixed = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df"), *mark).filter("lo < hi")
-        return cut(labelled.join(mixed.groupBy("df", "x1", "x2").agg(F.min("h").alias("h")).select("h", "df"), "h"), release=True)
-
-    def now_labelled(rows: DataFrame) -> DataFrame:
-        return rows.select("h", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "n", label)
+        return cut(labelled.join(mixed.groupBy("df", "x1", "x2").agg(F.min("h").alias("h")).select("h", "df"), "h"))
 
-    def compared(placed: DataFrame) -> DataFrame:
-        """Links that merge what links in each (block, part): first by the bound, then on the texts of what has a partner."""
-        rows = placed.join(classes.select("cls", "doc_id", "n", "vec"), "cls").select("block", "part", "cls", "doc_id", "n", "label", "vec")
-        near = cut(rows.repartition("block", "part").sortWithinPartitions("block", "part", "cls").mapInArrow(partnered, "block long, part long, cls long, doc_id long, label long"))
-        texts = with_texts(docs, near, near.count()).select("block", "part", "cls", "label", "text").repartition("block", "part").sortWithinPartitions("block", "part", "cls")
-        return cut(texts.mapInArrow(join_block, "a long, b long"), release=True)
+    label, labels = F.coalesce("label", "id").alias("label"), None
 
-    label, labels = F.coalesce("label", "cls").alias("label"), None
+    def now_labelled(rows: DataFrame) -> DataFrame:
+        return rows.select("h", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("h", "id", label)
+
+    def compared(placed: DataFrame, bound_first: bool) -> DataFrame:
+        """Links that merge what links in each (block, part), where a class may be in many, after a pass by the bound alone."""
+        near = placed
+        if bound_first:
+            rows = placed.join(sets.select("id", "n", "vec"), "id").select("block", "part", "id", "label", "n", "vec")
+            near = cut(rows.repartition("block", "part").sortWithinPartitions("block", "part", "id").mapInArrow(partnered, "block long, part long, id long, label long"))
+        rows = near.join(sets.select("id", "shingles"), "id").select("block", "part", "id", "label", "shingles")
+        out = cut(rows.repartition("block", "part").sortWithinPartitions("block", "part", "id").mapInArrow(join_block, "a long, b long"))
+        if bound_first:
+            drop(near)
+        return out
+
+    sizes_of = sets.select("id", "n")
     for turn in range(ROUNDS):
-        # a group whose classes are all merged stays so: only the others are kept for what follows
-        shared = meeting = open_groups(shared.select("*", F.col("cls").alias("label")) if labels is None else now_labelled(shared))
-        block = meeting.groupBy("cls").agg(F.min("h").alias("block"), F.max("n").alias("n"), F.max("label").alias("label"))
-        sizes = block.groupBy("block").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        placed = block.join(sizes, "block").select("cls", "block", "label", F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("part"))
-        found_links = compared(placed.select("block", "part", "cls", "label"))
+        # a key whose classes are all merged stays so: only the others are kept for what follows
+        before, shared = shared, open_groups(shared.select("h", "id", F.col("id").alias("label")) if labels is None else now_labelled(shared))
+        drop(before)
+        block = shared.groupBy("id").agg(F.min("h").alias("block"), F.max("label").alias("label")).join(sizes_of, "id")
+        all_of = block.groupBy("block").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        placed = block.join(all_of, "block").select("id", "block", "label", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("part"))
+        found_links = compared(placed, False)
         if labels is not None and found_links.isEmpty():
             break
         labels = cut(connected_components(found_links if labels is None else labels.toDF("a", "b").union(found_links)))
 
-    # 4: what else meets: every row of the groups that are still open, in cells of bounded size
-    chunks = F.ceil(F.col("df") / CELL).cast("long")
-    mine = F.pmod(F.xxhash64("cls"), F.col("chunks"))
-    cells = open_groups(now_labelled(shared)).withColumn("chunks", chunks).withColumn("mine", mine)
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("part", F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other"))
-    second = compared(cells.select(F.col("h").alias("block"), "part", "cls", "label"))
-    every = labels if second.isEmpty() else connected_components(labels.toDF("a", "b").union(second))
+    # 4: what else meets: every row of the keys that are still open, in cells of bounded size
+    opened = open_groups(now_labelled(shared))
+    cells = in_cells(opened.withColumn("chunks", F.ceil(F.col("df") / CELL).cast("long")), "h", "chunks")
+    second = compared(cells.select(F.col("h").alias("block"), F.col("cell").alias("part"), "id", "label"), True)
+    every = labels if second.isEmpty() else cut(connected_components(labels.toDF("a", "b").union(second)))
+    drop(opened, shared)
 
-    reached = classes.select("cls", "doc_id").join(every.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", label)
+    reached = classes.join(every.withColumnRenamed("node", "id"), "id", "left").select("id", "cls", "doc_id", "copies", label)
     least = reached.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = reached.join(least, "label").groupBy("cls").agg(F.min("component_id").alias("component_id"))
-    out = found.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    of = reached.join(least, "label").select("cls", "id", "component_id", "copies")
+    columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
+    if links:
+        of = of.join(counted_links(reached, sets, num, den), "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
+        columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left").select(*columns)
+
+
+def counted_links(reached: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """id, linked: the copies of the other classes that a class (id, label, copies) links with itself, all within its label."""
+
+    def count(it):
+        for run in groups(it, 2):
+            got = link_counts([unpacked(r[6]) for r in run], np.array([r[5] for r in run]), np.array([r[3] for r in run]), bool(run[0][4]), num, den)
+            if rows := [(r[2], k) for r, k in zip(run, got.tolist(), strict=True) if k]:
+                yield longs(rows, ["id", "linked"])
+
+    per = reached.join(sets.select("id", "n"), "id").select("id", "label", "copies", "n")
+    whole = per.groupBy("label").agg(F.count("*").alias("classes"), F.sum("copies").alias("whole"), F.sum("n").alias("all")).filter("classes > 1")
+    per = cut(per.join(whole, "label"))
+    pairs = per.filter("classes = 2").select("id", (F.col("whole") - F.col("copies")).alias("linked"))  # a component of two is a link
+    chunks = F.greatest(F.ceil(F.col("classes") / CELL), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("long")
+    cells = in_cells(per.filter("classes > 2").withColumn("chunks", chunks), "label", "chunks").join(sets.select("id", "shingles"), "id").select("label", "cell", "id", "side", "across", "copies", "shingles")
+    more = cells.repartition("label", "cell").sortWithinPartitions("label", "cell", "id").mapInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return cut(pairs.union(more))

@@ -65,7 +65,7 @@ s AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + least(len(w), 3)], '
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
 r(d, l) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.d, e.b FROM r JOIN e ON r.l = e.a)
-SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(l) AS component_id FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d"""
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(l) AS component_id, coalesce(any_value(k.k), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = d LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) k ON k.a = d GROUP BY d"""
 
 
 def quality(risk: float = 0.02, error: float = 0.05, weight: int = 5) -> str:
