@@ -57,7 +57,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row (of the smallest doc_id, a null one last) of each group linked at five words and a similarity of 0.8."""
-    joined = jaccard_join(by_row(docs), width=5, num=80, den=100).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    joined = jaccard_join(by_row(docs), width=5, num=80, den=100, links=False).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     kept = joined.join(names(docs), "row_key").groupBy("component_id").agg(first["row_key"].alias("doc_id"))
     rows = only(docs, kept)
