@@ -1,24 +1,29 @@
 """Language-model scores from a weighted backoff automaton.
 
-Training counts tokens over all training documents (Spark aggregates; each
-document's words, lower-cased A-Z, then one end). The model has three orders:
+Training counts tokens over all training documents (each document's words,
+lower-cased A-Z, then one end, which also stands before the first word). The
+model has three orders, whatever the corpus holds:
 
 * order 1 covers every token: P(w) = (c+1) / (N+V+1); unseen words share the +1;
-* orders 2 and 3 keep every n-gram that occurs twice or more, whatever N is.
-
-Kept n-grams get an absolute discount; what is left of a context's mass goes to
-the words that it has no n-gram for (Katz), in proportion to the next shorter
-context. A state stands for a context, with arcs for its n-grams and one
-failure arc, weighted with the log of that share, to the context less its first
-word. Scoring goes once from left to right, carries the state and adds up.
-
-While two occurrences are at least the share 5e-6 of all tokens, an order has at
-most 200,000 arcs and workers hold the automaton. Beyond that its arcs and failure
-weights are tables: a path's weight is the sum over its words of log P(w) and the
-failure weight of w, over its kept pairs and triples of what their arcs and failure
-weights add to that, so each text's n-grams are joined with one table of addends.
-Addends of n-grams above the share (at most 200,000 an order) are broadcast, so no
-hot key is shuffled; all others are joined by 64-bit hashes of their words.
+* orders 2 and 3 keep every n-gram that occurs twice or more.
+
+A kept n-gram has the probability (c - D) / c(context) plus the context's share
+times the next shorter context's probability; the context's share is the mass that
+its kept n-grams leave over. (Absolute discounting, interpolated; probabilities of
+all words, the unseen one among them, add up to 1 after each context.)
+
+As an automaton: a state stands for a context, with arcs for its kept n-grams and one
+failure arc, weighted with the log of its share, to the context less its first word.
+Texts are read from left to right: each token is looked for among the arcs of the
+state that the tokens before it lead to; where there is none, failure arcs are
+followed to shorter contexts and their weights added.
+
+The automaton grows with the corpus, so no task holds it. Blocks of documents ask
+for the counts of their distinct pairs; then for the counts and shares of their words
+and the counts of those triples whose pairs are both kept; then for the shares of their
+kept pairs. Each block thus gets the part of the automaton that its texts run through.
+Of the blocks that have a kept n-gram one is told to add it to its context's share.
+Keys are 64-bit hashes.
 
 Defined results: null or empty text is the end token alone; repeated rows are
 scored each; a null doc_id's crc32 counts as 0; an empty table gives no rows;
@@ -27,22 +32,21 @@ with no training document N is 0 and every token is unseen.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, keep_docs
+from .blocks import ANSWERED, QUESTIONS, answered, dealt, for_blocks, gathered, in_blocks, opened, questions, squeezed
+from .common import drop, keep_docs
 from .jaccard_join import WordHashes, mix
 
 #: The end token: no word has a space in it.
 END = b" "
-FLUSH = 400_000
-#: Occurrences from which on a pair or triple is kept.
-LEAST = 2
+#: Occurrences from which on a pair or triple is kept, and what is taken off its count.
+LEAST, DISCOUNT = 2, 0.75
+#: Kinds of questions: pairs, words as contexts, triples, pairs as contexts.
+PAIRS, WORDS, TRIPLES, CONTEXTS = 1, 2, 3, 4
 
 
 def tokens(text: str) -> list[bytes]:
@@ -56,309 +60,168 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % parts == part
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, c over docs (doc_id, text)."""
-
-    def out(c: Counter):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
-
-    def run(it):
-        c: Counter = Counter()
-        for b in batches(it, 4 << 20):
-            for t in b.column(0).to_pylist():
-                c.update(tokens(t))
-            if len(c) > FLUSH:
-                yield out(c)
-                c = Counter()
-        if c:
-            yield out(c)
-
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Ids(dict):
-    """Word -> its number, -1 if it has none."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-def gram_counts(docs: DataFrame, words, kept2=None) -> DataFrame:
-    """key, c of the pairs (first * W + second) of numbered words, or with kept2, the sorted keys of
-    the kept pairs, of the triples (place of the first pair * W + third) whose both pairs are kept."""
-
-    def counted(keys: list[np.ndarray]):
-        k, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "c"])
-
-    def run(it):
-        number = Ids({w: k for k, w in enumerate(words.value)})
-        size, keys, held = len(number), [], 0
-        pairs = None if kept2 is None else kept2.value
-        for b in batches(it, 4 << 20):
-            for t in b.column(0).to_pylist():
-                i = np.fromiter(map(number.__getitem__, [END, *tokens(t)]), np.int64)
-                k = np.where((i[:-1] >= 0) & (i[1:] >= 0), i[:-1] * size + i[1:], -1)
-                if pairs is not None:
-                    at = np.minimum(np.searchsorted(pairs, k), len(pairs) - 1)
-                    at[pairs[at] != k] = -1
-                    k = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] * size + i[2:], -1)
-                keys.append(k[k >= 0])
-                held += len(keys[-1])
-            if held > 2_000_000:
-                yield counted(keys)
-                keys, held = [], 0
-        if held:
-            yield counted(keys)
-
-    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-class Automaton:
-    """States 0 (empty), 1 + w (word w), then kept pairs that have triples.
-
-    arcs: state * W + word -> (state reached, log10 probability); fail, back: each
-    state's failure arc and its weight; base: each word's order-1 log10 probability."""
-
-    def __init__(self, words: list[bytes], c1: np.ndarray, total: int, distinct: int, pairs: dict[int, int], triples: dict[int, int], discount: float = 0.75):
-        size = len(words)
-        self.words, self.size, self.total, self.distinct = words, size, total, distinct
-        p1 = (c1 + 1) / (total + distinct + 1)
-        self.base = np.log10(p1).tolist()
-        keys2 = sorted(pairs)
-        p2: dict[int, float] = {}
-        self.end = words.index(END) if END in words else -1
-        contexts2 = [k for k in sorted({t // size for t in triples}) if keys2[k] % size != self.end]
-        own = {k: 1 + size + n for n, k in enumerate(contexts2)}
-        self.fail, self.back = [0] * (1 + size), [0.0] * (1 + size)
-        self.arcs: dict[int, tuple[int, float]] = {}
-        mass, lower = np.ones(size), np.ones(size)
-        for at, k in enumerate(keys2):
-            u, w = divmod(k, size)
-            p2[k] = (pairs[k] - discount) / c1[u]
-            mass[u] -= p2[k]
-            lower[u] -= p1[w]
-            self.arcs[(1 + u) * size + w] = (own.get(at, 1 + w), math.log10(p2[k]))
-        for u in np.flatnonzero(mass < 1).tolist():
-            self.back[1 + u] = math.log10(max(mass[u], 1e-12) / max(lower[u], 1e-12))
-        left, under = dict.fromkeys(contexts2, 1.0), dict.fromkeys(contexts2, 1.0)
-        for t in sorted(triples):
-            at, w = divmod(t, size)
-            if at not in own:
-                continue
-            p, last = (triples[t] - discount) / pairs[keys2[at]], keys2[at] % size * size + w
-            left[at] -= p
-            under[at] -= p2[last]
-            self.arcs[own[at] * size + w] = (self.arcs[(1 + last // size) * size + w][0], math.log10(p))
-        for at in contexts2:
-            self.fail.append(1 + keys2[at] % size)
-            self.back.append(math.log10(max(left[at], 1e-12) / max(under[at], 1e-12)))
-
-    @classmethod
-    def of(cls, parts: dict) -> Automaton:
-        m = cls.__new__(cls)
-        vars(m).update(parts)
-        return m
-
-    def walk(self, numbers: list[int], start: int) -> float:
-        """The log10 probability of the words, less the order-1 terms of those numbered -1."""
-        arcs, fail, back, base, size = self.arcs.get, self.fail, self.back, self.base, self.size
-        state, score = start, 0.0
-        for w in numbers:
-            if w < 0:
-                while state:
-                    score += back[state]
-                    state = fail[state]
-                continue
-            while True:
-                arc = arcs(state * size + w)
-                if arc:
-                    state = arc[0]
-                    score += arc[1]
-                    break
-                if not state:
-                    state = 1 + w
-                    score += base[w]
-                    break
-                score += back[state]
-                state = fail[state]
-        return score
-
-
-def counted_words(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """word, c of training docs (text), with the number of tokens and of distinct ones."""
-    counts = cut(word_counts(docs))
-    return counts, *counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-
-def fit(docs: DataFrame, share: float = 5e-6, least: int = 2, counted: tuple[DataFrame, int, int] | None = None) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts of all words, from training docs (text); whole while share of all tokens is at most least."""
-    sc = docs.sparkSession.sparkContext
-    counts, total, distinct = counted or counted_words(docs)
-    floor = max(least, math.ceil(share * total))
-    frequent = sorted((bytes(r["word"]), r["c"]) for r in counts.filter(F.col("c") >= floor).collect())  # at most 1/share
-    words = [w for w, _ in frequent]
-    pairs, triples = {}, {}
-    if words:
-        shared = sc.broadcast(words)
-        heavy = lambda df: {r["key"]: r["c"] for r in df.filter(F.col("c") >= floor).collect()}  # noqa: E731  at most 1/share
-        pairs = heavy(gram_counts(docs, shared))
-        if pairs:
-            triples = heavy(gram_counts(docs, shared, sc.broadcast(np.array(sorted(pairs), np.int64))))
-    return Automaton(words, np.array([c for _, c in frequent], float), total, distinct, pairs, triples), counts.filter(F.col("c") < floor)
-
-
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The key of the n-gram whose first and last parts have the keys a and b."""
+    """The key of the n-gram of context a and last word b."""
     return mix(mix(a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + b)
 
 
-def gram_keys(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the start and the text's tokens, of its pairs and of its triples, in order."""
-    words = [END, *tokens(text)]
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    pairs = joined(w[:-1], w[1:])
-    return w, pairs, joined(pairs[:-1], pairs[1:])
-
-
-def repeated_grams(docs: DataFrame, least: int) -> DataFrame:
-    """o (2 or 3), k (its key), a and b (its parts' keys), c of every pair and triple with c >= least."""
-    schema = "o int, k long, a long, b long, c long"
-
-    def counted(o: int, held: list[tuple[np.ndarray, np.ndarray]]):
-        a, b = (np.concatenate([h[n] for h in held]) for n in (0, 1))
-        k, at, n = np.unique(joined(a, b), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), o, np.int32)), *(pa.array(x.view(np.int64)) for x in (k, a[at], b[at])), pa.array(n.astype(np.int64))], names=["o", "k", "a", "b", "c"])
-
-    def run(it):
-        hashes, held, size = WordHashes(), {2: [], 3: []}, 0
-        for batch in batches(it, 4 << 20):
-            for t in batch.column(0).to_pylist():
-                w, pairs, _ = gram_keys(t, hashes)
-                held[2].append((w[:-1], w[1:]))
-                held[3].append((pairs[:-1], pairs[1:]))
-                size += len(pairs)
-            if size > 2_000_000:
-                yield from (counted(o, held[o]) for o in (2, 3))
-                held, size = {2: [], 3: []}, 0
-        if size:
-            yield from (counted(o, held[o]) for o in (2, 3))
-
-    return docs.select("text").mapInArrow(run, schema).groupBy("o", "k", "a", "b").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-
-
-def addends(docs: DataFrame, counts: DataFrame, total: int, distinct: int, least: int = 2, discount: float = 0.75) -> DataFrame:
-    """k, c, known, base, score: what each word, kept pair and kept triple adds to a text's sums, where words count as unseen until then."""
-
-    def hashed(it):
-        hashes = WordHashes()
-        for b in batches(it, 4 << 20):
-            k = np.fromiter(map(hashes.__getitem__, b.column(0).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), b.column(1)], names=["k", "c"])
-
-    whole = float(total + distinct + 1)
-    tiny = lambda c: F.greatest(F.lit(1.0) - F.sum(c), F.lit(1e-12))
-    back = lambda rows: rows.groupBy("a").agg(F.log10(tiny("p") / tiny("lower")).alias("back"))
-    words = cut(counts.mapInArrow(hashed, "k long, c long").withColumn("p", (F.col("c") + 1) / F.lit(whole)))
-    kept = cut(repeated_grams(docs, least))
-    part = lambda rows, name, *cols: rows.select(F.col("k").alias(name), *cols)
-
-    def level(grams: DataFrame, shorter: DataFrame) -> DataFrame:
-        """The n-grams with p, and lower: what the next shorter context gives their last word."""
-        one = grams.join(part(shorter, "a", F.col("c").alias("of")), "a").join(part(shorter, "b", F.col("p").alias("lower")), "b")
-        return cut(one.select("k", "a", "b", "c", ((F.col("c") - discount) / F.col("of")).alias("p"), "lower"))
-
-    pairs = level(kept.filter("o = 2"), words)
-    triples = level(kept.filter("o = 3"), pairs)
-    back2, back3 = cut(back(pairs)), cut(back(triples))
-    after = lambda rows, backs: rows.join(part(backs.withColumnRenamed("a", "k"), "k", F.col("back").alias("own")), "k", "left")
-    arc = F.log10("p") - F.log10("lower") - F.col("back") + F.coalesce("own", F.lit(0.0))
-    zero = F.lit(0.0)
-    first = after(words, back2).withColumn("base", F.log10("p") + math.log10(whole)).select("k", "c", F.lit(1).alias("known"), "base", (F.col("base") + F.coalesce("own", zero)).alias("score"))
-    second = after(pairs.join(back2, "a"), back3).select("k", "c", F.lit(0).alias("known"), zero.alias("base"), arc.alias("score"))
-    third = triples.join(back3, "a").withColumn("own", zero).select("k", "c", F.lit(0).alias("known"), zero.alias("base"), arc.alias("score"))
-    return cut(first.union(second).union(third))
-
-
-def joined_scores(rows: DataFrame, train: DataFrame, counted: tuple[DataFrame, int, int], share: float) -> DataFrame:
-    """row, doc_id, out, main, n, known, base, score: a main row for each of rows and addends to it, by the tables."""
-    counts, total, distinct = counted
-    table = addends(train, counts, total, distinct)
-    hot = F.col("c") >= math.ceil(share * total)
-    top = sorted((r["k"], r["known"], r["base"], r["score"]) for r in table.filter(hot).drop("c").collect())  # at most 1/share an order
-    kinds = (np.int64, np.int64, float, float)
-    shared = rows.sparkSession.sparkContext.broadcast([np.array(c, t) for c, t in zip(zip(*top, strict=True) if top else [()] * 4, kinds, strict=True)])
-    unseen = -math.log10(total + distinct + 1)
-    schema = "row long, doc_id long, out boolean, k long, n long, main long, known long, base double, score double"
-
-    def run(it):
-        hashes, (keys, *values) = WordHashes(), shared.value
-        for b in batches(it, 2 << 20):
-            texts, doc, row, held = (c.to_pylist() for c in b.columns)
-            found = [gram_keys(t, hashes) for t in texts]
-            sizes = np.array([len(p) for _, p, _ in found])
-            k = np.concatenate([x for w, p, t in found for x in (w[1:], p, t)]).view(np.int64)
-            d = np.repeat(np.arange(len(texts)), 3 * sizes - 1)
-            at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            is_hot = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-            known, base, score = (np.bincount(d[is_hot], v[at[is_hot]], len(texts)) for v in values)
-            k, d = k[~is_hot], d[~is_hot]
-            order = np.lexsort((k, d))
-            k, d = k[order], d[order]
-            new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.empty(0, np.int64)
-            n = np.diff(np.r_[new, len(k)])
-            names, none = np.array(row, np.int64), len(new)
-            cat = lambda x, y, t: pa.array(np.concatenate([np.asarray(x, t), np.asarray(y, t)]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    cat(names, names[d[new]], np.int64), pa.array(doc + [None] * none, pa.int64()), pa.array(held + [None] * none, pa.bool_()), cat(names, k[new], np.int64), cat(sizes, n, np.int64),
-                    cat(np.ones(len(texts)), np.zeros(none), np.int64), cat(known, np.zeros(none), np.int64), cat(base + unseen * sizes, np.zeros(none), float), cat(score + unseen * sizes, np.zeros(none), float),
-                ],
-                names=schema.replace(",", "").split()[::2],
-            )
-
-    rest = table.filter(~hot).select(F.col("k").alias("key"), F.col("known").alias("known_"), F.col("base").alias("base_"), F.col("score").alias("score_"))
-    each = rows.mapInArrow(run, schema)
-    each = each.join(rest, (F.col("k") == F.col("key")) & (F.col("main") == 0), "left").filter("main = 1 or key is not null")
-    plus = lambda c: (F.col(c) + F.coalesce(F.col("n") * F.col(f"{c}_"), F.lit(0))).alias(c)
-    return each.select("row", "doc_id", "out", "main", F.when(F.col("main") == 1, F.col("n")).otherwise(0).alias("n"), plus("known"), plus("base"), plus("score"))
-
-
-def held_scores(rows: DataFrame, train: DataFrame, counted: tuple[DataFrame, int, int], share: float) -> DataFrame:
-    """row, doc_id, out, main, n, known, base, score: a main row for each of rows and addends to it, by the automaton that workers hold."""
-    model, rare = fit(train, share, LEAST, counted)
-    shared = rows.sparkSession.sparkContext.broadcast(vars(model))
-    schema = "row long, doc_id long, out boolean, word binary, n long, main long, known long, base double, score double"
-
-    def run(it):
-        m = Automaton.of(shared.value)
-        number, start = Ids({w: k for k, w in enumerate(m.words)}), 1 + m.end
-        for b in batches(it, 2 << 20):
-            out: list[tuple] = []
-            for text, doc, row, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = tokens(text)
-                numbers = list(map(number.__getitem__, words))
-                odd = Counter(w for w, k in zip(words, numbers, strict=True) if k < 0)
-                known = [k for k in numbers if k >= 0]
-                # a key with a space in it matches no word and spreads these rows over the tasks
-                out.append((row, doc, held, b"  %d" % row, len(words), 1, len(known), math.fsum(map(m.base.__getitem__, known)), m.walk(numbers, start)))
-                out += [(row, None, None, w, n, 0, 0, 0.0, 0.0) for w, n in odd.items()]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.replace(",", "").split()[::2])
-
-    each = rows.mapInArrow(run, schema).join(rare, "word", "left")
-    term = F.when(F.col("main") == 0, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.total + model.distinct + 1)))).otherwise(0.0)
-    return each.select("row", "doc_id", "out", "main", F.when(F.col("main") == 1, F.col("n")).otherwise(0).alias("n"), (F.col("known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"), (F.col("base") + term).alias("base"), (F.col("score") + term).alias("score"))
-
-
-def score(docs: DataFrame, share: float = 5e-6) -> DataFrame:
+def packed(rows: list[tuple], hashes: WordHashes) -> tuple:
+    """data of a block's rows (doc_id, text, out), its tokens and training tokens."""
+    words = [tokens(text) for _, text, _ in rows]
+    lens = np.array([len(w) for w in words])
+    own = {w: k for k, w in enumerate(set().union(*words))}
+    keys = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
+    vocabulary, place = np.unique(keys, return_inverse=True)
+    ids = place[np.concatenate([np.fromiter(map(own.__getitem__, w), np.int64, len(w)) for w in words])]
+    train = np.array([not out for *_, out in rows])
+    doc = np.array([d or 0 for d, *_ in rows], np.int64)
+    end = place[own[END]]
+    data = squeezed(vocabulary, ids.astype(np.uint32), lens, train.astype(np.uint8), doc, np.array([d is not None for d, *_ in rows]).astype(np.uint8), np.array([end]))
+    return data, int(lens.sum()), int(lens[train].sum())
+
+
+class Block:
+    """A block's tokens with the pairs that end in them: `pair` has each token's, pv and pw the words of the distinct ones."""
+
+    def __init__(self, data: bytes):
+        self.vocabulary, ids, self.lens, train, self.doc, self.named, (end,) = opened(data)
+        self.ids = ids.astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
+        before = np.concatenate([[end], self.ids[:-1]])
+        before[self.begin] = end
+        self.trained = np.repeat(train, self.lens)
+        self.inner = np.ones(len(self.ids), bool)
+        self.inner[self.begin] = False
+        self.distinct, self.pair = np.unique(before * len(self.vocabulary) + self.ids, return_inverse=True)
+        self.pv, self.pw = np.divmod(self.distinct, len(self.vocabulary))
+        self.end = end
+        self.pair_key = joined(self.vocabulary[self.pv], self.vocabulary[self.pw])
+        self.order = np.argsort(self.pair_key)
+
+    def in_place(self, values: np.ndarray, order: np.ndarray) -> np.ndarray:
+        out = np.empty_like(values)
+        out[order] = values
+        return out
+
+    def pairs(self, got: dict) -> None:
+        """Take the answers about pairs: c2 (0: not kept), and whether to add them to their contexts."""
+        c = self.in_place(gathered(got[PAIRS])[0], self.order)
+        self.c2, self.mine2 = np.abs(c), c < 0
+        self.kept2 = self.c2 > 0
+        at = np.flatnonzero(self.inner)
+        self.at3 = at[self.kept2[self.pair[at - 1]] & self.kept2[self.pair[at]]]
+        code, self.triple = np.unique(self.pair[self.at3 - 1] * len(self.vocabulary) + self.ids[self.at3], return_inverse=True)
+        self.context3, last = np.divmod(code, len(self.vocabulary))
+        self.triple_key = joined(self.pair_key[self.context3], self.vocabulary[last])
+        self.order3 = np.argsort(self.triple_key)
+        # kept pairs that can be contexts, in order of their keys
+        self.states = self.order[self.kept2[self.order] & (self.pw[self.order] != self.end)]
+
+    def triples(self, got: dict) -> None:
+        c = self.in_place(gathered(got[TRIPLES])[0], self.order3) if len(self.order3) else np.empty(0, np.int64)
+        self.c3, self.mine3 = np.abs(c), c < 0
+
+
+def counted(data: list[bytes]) -> tuple[list[bytes], int]:
+    """For each asker's keys their count over all askers, 0 below LEAST, negative for the first asker of a key."""
+    asked = [opened(d) for d in data]
+    keys, c = (np.concatenate(x) for x in zip(*asked, strict=True))
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    total = np.add.reduceat(c[order].astype(np.int64), np.flatnonzero(new))
+    total[total < LEAST] = 0
+    each = total[np.cumsum(new) - 1]
+    each[new] *= -1
+    out = np.empty_like(each)
+    out[order] = each
+    ends = np.cumsum([len(k) for k, _ in asked])
+    return [squeezed(x) for x in np.split(out, ends[:-1])], 0
+
+
+def summed(data: list[bytes]) -> tuple[list[bytes], int]:
+    """For each asker's keys the sums of their values over all askers; the number of keys whose first sum isn't 0."""
+    asked = [opened(d) for d in data]
+    keys, *values = (np.concatenate(x) for x in zip(*asked, strict=True))
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    totals = [np.add.reduceat(v[order].astype(np.int64), np.flatnonzero(new)) for v in values]
+    ends = np.cumsum([len(a[0]) for a in asked])
+    return [squeezed(*(t[p] for t in totals)) for p in np.split(place, ends[:-1])], int((totals[0] > 0).sum())
+
+
+def whole(weights: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, weights, size).astype(np.int64)
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    rows = keep_docs(docs).select("text", "doc_id", F.xxhash64("doc_id", "text").alias("row"), held_out(F.col("doc_id")).alias("out"))
-    train = rows.filter(~F.col("out"))
-    counted = counted_words(train)
-    each = (held_scores if share * counted[1] <= LEAST else joined_scores)(rows, train, counted, share)
-    sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("out").alias("held_out"), *(F.sum(c).alias(c) for c in ("main", "n", "known", "base", "score")))
-    per = lambda c: F.col(c).cast("double") / F.col("main")  # noqa: E731  rows that are repeated have been added up
-    return sums.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("main")))).select(
-        "doc_id", "held_out", per("n").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(counted[1]).cast("long").alias("train_tokens"), per("base").alias("base_score"), per("score").alias("score")
-    )
+    rows = keep_docs(docs).withColumn("out", held_out(F.col("doc_id")))
+
+    def pack(held: list[tuple], hashes=WordHashes()) -> tuple:
+        return packed(held, hashes)
+
+    blocks = in_blocks(rows, pack, "data binary, n long, trained long", ["data", "n", "trained"])
+    size, total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
+    parts = size // ANSWERED + 1
+
+    def ask_pairs(b: int, got: dict, data: bytes):
+        x = Block(data)
+        c = whole(x.trained, x.pair, len(x.distinct))
+        yield questions(b, PAIRS, dealt(x.pair_key[x.order], parts, c[x.order]))
+
+    def ask_words_and_triples(b: int, got: dict, data: bytes):
+        x = Block(data)
+        x.pairs(got)
+        m = len(x.vocabulary)
+        own = np.flatnonzero(x.mine2)
+        yield questions(b, WORDS, dealt(x.vocabulary, parts, whole(x.trained, x.ids, m), whole(x.c2[own], x.pv[own], m), np.bincount(x.pv[own], minlength=m)))
+        c = whole(x.trained[x.at3], x.triple, len(x.triple_key))
+        yield questions(b, TRIPLES, dealt(x.triple_key[x.order3], parts, c[x.order3]))
+
+    def ask_contexts(b: int, got: dict, data: bytes):
+        x = Block(data)
+        x.pairs(got)
+        x.triples(got)
+        own, n = np.flatnonzero(x.mine3), len(x.distinct)
+        yield questions(b, CONTEXTS, dealt(x.pair_key[x.states], parts, whole(x.c3[own], x.context3[own], n)[x.states], np.bincount(x.context3[own], minlength=n)[x.states]))
+
+    pairs = answered(for_blocks(blocks, "data", [], ask_pairs, QUESTIONS), parts, {PAIRS: counted})
+    words = answered(for_blocks(blocks, "data", [pairs], ask_words_and_triples, QUESTIONS), parts, {WORDS: summed, TRIPLES: counted})
+    distinct = words.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    triples = words.filter(F.col("kind") == TRIPLES)
+    contexts = answered(for_blocks(blocks, "data", [pairs, triples], ask_contexts, QUESTIONS), parts, {CONTEXTS: summed})
+
+    def read(b: int, got: dict, data: bytes):
+        x = Block(data)
+        x.pairs(got)
+        x.triples(got)
+        c, s, k = gathered(got[WORDS])
+        p1 = (c + 1) / (total + distinct + 1)
+        base, some = np.log10(p1), np.maximum(c, 1)
+        # the empty state and word states: failure weights, and what the words of the block's pairs get there
+        back2 = np.log10(1 - (s - DISCOUNT * k) / some)
+        p2 = np.where(x.kept2, (x.c2 - DISCOUNT) / some[x.pv], 0) + 10 ** back2[x.pv] * p1[x.pw]
+        arc2 = np.where(x.kept2, np.log10(p2), back2[x.pv] + base[x.pw])
+        # states of kept pairs
+        back3 = np.zeros(len(x.distinct))
+        if len(x.states):
+            s, k = gathered(got[CONTEXTS])
+            back3[x.states] = np.log10(1 - (s - DISCOUNT * k) / x.c2[x.states])
+        # from left to right: the state before a token is the longest kept context that ends there
+        out = arc2[x.pair]
+        out[x.inner] += back3[x.pair[np.flatnonzero(x.inner) - 1]]
+        arc3 = x.c3[x.triple] > 0
+        at, of = x.at3[arc3], x.context3[x.triple[arc3]]
+        out[at] = np.log10((x.c3[x.triple[arc3]] - DISCOUNT) / x.c2[of] + 10 ** back3[of] * p2[x.pair[at]])
+        add = lambda v: np.add.reduceat(v, x.begin)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x.doc, pa.int64(), mask=x.named == 0), pa.array(x.trained[x.begin] == 0), pa.array(x.lens), pa.array(add((c > 0)[x.ids].astype(np.int64))), pa.array(add(base[x.ids])), pa.array(add(out))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    done = for_blocks(blocks, "data", [pairs, words, contexts], read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

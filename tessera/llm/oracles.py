@@ -95,15 +95,15 @@ CRC = "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(strin
 SCORES = rf"""
 WITH d AS (SELECT doc_id, xor({CRC}, 4294967295::BIGINT) % 7 = 2 AS held_out, list_append({WORDS.format(LOWER.format('text'))}, ' ') AS w FROM documents),
 t AS (SELECT doc_id, held_out, k AS pos, w[k] AS w, CASE WHEN k > 1 THEN w[k - 1] ELSE ' ' END AS v, CASE WHEN k > 2 THEN w[k - 2] WHEN k = 2 THEN ' ' END AS u FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)),
-c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), z AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v, greatest(2, ceil(5e-6 * sum(c))) AS least_ FROM c),
-p1 AS (SELECT w, c, (c + 1) / (n + v + 1)::DOUBLE AS p, c >= least_ AS frequent FROM c, z), f AS (SELECT w, c, p FROM p1 WHERE frequent),
-g2 AS (SELECT t.v, t.w, count(*) AS c FROM t JOIN f a ON a.w = t.v JOIN f b ON b.w = t.w WHERE NOT held_out GROUP BY 1, 2 HAVING count(*) >= (SELECT least_ FROM z)),
-p2 AS (SELECT g2.v, g2.w, g2.c, (g2.c - 0.75) / a.c AS p, b.p AS lower_ FROM g2 JOIN f a ON a.w = g2.v JOIN f b ON b.w = g2.w), b2 AS (SELECT v, (1 - sum(p)) / (1 - sum(lower_)) AS b FROM p2 GROUP BY v),
-g3 AS (SELECT t.u, t.v, t.w, count(*) AS c FROM t JOIN p2 a ON a.v = t.u AND a.w = t.v JOIN p2 b ON b.v = t.v AND b.w = t.w WHERE NOT held_out AND t.u IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT least_ FROM z)),
-p3 AS (SELECT g3.u, g3.v, g3.w, (g3.c - 0.75) / a.c AS p, b.p AS lower_ FROM g3 JOIN p2 a ON a.v = g3.u AND a.w = g3.v JOIN p2 b ON b.v = g3.v AND b.w = g3.w), b3 AS (SELECT u, v, (1 - sum(p)) / (1 - sum(lower_)) AS b FROM p3 GROUP BY u, v),
-s AS (SELECT t.doc_id, held_out, p1.c, log10(coalesce(p1.p, 1 / (n + z.v + 1)::DOUBLE)) AS base, log10(CASE WHEN p3.p IS NOT NULL THEN p3.p ELSE coalesce(b3.b, 1) * CASE WHEN p2.p IS NOT NULL THEN p2.p ELSE coalesce(b2.b, 1) * coalesce(p1.p, 1 / (n + z.v + 1)::DOUBLE) END END) AS sc
-  FROM t CROSS JOIN z LEFT JOIN p1 ON p1.w = t.w LEFT JOIN p2 ON p2.v = t.v AND p2.w = t.w LEFT JOIN b2 ON b2.v = t.v LEFT JOIN p3 ON p3.u = t.u AND p3.v = t.v AND p3.w = t.w LEFT JOIN b3 ON b3.u = t.u AND b3.v = t.v)
-SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, (SELECT n FROM z) AS train_tokens, round(sum(base), 6) AS base_score, round(sum(sc), 6) AS score FROM s GROUP BY doc_id, held_out"""
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), z AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c),
+g2 AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w HAVING count(*) >= 2),
+b2 AS (SELECT g2.v, 1 - sum(g2.c - 0.75) / any_value(c.c) AS b FROM g2 JOIN c ON c.w = g2.v GROUP BY g2.v),
+g3 AS (SELECT u, v, w, count(*) AS c FROM t WHERE NOT held_out AND u IS NOT NULL GROUP BY u, v, w HAVING count(*) >= 2),
+b3 AS (SELECT g3.u, g3.v, 1 - sum(g3.c - 0.75) / any_value(g2.c) AS b FROM g3 JOIN g2 ON g2.v = g3.u AND g2.w = g3.v GROUP BY g3.u, g3.v),
+p AS (SELECT t.doc_id, held_out, t.u, t.v, t.w, c.c, (coalesce(c.c, 0) + 1) / (z.n + z.v + 1)::DOUBLE AS p1 FROM t CROSS JOIN z LEFT JOIN c ON c.w = t.w),
+s AS (SELECT p.*, coalesce((g2.c - 0.75) / cv.c, 0) + coalesce(b2.b, 1) * p1 AS p2 FROM p LEFT JOIN g2 ON g2.v = p.v AND g2.w = p.w LEFT JOIN c cv ON cv.w = p.v LEFT JOIN b2 ON b2.v = p.v),
+q AS (SELECT s.*, coalesce((g3.c - 0.75) / k.c, 0) + coalesce(b3.b, 1) * p2 AS p3 FROM s LEFT JOIN g3 ON g3.u = s.u AND g3.v = s.v AND g3.w = s.w LEFT JOIN g2 k ON k.v = s.u AND k.w = s.v LEFT JOIN b3 ON b3.u = s.u AND b3.v = s.v)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, (SELECT n FROM z) AS train_tokens, sum(log10(p1)) AS base_score, sum(log10(p3)) AS score FROM q GROUP BY doc_id, held_out"""
 
 
 def all_sql() -> dict[str, str]:

@@ -119,19 +119,6 @@ def test_revisits(spark):
     assert resolve_revisits(records.limit(0)).count() == 0
 
 
-def test_scores_are_a_distribution(spark):
-    rng = random.Random(8)
-    texts = [" ".join(rng.choice(["a", "b", "c", "rare%d" % rng.randint(0, 5)]) for _ in range(rng.randint(0, 12))) for _ in range(80)]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    model, _ = lm.fit(docs)
-    # from every state the words' probabilities and that of all unseen ones sum to 1
-    for state in range(len(model.fail)):
-        total = sum(10 ** model.walk([w], state) for w in range(model.size))
-        unseen = 10 ** model.walk([-1], state)
-        rest = 1 - sum(10**b for b in model.base)
-        assert total + unseen * rest == pytest.approx(1, abs=1e-9)
-
-
 def test_scores_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b a b", 1.0), (2, None, 1.0), (3, "", 1.0), (4, "a b new", 1.0), (4, "a b new", 1.0), (None, "A B", 1.0)], "doc_id long, text string, score double")
     rows = lm.score(docs).collect()
