@@ -5,10 +5,13 @@ piece vocabulary in which no piece has a space mark after another character,
 no merge crosses a pre-token's start, so a text's count is the sum over its
 distinct pre-tokens of frequency x pieces.
 
-Per slice of texts a task takes each text's pre-token frequencies, counts the
-pieces of those not yet in its table, joins the frequencies to the table and
-sums. The table belongs to the task and is bounded; a shuffle of (document,
-pre-token, frequency) rows would carry more bytes than the texts themselves.
+One pass over the texts gives each document's pre-token frequencies, in blocks of
+documents that name each pre-token once. The blocks' pre-tokens are dealt out by
+their hash; the task that gets one counts its pieces, once for the whole corpus, and
+sends the count to the blocks that have it; there the counts are joined to the
+frequencies and summed. Nothing is broadcast but the model, and no ids are made.
+Models whose pieces cross spaces are refused unless `whole` is set: then each whole
+text is its own pre-token.
 
 Defined results: null or empty text has 0 tokens and 0 bytes; a null doc_id is
 kept; repeated rows are counted each; an empty table gives an empty result.
@@ -19,15 +22,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import batches, keep_docs
+from .blocks import ANSWERED, QUESTIONS, answered, dealt, for_blocks, gathered, in_blocks, opened, questions, squeezed
+from .common import keep_docs
 
-#: Pre-tokens and characters that a task's table holds before it starts anew.
-TABLE_ENTRIES, TABLE_CHARS, LONGEST_KEPT = 300_000, 8_000_000, 200
 SPACE = "▁"  # the pieces' mark of a space
 CHUNK = re.compile(" +[^ ]*")
+#: The kind of question.
+PIECES = 1
 
 
 def splits_at_spaces(model: bytes) -> bool:
@@ -50,45 +56,77 @@ def pre_tokens(text: str) -> list[str]:
     return [x[1:] for x in CHUNK.findall(" " + text)]
 
 
-class Pieces(dict):
-    """Pre-token -> number of pieces, of which each is counted once."""
+def packed(rows: list[tuple], cut: bool) -> tuple:
+    """names (the block's distinct pre-tokens in order of their hashes) and freqs (each document's places among them, with how often)."""
+    import xxhash
 
-    def __init__(self, model: bytes):
+    freqs = [Counter(pre_tokens(t) if cut else [t]) if t else Counter() for _, t in rows]
+    words = [w.encode() for w in set().union(*freqs)]
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(keys, kind="stable")
+    words = [words[k] for k in order.tolist()]
+    place = {w.decode(): k for k, w in enumerate(words)}
+    at = np.fromiter((place[w] for f in freqs for w in f), np.uint32)
+    n = np.fromiter((k for f in freqs for k in f.values()), np.uint32)
+    names = squeezed(keys[order], np.array([len(w) for w in words]), np.frombuffer(b"".join(words), np.uint8))
+    docs = [np.array([len(f) for f in freqs]), np.array([d or 0 for d, _ in rows], np.int64), np.array([d is not None for d, _ in rows], np.uint8), np.array([len(t.encode()) for _, t in rows])]
+    return names, squeezed(at, n, *docs), len(words)
+
+
+def strings(lens: np.ndarray, chars: np.ndarray) -> list[bytes]:
+    ends, raw = np.cumsum(lens).tolist(), chars.tobytes()
+    return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+
+
+def in_pre_tokens(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Blocks of docs (doc_id, text): b, names, freqs and n, the number of names."""
+    return in_blocks(docs, lambda rows: packed(rows, not whole), "names binary, freqs binary, n long", ["names", "freqs", "n"])
+
+
+def piece_counts(blocks: DataFrame, model: bytes, whole: bool = False) -> DataFrame:
+    """The pieces of each block's pre-tokens, in order; n adds up to the pre-tokens that were encoded."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    parts = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // ANSWERED + 1
+
+    def ask(b: int, got: dict, data: bytes):
+        keys, lens, chars = opened(data)
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        begin, out = 0, []
+        for p, part in dealt(keys, parts):
+            z = begin + len(opened(part)[0])
+            out.append((p, squeezed(lens[begin:z], chars[ends[begin] : ends[z]])))
+            begin = z
+        yield questions(b, PIECES, iter(out))
+
+    def count(data: list[bytes]) -> tuple[list[bytes], int]:
         import sentencepiece
 
-        super().__init__({"": 1})  # a space by itself
-        self.encode, self.chars = sentencepiece.SentencePieceProcessor(model_proto=model).encode, 0
+        encode = sentencepiece.SentencePieceProcessor(model_proto=shared.value).encode
+        asked = [strings(*opened(d)) for d in data]
+        distinct = list(set().union(*asked))
+        pieces = {}
+        for at in range(0, len(distinct), 20_000):
+            some = distinct[at : at + 20_000]
+            pieces.update(zip(some, map(len, encode([w.decode() for w in some], num_threads=1)), strict=True))
+        if not whole:
+            pieces[b""] = 1  # a space by itself
+        return [squeezed(np.fromiter(map(pieces.__getitem__, words), np.int64, len(words))) for words in asked], len(distinct)
 
-    def of(self, wanted: set[str]) -> dict[str, int]:
-        """The counts of the wanted ones; new short ones stay in the table."""
-        known = {k: self[k] for k in wanted if k in self}
-        todo = [k for k in wanted if k not in known]
-        got = dict(zip(todo, map(len, self.encode(todo, num_threads=1)), strict=True))
-        short = {k: v for k, v in got.items() if len(k) <= LONGEST_KEPT}
-        if len(self) + len(short) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
-            self.clear()
-            self[""], self.chars = 1, 0
-        self.update(short)
-        self.chars += sum(map(len, short))
-        return known | got
+    return answered(for_blocks(blocks, "names", [], ask, QUESTIONS), parts, {PIECES: count})
 
 
-def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096) -> DataFrame:
+def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, whole: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every text; model: a sentencepiece model's bytes."""
-    if not splits_at_spaces(model):
+    if not whole and not splits_at_spaces(model):
         raise ValueError("this model's pieces cross spaces: its counts do not add up over pre-tokens")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(it):
-        pieces = Pieces(shared.value)
-        for b in batches(it, 4 << 20):
-            texts = b.column(1).to_pylist()
-            freqs = [Counter(pre_tokens(t)) if t else {} for t in texts]
-            known = pieces.of(set().union(*freqs))
-            counts = [sum(n * known[k] for k, n in f.items()) for f in freqs]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return keep_docs(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    blocks = in_pre_tokens(keep_docs(docs), whole)
+
+    def add(b: int, got: dict, data: bytes):
+        at, n, sizes, doc, named, n_bytes = opened(data)
+        pieces = gathered(got[PIECES])[0] if PIECES in got else np.empty(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(pieces[at] * n)]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        tokens = total[ends] - total[ends - sizes]
+        yield pa.RecordBatch.from_arrays([pa.array(doc, mask=named == 0), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return for_blocks(blocks, "freqs", [piece_counts(blocks, model, whole)], add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -9,9 +9,11 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from tessera.llm import blocks, token_counts
+from tessera.llm.common import keep_docs
 from tessera.llm.packing import WordIds, pack, plan
 from tessera.llm.registry import tokenizer_file
-from tessera.llm.token_counts import Pieces, count_tokens, pre_tokens
+from tessera.llm.token_counts import count_tokens, pre_tokens
 
 ODD = [None, "", " ", "  x  y ", "a▁b", "<s>x</s>", "it's 12 <|endoftext|> O'er", "x" * 5000, "Ünïcödé ß Ⅷ ﬁ́", "a\tb\n c\r\n", "word " * 3000, "　\x85é"]
 SCHEMA = "doc_id long, text string, n_tokens string, length string, piece string"
@@ -30,15 +32,33 @@ def test_counts_equal_the_library(docs):
     assert got == want
 
 
+def test_each_pre_token_is_encoded_once(spark, monkeypatch):
+    """Also where many blocks have it, whose pre-tokens are dealt over many parts."""
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(token_counts, "ANSWERED", 20)
+    rng = random.Random(7)
+    rows = [(k, " ".join("w%d" % (rng.paretovariate(0.8) % 500) for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = tokenizer_file("piece_bpe_32k.model").read_bytes()
+    held = token_counts.in_pre_tokens(keep_docs(docs))
+    counts = token_counts.piece_counts(held, model)
+    assert held.count() > 10 and counts.select("p").distinct().count() > 10
+    assert counts.groupBy().sum("n").first()[0] == len({w for _, t in rows if t for w in pre_tokens(t)})
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    want = {k: len(sp.encode(t)) for k, t in rows}
+    assert {r.doc_id: r.n_tokens for r in count_tokens(docs, model).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in count_tokens(docs, model, whole=True).collect()} == want
+
+
 def test_random_texts_split_exactly():
     sp = sentencepiece.SentencePieceProcessor(model_file=str(tokenizer_file("piece_bpe_32k.model")))
     tk = Tokenizer.from_file(str(tokenizer_file("word_bpe_49k.json")))
-    pieces, words = Pieces(tokenizer_file("piece_bpe_32k.model").read_bytes()), WordIds(tokenizer_file("word_bpe_49k.json").read_text())
+    words = WordIds(tokenizer_file("word_bpe_49k.json").read_text())
     rng = random.Random(5)
     parts = [*"ab  \n\t.'sT▁é́　\x1c\x85ΣσİK中😀ªµ×²~\x7f\x0b", "<|endoftext|>", "<s>", "'ve", "12", "\r\n", "ü", "À", "ß", "<|"]
     for _ in range(4000):
         x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert (sum(pieces.of({k})[k] for k in pre_tokens(x)) if x else 0) == len(sp.encode(x)), x
+        assert (sum(len(sp.encode(k)) if k else 1 for k in pre_tokens(x)) if x else 0) == len(sp.encode(x)), x
         ids = tk.encode(x, add_special_tokens=False).ids
         assert words.of(x) == struct.pack(f"<{len(ids)}I", *ids), x
 
