@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat_format import END, GAP, TURN
 from .license_digests import ANY_SPELLING, BETWEEN, COPYRIGHT_LINE, SPELLINGS
 from .license_texts import KNOWN
-from .quality_rules import RULES
+from .quality_rules import PATHS, RULES, STEPS, cutoff_at
 from .revisits import TRACKING
 
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,9 +68,9 @@ r(d, l) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.d, e.b FROM r JOIN e ON
 SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(l) AS component_id, coalesce(any_value(k.k), 0) AS n_links FROM r LEFT JOIN n ON n.doc_id = d LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) k ON k.a = d GROUP BY d"""
 
 
-def quality(risk: float = 0.02, error: float = 0.05, weight: int = 5) -> str:
-    tests = sum(len(g) for _, _, g in RULES.values())
-    grid = ", ".join(f"('{r}', {c})" for r, (_, _, g) in RULES.items() for c in g)
+def quality(risk: float = 0.05, error: float = 0.05, weight: int = 5) -> str:
+    grid = ", ".join(f"('{r}', {k}, {cutoff_at(r, k)})" for r in RULES for k in range(1, STEPS + 1))
+    paths = ", ".join(f"({n}, '{r}')" for n, p in enumerate(PATHS) for r in p)
     score = " ".join(f"WHEN '{r}' THEN {a} * 1000 // greatest({b}, 1)" for r, (a, b, _) in RULES.items())
     rejects = " AND ".join(f"NOT coalesce({a} * 1000 // greatest({b}, 1) >= cut_{r}, false)" for r, (a, b, _) in RULES.items())
     cuts = ", ".join(f"max(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)
@@ -79,15 +79,18 @@ WITH d AS (SELECT doc_id, coalesce(lang, '~null') AS lang, coalesce(text, '') AS
 x AS (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
 win AS (SELECT doc_id, k, array_to_string(w[k + 1 : k + 8], ' ') AS g FROM d, LATERAL (SELECT unnest(range(0, greatest(0, len(w) - 7))) AS k)),
 rep AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), LATERAL (SELECT unnest(range(0, 8)) AS o) WHERE c > 1 GROUP BY doc_id),
-f AS (SELECT x.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+f AS (SELECT x.doc_id, lang, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM x LEFT JOIN rep ON rep.doc_id = x.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-h AS (SELECT b.*, quality = 1 AS good FROM b JOIN labels l ON l.doc_id = b.doc_id WHERE quality IS NOT NULL AND NOT base_failed),
-k AS (SELECT lang, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND s >= cutoff) AS k, count(*) FILTER (NOT good AND s >= cutoff) AS hit
-  FROM (SELECT lang, good, rule, cutoff, CASE rule {score} END AS s FROM h, (VALUES {grid}) g(rule, cutoff)) GROUP BY 1, 2, 3),
-t AS (SELECT *, hit - {weight} * k AS worth, CASE WHEN k < n * {risk} THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) ELSE 1.0 END AS p FROM k WHERE n > 0),
-a AS (SELECT *, row_number() OVER (PARTITION BY lang, rule ORDER BY worth DESC, cutoff DESC) AS o FROM t WHERE worth > 0 AND p <= {error} / ({tests} * (SELECT count(DISTINCT lang) FROM h))),
-c AS (SELECT lang, {cuts} FROM a WHERE o = 1 GROUP BY lang)
+h AS (SELECT lang, text, bool_or(quality = 1) AS good, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_lines) AS n_lines, any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words
+  FROM b JOIN labels l ON l.doc_id = b.doc_id WHERE quality IS NOT NULL AND NOT base_failed GROUP BY lang, text),
+r AS (SELECT lang, text, good, rule, {STEPS + 1} - count(*) FILTER (s >= cutoff) AS step FROM (SELECT lang, text, good, rule, cutoff, CASE rule {score} END AS s FROM h, (VALUES {grid}) g(rule, step, cutoff)) GROUP BY ALL),
+p AS (SELECT lang, text, good, path, min(step) AS step FROM r JOIN (VALUES {paths}) q(path, rule) USING (rule) GROUP BY lang, text, good, path),
+k AS (SELECT lang, path, k, count(*) FILTER (good) AS n, count(*) FILTER (good AND step <= k) AS lost, count(*) FILTER (NOT good AND step <= k) AS hit FROM p, (SELECT unnest(range(1, {STEPS + 1})) AS k) GROUP BY lang, path, k),
+t AS (SELECT *, n > 0 AND CASE WHEN lost < n * {risk} THEN list_sum(list_transform(range(0, lost + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) ELSE 1.0 END <= {error} / ({len(PATHS)} * (SELECT count(DISTINCT lang) FROM h)) AS passed FROM k),
+a AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang, path ORDER BY k) AS admitted, hit - {weight} * lost AS worth FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY worth DESC, path, k) AS o FROM a WHERE admitted AND worth > 0),
+c AS (SELECT lang, {cuts} FROM o JOIN (VALUES {paths}) q(path, rule) USING (path) JOIN (VALUES {grid}) g(rule, k, cutoff) USING (rule, k) WHERE o = 1 GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {rejects} AS kept FROM b LEFT JOIN c USING (lang)"""
 
 

@@ -1,28 +1,34 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule is a score of a document that is high for poor text, with a fixed grid
-of cutoffs. Labelled documents are the holdout. For every stratum, rule and
-cutoff, the good documents that the cutoff would reject are counted; the cutoff
-is admitted if a false rejection rate above `risk` would give so few of them
-only with a probability (the exact binomial tail) of at most `error`, divided by
-the number of tests (Bonferroni over strata, rules and cutoffs). Of the admitted
-cutoffs of a stratum and rule the one with the best balance of poor documents
-rejected and good ones (which weigh `weight` times) is taken; if none is
-admitted or worth it, the rule rejects nothing there. With a probability of at
-least 1 - error no rule's false rejection rate exceeds `risk` in any stratum.
+of cutoffs. A path is a set of rules whose cutoffs are lowered together, step by step;
+each set of rules is one. Labelled documents are the holdout. At each step of a path the
+good documents that any of its rules would reject are counted, per stratum. A step
+is admitted if a false rejection rate above `risk` would give so few of them only with a
+probability (the exact binomial tail) of at most `error`, divided by the number of
+paths and strata (Bonferroni), and if all steps before it are admitted (testing in
+a fixed order, which needs no further correction). Of a stratum's admitted steps the
+one with the best balance of poor documents rejected and good ones (which weigh
+`weight` times) is taken; if none is admitted or worth it, only the base rejects there.
+With a probability of at least 1 - error the rules together reject no more than `risk`
+of the good documents that the base leaves, in every stratum.
+
+The trials are to be independent, so a text counts once in its stratum, good if any
+label says so.
 
 Everything is DataFrame functions. The binomial tail is summed downwards from its
 largest term, as long as terms matter; its start comes from the log-gamma series.
 
 Defined results: null or empty text has no words and fails the base; a null
 stratum is a stratum of its own; labels of unknown documents, null labels and
-null doc_ids are left out of the holdout; repeated rows are judged each, and a
-document labelled twice counts twice; with no labels only the base rejects.
+null doc_ids are left out of the holdout; repeated rows are judged each; with no
+labels only the base rejects.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +45,13 @@ RULES = {
     "long_words": ("word_chars", "n_words", (5500, 6000, 6500, 7000, 8000, 10000, 15000, 25000)),
 }
 WINDOW = 8
+#: Steps of a path; sets of rules.
+STEPS = 10
+PATHS = [p for k in range(1, len(RULES) + 1) for p in combinations(RULES, k)]
 
 
 def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed."""
+    """doc_id, stratum, text_key, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce("text", F.lit("")).alias("text"))
     words = named.withColumn("w", F.filter(F.split("text", SPACE), lambda x: x != "")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     # the windows' hashes; their places in order of hash, only where some hash repeats
@@ -50,6 +59,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     counted = h.select(
         "doc_id",
         "stratum",
+        F.xxhash64("text").alias("text_key"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -102,32 +112,39 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.exp(first) * total).otherwise(1.0)
 
 
+def cutoff_at(rule: str, step: int) -> int:
+    """The rule's cutoff at a step from 1 to STEPS, the largest first."""
+    grid = RULES[rule][2]
+    return grid[-(-(STEPS - step + 1) * len(grid) // STEPS) - 1]
+
+
 def cutoffs(found: DataFrame, labels: DataFrame, risk: float, error: float, weight: int) -> DataFrame:
-    """stratum and a cutoff per rule (null: the rule rejects nothing there)."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    held = found.filter(~F.col("base_failed")).join(known, "doc_id")
-    place = lambda name: sum((F.when(rule_score(name) >= c, 1).otherwise(0) for c in RULES[name][2]), F.lit(0))
-    rows = held.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), place(r).alias("bin")) for r in RULES))).alias("x"))
-    binned = rows.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.bin").alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    # every cutoff of every rule, also those in whose bin nothing lies
-    grid = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(k).alias("bin"), F.lit(c).cast("long").alias("cutoff")) for r, (_, _, g) in RULES.items() for k, c in enumerate((0, *g))))
-    tests = sum(len(g) for _, _, g in RULES.values())
+    """stratum_ and a cutoff per rule (null: the rule rejects nothing there)."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+    # the step from which on each rule rejects a text
+    first = [(STEPS + 1 - sum((F.when(rule_score(r) >= cutoff_at(r, k), 1).otherwise(0) for k in range(1, STEPS + 1)), F.lit(0))).alias(r) for r in RULES]
+    held = found.filter(~F.col("base_failed")).join(known, "doc_id").select("stratum", "text_key", "good", *first)
+    once = held.groupBy("stratum", "text_key").agg(F.max("good").alias("good"), *(F.max(r).alias(r) for r in RULES))
+    rows = once.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(n).alias("path"), F.least(F.col(p[0]), *(F.col(r) for r in p)).alias("step")) for n, p in enumerate(PATHS)))).alias("x"))
+    binned = rows.groupBy("stratum", F.col("x.path").alias("path"), F.col("x.step").alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     strata = cut(binned.select("stratum").distinct())
-    bar = error / (tests * max(1, strata.count()))
-    every = strata.withColumn("g", F.explode(grid)).select("stratum", "g.*").withColumnRenamed("rule", "r").withColumnRenamed("bin", "b").withColumnRenamed("stratum", "s")
-    full = every.join(binned, F.col("s").eqNullSafe(F.col("stratum")) & (F.col("r") == F.col("rule")) & (F.col("b") == F.col("bin")), "left")
-    per = Window.partitionBy("s", "r")
-    above = per.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = full.select(
-        "s", "r", "b", "cutoff", F.coalesce(F.sum("good").over(above), F.lit(0)).alias("k"), F.coalesce(F.sum("bad").over(above), F.lit(0)).alias("hit"), F.coalesce(F.sum("good").over(per), F.lit(0)).alias("n")
-    )
-    worth = (F.col("hit") - weight * F.col("k")).alias("worth")
-    good = counted.filter((F.col("b") > 0) & (F.col("n") > 0)).filter(binomial_tail(F.col("k"), F.col("n"), risk) <= bar).select("s", "r", "cutoff", worth).filter("worth > 0")
-    best = good.groupBy("s", "r").agg(F.max(F.struct("worth", "cutoff"))["cutoff"].alias("cutoff"))
-    return best.groupBy(F.col("s").alias("stratum_")).agg(*(F.max(F.when(F.col("r") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, error: float = 0.05, weight: int = 5) -> DataFrame:
+    bar = error / (len(PATHS) * max(1, strata.count()))
+    # every step of every path, also those at which nothing is rejected first
+    grid = F.array(*(F.struct(F.lit(n).alias("p"), F.lit(k).alias("k")) for n in range(len(PATHS)) for k in range(1, STEPS + 2)))
+    every = strata.select(F.col("stratum").alias("s"), F.explode(grid).alias("g")).select("s", "g.*")
+    full = every.join(binned, F.col("s").eqNullSafe(F.col("stratum")) & (F.col("p") == F.col("path")) & (F.col("k") == F.col("step")), "left")
+    per = Window.partitionBy("s", "p")
+    up_to = per.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    counted = full.select("s", "p", "k", total("good", up_to).alias("lost"), total("bad", up_to).alias("hit"), total("good", per).alias("n")).filter(F.col("k") <= STEPS)
+    passed = F.coalesce((F.col("n") > 0) & (binomial_tail(F.col("lost"), F.col("n"), risk) <= bar), F.lit(False))
+    admitted = counted.withColumn("passed", F.min(passed).over(up_to)).filter("passed").withColumn("worth", F.col("hit") - weight * F.col("lost")).filter("worth > 0")
+    best = admitted.groupBy("s").agg(F.max(F.struct("worth", (-F.col("p")).alias("p"), (-F.col("k")).alias("k"))).alias("x")).select("s", (-F.col("x.p")).alias("p"), (-F.col("x.k")).alias("k"))
+    at = lambda r: F.coalesce(*(F.when((F.col("k") == k) & F.col("p").isin([n for n, p in enumerate(PATHS) if r in p]), cutoff_at(r, k)) for k in range(1, STEPS + 1)))
+    return best.select(F.col("s").alias("stratum_"), *(at(r).alias(f"cut_{r}") for r in RULES))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, error: float = 0.05, weight: int = 5) -> DataFrame:
     """The features of every document, and kept: neither the base nor a rule at its stratum's cutoff rejects it."""
     found = cut(features(docs, stratum))
     by = cutoffs(found, labels, risk, error, weight)
@@ -136,4 +153,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     kept = ~F.col("base_failed")
     for r in rejected:
         kept = kept & ~r
-    return judged.select(*found.columns, kept.alias("kept"))
+    return judged.select(*(c for c in found.columns if c != "text_key"), kept.alias("kept"))
