@@ -32,6 +32,8 @@ SPELLINGS = {
 }
 #: Lines that only name holders and years, or reserve rights.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n©]*(?:copyright(?:[ \t]*(?:\(c\)|©|[0-9])| by |$)|\(c\)|©|all rights reserved)[^\n]*$"
+#: Stands before the query's own copies of the known texts.
+PLANTED = "Copyright (c) 2020 The Authors\n\n"
 BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 ANY_SPELLING = r"\b(?:" + "|".join(SPELLINGS) + r")\b"
 

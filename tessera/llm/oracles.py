@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import END, GAP, TURN
-from .license_digests import ANY_SPELLING, BETWEEN, COPYRIGHT_LINE, SPELLINGS
+from .license_digests import ANY_SPELLING, BETWEEN, COPYRIGHT_LINE, PLANTED, SPELLINGS
 from .license_texts import KNOWN
 from .quality_rules import PATHS, RULES, STEPS, cutoff_at
 from .revisits import TRACKING
@@ -20,11 +20,13 @@ REVISITS = rf"""
 WITH u AS (SELECT page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest, trim(url) <> '' AS named, md5(coalesce(html, '')) AS tag, sha256(coalesce(html, '')) AS sha, strlen(coalesce(html, '')) AS size FROM pages),
 q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{TRACKING}'))), '&') AS query FROM u),
 p AS (SELECT *, CASE WHEN named THEN regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^[^@]*@', ''), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS page FROM q),
-full_ AS (SELECT page, 2 * page_id + 1 AS ts, 3 * page_id + 1 AS record_id, tag, sha, size FROM p),
-rev AS (SELECT 3 * page_id AS record_id, page, 2 * page_id AS ts, tag FROM p UNION ALL SELECT 3 * page_id + 2, page, 2 * page_id + 2001, tag FROM p),
-j AS (SELECT rev.record_id, rev.page, rev.ts, rev.tag, f.record_id AS refers_to, f.tag AS stored, f.sha, f.size, row_number() OVER (PARTITION BY rev.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS k FROM rev LEFT JOIN full_ f ON f.page = rev.page AND f.ts < rev.ts)
-SELECT record_id, page, ts, CASE WHEN refers_to IS NULL THEN 'unresolved' WHEN tag = stored THEN 'resolved' ELSE 'mismatch' END AS outcome, refers_to,
-  CASE WHEN tag = stored THEN 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || chr(10) || 'etag: ' || tag END AS header_lines, CASE WHEN tag = stored THEN sha END AS payload_digest FROM j WHERE k = 1"""
+full_ AS (SELECT page, 2 * page_id + 1 AS ts, 3 * page_id + 1 AS record_id, page_id % 3 AS part, tag, sha, size FROM p),
+rev AS (SELECT 3 * page_id AS record_id, page, 2 * page_id AS ts, page_id % 3 AS part, tag, sha FROM p UNION ALL SELECT 3 * page_id + 2, page, 2 * page_id + 2001, page_id % 3, tag, sha FROM p),
+j AS (SELECT rev.*, f.record_id AS refers_to, f.part AS fpart, f.tag AS stored, f.sha AS fsha, f.size, row_number() OVER (PARTITION BY rev.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS k FROM rev LEFT JOIN full_ f ON f.page = rev.page AND f.ts < rev.ts),
+a AS (SELECT *, refers_to IS NOT NULL AND coalesce(CASE part WHEN 0 THEN fpart = 0 AND tag = stored WHEN 1 THEN fpart = 1 AND tag = stored ELSE sha = fsha END, false) AS agree FROM j WHERE k = 1)
+SELECT record_id, page, ts, CASE WHEN refers_to IS NULL THEN 'unresolved' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS outcome, refers_to,
+  CASE WHEN agree THEN 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || ts || CASE WHEN part = 0 THEN chr(10) || 'etag: ' || tag WHEN fpart = 0 THEN chr(10) || 'etag: W/' || stored ELSE '' END
+    || CASE WHEN part = 1 OR fpart = 1 THEN chr(10) || 'last-modified: as of ' || stored ELSE '' END END AS header_lines, CASE WHEN agree THEN fsha END AS payload_digest FROM a"""
 
 DECONTAMINATE = rf"""
 WITH i AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
@@ -33,8 +35,13 @@ d AS (SELECT doc_id, regexp_extract_all({LOWER.format('text')}, '[^\x00-\x2F\x3A
 dw AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS phrase FROM d, (SELECT DISTINCT n FROM win) s, LATERAL (SELECT unnest(range(0, greatest(0, len(w) - n + 1))) AS k)),
 hit AS (SELECT DISTINCT doc_id, item_id, k, win.n AS n FROM dw JOIN win ON win.n = dw.n AND win.phrase = dw.phrase),
 pos AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM hit, LATERAL (SELECT unnest(range(0, n)) AS o) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hit GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hit GROUP BY doc_id),
+bag AS (SELECT DISTINCT item_id, words, words[1] AS anchor, len(words) + 2 AS reach FROM (SELECT item_id, w[k + 1 : k + least(len(w), 10)] AS words FROM i, LATERAL (SELECT unnest(range(0, len(w) - least(len(w), 10) + 1)) AS k))),
+dp AS (SELECT doc_id, w, p, w[p] AS anchor FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p) WHERE w[p] IN (SELECT anchor FROM bag)),
+cand AS (SELECT doc_id, item_id, w, p, words, reach FROM dp JOIN bag USING (anchor) WHERE list_has_all(w[greatest(1, p - reach + 1) : p + reach - 1], words)),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id, words, w[k : k + reach - 1] AS part FROM cand, LATERAL (SELECT unnest(range(greatest(1, p - reach + 1), p + 1)) AS k))
+  WHERE list_has_all(part, words) AND len(list_filter(words, lambda x: len(list_filter(part, lambda y: y = x)) < len(list_filter(words, lambda y: y = x)))) = 0 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)"""
 
 
 def canonical(text: str) -> str:
@@ -46,9 +53,10 @@ def canonical(text: str) -> str:
 
 
 LICENSES = f"""
-WITH k AS (SELECT license, {canonical('txt')} AS c FROM (VALUES {', '.join(f'({quoted(n)}, {quoted(t)})' for n, ts in KNOWN.items() for t in ts)}) v(license, txt)),
+WITH v(license, txt, doc_id) AS (VALUES {', '.join(f'({quoted(n)}, {quoted(t)}, {-1 - k})' for k, (n, t) in enumerate(sorted((n, t) for n, ts in KNOWN.items() for t in ts)))}),
+k AS (SELECT license, {canonical('txt')} AS c FROM v),
 g AS (SELECT sha256(c) AS digest, array_to_string(list_sort(list(DISTINCT license)), ',') AS license FROM k WHERE c <> '' GROUP BY 1),
-d AS (SELECT doc_id, {canonical('text')} AS c FROM documents)
+d AS (SELECT doc_id, {canonical('text')} AS c FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, {quoted(PLANTED)} || upper(txt) FROM v))
 SELECT doc_id, CAST(length(c) AS BIGINT) AS n_canonical, CASE WHEN c <> '' THEN sha256(c) END AS digest, license FROM d LEFT JOIN g ON c <> '' AND g.digest = sha256(c)"""
 
 ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>')"

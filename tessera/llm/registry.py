@@ -14,7 +14,7 @@ from .common import table
 from .decontamination import decontaminate
 from .html_text import extract
 from .jaccard_join import jaccard_join
-from .license_digests import known_licenses, scan_licenses
+from .license_digests import PLANTED, known_licenses, scan_licenses
 from .lm_scores import score
 from .oracles import all_sql
 from .packing import pack
@@ -31,17 +31,22 @@ def tokenizer_file(name: str) -> Path:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Archive records of pages: each page's full response, a revisit just before it and one 1000 captures later."""
+    """Archive records of pages: each page's full response, a revisit just before it and one 1000 captures later.
+    Of three pages one has an entity tag, one a last-modified time and one its payload digest alone as validator."""
     html = F.coalesce("html", F.lit(""))
-    at = F.col("page_id").cast("long")
-    text = lambda c: F.concat(F.lit(""), c.cast("string"))
-    one = pages.filter("page_id is not null").select(at.alias("page_id"), "url", F.md5(html.cast("binary")).alias("tag"), F.sha2(html.cast("binary"), 256).alias("sha"), F.octet_length(html).alias("size"))
-    full = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), text(F.col("size")), F.lit("date"), text(F.col("page_id")), F.lit("etag"), F.concat(F.lit("W/"), F.col("tag")))
-    short = lambda date: F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), text(date), F.lit("etag"), F.col("tag"), F.lit("server"), F.lit("edge"))
-    k = F.col("page_id")
-    record = lambda n, ts, kind, headers, digest: F.struct((3 * k + n).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("payload_digest"))
+    one = pages.select(F.col("page_id").cast("long").alias("k"), "url", F.md5(html.cast("binary")).alias("tag"), F.sha2(html.cast("binary"), 256).alias("sha"), F.octet_length(html).cast("string").alias("size"))
+    k, part = F.col("k"), F.pmod(F.col("k"), F.lit(3))
     none = F.lit(None).cast("string")
-    rows = F.array(record(0, 2 * k, "revisit", short(2 * k), none), record(1, 2 * k + 1, "response", full, F.col("sha")), record(2, 2 * k + 2001, "revisit", short(2 * k + 2001), none))
+
+    def headers(date, tag, **others):
+        pairs = {name.replace("_", "-"): c for name, c in others.items()} | {"date": date.cast("string"), "etag": F.when(part == 0, tag), "last-modified": F.when(part == 1, F.concat(F.lit("as of "), F.col("tag")))}
+        return F.map_filter(F.create_map(*(x for n, c in pairs.items() for x in (F.lit(n), c))), lambda _, v: v.isNotNull())
+
+    full = headers(k, F.concat(F.lit("W/"), F.col("tag")), content_type=F.lit("text/html"), content_length=F.col("size"))
+    short = lambda date: headers(date, F.col("tag"), content_length=F.lit("0"), server=F.lit("edge"))
+    record = lambda n, ts, kind, has, digest: F.struct((3 * k + n).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("kind"), has.alias("headers"), digest.alias("payload_digest"))
+    own = F.when(part == 2, F.col("sha")).otherwise(none)
+    rows = F.array(record(0, 2 * k, "revisit", short(2 * k), own), record(1, 2 * k + 1, "response", full, F.col("sha")), record(2, 2 * k + 2001, "revisit", short(2 * k + 2001), own))
     return one.select("url", F.explode(rows).alias("r")).select("r.record_id", "url", "r.ts", "r.kind", "r.headers", "r.payload_digest")
 
 
@@ -55,7 +60,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
+    """The documents, and as rows that match (doc_id -1, -2, ...) the known texts in capitals below a copyright line."""
+    known = known_licenses(spark)
+    planted = [(-1 - k, PLANTED + r["text"].upper()) for k, r in enumerate(known.collect())]  # the library's own texts
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    return scan_licenses(docs, known)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

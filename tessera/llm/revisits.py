@@ -9,13 +9,16 @@ its own that a 304 may update.
 A URL that very many records share is split by time: the latest response of each
 (URL, slice of time) is aggregated before the shuffle and carried to the later
 slices, and windows only run within a slice. The found response's headers come
-by a join on its record id, whose frequent values Spark splits.
+by a join on its record id, whose frequent values Spark splits; revisits that
+found none leave before it.
 
 Defined results: only responses strictly earlier than the revisit count, and of
 equal times the largest record id is the latest; null validators are absent
 ones; null or empty urls match nothing; a null time is earlier than nothing and
-has nothing earlier; repeated record ids are treated as one record's copies;
-empty tables give no rows.
+has nothing earlier; responses that repeat a record id are one record's copies,
+of which the latest counts, at equal times the one with the largest digest and
+headers; revisits that repeat one are judged each as the latest of them;
+a null record id finds nothing; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -41,10 +44,6 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.trim(url) != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def header(name: str) -> Column:
-    return F.element_at(F.map_filter("headers", lambda k, _: F.lower(k) == name), name)
-
-
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """The revisits with outcome (resolved, mismatch, unresolved), refers_to and, where resolved, merged headers.
 
@@ -63,10 +62,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = steps.select("page", "slice", F.max("last").over(before).alias("carried"))
     within = Window.partitionBy("page", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     latest = timed.withColumn("near", F.max(F.when(F.col("full"), mark)).over(within)).filter(~F.col("full"))
-    found = latest.join(carried, ["page", "slice"], "left").select("record_id", F.coalesce("near", "carried")["record_id"].alias("refers_to")).distinct()
-
-    stored = rows.filter(F.col("kind") == "response").select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), F.col("payload_digest").alias("stored_digest")).dropDuplicates(["refers_to"])
-    revisits = rows.filter(F.col("kind") == "revisit").join(found, "record_id", "left").join(stored, "refers_to", "left")
+    found = latest.join(carried, ["page", "slice"], "left").select("record_id", F.coalesce("near", "carried").alias("near"))
+    found = found.groupBy("record_id").agg(F.max("near")["record_id"].alias("refers_to")).filter("refers_to is not null")
+
+    version = F.struct("ts", "payload_digest", header_lines(F.col("headers")))
+    stored = rows.filter(F.col("kind") == "response").groupBy(F.col("record_id").alias("refers_to")).agg(F.max_by(F.struct("headers", "payload_digest"), version).alias("x"))
+    stored = stored.select("refers_to", F.col("x.headers").alias("stored"), F.col("x.payload_digest").alias("stored_digest"))
+    asked = rows.filter(F.col("kind") == "revisit").join(found, "record_id", "left")
+    revisits = asked.filter("refers_to is not null").join(stored, "refers_to", "left")
+    lost = asked.filter("refers_to is null").withColumn("stored", F.lit(None).cast("map<string,string>")).withColumn("stored_digest", F.lit(None).cast("string"))
+    revisits = revisits.unionByName(lost)
     tag = lambda c: F.regexp_replace(F.element_at(c, "etag"), "^W/", "")  # noqa: E731  compared weakly
     since = lambda c: F.element_at(c, "last-modified")
     agree = F.when(tag("headers").isNotNull(), tag("headers") == tag("stored")).when(since("headers").isNotNull(), since("headers") == since("stored")).otherwise(F.col("payload_digest") == F.col("stored_digest"))
