@@ -5,19 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names that stand for a part, after alias_key's normalisation.
+# What separation models call a part, and the part's key.
 ALIASES = {
-    "vocal": "vocals", "voice": "vocals", "lead vocals": "lead", "lead vocal": "lead", "backing vocals": "bgv", "backing": "bgv", "drum": "drums", "kick drum": "kick", "bass guitar": "bass",
-    "electric guitar": "guitar", "acoustic guitar": "guitar", "piano": "keys", "keyboard": "keys", "synth": "pads", "hi hat": "hihat", "no vocals": "instrumental", "other": "other",
+    "vocals": "vocals", "vocal": "vocals", "lead vocals": "lead_vocal", "lead_vocals": "lead_vocal", "instrumental": "instrumental", "inst": "instrumental", "no vocals": "instrumental",
+    "back vocals": "bgv", "backing vocals": "bgv", "bgv": "bgv", "drums": "drums", "bass": "bass", "other": "other", "guitar": "electric_guitar", "piano": "keys", "kick": "kick", "snare": "snare",
+    "toms": "toms", "tom": "toms", "hh": "hihat", "hihat": "hihat", "hi-hat": "hihat", "ride": "cymbals", "crash": "cymbals", "cymbals": "cymbals",
 }
 
+#: Keys of channels that are routed away: the click, and what is no music.
+CLICK, IGNORED = "__click", "__ignore"
 # Patterns of recorded channels' names, tried in order, and the part each names.
 CHANNELS = [
-    (r"\b(click|metronome|clk)\b", "click"), (r"\b(talkback|tb|guide|cue)\b", "ignored"), (r"\b(bgv|bv|bgvs|backing|choir|alto|tenor|soprano)\b", "bgv"), (r"\b(lead|ld|vox|vocal|vocals|voc|singer)\b", "lead"),
-    (r"\b(kick|kik|bd|bass drum)\b", "kick"), (r"\b(snare|snr|sd|rim)\b", "snare"), (r"\b(hi ?hat|hh|hats)\b", "hihat"), (r"\b(toms?|floor tom|rack tom)\b", "toms"), (r"\b(oh|overheads?|cymbals?|ride|crash)\b", "cymbals"),
-    (r"\b(drums?|kit|loop|perc|percussion|shaker|tamb)\b", "drums"), (r"\b(bass|sub|di bass)\b", "bass"), (r"\b(ac|acoustic|ag)\b", "acoustic_guitar"), (r"\b(eg|electric|gtr|guitar)\b", "guitar"),
-    (r"\b(pad|pads|synth|strings)\b", "pads"), (r"\b(keys?|piano|pno|organ|rhodes|wurli)\b", "keys"),
-]
+    (r"\b(click|metronome|cue)\b", "__click"),
+    (r"\b(talkback|tb|com|intercom)\b", "__ignore"),
+    (r"\b(kick|bd|bass\s*drum)\b", "kick"),
+    (r"\b(snare|sn|sd)\b", "snare"),
+    (r"\b(tom|rack|floor)\b", "toms"),
+    (r"\b(hh|hi-?hat|hat)\b", "hihat"),
+    (r"\b(oh|overhead|cymbal|ride|crash)\b", "cymbals"),
+    (r"\b(drum|kit)\b", "drums"),
+    (r"\b(bass|bs|di\s*bass|b\.?gtr)\b", "bass"),
+    (r"\b(eg|e\.?gtr|elec.*gtr|electric|lead\s*gtr)\b", "electric_guitar"),
+    (r"\b(ag|a\.?gtr|acoustic)\b", "acoustic_guitar"),
+    (r"\b(gtr|guitar)\b", "electric_guitar"),
+    (r"\b(pad|strings|synth|ambient)\b", "pads"),
+    (r"\b(keys|key|piano|kb|rhodes|organ|wurli)\b", "keys"),
+    (r"\b(bgv|bv|choir|backing|harmony|harm)\b", "bgv"),
+    (r"\b(lead\s*vox|lead\s*vocal|lv|worship\s*leader|wl)\b", "lead_vocal"),
+    (r"\b(vox|vocal|voc|mic|mc)\b", "lead_vocal"),
+    (r"\b(track|playback|loop)\b", "pads"),
+]
+# The numbering before a channel's name, an instrument number that is glued to it, and a side after it.
+NUMBERING = r"(?i)^\s*(?:tr(?:ack)?|ch(?:an(?:nel)?)?)?[\s_-]*[0-9]{1,3}[\s_-]*"
+GLUED = r"\b([A-Za-z]{1,6})([0-9]{1,2})\b"
+SIDE = r"[\s_(-]*(l|r|left|right)[\s_)-]*$"
+
+# Section labels by name; those that are numbered.
+LABELS = {"intro": "Intro", "verse": "Verse", "prechorus": "Pre-Chorus", "chorus": "Chorus", "bridge": "Bridge", "inst": "Instrumental", "solo": "Solo", "break": "Break", "outro": "Outro", "end": "End"}
+NUMBERED = ["verse", "chorus", "bridge"]
 
 # Chord qualities as semitones over the root.
 QUALITIES = {"": [0, 4, 7], "m": [0, 3, 7], "7": [0, 4, 7, 10], "m7": [0, 3, 7, 10], "maj7": [0, 4, 7, 11], "sus4": [0, 5, 7], "sus2": [0, 2, 7], "dim": [0, 3, 6], "aug": [0, 4, 8]}
@@ -36,25 +61,37 @@ def spaced(name: Column) -> Column:
 def alias_key(name: Column) -> Column:
     """A part's canonical key: its alias, else the name in snake case."""
     plain = spaced(name)
-    return F.coalesce(lookup(plain, ALIASES), F.replace(plain, F.lit(" "), F.lit("_")))
+    snake = F.replace(plain, F.lit(" "), F.lit("_"))
+    return F.coalesce(lookup(plain, ALIASES), lookup(snake, ALIASES), snake)
 
 
 def channel_name(name: Column) -> Column:
-    """A channel's name without leading numbering and with letters and digits apart."""
-    bare = F.regexp_replace(F.trim(name), r"\.[A-Za-z0-9]{2,4}$", "")
-    bare = F.regexp_replace(bare, r"^[0-9]+[ ._-]+", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[_.-]+", " "), r"([A-Za-z])([0-9])", "$1 $2")
+    """A channel's name without file ending and leading numbering, and with letters and glued numbers apart."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"(?i)\.(wav|aif|aiff|flac|caf)$", ""), NUMBERING, "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[_-]", " "), GLUED, "$1 $2")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-def channel_side(name: Column) -> Column:
-    return F.when(F.lower(name).rlike(r"[ ._-](l|left)$"), "L").when(F.lower(name).rlike(r"[ ._-](r|right)$"), "R").otherwise("C")
+def channel_side(clean: Column) -> Column:
+    """l, r or an empty string."""
+    return F.substring(F.regexp_extract(F.lower(clean), SIDE, 1), 1, 1)
+
+
+def channel_base(clean: Column) -> Column:
+    """The clean name in lower case without its side: what patterns are looked for in."""
+    return F.trim(F.regexp_replace(F.lower(clean), SIDE, ""))
+
+
+def own_track(clean: Column) -> Column:
+    """The key of a channel that no pattern knows."""
+    plain = F.regexp_replace(F.lower(clean), r"[^a-z0-9]+", "_")
+    return F.concat(F.lit("ch_"), F.coalesce(F.nullif(plain, F.lit("")), F.lit("unnamed")))
 
 
 def first_match(name: Column, rules: list[tuple[str, str]], otherwise: Column) -> Column:
     out = None
     for pattern, key in rules:
-        test = F.lower(name).rlike(pattern)
+        test = name.rlike(pattern)
         out = F.when(test, key) if out is None else out.when(test, key)
     return out.otherwise(otherwise)
 
@@ -80,8 +117,20 @@ def chord_classes(symbol: Column) -> Column:
 
 
 def display_label(label: Column, ordinal: Column) -> Column:
-    """A section's name: with its number where sections of the kind are counted."""
-    return F.when(label.isin("verse", "chorus", "bridge") & (ordinal > 0), F.concat(F.initcap(label), F.lit(" "), ordinal.cast("string"))).otherwise(F.initcap(label))
+    """A section's name, with its number where sections of the kind are counted."""
+    pretty = F.coalesce(lookup(label, LABELS), F.initcap(label))
+    return F.when(label.isin(NUMBERED) & (ordinal > 0), F.concat(pretty, F.lit(" "), ordinal.cast("string"))).otherwise(pretty)
+
+
+def export_name(part: Column, filename: Column) -> Column:
+    """A part's file name: the catalogue's, else its key."""
+    return F.coalesce(filename, part)
+
+
+def position_text(label: Column, usable: Column, reason: Column, spread: Column) -> Column:
+    """Whether a part can be split by position, in words."""
+    yes = F.concat(label, F.lit(": can be split by position ("), reason, F.lit(", spread "), spread.cast("string"), F.lit(")"))
+    return F.when(usable, yes).otherwise(F.concat(label, F.lit(": not splittable by position - "), reason))
 
 
 def packed_color(rgb: Column) -> Column:

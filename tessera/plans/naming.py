@@ -21,9 +21,11 @@ def sql_map(expr: str, table_: dict) -> str:
 
 
 SPACED = "trim(regexp_replace(regexp_replace(lower({0}), '[-_]', ' ', 'g'), '\\s+', ' ', 'g'))"
-CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '\\.[A-Za-z0-9]{{2,4}}$', ''), '^[0-9]+[ ._-]+', ''), '[_.-]+', ' ', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
+CLEAN = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({{0}}, '(?i)\\.(wav|aif|aiff|flac|caf)$', ''), '{tx.NUMBERING.replace('{', '{{').replace('}', '}}')}', ''), '[_-]', ' ', 'g'), '{tx.GLUED.replace('{', '{{').replace('}', '}}')}', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
+SIDE = f"substr(regexp_extract(lower(clean), '{tx.SIDE}', 1), 1, 1)"
+BASE = f"trim(regexp_replace(lower(clean), '{tx.SIDE}', ''))"
 # Names that the queries make of the parts' keys.
-KINDS = ["Lead Vocal", "EG1", "kick-drum", "BGV_2", "Hi Hat", "Bass DI", "No_Vocals", "Keyboard", "Pad L", "Synth.R", "Talkback", "floor tom", "Electric-Guitar", "loop", "strange thing", "OH R"]
+KINDS = ["Lead Vocal", "EG1", "kick-drum", "BGV_2", "Hi Hat", "Bass DI", "No_Vocals", "Keyboard", "Pad L", "Synth.R", "Talkback", "floor tom", "Electric-Guitar", "loop", "strange thing", "OH R", "Kick In", "Snare Top", "HiHat", "AG", "Keys L", "Lead Vox", "Click", "Worship Leader", "Tom3", "E.Gtr (R)", "Rhodes left"]
 KIND = "list_value(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
 
 
@@ -37,7 +39,7 @@ def channels(spark, sf_dir):
 CH = f"ch AS (SELECT p_partkey, lpad(CAST(p_partkey % 24 + 1 AS VARCHAR), 2, '0') || ' ' || ({KIND})[p_partkey % {len(KINDS)} + 1] || CASE WHEN p_partkey % 3 = 0 THEN '.wav' ELSE '' END AS raw, p_size, p_retailprice FROM part)"
 
 
-@query(f"""WITH k AS (SELECT p_partkey, ({KIND})[p_partkey % {len(KINDS)} + 1] AS raw FROM part) SELECT p_partkey, coalesce({sql_map(SPACED.format('raw'), tx.ALIASES)}, replace({SPACED.format('raw')}, ' ', '_')) AS key FROM k""")
+@query(f"""WITH k AS (SELECT p_partkey, ({KIND})[p_partkey % {len(KINDS)} + 1] AS raw FROM part) SELECT p_partkey, coalesce({sql_map(SPACED.format('raw'), tx.ALIASES)}, {sql_map(f"replace({SPACED.format('raw')}, ' ', '_')", tx.ALIASES)}, replace({SPACED.format('raw')}, ' ', '_')) AS key FROM k""")
 def alias_normalise(spark, sf_dir):
     kinds = F.array(*(F.lit(k) for k in KINDS))
     return table(spark, sf_dir, "part").select("p_partkey", tx.alias_key(F.get(kinds, (F.col("p_partkey") % len(KINDS)).cast("int"))).alias("key"))
@@ -51,27 +53,30 @@ def name_clean(spark, sf_dir):
     return both.select("origin", "id", tx.channel_name(F.col("raw")).alias("clean"), tx.safe_name(F.col("raw")).alias("safe"))
 
 
-@query(f"""WITH {CH}, c AS (SELECT p_partkey, {CLEAN.format('raw')} AS clean FROM ch) SELECT p_partkey, {sql_case('lower(clean)', tx.CHANNELS, "replace(lower(clean), ' ', '_')")} AS part, CASE WHEN regexp_matches(lower(clean), '[ ._-](l|left)$') THEN 'L' WHEN regexp_matches(lower(clean), '[ ._-](r|right)$') THEN 'R' ELSE 'C' END AS side FROM c""")
+OWN = "'ch_' || coalesce(nullif(regexp_replace(lower(clean), '[^a-z0-9]+', '_', 'g'), ''), 'unnamed')"
+
+
+@query(f"""WITH {CH}, c AS (SELECT p_partkey, {CLEAN.format('raw')} AS clean FROM ch), b AS (SELECT *, {BASE} AS base FROM c) SELECT p_partkey, {sql_case('base', tx.CHANNELS, OWN)} AS part, {SIDE} AS side FROM b""")
 def first_match_class(spark, sf_dir):
     """The part a channel records, by the first pattern that matches, and its side."""
     c = channels(spark, sf_dir).select("p_partkey", tx.channel_name(F.col("raw")).alias("clean"))
-    return c.select("p_partkey", tx.first_match(F.col("clean"), tx.CHANNELS, F.replace(F.lower("clean"), F.lit(" "), F.lit("_"))).alias("part"), tx.channel_side(F.col("clean")).alias("side"))
+    return c.select("p_partkey", tx.first_match(tx.channel_base(F.col("clean")), tx.CHANNELS, tx.own_track(F.col("clean"))).alias("part"), tx.channel_side(F.col("clean")).alias("side"))
 
 
-CLASSED = f"{CH}, c AS (SELECT p_partkey, p_size, p_retailprice, {CLEAN.format('raw')} AS clean FROM ch), k AS (SELECT *, {sql_case('lower(clean)', tx.CHANNELS, 'NULL')} AS part, CASE WHEN regexp_matches(lower(clean), '[ ._-](l|left)$') THEN 'L' WHEN regexp_matches(lower(clean), '[ ._-](r|right)$') THEN 'R' ELSE 'C' END AS side FROM c)"
+CLASSED = f"{CH}, c AS (SELECT p_partkey, p_size, p_retailprice, {CLEAN.format('raw')} AS clean FROM ch), k AS (SELECT *, {sql_case(BASE, tx.CHANNELS, OWN)} AS part, {SIDE} AS side FROM c)"
 
 
-@query(f"""WITH {CLASSED}, o AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'vocals' ELSE coalesce(part, 'ch_' || p_partkey) END AS part, side, CAST(p_retailprice AS DECIMAL(18,4)) AS v FROM k),
-g AS (SELECT part, sum(CASE WHEN side = 'R' THEN 0 ELSE v END) AS l, sum(CASE WHEN side = 'L' THEN 0 ELSE v END) AS r, count(*) AS n FROM o WHERE part NOT IN ('click', 'ignored') GROUP BY part), m AS (SELECT greatest(max(l), max(r))::DOUBLE AS peak FROM g)
+@query(f"""WITH {CLASSED}, o AS (SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN 'vocals' ELSE part END AS part, side, CAST(p_retailprice AS DECIMAL(18,4)) AS v FROM k),
+g AS (SELECT part, sum(CASE WHEN side = 'r' THEN 0 ELSE v END) AS l, sum(CASE WHEN side = 'l' THEN 0 ELSE v END) AS r, count(*) AS n FROM o WHERE part NOT IN ('__click', '__ignore') GROUP BY part), m AS (SELECT greatest(max(l), max(r))::DOUBLE AS peak FROM g)
 SELECT part, n AS channels, round(l::DOUBLE * CASE WHEN peak > 0.99 THEN 0.99 / peak ELSE 1.0 END, 6) AS left_sum, round(r::DOUBLE * CASE WHEN peak > 0.99 THEN 0.99 / peak ELSE 1.0 END, 6) AS right_sum FROM g, m""")
 def channel_group(spark, sf_dir):
     """Channels classified (overrides first), panned, summed by part, and scaled together under the ceiling."""
     c = channels(spark, sf_dir).select("p_partkey", exact(F.col("p_retailprice")).alias("v"), tx.channel_name(F.col("raw")).alias("clean"))
-    ruled = c.select("p_partkey", "v", tx.first_match(F.col("clean"), tx.CHANNELS, F.lit(None)).alias("rule"), tx.channel_side(F.col("clean")).alias("side"))
+    ruled = c.select("p_partkey", "v", tx.first_match(tx.channel_base(F.col("clean")), tx.CHANNELS, tx.own_track(F.col("clean"))).alias("rule"), tx.channel_side(F.col("clean")).alias("side"))
     override = table(spark, sf_dir, "part").filter("p_partkey % 17 = 0").select("p_partkey", F.lit("vocals").alias("given"))
-    keyed = ruled.join(override, "p_partkey", "left").withColumn("part", F.coalesce("given", "rule", F.concat(F.lit("ch_"), F.col("p_partkey").cast("string"))))
+    keyed = ruled.join(override, "p_partkey", "left").withColumn("part", F.coalesce("given", "rule"))
     ear = lambda other: F.sum(F.when(F.col("side") == other, F.lit(0)).otherwise(F.col("v"))).cast("double")
-    g = keyed.filter("part not in ('click', 'ignored')").groupBy("part").agg(F.count("*").alias("channels"), ear("R").alias("l"), ear("L").alias("r"))
+    g = keyed.filter(~F.col("part").isin(tx.CLICK, tx.IGNORED)).groupBy("part").agg(F.count("*").alias("channels"), ear("r").alias("l"), ear("l").alias("r"))
     peak = g.agg(F.greatest(F.max("l"), F.max("r")).alias("peak"))
     gain = F.when(F.col("peak") > 0.99, 0.99 / F.col("peak")).otherwise(1.0)
     return g.join(F.broadcast(peak)).select("part", "channels", r6(F.col("l") * gain).alias("left_sum"), r6(F.col("r") * gain).alias("right_sum"))  # one row is broadcast

@@ -27,6 +27,9 @@ def sections(spark, sf_dir):
 SEC = "sec AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS seq, us AS us0, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS us1, 's' || CAST(floor(value / 100) AS BIGINT) AS label FROM ev WHERE part = 'purchase' QUALIFY us1 IS NOT NULL)"
 
 
+DISPLAY = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.LABELS.items()) + " ELSE upper(label[1]) || label[2:] END"
+
+
 @query(f"""WITH {EV} SELECT a.event_id AS point_id, b.event_id AS span_id FROM ev a JOIN ev b ON a.us >= b.us AND a.us < b.us + 1800000000 WHERE b.part = 'signup' AND a.part = 'click'""")
 def interval_join(spark, sf_dir):
     """Clicks in the half hour from each signup on, by a bucketed range join."""
@@ -215,7 +218,7 @@ def key_profile(spark, sf_dir):
 c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN many = 0 OR n >= 2 THEN 1 ELSE 0 END DESC, n DESC, e DESC, label DESC) AS c FROM m), v AS (SELECT *, CASE WHEN c > 1 THEN row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN c > 1 THEN 0 ELSE 1 END, n DESC, span DESC, label DESC) END AS v FROM c),
 p AS (SELECT q.user_id, q.seq, q.label, q.us0, row_number() OVER (PARTITION BY q.user_id ORDER BY us0) AS i, count(*) OVER (PARTITION BY q.user_id) AS size, n, c, v FROM sec q JOIN v ON v.user_id = q.user_id AND v.label = q.label),
 l AS (SELECT user_id, seq, CASE WHEN c = 1 THEN 'chorus' WHEN i = 1 AND NOT coalesce(v = 1, false) THEN 'intro' WHEN i = size AND NOT coalesce(v = 1, false) THEN 'outro' WHEN n = 1 AND coalesce(v, 0) <> 1 THEN 'bridge' ELSE 'verse' END AS label FROM p),
-o AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY seq) AS k FROM l) SELECT user_id, seq, label, CASE WHEN label IN ('verse', 'chorus', 'bridge') THEN upper(label[1]) || label[2:] || ' ' || k ELSE upper(label[1]) || label[2:] END AS display FROM o""")
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY seq) AS k FROM l) SELECT user_id, seq, label, {DISPLAY} || CASE WHEN label IN ('verse', 'chorus', 'bridge') THEN ' ' || k ELSE '' END AS display FROM o""")
 def segment_label(spark, sf_dir):
     """Sections named chorus, verse, intro, outro or bridge, and numbered."""
     s = sections(spark, sf_dir).withColumnRenamed("label", "cluster").withColumn("energy", (F.col("us1") - F.col("us0")).cast("double"))

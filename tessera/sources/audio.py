@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CHANNELS, channel_name, channel_side, first_match
+from ..functions.text import CHANNELS, CLICK, IGNORED, channel_base, channel_name, channel_side, first_match, own_track
 
 AUDIO = "track_id string, part_key string, channel int, chunk_no int, t0 double, sr int, samples array<float>"
 CHUNK = 1 << 16
@@ -85,21 +85,20 @@ def write_wavs(audio: DataFrame, path: str, width: int = 3) -> DataFrame:
 def classify_channels(audio: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """audio with clean, side and part_key by the channel rules; overrides (file, given) come first."""
     clean = channel_name(F.col("part_key"))
-    rule = first_match(clean, CHANNELS, F.lit(None))
+    rule = first_match(channel_base(clean), CHANNELS, own_track(clean))
     named = audio.withColumn("file", F.col("part_key")).withColumn("clean", clean).withColumn("side", channel_side(clean)).withColumn("rule", rule)
     if overrides is not None:
         named = named.join(overrides, "file", "left")
     else:
         named = named.withColumn("given", F.lit(None).cast("string"))
-    own = F.concat(F.lit("ch_"), F.lower(F.regexp_replace("clean", r"[^A-Za-z0-9]+", "_")))
-    return named.withColumn("part_key", F.coalesce("given", "rule", own)).drop("rule", "given")
+    return named.withColumn("part_key", F.coalesce("given", "rule")).drop("rule", "given")
 
 
 def sum_channels(audio: DataFrame, ceiling: float = 0.99) -> DataFrame:
     """Channels of a part panned by side and summed sample by sample, all parts under one gain per track.
 
     Clicks and ignored channels are left out; shorter channels count as silent at the end."""
-    on = audio.filter("part_key not in ('click', 'ignored')").filter(((F.col("side") == "L") & (F.col("channel") == 0)) | ((F.col("side") == "R") & (F.col("channel") == 1)) | (F.col("side") == "C"))
+    on = audio.filter(~F.col("part_key").isin(CLICK, IGNORED)).filter(((F.col("side") == "l") & (F.col("channel") == 0)) | ((F.col("side") == "r") & (F.col("channel") == 1)) | (F.col("side") == ""))
     add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, F.lit(0.0).cast("float")) + F.coalesce(b, F.lit(0.0).cast("float")))
     # a part's channels of one chunk are a handful of arrays
     parts = on.groupBy("track_id", "part_key", "channel", "chunk_no", "sr").agg(F.min("t0").alias("t0"), F.collect_list("samples").alias("all"))

@@ -80,7 +80,7 @@ def test_folder_of_channels(spark, tmp_path):
     for name, f in (("01 Kick", 60), ("02 Bass DI", 110), ("03 Lead Vox", 440), ("04 Click", 1000), ("05 Mystery", 700), ("06 BGV L", 300), ("07 BGV R", 310)):
         (folder / f"{name}.wav").write_bytes(au.encode_wav(tone(f, 1.0), SR))
     done = multitrack(spark, str(folder))
-    assert {r.part_key for r in done.parts.select("part_key").distinct().collect()} == {"kick", "bass", "lead", "ch_mystery", "bgv"}
+    assert {r.part_key for r in done.parts.select("part_key").distinct().collect()} == {"kick", "bass", "lead_vocal", "ch_mystery", "bgv"}
     error = done.proof.first().error_db
     assert error is None or error < -100
     x, sr = au.decode_wav(au.encode_wav(tone(50), SR, 2))

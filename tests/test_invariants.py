@@ -85,9 +85,19 @@ def test_short_runs_are_absorbed():
 
 
 def test_names_and_pitches(spark):
-    df = spark.createDataFrame([("07 Bass DI",), ("08 EG1",), ("13 BGV 1",), ("16 Talkback",)], "n string")
-    got = [(r.c, r.k) for r in df.select(tx.channel_name(F.col("n")).alias("c"), tx.first_match(tx.channel_name(F.col("n")), tx.CHANNELS, F.lit("?")).alias("k")).collect()]
-    assert got == [("Bass DI", "bass"), ("EG 1", "guitar"), ("BGV 1", "bgv"), ("Talkback", "ignored")]
+    cases = {
+        "01 Kick In": "kick", "03 Snare Top": "snare", "04 HiHat": "hihat", "05 OH L": "cymbals", "07 Bass DI": "bass", "08 EG1": "electric_guitar", "09 AG": "acoustic_guitar", "10 Keys L": "keys",
+        "12 Lead Vox": "lead_vocal", "13 BGV 1": "bgv", "15 Click": "__click", "16 Talkback": "__ignore", "Track 07 cue.wav": "__click", "ch_3-mystery box": "ch_mystery_box", "99": "ch_unnamed",
+    }
+    clean = tx.channel_name(F.col("n"))
+    df = spark.createDataFrame([(n,) for n in cases], "n string").select("n", clean.alias("c"), tx.channel_side(clean).alias("s"), tx.first_match(tx.channel_base(clean), tx.CHANNELS, tx.own_track(clean)).alias("k"))
+    rows = {r.n: r for r in df.collect()}
+    assert {n: r.k for n, r in rows.items()} == cases
+    assert rows["07 Bass DI"].c == "Bass DI" and rows["08 EG1"].c == "EG 1" and (rows["05 OH L"].s, rows["10 Keys L"].s, rows["09 AG"].s) == ("l", "l", "")
+    alias = spark.createDataFrame([(x,) for x in ("Lead Vocals", "lead_vocals", "Hi-Hat", "hi-hat", "Piano", "No  Vocals", "My Part")], "n string").select(tx.alias_key(F.col("n")).alias("k")).collect()
+    assert [r.k for r in alias] == ["lead_vocal", "lead_vocal", "hi_hat", "hi_hat", "keys", "instrumental", "my_part"]
+    shown = spark.createDataFrame([("prechorus", 1), ("verse", 2), ("inst", 3), ("end", 1), ("odd", 4), ("verse", 0)], "l string, k int").select(tx.display_label(F.col("l"), F.col("k")).alias("d")).collect()
+    assert [r.d for r in shown] == ["Pre-Chorus", "Verse 2", "Instrumental", "End", "Odd", "Verse"]
     moves = spark.createDataFrame([(7, 4), (7, 9), (7, 7)], "a int, b int").select(pi.shortest_move(F.col("a"), F.col("b")).alias("m")).collect()
     assert [r.m for r in moves] == [-3, 2, 0]
     assert pi.camelot_code(0, "major") == "8B" and pi.camelot_code(9, "minor") == "8A" and pi.camelot_code(6, "major") == "2B"
