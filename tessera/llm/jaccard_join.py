@@ -18,18 +18,21 @@ The join over a cluster:
    content: it stands for several shingles at once, so passages that many documents
    share draw hardly any texts together, and no frequencies need to be known.
    Classes meet under their keys; what meets nobody is done.
-3. Rounds of blocks: each class goes once to the block of the first key under
-   which classes meet that aren't merged yet. A block's task joins its sets through
-   an R-tree and merges what links, comparing only classes that aren't merged yet,
-   so a group of copies costs about one comparison per member. Large blocks are
-   split, by another hash in each round. Of keys with the same classes, which
-   copies give, one is kept.
-4. Components so far label the classes. Keys where several labels meet give the
-   other pairs, in the same way but with every class of these keys, in cells
-   of bounded size (a hot key's classes are dealt into chunks and each pair of
-   chunks is a cell). Pairs are compared where they meet and are never emitted.
-5. Every link lies within a component. Each component's classes are compared once
-   more, in cells, and their links counted.
+3. Classes that keys connect, directly or through others, form a family, which holds
+   all links of its members. A family of bounded size is one block: one task joins
+   its sets through an R-tree, labels its components and counts its links.
+4. Larger families go in rounds of blocks: each class goes once to the block of the
+   first key under which classes meet that aren't merged yet. A block's task joins
+   its sets through an R-tree and merges what links, comparing only classes that aren't
+   merged yet, so a group of copies costs about one comparison per member. Large
+   blocks are split, by another hash in each round. Of keys with the same classes,
+   which copies give, one is kept. Components so far label the classes. Keys where
+   several labels meet give the other pairs, in the same way but with every class of
+   these keys, in cells of bounded size (a hot key's classes are dealt into chunks and
+   each pair of chunks is a cell). Every link then lies within a component: each
+   component's classes are compared once more, in cells, and their links counted.
+
+Pairs are compared where they meet and are never emitted.
 
 Defined results: null or empty text (no words) has an empty set and links with
 nothing; a null doc_id takes no part and has a null component and no links; rows
@@ -51,7 +54,7 @@ from .components import connected_components
 
 #: Groups of a point: a power of two, about an eighth of the set's size between these.
 FEWEST, MOST = 64, 1024
-#: Shingles of a block's task or a cell's chunk, classes of a chunk, classes that a broadcast may name.
+#: Shingles of a block's task or a cell's chunk, classes of a family's block or a chunk, classes that a broadcast may name.
 BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1000, 100_000
 #: Rounds of blocks.
 ROUNDS = 2
@@ -240,8 +243,19 @@ def merged(sets: list[np.ndarray], labels: list[int], num: int, den: int) -> lis
     return out
 
 
-def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool, num: int, den: int) -> np.ndarray:
-    """For each set the copies of those that link with it; across: only of those on the other side."""
+def resolved(sets: list[np.ndarray], copies: np.ndarray, links: bool, num: int, den: int) -> tuple[list[int], list[int]]:
+    """For each set the first one of its component, and with links the copies of those that link with it."""
+    root, counts = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    if links:
+        counts = link_counts(sets, copies, np.zeros(len(sets)), False, num, den, root)
+    else:
+        for i, j in merged(sets, list(range(len(sets))), num, den):
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root.tolist(), counts.tolist()
+
+
+def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, across: bool, num: int, den: int, root: np.ndarray | None = None) -> np.ndarray:
+    """For each set the copies of those that link with it; across: only of those on the other side; root: merged on the way."""
     sizes, out = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64)
     for run in runs_by_size(sizes, num, den):
         near = Near([counts(point(sets[k])) for k in run.tolist()], sizes[run], num, den)
@@ -254,6 +268,9 @@ def link_counts(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, ac
             j = run[overlaps.linking(at, others)]
             out[i] += copies[j].sum()
             out[j] += copies[i]
+            if root is not None and len(j):
+                met = np.unique(root[[i, *j]])
+                root[np.isin(root, met)] = met[0]
     return out
 
 
@@ -307,9 +324,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "n", "vec", "shingles"])
 
-    known = F.broadcast(wanted) if wanted.count() <= NAMED else wanted
-    rows = docs.join(known, "doc_id").select("id", "cls", "text").mapInArrow(run, "id long, n long, vec binary, shingles binary")
-    return rows
+    n = wanted.count()
+    known = F.broadcast(wanted) if n <= NAMED else wanted
+    out = cut(docs.join(known, "doc_id").select("id", "cls", "text").mapInArrow(run, "id long, n long, vec binary, shingles binary"))
+    if out.count() == n:
+        return out
+    once = cut(out.dropDuplicates(["id"]))  # whole rows are repeated
+    drop(out)
+    return once
 
 
 def unpacked(shingles: bytes) -> np.ndarray:
@@ -335,9 +357,29 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     under = found.join(classes.select(F.col("id").alias("at")), "at").select(F.col("at").alias("id"), F.explode("keys").alias("h"))
     met = under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     shared = cut(under.join(met, "h"))
-    sets = cut(sets_of(docs, classes.join(shared.select("id").distinct(), "id").select("doc_id", "id", "cls"), width))
-
-    # 3: rounds of one block for each class
+    every_set = sets_of(docs, classes.join(shared.select("id").distinct(), "id").select("doc_id", "id", "cls"), width)
+
+    # 3: families of bounded size
+    star = shared.join(shared.groupBy("h").agg(F.min("id").alias("b")), "h").filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+    member = connected_components(star).select(F.col("node").alias("id"), F.col("label").alias("family")).join(every_set.select("id", "n"), "id")
+    size = member.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("all"))
+    families = cut(member.join(size, "family").select("id", "family", ((F.col("members") <= CELL) & (F.col("all") <= BLOCK_SHINGLES)).alias("bounded")))
+
+    def join_family(it):
+        for run in groups(it, 1):
+            root, linked = resolved([unpacked(r[3]) for r in run], np.array([r[2] for r in run]), links, num, den)
+            yield longs([(r[1], run[k][1], n) for r, k, n in zip(run, root, linked, strict=True)], ["id", "label", "linked"])
+
+    rows = families.filter("bounded").join(classes.select("id", "copies"), "id").join(every_set.select("id", "shingles"), "id").select("family", "id", "copies", "shingles")
+    small = cut(rows.repartition("family").sortWithinPartitions("family", "id").mapInArrow(join_family, "id long, label long, linked long"))
+    large = families.filter("not bounded").select("id")
+    if large.isEmpty():
+        return finished(found, classes, small, links)
+    sets = every_set.join(large, "id", "left_semi")
+    before, shared = shared, cut(shared.join(large, "id", "left_semi"))
+    drop(before)
+
+    # 4: larger ones, in rounds of one block for each class
     def partnered(it):
         """The rows that have a partner of another label in their cell by the bound."""
         for run in groups(it, 2):
@@ -391,21 +433,32 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             break
         labels = cut(connected_components(found_links if labels is None else labels.toDF("a", "b").union(found_links)))
 
-    # 4: what else meets: every row of the keys that are still open, in cells of bounded size
+    # what else meets: every row of the keys that are still open, in cells of bounded size
     opened = open_groups(now_labelled(shared))
     cells = in_cells(opened.withColumn("chunks", F.ceil(F.col("df") / CELL).cast("long")), "h", "chunks")
     second = compared(cells.select(F.col("h").alias("block"), F.col("cell").alias("part"), "id", "label"), True)
     every = labels if second.isEmpty() else cut(connected_components(labels.toDF("a", "b").union(second)))
     drop(opened, shared)
 
-    reached = classes.join(every.withColumnRenamed("node", "id"), "id", "left").select("id", "cls", "doc_id", "copies", label)
+    reached = every.select(F.col("node").alias("id"), "label")
+    if links:
+        counted = counted_links(reached.join(classes.select("id", "copies"), "id"), sets, num, den)
+        reached = reached.join(counted, "id", "left").select("id", "label", F.coalesce("linked", F.lit(0)).alias("linked"))
+    else:
+        reached = reached.select("id", "label", F.lit(0).cast("long").alias("linked"))
+    return finished(found, classes, small.union(reached), links)
+
+
+def finished(found: DataFrame, classes: DataFrame, joined: DataFrame, links: bool) -> DataFrame:
+    """Each document's component and links from those of the classes that have partners (id, label, linked)."""
+    reached = classes.join(joined, "id", "left").select("cls", "doc_id", "copies", F.coalesce("label", "id").alias("label"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     least = reached.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of = reached.join(least, "label").select("cls", "id", "component_id", "copies")
-    columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
+    of = reached.join(least, "label").select("cls", "component_id", "n_links")
+    named = F.col("doc_id").isNotNull()
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id")]
     if links:
-        of = of.join(counted_links(reached, sets, num, den), "id", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)))
-        columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(of, "cls", "left").select(*columns)
+        columns.append(F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return found.select("doc_id", "n", "cls").join(of, "cls", "left").select(*columns)
 
 
 def counted_links(reached: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
