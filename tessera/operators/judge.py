@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, ramp, reasons
@@ -48,3 +50,29 @@ def difficulty(density: Column, crest: Column, crowd: Column, width: Column, dul
 
 def advice(density: Column, crest: Column, crowd: Column) -> Column:
     return F.array_join(reasons((density > 0.6, "expect shared cells"), (crest > 0.6, "limited dynamics"), (crowd > 0.5, "one register dominates"), default="no special care"), "; ")
+
+
+# Groups of siblings, and the one of each that takes what others leave (none: the loudest kept).
+SIBLINGS = {"vocals": (["lead_vocal", "bgv"], "lead_vocal"), "instrumental": (["drums", "bass", "electric_guitar", "keys", "pads"], "pads"), "drums": (["kick", "snare", "toms", "hihat", "cymbals"], None)}
+
+
+def apply_inventory(parts: DataFrame, verdicts: DataFrame, track: str, part: str, cell: Sequence[str], amount: str, keep_uncertain: bool = True) -> DataFrame:
+    """track, part, cell and amount once rejected parts have given theirs to a sibling; sums of siblings stay.
+
+    verdicts: track, part, decision. A part is rejected if it is absent (or uncertain, unless those are kept) and at
+    least two of its siblings are there; its group's residual never is. Without a residual the loudest kept sibling
+    takes the amounts; a group of which all would go stays. Pieces of a rejected drum kit are its own and leave with it."""
+    group = {p: g for g, (members, _) in SIBLINGS.items() for p in members}
+    rest = {p: r for members, r in SIBLINGS.values() for p in members if r}
+    named = lambda table: F.coalesce(*(F.when(F.col(part) == k, v) for k, v in table.items()))
+    there = parts.groupBy(track, part).agg(F.sum(F.col(amount).cast("double") * F.col(amount).cast("double")).alias("_e"))
+    known = there.withColumn("_g", named(group)).withColumn("_r", named(rest)).join(verdicts.select(track, part, "decision"), [track, part], "left")
+    out = F.col("decision").isin(["absent"] if keep_uncertain else ["absent", "uncertain"])
+    siblings = Window.partitionBy(track, "_g")
+    judged = known.withColumn("_out", F.coalesce(out & F.col("_g").isNotNull() & ~F.col(part).eqNullSafe(F.col("_r")), F.lit(False))).withColumn("_n", F.count("*").over(siblings)).withColumn("_kept", F.count_if(~F.col("_out")).over(siblings))
+    judged = judged.withColumn("_out", F.col("_out") & (F.col("_n") > 1) & (F.col("_kept") > 0))
+    loudest = F.max(F.when(~F.col("_out"), F.struct(F.col("_e").alias("e"), F.col(part).alias("p")))).over(siblings)["p"]
+    has_rest = F.max(F.when(F.col(part) == F.col("_r"), F.col("_r"))).over(siblings)
+    kit = F.max(F.when((F.col(part) == "drums") & F.col("_out"), True)).over(Window.partitionBy(track))
+    placed = judged.withColumn("_to", F.when(F.col("_out"), F.coalesce(has_rest, loudest)).otherwise(F.col(part))).withColumn("_gone", F.coalesce(kit & F.col(part).isin(SIBLINGS["drums"][0]), F.lit(False)))
+    return parts.join(placed.filter(~F.col("_gone")).select(track, part, "_to"), [track, part]).groupBy(track, F.col("_to").alias(part), *cell).agg(F.sum(amount).alias(amount))

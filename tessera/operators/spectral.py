@@ -19,19 +19,17 @@ def one_chunk(track, part, channel, sr, x: np.ndarray) -> tuple:
     return (track, part, int(channel), 0, 0.0, int(sr), x.astype(np.float32))
 
 
-def split(audio: DataFrame, parent: str, parts: list[str], power: float = 2.0) -> DataFrame:
-    """Parts of a parent that sum to it, from their estimates, per track and channel."""
+def split_tree(audio: DataFrame, splits: list[tuple], power: float = 2.0, exact: bool = True, rounds: int = 0, end: float = 5.0) -> DataFrame:
+    """All parts of the mixes in audio, from the estimates in it, per track and channel: one pass for the whole tree."""
 
     def run(pdf):
         import pandas as pd
 
         signals = {p: whole(g) for p, g in pdf.groupby("part_key")}
-        mix = signals.get(parent)
         rows = []
-        if mix is not None and any(p in signals for p in parts):
-            size = len(mix)
-            fit = {p: np.pad(signals[p][:size], (0, max(0, size - len(signals[p])))) for p in parts if p in signals}
-            rows = [one_chunk(pdf["track_id"].iloc[0], p, pdf["channel"].iloc[0], pdf["sr"].iloc[0], y) for p, y in k.partition_exact(mix, fit, power).items()]
+        if "mix" in signals:
+            parts = k.split_tree(signals, splits, power, exact, rounds, end)
+            rows = [one_chunk(pdf["track_id"].iloc[0], p, pdf["channel"].iloc[0], pdf["sr"].iloc[0], y) for p, y in parts.items() if p != "mix"]
         return pd.DataFrame(rows, columns=COLUMNS)
 
     return audio.groupBy("track_id", "channel").applyInPandas(run, AUDIO)

@@ -85,14 +85,15 @@ def alloc_consistency(spark, sf_dir):
     return al.cap_additions(c, ["month"], "ex", "re").select("month", "part", r6(F.col("scale")).alias("scale"), F.round("capped", 2).alias("capped"), "trimmed")
 
 
-@query(f"""WITH {REV}, {NODES}, s AS (SELECT 's' || l_suppkey AS key, sum(price) AS total FROM li GROUP BY 1), a AS (SELECT n.key, n.parent, total FROM s JOIN nodes n USING (key)),
-b AS (SELECT n.key, n.parent, sum(total) AS total FROM a JOIN nodes n ON n.key = a.parent GROUP BY 1, 2), c AS (SELECT n.key, n.parent, sum(total) AS total FROM b JOIN nodes n ON n.key = b.parent GROUP BY 1, 2),
-d AS (SELECT n.key, n.parent, sum(total) AS total FROM c JOIN nodes n ON n.key = c.parent GROUP BY 1, 2)
-SELECT key, parent, CAST(total AS DECIMAL(18,4)) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d)""")
+@query(f"""WITH {REV}, {NODES}, t AS (SELECT key, parent FROM nodes WHERE key <> 'n3'), n AS (SELECT key, CASE WHEN key <> 'root' THEN CASE WHEN parent IN (SELECT key FROM t) THEN parent ELSE 'root' END END AS parent FROM t),
+s AS (SELECT 's' || l_suppkey AS key, sum(price) AS total FROM li GROUP BY 1), a AS (SELECT s.key, coalesce(parent, 'root') AS parent, total FROM s LEFT JOIN n USING (key)),
+b AS (SELECT a.parent AS key, any_value(n.parent) AS parent, sum(total) AS total FROM a JOIN n ON n.key = a.parent GROUP BY 1), c AS (SELECT b.parent AS key, any_value(n.parent) AS parent, sum(total) AS total FROM b JOIN n ON n.key = b.parent GROUP BY 1),
+d AS (SELECT c.parent AS key, any_value(n.parent) AS parent, sum(total) AS total FROM c JOIN n ON n.key = c.parent GROUP BY 1)
+SELECT key, parent, CAST(sum(total) AS DECIMAL(18,4)) AS total FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d) GROUP BY key, parent""")
 def tree_rollup(spark, sf_dir):
-    """Every level of the supplier tree sums to its parent."""
+    """Every level of the supplier tree sums to its parent; what a node without a row held belongs to the root."""
     leaf = revenue(spark, sf_dir).groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("key")).agg(F.sum("price").alias("total"))
-    tree = nodes(spark, sf_dir).select("key", "parent")
+    tree = nodes(spark, sf_dir).select("key", "parent").filter("key <> 'n3'")
     done = tr.rollup(leaf.withColumn("total", F.col("total").cast("decimal(28,4)")), tree, "total", 3)
     return done.select("key", "parent", exact(F.col("total")).alias("total"))
 

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS
+from ..functions.text import lookup
 from ..operators import spectral as sp
+from ..operators.judge import apply_inventory
 from ..sources import audio as au
-from .options import PART_TREE, Options
+from .options import PART_TREE, SPLITS, Options
+
+# Parts that no transposition changes.
+UNPITCHED = ["drums", "kick", "snare", "toms", "hihat", "cymbals"]
 
 
 class Result(NamedTuple):
@@ -19,55 +24,59 @@ class Result(NamedTuple):
     analysis: DataFrame
 
 
+PARENT = {p[0]: p[1] for p in PART_TREE if p[1]}
+
+
 def part_tree(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PART_TREE, "part_key string, parent_key string, label string, color string, is_optional boolean")
+    return spark.createDataFrame(PART_TREE, "part_key string, parent_key string, label string, filename string, color string, is_optional boolean")
+
 
+def leaves(parts: DataFrame) -> DataFrame:
+    """The parts of each track that no other part of it splits."""
+    inner = parts.select("track_id", lookup(F.col("part_key"), PARENT).alias("part_key")).filter("part_key is not null").distinct()
+    return parts.join(inner, ["track_id", "part_key"], "left_anti")
 
-def proof(parts: DataFrame, mix: DataFrame, leaves: list[str]) -> DataFrame:
+
+def proof(leaves: DataFrame, mix: DataFrame) -> DataFrame:
     """track_id, error_db: the level of what the leaves' sum misses of the mix (null if nothing measurable)."""
     long = lambda d, name: d.select("track_id", "channel", "chunk_no", F.posexplode("samples").alias("i", name))
     key = ["track_id", "channel", "chunk_no", "i"]
-    total = long(parts.filter(F.col("part_key").isin(leaves)), "v").groupBy(*key).agg(F.sum(F.col("v").cast("double")).alias("v"))
+    total = long(leaves, "v").groupBy(*key).agg(F.sum(F.col("v").cast("double")).alias("v"))
     both = long(mix, "m").join(total, key, "left").withColumn("d", F.col("m") - F.coalesce("v", F.lit(0.0)))
     miss, level = F.sqrt(F.avg(F.col("d") * F.col("d"))), F.sqrt(F.avg(F.col("m").cast("double") * F.col("m")))
     return both.groupBy("track_id").agg(F.when((miss > EPS) & (level > EPS), 20 * F.log10(miss / level)).alias("error_db"))
 
 
-def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options()) -> Result:
-    """Split the mix level by level down the tree by its estimates (AUDIO rows from any model).
-
-    A level's parts sum to their parent, so the leaves sum to the mix; a part without an estimate is left out
-    and its siblings take its share. Estimates of one part alone give it the whole parent."""
-    spark = mix.sparkSession
-    known = {r["part_key"] for r in estimates.select("part_key").distinct().collect()}  # names, one per part of the tree
-    whole, done = mix.withColumn("part_key", F.lit("mix")), None
-    level, leaves = [("mix", whole)], []
-    while level:
-        after = []
-        for key, signal in level:
-            parts = [k for k, parent, *_ in PART_TREE if parent == key and k in known]
-            if not parts:
-                leaves.append(key)
-                continue
-            group = signal.select(*sp.COLUMNS).unionByName(estimates.filter(F.col("part_key").isin(parts)).select(*sp.COLUMNS))
-            got = sp.split(group, key, parts, options.separation_power)
-            done = got if done is None else done.unionByName(got)
-            after += [(k, got.filter(F.col("part_key") == k)) for k in parts]
-        level = after
-    parts = done if done is not None else whole.select(*sp.COLUMNS)
+def folded(parts: DataFrame, verdicts: DataFrame, options: Options) -> DataFrame:
+    """parts (AUDIO) once rejected ones have given their samples to a sibling; verdicts: track_id, part_key, decision."""
+    cells = parts.select("track_id", "part_key", "channel", "chunk_no", "t0", "sr", F.posexplode("samples").alias("i", "v"))
+    done = apply_inventory(cells, verdicts, "track_id", "part_key", ["channel", "chunk_no", "t0", "sr", "i"], "v", options.keep_uncertain)
+    samples = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"].cast("float")).alias("samples")  # one chunk's
+    return done.groupBy("track_id", "part_key", "channel", "chunk_no", "t0", "sr").agg(samples).select(*sp.COLUMNS)
+
+
+def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(), verdicts: DataFrame | None = None) -> Result:
+    """Split the mix down the tree by its estimates (AUDIO rows from any model), then fold what the verdicts reject.
+
+    A split's parts sum to their parent, so the leaves sum to the mix. A residual without an estimate is the parent less
+    the others; lead and backing vocals, and the kit's pieces, need two estimates; without one of the vocals the mix stays whole."""
+    whole = mix.withColumn("part_key", F.lit("mix"))
+    every = whole.select(*sp.COLUMNS).unionByName(estimates.filter("part_key <> 'mix'").select(*sp.COLUMNS))
+    parts = sp.split_tree(every, SPLITS, options.separation_power, options.exact, options.refine_rounds, options.power_end)
+    if verdicts is not None:
+        parts = folded(parts, verdicts, options)
+    proven = proof(leaves(parts), whole)
     if options.semitones:
-        fixed = parts.filter(F.col("part_key").isin("drums", "kick", "snare", "hihat", "toms", "cymbals"))
-        parts = fixed.unionByName(sp.transpose(parts.join(fixed.select("part_key").distinct(), "part_key", "left_anti").select(*sp.COLUMNS), options.semitones))
-    del spark
-    return Result(parts, proof(parts, whole, leaves), sp.analyse(whole.select(*sp.COLUMNS)))
+        fixed = F.col("part_key").isin(UNPITCHED)
+        parts = parts.filter(fixed).unionByName(sp.transpose(parts.filter(~fixed), options.semitones))
+    return Result(parts, proven, sp.analyse(whole.select(*sp.COLUMNS)))
 
 
 def multitrack(spark: SparkSession, folder: str, overrides: DataFrame | None = None) -> Result:
     """A folder of channels: classify, pan, sum by part, and analyse the sum of all."""
     parts = au.sum_channels(au.classify_channels(au.read_wavs(spark, folder), overrides))
-    keys = [r["part_key"] for r in parts.select("part_key").distinct().collect()]  # one per part
     zero = F.lit(0.0).cast("float")
     add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
     all_ = parts.groupBy("track_id", "channel", "chunk_no", "sr").agg(F.min("t0").alias("t0"), F.collect_list("samples").alias("x"))
     mix = all_.withColumn("samples", F.reduce(F.slice("x", 2, 1 << 20), F.get("x", F.lit(0)), add)).withColumn("part_key", F.lit("mix")).select(*sp.COLUMNS)
-    return Result(parts, proof(parts, mix, keys), sp.analyse(mix))
+    return Result(parts, proof(parts, mix), sp.analyse(mix))

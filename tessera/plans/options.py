@@ -10,7 +10,8 @@ from typing import Any, Literal
 class Options:
     quality: Literal["fast", "standard", "maximum"] = "standard"
     separation_power: float = 2.0
-    refine_rounds: int = 2
+    exact: bool = True
+    refine_rounds: int = 0
     power_start: float = 2.0
     power_end: float = 5.0
     band_floor: float = 0.25
@@ -34,9 +35,28 @@ class Options:
         return replace(self, **{k: v for k, v in given.items() if k in names})
 
 
-#: The component tree: part, parent, label, colour, whether it is optional.
+# The component tree: part, parent, label, file name, colour, whether it is optional.
 PART_TREE = [
-    ("mix", None, "Mix", "#888888", False), ("vocals", "mix", "Vocals", "#e4572e", False), ("instrumental", "mix", "Instrumental", "#4f6d7a", False), ("lead", "vocals", "Lead vocal", "#f4743b", True), ("bgv", "vocals", "Backing vocals", "#f7b267", True),
-    ("drums", "instrumental", "Drums", "#2e86ab", False), ("bass", "instrumental", "Bass", "#7d5ba6", False), ("guitar", "instrumental", "Guitar", "#55a630", True), ("keys", "instrumental", "Keys", "#219ebc", True), ("pads", "instrumental", "Pads", "#8ecae6", True),
-    ("kick", "drums", "Kick", "#1b4965", True), ("snare", "drums", "Snare", "#5fa8d3", True), ("hihat", "drums", "Hi-hat", "#cae9ff", True), ("toms", "drums", "Toms", "#62b6cb", True), ("cymbals", "drums", "Cymbals", "#bee9e8", True),
-]
+    ("mix", None, "Original Mix", "00_Original_Mix", "#444c5c", False),
+    ("vocals", "mix", "All Vocals", "10_Vocals_All", "#e0685a", False),
+    ("lead_vocal", "vocals", "Lead Vocal", "11_Lead_Vocal", "#e0685a", False),
+    ("bgv", "vocals", "Background Vocals", "12_BGVs", "#e8917f", False),
+    ("instrumental", "mix", "Instrumental", "20_Instrumental", "#4f8a76", False),
+    ("drums", "instrumental", "Drums", "30_Drums", "#c99a3e", False),
+    ("kick", "drums", "Kick", "31_Kick", "#c99a3e", True),
+    ("snare", "drums", "Snare", "32_Snare", "#c99a3e", True),
+    ("toms", "drums", "Toms", "33_Toms", "#c99a3e", True),
+    ("hihat", "drums", "Hi-Hat", "34_HiHat", "#c99a3e", True),
+    ("cymbals", "drums", "Cymbals / OH", "35_Cymbals", "#c99a3e", True),
+    ("bass", "instrumental", "Bass", "40_Bass", "#8a6fb0", False),
+    ("electric_guitar", "instrumental", "Guitars", "50_Guitars", "#5b8fc9", False),
+    ("keys", "instrumental", "Piano / Keys", "60_Keys", "#4aa3a3", False),
+    ("pads", "instrumental", "Pads / Synth / Strings", "70_Pads_Synth", "#9b7fb0", False),
+]
+# How a parent is split: its parts, their residual, whether that is made (parent less the others) where it has no estimate, and the fewest estimates.
+SPLITS = [
+    ("mix", ["vocals", "instrumental"], "instrumental", True, 1),
+    ("vocals", ["lead_vocal", "bgv"], "bgv", False, 2),
+    ("instrumental", ["drums", "bass", "electric_guitar", "keys", "pads"], "pads", True, 1),
+    ("drums", ["kick", "snare", "toms", "hihat", "cymbals"], "cymbals", False, 2),
+]

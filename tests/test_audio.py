@@ -6,6 +6,7 @@ import pytest
 from tessera.operators import kernels as k
 from tessera.operators import spectral as sp
 from tessera.plans.decompose import multitrack, separate
+from tessera.plans.options import Options
 from tessera.sources import audio as au
 from tessera.sources import exports as ex
 from tessera.streaming import live
@@ -70,10 +71,36 @@ def test_tree_of_parts_sums_to_the_mix(spark):
     done = separate(frame({"mix": mix}), frame(estimates))
     error = done.proof.first().error_db
     assert error is None or error < -100
-    assert {r.part_key for r in done.parts.select("part_key").distinct().collect()} == {"vocals", "instrumental", "drums", "bass"}
+    assert {r.part_key for r in done.parts.select("part_key").distinct().collect()} == {"vocals", "instrumental", "drums", "bass", "pads"}
     assert done.analysis.count() == 1
 
 
+def signal(parts, key):
+    rows = parts.filter(f"part_key = '{key}' and channel = 0").orderBy("chunk_no").collect()
+    return np.concatenate([r.samples for r in rows])
+
+
+def test_missing_estimates_and_verdicts(spark):
+    truth = {"vocals": tone(440), "drums": tone(90), "bass": tone(55)}
+    mix = sum(truth.values())
+    frame = lambda s: spark.createDataFrame(rows(s), au.AUDIO)
+    # what has no estimate is the parent less the others, and no share of its siblings'
+    done = separate(frame({"mix": mix}), frame({"vocals": truth["vocals"]}))
+    rest = signal(done.parts, "instrumental")
+    assert np.corrcoef(rest, truth["drums"] + truth["bass"])[0, 1] > 0.98 and (done.proof.first().error_db or -200) < -100
+    raw = separate(frame({"mix": mix}), frame({"vocals": truth["vocals"] * 0.5}), Options(exact=False))
+    assert np.allclose(signal(raw.parts, "vocals"), truth["vocals"] * 0.5, atol=1e-6) and np.allclose(signal(raw.parts, "instrumental"), mix - truth["vocals"] * 0.5, atol=1e-5)
+    sharp = separate(frame({"mix": mix}), frame({"vocals": truth["vocals"]}), Options(refine_rounds=2))
+    assert (sharp.proof.first().error_db or -200) < -100
+    # a rejected part's sound stays in its siblings' sum
+    estimates = {"vocals": truth["vocals"], "instrumental": truth["drums"] + truth["bass"], "drums": truth["drums"], "bass": truth["bass"], "kick": truth["drums"], "snare": truth["drums"] * 0.1}
+    verdicts = spark.createDataFrame([("song", "bass", "absent"), ("song", "vocals", "absent"), ("song", "drums", "uncertain")], "track_id string, part_key string, decision string")
+    for options, left in ((Options(), {"vocals", "instrumental", "drums", "kick", "snare", "pads"}), (Options(keep_uncertain=False), {"vocals", "instrumental", "pads"})):
+        kept = separate(frame({"mix": mix}), frame(estimates), options, verdicts)
+        assert {r.part_key for r in kept.parts.select("part_key").distinct().collect()} == left
+        assert (kept.proof.first().error_db or -200) < -100
+
+
 def test_folder_of_channels(spark, tmp_path):
     folder = tmp_path / "song"
     folder.mkdir()
