@@ -9,7 +9,12 @@ link density. The best container (or the article or main part around it) is
 kept, with those of its siblings that score well or are plain prose, and the
 headings, lists and other paragraphs that stand next to those. A part's name alone
 does not leave it out if it has the page's main element or most of the prose around
-it, nor if hardly anything would be left.
+it, nor if hardly anything would be left; inside an article only a name all of whose
+words speak of page furniture does (related-posts, but not related-work).
+
+Time is linear in the page's length, however deep its elements are nested: what is asked
+of all ancestors is kept at each element as it opens, sums over what an element holds
+are passed on once from child to parent, and points reach LEVELS ancestors.
 
 Defined results: null or empty html, and pages with no text, give an empty text;
 repeated rows are read each; markup that ends early or isn't closed is read as
@@ -34,7 +39,7 @@ NAME = re.compile(r"[a-z0-9]+")
 # Elements of HTML by their role here.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "label", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "template", "head"}
+LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "label", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "template", "head", "annotation", "annotation-xml"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -53,6 +58,14 @@ UNLIKELY = {
 }
 # Of these, names of parts that can be longer than the article that they go with.
 WITH_ARTICLE = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "sidebar", "cookie", "cookies", "consent", "gdpr"}
+# Words that go with those in the names of page furniture.
+FURNITURE = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "center", "code", "col", "column", "container", "content", "count", "element", "field", "first", "foot", "form", "frame", "grid", "group",
+    "head", "header", "heading", "holder", "icon", "icons", "image", "img", "inner", "input", "item", "items", "label", "large", "last", "layer", "left", "link", "links", "list", "logo", "message", "messages", "module", "news", "outer", "page", "pages",
+    "panel", "placeholder", "post", "posts", "primary", "right", "row", "rail", "secondary", "section", "side", "slot", "small", "space", "stories", "strip", "tab", "tabs", "text", "thread", "tile", "tiles", "title", "top", "unit", "view", "wrap", "wrapper", "zone",
+}
+#: Ancestors that points reach.
+LEVELS = 32
 #: Text of fewer characters is hardly anything.
 LITTLE = 25
 KEPT_WHOLE = {"html", "body", "article", "main"}
@@ -60,11 +73,18 @@ BONUS = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "
 
 
 class Node:
-    __slots__ = ("bonus", "chars", "links", "main", "names", "out", "parent", "points", "prose", "tag")
+    """An element. block: the block it is in; region: the article, main or root around it; marked: the nearest element of
+    itself and those around it that names mark."""
+
+    __slots__ = ("block", "bonus", "chars", "found", "kept", "links", "main", "marked", "names", "out", "own", "parent", "points", "prose", "region", "seen", "tag", "whole")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, names: set[str] | None = None):
         self.tag, self.parent, self.out, self.names, self.main, self.prose = tag, parent, out, names, tag == "main", 0
-        self.points, self.chars, self.links, self.bonus = 0.0, 0, 0, BONUS.get(tag, 0.0)
+        self.points, self.chars, self.links, self.bonus, self.seen = 0.0, 0, 0, BONUS.get(tag, 0.0), False
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.region = self if parent is None else parent if parent.tag in ("article", "main") or parent.parent is None else parent.region
+        self.marked = self if names else parent.marked if parent else None
+        self.whole = self.kept = self.own = None
 
     def up(self):
         n = self
@@ -76,7 +96,7 @@ class Node:
         return (self.points + self.bonus) * (1 - self.links / self.chars) if self.chars and self.points else 0.0
 
 
-def read_attributes(tag: str, attributes: str) -> tuple[bool, set[str]]:
+def read_attributes(tag: str, attributes: str, inside: bool) -> tuple[bool, set[str]]:
     """Whether an element's attributes hide it, and the names among them that mark it as no article text."""
     names: set[str] = set()
     for a in ATTRIBUTE.finditer(attributes):
@@ -85,32 +105,30 @@ def read_attributes(tag: str, attributes: str) -> tuple[bool, set[str]]:
             return True, names
         if key in ("class", "id", "role") and tag not in KEPT_WHOLE:
             for x in value.split():
-                if not x.startswith(("has-", "no-", "with-")):
-                    names |= UNLIKELY.intersection(NAME.findall(x))
+                words = NAME.findall(x)
+                if not x.startswith(("has-", "no-", "with-")) and (not inside or all(w in UNLIKELY or w in FURNITURE or w.isdigit() for w in words)):
+                    names |= UNLIKELY.intersection(words)
     return False, names
 
 
-def blocks(page: str) -> list[tuple[Node, str, int, list[Node]]]:
-    """The text blocks in page order: their element, their text, its characters inside links and the parts around it that names mark."""
+def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int, Node]]]:
+    """All elements, parents first, and the text blocks in page order: their block element, their text, its characters inside links and their element."""
     at, here = 0, Node("html", None, False)
+    nodes = [here]
     held: list[str] = []
-    found: list[tuple[Node, str, int, list[Node]]] = []
+    found: list[tuple[Node, str, int, Node]] = []
     linked, link = 0, 0
+    open_: dict[str, int] = {"html": 1}
 
     def end_block() -> None:
         nonlocal linked
         if held:
             text = " ".join("".join(held).split())
             if text and not here.out:
-                found.append((block_of(here), text, min(linked, len(text)), [n for n in here.up() if n.names]))
+                found.append((here.block, text, min(linked, len(text)), here))
             held.clear()
         linked = 0
 
-    def block_of(n: Node) -> Node:
-        while n.tag not in BLOCK:
-            n = n.parent
-        return n
-
     def add(raw: str) -> None:
         nonlocal linked
         if raw and not here.out:
@@ -118,6 +136,16 @@ def blocks(page: str) -> list[tuple[Node, str, int, list[Node]]]:
             held.append(text)
             linked += link and len(text)
 
+    def close(n: Node) -> None:
+        """Close n and what is open inside it."""
+        nonlocal here, link
+        while True:
+            link -= here.tag == "a"
+            open_[here.tag] -= 1
+            last, here = here, here.parent
+            if last is n:
+                return
+
     size = len(page)
     while at < size:
         m = TAG.search(page, at)
@@ -130,17 +158,15 @@ def blocks(page: str) -> list[tuple[Node, str, int, list[Node]]]:
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
-            if tag == "p" and not any(n.tag == "p" for n in here.up()):
-                end_block()
+            if not open_.get(tag):
+                if tag == "p":
+                    end_block()
+                continue
             for n in here.up():
                 if n.tag == tag and n.parent is not None:
                     if tag in BLOCK or n.out or n.names:
                         end_block()
-                    while here is not n:
-                        link -= here.tag == "a"
-                        here = here.parent
-                    link -= tag == "a"
-                    here = n.parent
+                    close(n)
                     break
                 if n.tag in BLOCK and tag not in BLOCK:
                     break
@@ -160,72 +186,80 @@ def blocks(page: str) -> list[tuple[Node, str, int, list[Node]]]:
             end_block()
         if tag in CLOSES_P or tag in SAME:
             stop, same = SCOPE.get(tag, KEPT_WHOLE | {"table", "div", "section"}), SAME.get(tag, {"p"})
-            for n in here.up():
-                if n.tag in stop or n.parent is None:
-                    break
-                if n.tag in same:
-                    while here is not n:
-                        link -= here.tag == "a"
-                        here = here.parent
-                    here = n.parent
-                    break
-        inside = any(n.tag in ("article", "main") for n in here.up()) if tag == "header" else False
-        out = here.out or tag in LEFT_OUT or (tag == "header" and not inside)
-        hidden, names = read_attributes(tag, attributes)
-        out = out or hidden
+            if any(map(open_.get, same)):
+                for n in here.up():
+                    if n.tag in stop or n.parent is None:
+                        break
+                    if n.tag in same:
+                        close(n)
+                        break
+        inside = bool(open_.get("article") or open_.get("main"))
+        hidden, names = read_attributes(tag, attributes, inside)
+        out = here.out or tag in LEFT_OUT or (tag == "header" and not inside) or hidden
         if names or (out and not here.out):
             end_block()
         here = Node(tag, here, out, names)
+        nodes.append(here)
+        open_[tag] = open_.get(tag, 0) + 1
         if tag == "main" and not out:
-            for n in here.up():
+            for n in here.parent.up():
+                if n.main:
+                    break
                 n.main = True
         link += tag == "a"
     end_block()
-    return found
+    return nodes, found
 
 
-def without_named(found: list[tuple[Node, str, int, list[Node]]]) -> list[tuple[Node, str, int, list[Node]]]:
-    """The blocks that lie in no part which its name leaves out."""
-    for node, text, linked, _ in found:
-        if node.tag in PARAGRAPH:
-            for n in node.up():
-                n.prose += len(text) - linked
+def to_parents(nodes: list[Node], *sums: str) -> None:
+    """Make each element's sums those of all it holds."""
+    for n in reversed(nodes):
+        if n.parent is not None:
+            for s in sums:
+                setattr(n.parent, s, getattr(n.parent, s) + getattr(n, s))
 
-    def whole(n: Node) -> bool:
-        around = next((x for x in n.parent.up() if x.tag in ("article", "main") or x.parent is None), n)
-        return n.main or (2 * n.prose > around.prose and not n.names & WITH_ARTICLE)
 
-    return [b for b in found if all(map(whole, b[3]))]
-
-
-def kept_blocks(found: list[tuple[Node, str, int, list[Node]]]) -> str:
-    seen: dict[int, Node] = {}
+def without_named(nodes: list[Node], found: list[tuple[Node, str, int, Node]]) -> list[tuple[Node, str, int, Node]]:
+    """The blocks that lie in no part which its name leaves out."""
     for node, text, linked, _ in found:
-        for n in node.up():
-            n.points, n.chars, n.links = 0.0, 0, 0
+        if node.tag in PARAGRAPH:
+            node.prose += len(text) - linked
+    to_parents(nodes, "prose")
+    for n in nodes:  # parents first
+        n.whole = n.parent.whole if n.parent is not None else True
+        if n.names and n.whole:
+            n.whole = n.main or (2 * n.prose > n.region.prose and not n.names & WITH_ARTICLE)
+    return [b for b in found if b[3].whole]
+
+
+def kept_blocks(nodes: list[Node], found: list[tuple[Node, str, int, Node]]) -> str:
+    for n in nodes:
+        n.points, n.chars, n.links, n.seen, n.own, n.found = 0.0, 0, 0, False, None, False
     for node, text, linked, _ in found:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         start = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
-        for level, n in enumerate(start.up()):
+        for level, n in zip(range(LEVELS), start.up()):  # noqa: B905  there may be fewer
             n.points += points * (1 - linked / len(text)) / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            seen[id(n)] = n
-        for n in node.up():
-            n.chars += len(text)
-            n.links += linked
-    best = max(seen.values(), key=Node.score)
+            n.seen = True
+        node.chars += len(text)
+        node.links += linked
+        node.found = True
+    to_parents(nodes, "chars", "links")
+    best = max((n for n in nodes if n.seen), key=Node.score)
     best = next((n for n in best.up() if n.tag in ("article", "main")), best)
     keep = {id(best)}
     if best.parent is not None:
         least = best.score() * 0.2
         beside: dict[int, Node] = {}
+        for n in nodes:  # own: the child of the best part's parent that an element is in
+            n.own = n if n.parent is best.parent else n.parent.own if n.parent is not None else None
         for node, text, linked, _ in found:
-            chain = list(node.up())
-            for n in chain:
-                if n.parent is best.parent:
-                    beside[id(n)] = n
-                    prose = n.tag == "p" and linked < 0.25 * len(text) and (len(text) > 80 or text.endswith((".", "!", "?")))
-                    if n.score() >= least or prose:
-                        keep.add(id(n))
+            n = node.own
+            if n is not None:
+                beside[id(n)] = n
+                prose = n.tag == "p" and linked < 0.25 * len(text) and (len(text) > 80 or text.endswith((".", "!", "?")))
+                if n.score() >= least or prose:
+                    keep.add(id(n))
         if best.tag not in ("article", "main"):
             for row in (list(beside.values()), list(beside.values())[::-1]):
                 run: list[Node] = []
@@ -239,15 +273,17 @@ def kept_blocks(found: list[tuple[Node, str, int, list[Node]]]) -> str:
                             run.pop()  # a heading goes with what follows it
                         keep.update(map(id, run))
                     near, run = n is not None and id(n) in keep, []
-    return " ".join(text for node, text, _, _ in found if any(id(n) in keep for n in node.up()))
+    for n in nodes:
+        n.kept = id(n) in keep or (n.parent is not None and n.parent.kept)
+    return " ".join(text for node, text, _, _ in found if node.kept)
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    left = without_named(found)
-    text = kept_blocks(left) if left else ""
+    nodes, found = blocks(page or "")
+    left = without_named(nodes, found)
+    text = kept_blocks(nodes, left) if left else ""
     if len(left) < len(found) and len(text) < LITTLE:
-        every = kept_blocks(found)
+        every = kept_blocks(nodes, found)
         if len(every) > 4 * len(text):
             return every
     return text

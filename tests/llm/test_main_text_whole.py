@@ -21,3 +21,54 @@ PAGES = [
 @pytest.mark.parametrize(("page", "want"), PAGES)
 def test_main_text_is_whole(page, want):
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article><p>{LONG}</p><div class="notice-period"><p>A notice period of a month.</p></div><section id="related-work"><h2>Related work</h2><p>{LONG}</p></section></article>', f"{LONG} A notice period of a month. Related work {LONG}"),
+        (f'<article><p>{LONG}</p><div class="related-posts"><p>Another post</p></div><div class="ad-slot-2">Buy!</div><div class="share">Share</div></article>', LONG),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>+</mo><mi>y</mi><annotation>x+y</annotation></math></p></article>", f"{LONG} x+y"),
+    ],
+)
+def test_names_inside_an_article(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "b", "ul><li", "p", "blockquote", "main"])
+def test_deep_nesting_is_linear(tag):
+    import time
+
+    opened = f"<{tag}>" * 100_000
+    started = time.process_time()
+    assert LONG in main_text(f"<body>{opened}<p>{LONG}</p>")
+    main_text(f"<body>{opened}<p>{LONG}</p>" + f"</{tag.split('>')[0]}><i>text</i>" * 20_000)
+    assert time.process_time() - started < 8
+
+
+def test_random_pages():
+    """Pages built around an article, with furniture before, inside and after it, give the article's blocks in order."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "caf&eacute;", "x &lt; y", "one, two", "e&#110;d."])
+    plain = lambda t: " ".join(t.replace("&eacute;", "é").replace("&lt;", "<").replace("&#110;", "n").split())
+    text = lambda n: " ".join(word() for _ in range(n))
+    furniture = [
+        lambda: f"<nav><ul><li><a href=x>{text(2)}</a></ul></nav>", lambda: f"<div class='ad-slot'>{text(9)}</div>", lambda: f"<aside><p>{text(30)}</p></aside>", lambda: f"<form><input><label>{text(3)}</label></form>",
+        lambda: f"<script>var s = '<p>{text(5)}</p>';</script>", lambda: f"<div hidden><p>{text(20)}</p></div>", lambda: f"<section class=\"comments\"><p>{text(40)}</p></section>", lambda: f"<!-- {text(3)} -->", lambda: f"<footer>{text(6)}</footer>",
+    ]
+    for n in range(150):
+        pieces, want = [], []
+        for _ in range(rng.randint(2, 9)):
+            t = text(rng.randint(12, 60))
+            tag = rng.choice(["p", "p", "p", "h2", "blockquote", "li", "pre", "td"])
+            before, after = {"li": ("<ul><li>", "</ul>"), "td": ("<table><tr><td>", "</table>")}.get(tag, (f"<{tag}>", f"</{tag}>"))
+            pieces.append(before + t.replace(" ", rng.choice([" ", "\n  ", " <b>&nbsp;</b>", " "]), 1) + after)
+            want.append(plain(t))
+            if rng.random() < 0.3:
+                pieces.append(rng.choice(furniture)())
+        around = [rng.choice(furniture)() for _ in range(4)]
+        deep = rng.randint(0, 4)
+        page = f"<html><head><title>{text(3)}</title></head><body>{''.join(around[:2])}{'<div>' * deep}<article>{''.join(pieces)}</article>{'</div>' * deep}{''.join(around[2:])}</body></html>"
+        assert main_text(page).replace("\xa0", " ").split() == " ".join(want).split(), page
