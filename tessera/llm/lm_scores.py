@@ -19,9 +19,9 @@ state that the tokens before it lead to; where there is none, failure arcs are
 followed to shorter contexts and their weights added.
 
 The automaton grows with the corpus, so no task holds it. Blocks of documents ask
-for the counts of their distinct pairs; then for the counts and shares of their words
-and the counts of those triples whose pairs are both kept; then for the shares of their
-kept pairs. Each block thus gets the part of the automaton that its texts run through.
+for the counts of their distinct pairs; then for the counts of those triples whose pairs
+are both kept; then for the shares of their kept pairs, and for the counts and shares of
+their words. Each block thus gets the part of the automaton that its texts run through.
 Of the blocks that have a kept n-gram one is told to add it to its context's share.
 Keys are 64-bit hashes.
 
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWERED, QUESTIONS, answered, dealt, for_blocks, gathered, in_blocks, opened, questions, squeezed
-from .common import drop, keep_docs
+from .common import keep_docs
 from .jaccard_join import WordHashes, mix
 
 #: The end token: no word has a space in it.
@@ -173,12 +173,16 @@ def score(docs: DataFrame) -> DataFrame:
         c = whole(x.trained, x.pair, len(x.distinct))
         yield questions(b, PAIRS, dealt(x.pair_key[x.order], parts, c[x.order]))
 
-    def ask_words_and_triples(b: int, got: dict, data: bytes):
+    def ask_words(b: int, got: dict, data: bytes):
         x = Block(data)
         x.pairs(got)
         m = len(x.vocabulary)
         own = np.flatnonzero(x.mine2)
         yield questions(b, WORDS, dealt(x.vocabulary, parts, whole(x.trained, x.ids, m), whole(x.c2[own], x.pv[own], m), np.bincount(x.pv[own], minlength=m)))
+
+    def ask_triples(b: int, got: dict, data: bytes):
+        x = Block(data)
+        x.pairs(got)
         c = whole(x.trained[x.at3], x.triple, len(x.triple_key))
         yield questions(b, TRIPLES, dealt(x.triple_key[x.order3], parts, c[x.order3]))
 
@@ -190,10 +194,10 @@ def score(docs: DataFrame) -> DataFrame:
         yield questions(b, CONTEXTS, dealt(x.pair_key[x.states], parts, whole(x.c3[own], x.context3[own], n)[x.states], np.bincount(x.context3[own], minlength=n)[x.states]))
 
     pairs = answered(for_blocks(blocks, "data", [], ask_pairs, QUESTIONS), parts, {PAIRS: counted})
-    words = answered(for_blocks(blocks, "data", [pairs], ask_words_and_triples, QUESTIONS), parts, {WORDS: summed, TRIPLES: counted})
-    distinct = words.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    triples = words.filter(F.col("kind") == TRIPLES)
+    triples = answered(for_blocks(blocks, "data", [pairs], ask_triples, QUESTIONS), parts, {TRIPLES: counted})
     contexts = answered(for_blocks(blocks, "data", [pairs, triples], ask_contexts, QUESTIONS), parts, {CONTEXTS: summed})
+    words = answered(for_blocks(blocks, "data", [pairs], ask_words, QUESTIONS), parts, {WORDS: summed})
+    distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def read(b: int, got: dict, data: bytes):
         x = Block(data)
@@ -223,5 +227,5 @@ def score(docs: DataFrame) -> DataFrame:
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    done = for_blocks(blocks, "data", [pairs, words, contexts], read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = for_blocks(blocks, "data", [pairs, triples, words, contexts], read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
