@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, power_db, ratio_db, rms
+from .temporal import previous
 
 
 def reconstruction_error(df: DataFrame, by: Sequence[str], original: str, rebuilt: str) -> DataFrame:
@@ -16,7 +17,8 @@ def reconstruction_error(df: DataFrame, by: Sequence[str], original: str, rebuil
 
 
 def si_sdr(df: DataFrame, by: Sequence[str], reference: str, estimate: str) -> DataFrame:
-    """si_sdr_db and gain: both centred, the estimate's part along the reference against the rest.
+    """si_sdr_db and gain: both centred, the estimate's part along the reference against the rest; not a number for a
+    reference without energy, infinite where nothing is left over, minus infinite where all is.
 
     The rest is summed in a second pass; the closed form of one pass cancels at high ratios."""
     w = Window.partitionBy(*by)
@@ -24,9 +26,10 @@ def si_sdr(df: DataFrame, by: Sequence[str], reference: str, estimate: str) -> D
     centred = df.withColumn("_r", r - F.avg(r).over(w)).withColumn("_e", e - F.avg(e).over(w))
     alpha = F.sum(F.col("_r") * F.col("_e")).over(w) / F.greatest(F.sum(F.col("_r") * F.col("_r")).over(w), F.lit(EPS))
     both = centred.withColumn("_s", alpha * F.col("_r")).withColumn("_n", F.col("_e") - F.col("_s"))
-    signal, noise = F.sum(F.col("_s") * F.col("_s")), F.sum(F.col("_n") * F.col("_n"))
+    signal, noise, level = (F.sum(F.col(c) * F.col(c)) for c in ("_s", "_n", "_r"))
     gain = F.sum(r * e) / F.greatest(F.sum(e * e), F.lit(EPS))
-    return both.groupBy(*by).agg(F.when((signal > EPS) & (noise > EPS), 10 * F.log10(signal / noise)).alias("si_sdr_db"), gain.alias("gain"))
+    db = F.when(level < EPS, F.lit(float("nan"))).when(noise < EPS, F.lit(float("inf"))).when(signal < EPS, F.lit(float("-inf"))).otherwise(10 * F.log10(signal / noise))
+    return both.groupBy(*by).agg(db.alias("si_sdr_db"), gain.alias("gain"))
 
 
 def gated_loudness(df: DataFrame, by: Sequence[str], at: str, power: str, block: int = 4, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
@@ -71,10 +74,9 @@ def tempo_map(df: DataFrame, by: Sequence[str], at: str, beats: int) -> DataFram
     return rated.withColumn("bpm", F.coalesce("_bpm", F.lag("_bpm").over(w))).drop("_bpm")
 
 
-def onset_rate(df: DataFrame, by: Sequence[str], order: Sequence[str], t: str, value: str, least: float) -> DataFrame:
-    """onsets and their rate per minute: rises of at least `least` over the row before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rise = df.withColumn("_up", F.col(value) - F.lag(value).over(w) >= least)
+def onset_rate(df: DataFrame, by: Sequence[str], order: Sequence[str], t: str, value: str, least: float, slice_: Column) -> DataFrame:
+    """onsets and their rate per minute: rises of at least `least` over the row before; slices of time part large keys."""
+    rise = previous(df, by, order, value, slice_, "_before").withColumn("_up", F.col(value) - F.col("_before") >= least)
     minutes = (F.max(t) - F.min(t)) / 60.0
     return rise.groupBy(*by).agg(F.count_if("_up").alias("onsets"), F.when(minutes > EPS, F.count_if("_up") / minutes).alias("per_minute"))
 
@@ -150,15 +152,19 @@ def spectrum_gap(df: DataFrame, by: Sequence[str], freq: str, a: str, b: str, lo
 
 
 def scores_by_concept(rows: DataFrame, vector: str, label: str, sharpness: float = 10.0) -> DataFrame:
-    """Per label, the best softmax score that any vector gives its unit centroid (cosine x sharpness)."""
-    long = rows.select(label, "vec_id", F.posexplode(vector).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    centre = long.groupBy(label, "d").agg(F.avg("x").alias("c"))
-    norm = centre.groupBy(label).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("cn"))
-    # labels are few: their centroids are the small side of an equal join on the dimension
-    dots = long.drop(label).join(centre, "d").groupBy("vec_id", label).agg(F.sum(F.col("x") * F.col("c")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("xn"))
-    cos = dots.join(norm, label).withColumn("_e", F.exp(sharpness * F.col("dot") / F.greatest(F.col("cn") * F.col("xn"), F.lit(EPS))))
-    soft = cos.withColumn("_p", F.col("_e") / F.sum("_e").over(Window.partitionBy("vec_id")))
-    return soft.groupBy(label).agg(F.max("_p").alias("best"), F.avg("_p").alias("mean"))
+    """Per label, the best softmax score that any vector gives its unit centroid (cosine x sharpness).
+
+    Labels are few: their centroids go to the vectors as one row of arrays, so no vector is shuffled."""
+    long = rows.select(label, F.posexplode(vector).alias("d", "x")).groupBy(label, "d").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    centre = long.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("d", "c"))).alias("c")).select(label, F.transform("c", lambda x: x["c"]).alias("c"))
+    concepts = centre.select(F.struct(label, "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("cn")).alias("k")).groupBy().agg(F.collect_list("k").alias("_all"))
+    x = F.transform(vector, lambda v: v.cast("double"))
+    scored = rows.select(x.alias("_x")).withColumn("_xn", F.sqrt(dot(F.col("_x"), F.col("_x")))).join(F.broadcast(concepts))  # one row is broadcast
+    scored = scored.select(F.transform("_all", lambda k: F.struct(k[label].alias(label), F.exp(sharpness * dot(F.col("_x"), k["c"]) / F.greatest(k["cn"] * F.col("_xn"), F.lit(EPS))).alias("e"))).alias("_s"))
+    total = F.aggregate("_s", F.lit(0.0), lambda acc, k: acc + k["e"])
+    each = scored.withColumn("_total", total).select(F.explode("_s").alias("k"), "_total").select(F.col(f"k.{label}").alias(label), (F.col("k.e") / F.col("_total")).alias("_p"))
+    return each.groupBy(label).agg(F.max("_p").alias("best"), F.avg("_p").alias("mean"))
 
 
 def level_column(c: Column) -> Column:

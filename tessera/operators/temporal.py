@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,27 +79,44 @@ def merge_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], label: st
 
 
 def absorb_short_runs(labels: list, least: int) -> list:
-    """The shortest run under `least` joins its longer neighbour (of equal ones the previous), again and again."""
-    runs: list[list] = []
+    """The shortest run under `least` (the first of equal ones) joins its longer neighbour (of equal ones the previous), again and again."""
+    runs: list[list] = []  # label, size, previous, next; neighbours are numbers of runs
     for x in labels:
         if runs and runs[-1][0] == x:
             runs[-1][1] += 1
         else:
-            runs.append([x, 1])
-    while len(runs) > 1:
-        k = min(range(len(runs)), key=lambda j: runs[j][1])
-        if runs[k][1] >= least:
+            runs.append([x, 1, len(runs) - 1, len(runs) + 1])
+    end = len(runs)
+    queue = [(r[1], k) for k, r in enumerate(runs)]
+    heapq.heapify(queue)
+    left = end
+
+    def remove(k: int) -> None:
+        nonlocal left
+        _, _, before, after = runs[k]
+        runs[k][1] = 0
+        left -= 1
+        if before >= 0:
+            runs[before][3] = after
+        if after < end:
+            runs[after][2] = before
+
+    while left > 1:
+        size, k = heapq.heappop(queue)
+        if not runs[k][1] or size != runs[k][1]:
+            continue  # merged or grown since
+        if size >= least:
             break
-        before, after = (runs[k - 1][1] if k else -1), (runs[k + 1][1] if k + 1 < len(runs) else -1)
-        j = k - 1 if before >= after else k + 1
-        runs[j][1] += runs[k][1]
-        del runs[k]
-        at = max(1, min(k, len(runs) - 1))
-        for m in (at, at - 1):
-            if 0 < m < len(runs) and runs[m][0] == runs[m - 1][0]:
-                runs[m - 1][1] += runs[m][1]
-                del runs[m]
-    return [x for x, n in runs for _ in range(n)]
+        _, _, before, after = runs[k]
+        into = before if before >= 0 and (after >= end or runs[before][1] >= runs[after][1]) else after
+        runs[into][1] += size
+        remove(k)
+        if before >= 0 and after < end and runs[before][0] == runs[after][0]:
+            runs[before][1] += runs[after][1]
+            remove(after)
+            into = before
+        heapq.heappush(queue, (runs[into][1], into))
+    return [x for x, n, *_ in runs for _ in range(n)]
 
 
 def min_run_merge(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, least: int) -> DataFrame:
@@ -126,3 +144,17 @@ def moving_median(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     first, last = F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     padded = F.concat(F.array_repeat(first, F.greatest(F.lit(0), half + 1 - place)), near, F.array_repeat(last, F.greatest(F.lit(0), place + half - size).cast("int")))
     return F.get(F.array_sort(padded), F.lit(half))
+
+
+def previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, slice_: Column, out: str) -> DataFrame:
+    """df with out: the value of the row before, null for the first. Windows run within slices (which must grow with the
+    order), so a key that very many rows have is worked on by many tasks; each slice's last value is carried to the next one."""
+    keys = list(by)
+    sliced = df.withColumn("_slice", slice_)
+    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))  # one row a slice
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_last")
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    first = F.row_number().over(w) == 1
+    within = sliced.withColumn("_first", first).withColumn("_within", F.lag(value).over(w))
+    joined = within.join(carried, [*keys, "_slice"])
+    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carried")["v"]).otherwise(F.col("_within"))).drop("_slice", "_first", "_within", "_carried")

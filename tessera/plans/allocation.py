@@ -128,8 +128,8 @@ def recon_error(spark, sf_dir):
 
 @query(f"""WITH {HOURLY}, h AS (SELECT hour // 24 AS day, hour, CAST(coalesce(sum(amount) FILTER (part = 'view'), 0) AS DOUBLE) AS r, CAST(sum(amount) FILTER (part IN ('view', 'click')) AS DOUBLE) AS e FROM hp WHERE part IN ('view', 'click') GROUP BY 1, 2),
 c AS (SELECT *, r - avg(r) OVER (PARTITION BY day) AS rc, e - avg(e) OVER (PARTITION BY day) AS ec FROM h), a AS (SELECT *, sum(rc * ec) OVER (PARTITION BY day) / greatest(sum(rc * rc) OVER (PARTITION BY day), 1e-10) AS al FROM c),
-f AS (SELECT day, sum(al * rc * al * rc) AS s, sum((ec - al * rc) * (ec - al * rc)) AS n, sum(r * e) / greatest(sum(e * e), 1e-10) AS gain FROM a GROUP BY day)
-SELECT day, round(CASE WHEN s > 1e-10 AND n > 1e-10 THEN 10 * log10(s / n) END, 6) AS si_sdr_db, round(gain, 6) AS gain FROM f""")
+f AS (SELECT day, sum(rc * rc) AS rr, sum(al * rc * al * rc) AS s, sum((ec - al * rc) * (ec - al * rc)) AS n, sum(r * e) / greatest(sum(e * e), 1e-10) AS gain FROM a GROUP BY day)
+SELECT day, round(CASE WHEN rr < 1e-10 THEN 'nan'::DOUBLE WHEN n < 1e-10 THEN 'inf'::DOUBLE WHEN s < 1e-10 THEN '-inf'::DOUBLE ELSE 10 * log10(s / n) END, 6) AS si_sdr_db, round(gain, 6) AS gain FROM f""")
 def si_sdr(spark, sf_dir):
     """Scale-invariant ratio of a mixed estimate to its reference, and the gain that fits them, per day."""
     of = lambda parts: F.coalesce(F.sum(F.when(F.col("part").isin(*parts), F.col("amount"))), F.lit(0)).cast("double")
@@ -204,7 +204,7 @@ def relative_level(spark, sf_dir):
 @query(f"""WITH {EV}, u AS (SELECT user_id, t, value - lag(value) OVER (PARTITION BY user_id ORDER BY us, event_id) >= 100 AS up FROM ev), g AS (SELECT user_id, count(*) FILTER (up) AS onsets, (max(t) - min(t)) / 60.0 AS m FROM u GROUP BY 1)
 SELECT user_id, onsets, round(CASE WHEN m > 1e-10 THEN onsets / m END, 9) AS per_minute FROM g""")
 def event_rate(spark, sf_dir):
-    return me.onset_rate(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "t", "value", 100).select("user_id", "onsets", F.round("per_minute", 9).alias("per_minute"))
+    return me.onset_rate(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "t", "value", 100, F.expr("hour div 24")).select("user_id", "onsets", F.round("per_minute", 9).alias("per_minute"))
 
 
 @query("""WITH o AS (SELECT l_suppkey, l_returnflag AS part, l_linenumber AS harmonic, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1, 2, 3), s AS (SELECT *, m / sum(m) OVER (PARTITION BY l_suppkey, part) AS q FROM o),
@@ -231,11 +231,14 @@ def sibling_bleed(spark, sf_dir):
     return me.best_sibling(d, ["user_id"], "part", "day", "v").select("user_id", "part", F.col("likeness").alias("bleed"))
 
 
-@query(f"""WITH {HOURLY}, g AS (SELECT part, d.d AS day, h.h AS hod FROM (SELECT DISTINCT part FROM hp), (SELECT unnest(range(0, (SELECT max(hour) // 24 + 1 FROM hp))) AS d) d, (SELECT unnest(range(0, 24)) AS h) h),
+ISOLATION = """g AS (SELECT part, d.d AS day, h.h AS hod FROM (SELECT DISTINCT part FROM hp), (SELECT unnest(range(0, (SELECT max(hour) // 24 + 1 FROM hp))) AS d) d, (SELECT unnest(range(0, 24)) AS h) h),
 f AS (SELECT g.part, day, hod, coalesce(CAST(amount AS DOUBLE), 0.0) AS v FROM g LEFT JOIN hp ON hp.part = g.part AND hour = day * 24 + hod), m AS (SELECT part, max(v) AS peak, max(day) AS last FROM f GROUP BY part),
 s AS (SELECT f.part, day, hod, last, v / greatest(peak, 1e-10) AS s FROM f JOIN m USING (part)),
-l AS (SELECT a.part, a.day, a.hod, a.s, avg(b.s) AS local FROM s a, (SELECT unnest(range(-1, 2)) AS i) i, (SELECT unnest(range(-2, 3)) AS j) j JOIN s b ON true WHERE b.part = a.part AND b.day = greatest(0, least(a.last, a.day + i.i)) AND b.hod = greatest(0, least(23, a.hod + j.j)) GROUP BY 1, 2, 3, 4)
-SELECT part, round(least(1.0, 1.8 * coalesce(avg(CASE WHEN s > 0.05 THEN greatest(0.0, least(1.0, 1 - local / (s + 1e-10))) END), 0.0)), 6) AS isolation FROM l GROUP BY part""")
+l AS (SELECT a.part, a.day, a.hod, a.s, avg(b.s) AS local FROM s a, (SELECT unnest(range(-1, 2)) AS i) i, (SELECT unnest(range(-2, 3)) AS j) j JOIN s b ON true WHERE b.part = a.part AND b.day = greatest(0, least(a.last, a.day + i.i)) AND b.hod = greatest(0, least(23, a.hod + j.j)) GROUP BY 1, 2, 3, 4),
+iso AS (SELECT part, round(least(1.0, 1.8 * coalesce(avg(CASE WHEN s > 0.05 THEN greatest(0.0, least(1.0, 1 - local / (s + 1e-10))) END), 0.0)), 6) AS isolation FROM l GROUP BY part)"""
+
+
+@query(f"WITH {HOURLY}, {ISOLATION} SELECT * FROM iso")
 def isolation_score(spark, sf_dir):
     """How much loud cells of each part's day by hour grid stand alone."""
     h = hourly(spark, sf_dir)

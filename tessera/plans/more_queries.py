@@ -68,6 +68,6 @@ def satb_styled(spark, sf_dir):
 @query(f"""WITH {EV}, u AS (SELECT part, hour // 24 AS day, value - lag(value) OVER (PARTITION BY part ORDER BY us, event_id) AS d, value FROM ev) SELECT part, day, round(avg(CASE WHEN d > 0 THEN d ELSE 0 END), 6) AS flux, count(*) AS n FROM u GROUP BY 1, 2""")
 def daily_flux(spark, sf_dir):
     """Mean rise from each event to the next, per part and day."""
-    d = F.col("value") - F.lag("value").over(Window.partitionBy("part").orderBy("us", "event_id"))
-    e = events(spark, sf_dir).withColumn("d", d).withColumn("day", F.expr("hour div 24"))
-    return e.groupBy("part", "day").agg(r6(F.avg(F.when(F.col("d") > 0, F.col("d")).otherwise(0.0))).alias("flux"), F.count("*").alias("n"))
+    e = te.previous(events(spark, sf_dir).withColumn("day", F.expr("hour div 24")), ["part"], ["us", "event_id"], "value", F.col("day"), "before")
+    d = F.col("value") - F.col("before")
+    return e.groupBy("part", "day").agg(r6(F.avg(F.when(d > 0, d).otherwise(0.0))).alias("flux"), F.count("*").alias("n"))

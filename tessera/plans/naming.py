@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.numeric import exact, reasons
 from ..operators import judge as ju
 from ..operators import metrics as me
+from .allocation import ISOLATION, isolation_score
 from .base import HOURLY, REV, events, hourly, query, r6, revenue, table
 
 
@@ -144,7 +145,7 @@ def presence_verdict(spark, sf_dir):
     level = h.join(mix, "hour").groupBy("part").agg((20 * F.log10(F.sqrt(F.avg(F.col("v") * F.col("v"))) / F.sqrt(F.avg(F.col("m") * F.col("m"))))).alias("energy_db"))
     inside = (F.col("hour") % 24 >= 6) & (F.col("hour") % 24 < 18)
     band = h.groupBy("part").agg((F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)).cast("double") / F.sum("amount").cast("double")).alias("band"))
-    onset = me.onset_rate(events(spark, sf_dir), ["part"], ["us", "event_id"], "t", "value", 100)
+    onset = me.onset_rate(events(spark, sf_dir), ["part"], ["us", "event_id"], "t", "value", 100, F.expr("hour div 24"))
     n = h.select("part").distinct()  # keeps the part's row without events
     size = events(spark, sf_dir).groupBy("part").agg(F.count("*").alias("size"))
     shape = onset.join(size, "part").select("part", F.least(F.lit(1.0), F.col("onsets") / 1000.0).alias("onset"), (1 - F.col("onsets") / F.col("size")).alias("harmonic"))
@@ -154,24 +155,25 @@ def presence_verdict(spark, sf_dir):
     return ju.presence(x).select("part", "confidence", "decision", "why", second.alias("second"), decision.alias("second_decision"))
 
 
-@query(f"""WITH {HOURLY}, mix AS (SELECT hour, CAST(sum(amount) AS DOUBLE) AS m FROM hp GROUP BY hour), p AS (SELECT a.part, max(round(r, 6)) AS bleed FROM (SELECT a.part, b.part AS o, abs(corr(CAST(a.amount AS DOUBLE), CAST(b.amount AS DOUBLE))) AS r FROM hp a JOIN hp b ON a.hour = b.hour AND a.part <> b.part GROUP BY 1, 2) a GROUP BY 1),
-f AS (SELECT part, avg(CAST(amount AS DOUBLE) * CAST(amount AS DOUBLE)) / avg(m * m) AS full_, round(stddev_pop(CAST(amount AS DOUBLE)) / avg(CAST(amount AS DOUBLE)), 6) AS art FROM hp JOIN mix USING (hour) GROUP BY part)
-SELECT part, bleed, round(full_, 6) AS fullness, CASE WHEN bleed < 0.35 AND art < 0.35 AND full_ > 0.02 THEN 'good' WHEN bleed < 0.65 AND art < 0.6 THEN 'usable' ELSE 'rough' END AS verdict,
-coalesce(nullif(concat_ws('; ', CASE WHEN bleed >= 0.35 THEN 'bleeds into a sibling' END, CASE WHEN art >= 0.35 THEN 'isolated cells' END, CASE WHEN full_ <= 0.02 THEN 'thin' END), ''), 'clean') AS notes FROM p JOIN f USING (part)""")
+@query(f"""WITH {HOURLY}, {ISOLATION}, mix AS (SELECT hour, CAST(sum(amount) AS DOUBLE) AS m FROM hp GROUP BY hour), p AS (SELECT a.part, max(round(r, 6)) AS bleed FROM (SELECT a.part, b.part AS o, abs(corr(CAST(a.amount AS DOUBLE), CAST(b.amount AS DOUBLE))) AS r FROM hp a JOIN hp b ON a.hour = b.hour AND a.part <> b.part GROUP BY 1, 2) a GROUP BY 1),
+fu AS (SELECT part, avg(CAST(amount AS DOUBLE) * CAST(amount AS DOUBLE)) / avg(m * m) AS full_, any_value(isolation) AS art FROM hp JOIN mix USING (hour) JOIN iso USING (part) GROUP BY part)
+SELECT part, bleed, art AS artifact, round(full_, 6) AS fullness, CASE WHEN bleed < 0.35 AND art < 0.35 AND full_ > 0.02 THEN 'good' WHEN bleed < 0.65 AND art < 0.6 THEN 'usable' ELSE 'rough' END AS verdict,
+coalesce(nullif(concat_ws('; ', CASE WHEN bleed >= 0.35 THEN 'bleeds into a sibling' END, CASE WHEN art >= 0.35 THEN 'isolated cells' END, CASE WHEN full_ <= 0.02 THEN 'thin' END), ''), 'clean') AS notes FROM p JOIN fu USING (part)""")
 def quality_verdict(spark, sf_dir):
     h = hourly(spark, sf_dir).withColumn("v", F.col("amount").cast("double"))
     mix = h.groupBy("hour").agg(F.sum("amount").cast("double").alias("m"))
     v, m = F.col("v"), F.col("m")
-    full = h.join(mix, "hour").groupBy("part").agg((F.avg(v * v) / F.avg(m * m)).alias("full"), r6(F.stddev_pop("v") / F.avg("v")).alias("art"))
+    full = h.join(mix, "hour").groupBy("part").agg((F.avg(v * v) / F.avg(m * m)).alias("full")).join(isolation_score(spark, sf_dir).withColumnRenamed("isolation", "art"), "part")
     bleed = me.best_sibling(h.withColumn("root", F.lit(1)), ["root"], "part", "hour", "v").select("part", F.col("likeness").alias("bleed"))
     verdict, notes = ju.quality(F.col("bleed"), F.col("art"), F.col("full"))
-    return full.join(bleed, "part").select("part", "bleed", r6(F.col("full")).alias("fullness"), verdict.alias("verdict"), notes.alias("notes"))
+    return full.join(bleed, "part").select("part", "bleed", F.col("art").alias("artifact"), r6(F.col("full")).alias("fullness"), verdict.alias("verdict"), notes.alias("notes"))
 
 
-@query(f"""WITH {REV}, c AS (SELECT s_nationkey AS nation, month, l_quantity, price, l_extendedprice, l_discount FROM li JOIN supplier ON s_suppkey = l_suppkey), m AS (SELECT nation, max(price) AS peak FROM c GROUP BY 1),
+@query(f"""WITH {REV}, c AS (SELECT s_nationkey AS nation, month, l_linenumber, l_quantity, price, l_extendedprice, l_discount FROM li JOIN supplier ON s_suppkey = l_suppkey), m AS (SELECT nation, max(price) AS peak FROM c GROUP BY 1),
+lr AS (SELECT nation, month, CAST(coalesce(sum(price) FILTER (l_linenumber % 2 = 0), 0) AS DOUBLE) AS l, CAST(coalesce(sum(price) FILTER (l_linenumber % 2 = 1), 0) AS DOUBLE) AS r FROM c GROUP BY 1, 2), wd AS (SELECT nation, sqrt(avg(pow((l - r) / 2, 2))) / (sqrt(avg(pow((l + r) / 2, 2))) + 1e-10) AS wide FROM lr GROUP BY 1),
 g AS (SELECT c.nation, avg(CASE WHEN price > 0.02 * peak THEN 1.0 ELSE 0.0 END) AS occ, quantile_cont(l_extendedprice, 0.995) / quantile_cont(l_extendedprice, 0.5) AS cr, greatest(CAST(coalesce(sum(price) FILTER (l_quantity < 11), 0) AS DOUBLE), CAST(coalesce(sum(price) FILTER (l_quantity >= 11 AND l_quantity < 21), 0) AS DOUBLE), CAST(coalesce(sum(price) FILTER (l_quantity >= 21), 0) AS DOUBLE)) / CAST(sum(price) AS DOUBLE) AS crowd, CAST(sum(CAST(round(l_discount * 100) AS INTEGER)) AS DOUBLE) / count(*) / 10 AS dull FROM c JOIN m USING (nation) GROUP BY 1),
-s AS (SELECT nation, greatest(0.0, least(1.0, (occ - 0.5) / 0.5)) AS a, greatest(0.0, least(1.0, (12 - 20 * log10(cr)) / 12)) AS b, greatest(0.0, least(1.0, (crowd - 0.3) / 0.6)) AS c, greatest(0.0, least(1.0, dull)) AS d FROM g),
-t AS (SELECT *, round(0.3 * a + 0.25 * b + 0.2 * c + 0.15 * 0.5 + 0.1 * d, 6) AS score FROM s)
+s AS (SELECT nation, greatest(0.0, least(1.0, (occ - 0.5) / 0.5)) AS a, greatest(0.0, least(1.0, (12 - 20 * log10(cr)) / 12)) AS b, greatest(0.0, least(1.0, (crowd - 0.3) / 0.6)) AS c, greatest(0.0, least(1.0, dull)) AS d, greatest(0.0, least(1.0, (0.25 - wide) / 0.25)) AS w FROM g JOIN wd USING (nation)),
+t AS (SELECT *, round(0.3 * a + 0.25 * b + 0.2 * c + 0.15 * w + 0.1 * d, 6) AS score FROM s)
 SELECT nation, score, CASE WHEN score < 0.28 THEN 'easy' WHEN score < 0.48 THEN 'moderate' WHEN score < 0.68 THEN 'hard' ELSE 'very hard' END AS grade, coalesce(nullif(concat_ws('; ', CASE WHEN a > 0.6 THEN 'expect shared cells' END, CASE WHEN b > 0.6 THEN 'limited dynamics' END, CASE WHEN c > 0.5 THEN 'one register dominates' END), ''), 'no special care') AS advice FROM t""")
 def difficulty_score(spark, sf_dir):
     """A weighted forecast of how hard each nation's items are to take apart."""
@@ -186,9 +188,14 @@ def difficulty_score(spark, sf_dir):
         (F.greatest(band(q < 11), band((q >= 11) & (q < 21)), band(q >= 21)) / F.sum("price").cast("double")).alias("crowd"),
         (F.sum(F.round(F.col("l_discount") * 100).cast("int")).cast("double") / F.count("*") / 10).alias("dull"),
     ).join(occ, "nation")
+    side = lambda k: band(F.col("l_linenumber") % 2 == k)
+    both = c.groupBy("nation", "month").agg(side(0).alias("l"), side(1).alias("r"))
+    size = lambda x: F.sqrt(F.avg(F.pow(x / 2, F.lit(2.0))))
+    wide = both.groupBy("nation").agg((size(F.col("l") - F.col("r")) / (size(F.col("l") + F.col("r")) + 1e-10)).alias("wide"))
+    g = g.join(wide, "nation")
     a, b, k, d = ramp(F.col("occupied"), 0.5, 0.5), ramp(12 - 20 * F.log10("cr"), 0.0, 12.0), ramp(F.col("crowd"), 0.3, 0.6), ramp(F.col("dull"), 0.0, 1.0)
-    s = g.select("nation", a.alias("a"), b.alias("b"), k.alias("c"), d.alias("d"))
-    score, grade = ju.difficulty(F.col("a"), F.col("b"), F.col("c"), F.lit(0.5), F.col("d"))
+    s = g.select("nation", a.alias("a"), b.alias("b"), k.alias("c"), d.alias("d"), ramp(0.25 - F.col("wide"), 0.0, 0.25).alias("w"))
+    score, grade = ju.difficulty(F.col("a"), F.col("b"), F.col("c"), F.col("w"), F.col("d"))
     return s.select("nation", score.alias("score"), grade.alias("grade"), ju.advice(F.col("a"), F.col("b"), F.col("c")).alias("advice"))
 
 
