@@ -110,9 +110,11 @@ def chord_quality(symbol: Column) -> Column:
     return F.regexp_extract(symbol, r"^[A-G][#b]?(.*)$", 1)
 
 
-def chord_classes(symbol: Column) -> Column:
-    """The chord's pitch classes in order; null for a quality that isn't known."""
+def chord_classes(symbol: Column, strict: bool = False) -> Column:
+    """The chord's pitch classes in order; null for a quality that isn't known, or with strict an error."""
     steps = F.element_at(F.create_map(*(x for q, s in QUALITIES.items() for x in (F.lit(q), F.array(*(F.lit(k) for k in s))))), chord_quality(symbol))
+    if strict:
+        steps = F.when(symbol.isNull() | steps.isNotNull(), steps).otherwise(F.raise_error(F.concat(F.lit("no chord: "), symbol)))
     return F.array_sort(F.transform(steps, lambda s: F.pmod(chord_root(symbol) + s, F.lit(12))))
 
 

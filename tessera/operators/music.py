@@ -54,8 +54,9 @@ def grid(spans: DataFrame, beats: int) -> DataFrame:
     return steady_grid(spans, "first", "last", "period").withColumn("is_downbeat", F.pmod("k", F.lit(beats)) == 0)
 
 
-def click_events(beats: DataFrame, by: Sequence[str], t: str, downbeat: Column, bars: int, per_bar: int) -> DataFrame:
-    """Click events (accent, normal or count_in) with a count-in of whole bars before the first beat, and the offset it takes."""
+def click_events(beats: DataFrame, by: Sequence[str], t: str, downbeat: Column, bars: int, per_bar: int, subdivision: int = 1) -> DataFrame:
+    """Click events (accent, normal, sub or count_in) with a count-in of whole bars before the first beat, and the offset it takes;
+    subdivision: the parts of a usual step of which all but the first get a sub."""
     w = Window.partitionBy(*by).orderBy(t)
     shaped = beats.withColumn("_i", F.row_number().over(w)).withColumn("_step", F.lead(t).over(w) - F.col(t))
     start = shaped.groupBy(*by).agg(F.min(t).alias("_first"), F.percentile("_step", F.lit(0.5)).alias("_p"))
@@ -63,6 +64,9 @@ def click_events(beats: DataFrame, by: Sequence[str], t: str, downbeat: Column,
     counted = start.filter("_p is not null").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(*by, (F.col("_first") - F.col("_p") * (n - F.col("_k"))).alias("at"), F.when(F.pmod("_k", F.lit(per_bar)) == 0, "count_in_accent").otherwise("count_in").alias("kind"))
     own = shaped.select(*by, F.col(t).alias("at"), F.when(downbeat, "accent").otherwise("normal").alias("kind"))
     every = own.unionByName(counted)
+    if subdivision > 1:
+        parts = F.explode(F.array(*(F.lit(k / subdivision) for k in range(1, subdivision))))
+        every = every.unionByName(shaped.join(start, list(by)).select(*by, F.col(t).alias("_t"), "_p", parts.alias("_x")).select(*by, (F.col("_t") + F.col("_p") * F.col("_x")).alias("at"), F.lit("sub").alias("kind")).filter("at is not null"))
     offset = every.groupBy(*by).agg(F.greatest(F.lit(0.0), -(F.min("at") - 0.15)).alias("offset"))
     return every.join(offset, list(by)).withColumn("at", F.col("at") + F.col("offset"))
 

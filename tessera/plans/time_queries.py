@@ -61,13 +61,14 @@ def interp_warp(spark, sf_dir):
     return open_.join(held, "event_id")
 
 
-@query(f"""WITH {EV}, {SEC}, d AS (SELECT user_id, us FROM ev WHERE part = 'view'), i AS (SELECT s.user_id, s.seq, d.us AS edge FROM sec s JOIN d ON d.user_id = s.user_id AND d.us >= s.us0 AND d.us < s.us1)
+@query(f"""WITH {EV}, {SEC}, d AS (SELECT user_id, us FROM ev WHERE part = 'view'), i AS (SELECT s.user_id, s.seq, d.us AS edge FROM sec s JOIN d ON d.user_id = s.user_id AND d.us >= s.us0 - 1 AND d.us < s.us1 - 1)
 SELECT user_id, seq, edge, row_number() OVER (PARTITION BY user_id, seq ORDER BY edge) - 1 AS k FROM (SELECT * FROM i UNION SELECT user_id, seq, us1 FROM sec UNION SELECT user_id, seq, us0 FROM sec s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.user_id = s.user_id AND i.seq = s.seq))""")
 def section_bars(spark, sf_dir):
     """The bar edges of each section: its downbeats (views) and its end; its start too where it has none."""
     s = sections(spark, sf_dir)
     d = events(spark, sf_dir).filter("part = 'view'").select("user_id", "us")
-    inside = te.range_join(d, s, "us", "us0", "us1", 48 * 60 * MINUTE, ["user_id"]).select("user_id", "seq", F.col("us").alias("edge"))
+    early = s.select("user_id", "seq", (F.col("us0") - 1).alias("lo"), (F.col("us1") - 1).alias("hi"))  # a downbeat that rounding put before the start counts
+    inside = te.range_join(d, early, "us", "lo", "hi", 48 * 60 * MINUTE, ["user_id"]).select("user_id", "seq", F.col("us").alias("edge"))
     bare = s.join(inside.select("user_id", "seq").distinct(), ["user_id", "seq"], "left_anti").select("user_id", "seq", F.col("us0").alias("edge"))
     edges = inside.unionByName(s.select("user_id", "seq", F.col("us1").alias("edge"))).unionByName(bare).distinct()
     return edges.withColumn("k", F.row_number().over(Window.partitionBy("user_id", "seq").orderBy("edge")) - 1)
@@ -229,11 +230,11 @@ def segment_label(spark, sf_dir):
 
 @query(f"""WITH {EV}, n AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS c, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS step, (event_id % 4) = 0 AS down FROM ev WHERE part = 'view'),
 s AS (SELECT user_id, min(t) AS f, quantile_cont(step, 0.5) AS p FROM n GROUP BY 1), e AS (SELECT user_id, t AS at_, CASE WHEN down THEN 'accent' ELSE 'normal' END AS kind FROM n UNION ALL SELECT user_id, f - p * (8 - k), CASE WHEN k % 4 = 0 THEN 'count_in_accent' ELSE 'count_in' END FROM s, (SELECT unnest(range(0, 8)) AS k) WHERE p IS NOT NULL),
-o AS (SELECT user_id, greatest(0.0, -(min(at_) - 0.15)) AS offs FROM e GROUP BY 1) SELECT user_id, round(at_ + offs, 3) AS t, kind, round(offs, 3) AS offset_s FROM e JOIN o USING (user_id)""")
+x AS (SELECT * FROM e UNION ALL SELECT n.user_id, t + p * 0.5, 'sub' FROM n JOIN s USING (user_id) WHERE p IS NOT NULL), o AS (SELECT user_id, greatest(0.0, -(min(at_) - 0.15)) AS offs FROM x GROUP BY 1) SELECT user_id, round(at_ + offs, 3) AS t, kind, round(offs, 3) AS offset_s FROM x JOIN o USING (user_id)""")
 def click_events(spark, sf_dir):
-    """Accents and beats of each track with a count-in of two bars."""
+    """Accents, beats and half beats of each track with a count-in of two bars."""
     v = events(spark, sf_dir).filter("part = 'view'")
-    done = mu.click_events(v, ["user_id"], "t", F.col("event_id") % 4 == 0, 2, 4)
+    done = mu.click_events(v, ["user_id"], "t", F.col("event_id") % 4 == 0, 2, 4, 2)
     return done.select("user_id", F.round("at", 3).alias("t"), "kind", F.round("offset", 3).alias("offset_s"))
 
 

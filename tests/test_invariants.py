@@ -84,6 +84,41 @@ def test_short_runs_are_absorbed():
     assert te.absorb_short_runs([], 3) == []
 
 
+def test_short_runs_like_a_plain_version():
+
+    def plain(labels, least):
+        runs = []
+        for x in labels:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        while len(runs) > 1:
+            k = min(range(len(runs)), key=lambda j: runs[j][1])
+            if runs[k][1] >= least:
+                break
+            before, after = (runs[k - 1][1] if k else -1), (runs[k + 1][1] if k + 1 < len(runs) else -1)
+            runs[k - 1 if before >= after else k + 1][1] += runs[k][1]
+            del runs[k]
+            if 0 < k < len(runs) and runs[k][0] == runs[k - 1][0]:
+                runs[k - 1][1] += runs[k][1]
+                del runs[k]
+        return [x for x, n in runs for _ in range(n)]
+
+    rng = random.Random(2)
+    for _ in range(400):
+        x = [rng.choice("abc") for _ in range(rng.randint(0, 40))]
+        assert te.absorb_short_runs(x, 4) == plain(x, 4)
+    assert len(te.absorb_short_runs([rng.choice("abc") for _ in range(100_000)], 50)) == 100_000
+
+
+def test_unknown_chords(spark):
+    chords = spark.createDataFrame([("C#m7",), ("Cadd9",), (None,)], "s string")
+    assert [r.c for r in chords.select(tx.chord_classes(F.col("s")).alias("c")).collect()] == [[1, 4, 8, 11], None, None]
+    with pytest.raises(Exception, match="no chord: Cadd9"):
+        chords.select(tx.chord_classes(F.col("s"), strict=True).alias("c")).collect()
+
+
 def test_names_and_pitches(spark):
     cases = {
         "01 Kick In": "kick", "03 Snare Top": "snare", "04 HiHat": "hihat", "05 OH L": "cymbals", "07 Bass DI": "bass", "08 EG1": "electric_guitar", "09 AG": "acoustic_guitar", "10 Keys L": "keys",
