@@ -68,6 +68,22 @@ def analyse(audio: DataFrame) -> DataFrame:
     return audio.groupBy("track_id", "part_key").applyInPandas(run, "track_id string, part_key string, bpm double, beats array<double>, onsets_per_minute double, harmonicity double, chroma array<double>")
 
 
+def beat_table(audio: DataFrame, rate: int = 22_050) -> DataFrame:
+    """track_id, bpm, duration, chroma and beats (time, strength, low, energy, features) of each track's mono mix, on a copy of at most `rate`."""
+
+    def run(pdf):
+        import pandas as pd
+
+        x, sr = np.mean([whole(g) for _, g in pdf.groupby("channel")], axis=0), int(pdf["sr"].iloc[0])
+        if sr > rate:
+            x, sr = k.resample(x, sr, rate), rate
+        bpm, times = k.beats(x, sr)
+        rows = [{"t": t, "strength": s, "low": low, "energy": e, "features": f} for t, s, low, e, f in k.beat_rows(x, sr, times)]
+        return pd.DataFrame([(pdf["track_id"].iloc[0], float(bpm), len(x) / sr, k.chroma(x, sr).mean(1).tolist(), rows)], columns=["track_id", "bpm", "duration", "chroma", "beats"])
+
+    return audio.groupBy("track_id").applyInPandas(run, "track_id string, bpm double, duration double, chroma array<double>, beats array<struct<t: double, strength: double, low: double, energy: double, features: array<double>>>")
+
+
 def frame_energy(series: DataFrame, by: str, order: str, value: str, n_fft: int) -> DataFrame:
     """by, frame, energy, time_energy: FFT energy of whole frames of a series and the same from its samples."""
 
