@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import music as mu
 from ..operators import temporal as te
 from .base import EV, HOURLY, events, hourly, query, r6
-from .score_queries import CHORDS, chords
+from .score_queries import CHORDS, PROGRESSION, chain_sql, chords, progression
 from .time_queries import SEC, sections
 
 # Our own words for numbers in spoken cues.
@@ -53,16 +53,15 @@ def satb_notes(spark, sf_dir):
     return n.select("piece", "voice", r6(start).alias("t0"), r6(start + 0.95 * 4 * beat).alias("t1"), "pitch", r6(pi.hertz(F.col("pitch"))).alias("hz"))
 
 
-@query(None)
+# A usual soprano and usual spacings: what, mean and spread.
+USUAL = [("s", 70.9, 4.0), ("s - a", 5.4, 2.5), ("a - t", 5.7, 2.5), ("t - b", 8.4, 4.0)]
+
+
+@query(chain_sql(" + ".join(f"pow(({what} - {mean}) / {sd}, 2)" for what, mean, sd in USUAL)))
 def satb_styled(spark, sf_dir):
     """The cheapest path when voicings far from a usual soprano and spacing cost more."""
-    z = lambda c, mean, sd: F.pow((c - mean) / sd, F.lit(2.0))
-    cost = z(F.col("s"), 70.9, 4.0) + z(F.col("s") - F.col("a"), 5.4, 2.5) + z(F.col("a") - F.col("t"), 5.7, 2.5) + z(F.col("t") - F.col("b"), 8.4, 4.0)
-    layers = None
-    for k, (classes, root, third, melody) in enumerate([([7, 11, 2], 7, 11, 71), ([2, 6, 9], 2, 6, 69), ([4, 7, 11], 4, 7, 67), ([0, 4, 7], 0, 4, 64)]):
-        one = mu.voicings(spark, classes, root, third, melody).withColumn("k", F.lit(k))
-        layers = one if layers is None else layers.unionByName(one)
-    return mu.cheapest_chain(layers, "k", list(mu.VOICES), 4, mu.transition, ("s", mu.LEAPS["s"]), cost)
+    cost = sum((F.pow((F.expr(what) - mean) / sd, F.lit(2.0)) for what, mean, sd in USUAL), F.lit(0.0))
+    return mu.cheapest_chain(progression(spark), "k", list(mu.VOICES), len(PROGRESSION), mu.transition, ("s", mu.LEAPS["s"]), cost)
 
 
 @query(f"""WITH {EV}, u AS (SELECT part, hour // 24 AS day, value - lag(value) OVER (PARTITION BY part ORDER BY us, event_id) AS d, value FROM ev) SELECT part, day, round(avg(CASE WHEN d > 0 THEN d ELSE 0 END), 6) AS flux, count(*) AS n FROM u GROUP BY 1, 2""")

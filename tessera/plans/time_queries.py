@@ -106,7 +106,14 @@ def runs_islands(spark, sf_dir):
     return te.merge_runs(e, ["user_id"], ["us", "event_id"], "part", "us0", "us1").select("user_id", "run", "part", "us0", "us1", "size", "ordinal")
 
 
-@query(None)
+MERGED = "CASE WHEN k > 1 AND k < z AND r[k - 1].label = r[k + 1].label THEN list_concat(list_append(r[1:k - 2], struct_pack(label := r[k - 1].label, n := r[k - 1].n + r[k].n + r[k + 1].n)), r[k + 2:]) WHEN k > 1 AND (k = z OR r[k - 1].n >= r[k + 1].n) THEN list_concat(list_append(r[1:k - 2], struct_pack(label := r[k - 1].label, n := r[k - 1].n + r[k].n)), r[k + 1:]) ELSE list_concat(list_append(r[1:k - 1], struct_pack(label := r[k + 1].label, n := r[k + 1].n + r[k].n)), r[k + 2:]) END"
+
+
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT user_id, us, event_id, part, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i FROM ev), c AS (SELECT *, CASE WHEN lag(part) OVER (PARTITION BY user_id ORDER BY i) = part THEN 0 ELSE 1 END AS c FROM e), g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY i) AS run FROM c),
+s AS (SELECT user_id, list(struct_pack(label := part, n := n) ORDER BY run) AS r FROM (SELECT user_id, run, any_value(part) AS part, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1),
+m(user_id, it, r) AS (SELECT user_id, 0, r FROM s UNION ALL SELECT user_id, it + 1, {MERGED} FROM (SELECT user_id, it, r, len(r) AS z, list_position(list_transform(r, lambda x: x.n), list_min(list_transform(r, lambda x: x.n))) AS k FROM m) WHERE z > 1 AND r[k].n < 3),
+l AS (SELECT user_id, arg_max(r, it) AS r FROM m GROUP BY 1), u AS (SELECT user_id, unnest(r) AS x, unnest(range(1, len(r) + 1)) AS j FROM l), w AS (SELECT user_id, x.label AS label, x.n AS n, sum(x.n) OVER (PARTITION BY user_id ORDER BY j) AS hi FROM u)
+SELECT e.user_id, us, event_id, label AS merged FROM e JOIN w ON w.user_id = e.user_id AND e.i <= hi AND e.i > hi - n""")
 def min_run_merge(spark, sf_dir):
     """Labels after the shortest runs under three are absorbed, again and again."""
     e = events(spark, sf_dir).select("user_id", "us", "event_id", "part")

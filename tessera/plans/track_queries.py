@@ -90,11 +90,19 @@ def formant_peaks(spark, sf_dir):
     return se.strongest_apart(peaks, ["user_id"], "f", "v", 0.35, 3).select("user_id", "v", r6(F.col("f")).alias("f"))
 
 
-@query(None)
+LIVE = f"list_filter(acc.o, lambda y: x.o[1] - y <= {DAY // 2})"
+
+
+@query(f"""WITH {EV}, e AS (SELECT user_id, CAST(floor(value / 50) AS BIGINT) AS pitch, us, CASE part WHEN 'click' THEN 0 ELSE 1 END AS kind FROM ev WHERE part IN ('click', 'view')),
+g AS (SELECT user_id, pitch, count(*) FILTER (kind = 0) AS n_ref, count(*) FILTER (kind = 1) AS n_est, list_reduce(list(struct_pack(o := [us], kind := kind, n := 0::BIGINT) ORDER BY us, kind), lambda acc, x: CASE WHEN acc.kind <> x.kind AND len({LIVE}) > 0 THEN struct_pack(o := {LIVE}[2:], kind := acc.kind, n := acc.n + 1)
+  WHEN acc.kind = x.kind THEN struct_pack(o := list_concat({LIVE}, x.o), kind := x.kind, n := acc.n) ELSE struct_pack(o := x.o, kind := x.kind, n := acc.n) END).n AS matched FROM e GROUP BY 1, 2),
+t AS (SELECT user_id, CAST(sum(n_ref) AS BIGINT) AS n_ref, CAST(sum(n_est) AS BIGINT) AS n_est, CAST(sum(matched) AS BIGINT) AS matched FROM g GROUP BY 1)
+SELECT *, round(CASE WHEN n_est > 0 THEN matched / n_est ELSE 0 END, 6) AS precision, round(CASE WHEN n_ref > 0 THEN matched / n_ref ELSE 0 END, 6) AS recall, round(2 * matched / (n_ref + n_est), 6) AS f1 FROM t""")
 def note_scores(spark, sf_dir):
     """Precision, recall and F1 of views as estimates of clicks of a track: notes of one pitch, half a day of tolerance."""
     e = events(spark, sf_dir).select("user_id", "part", "us", F.floor(F.col("value") / 50).alias("pitch"))
-    return se.note_scores(e.filter("part = 'view'"), e.filter("part = 'click'"), ["user_id"], "us", "pitch", DAY // 2)
+    done = se.note_scores(e.filter("part = 'view'"), e.filter("part = 'click'"), ["user_id"], "us", "pitch", DAY // 2)
+    return done.withColumns({c: r6(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
 CATALOGUE = ", ".join(f"('{p[0]}', {k})" for k, p in enumerate(PART_TREE))
