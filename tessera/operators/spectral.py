@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as k
 
@@ -52,6 +53,62 @@ def transpose(audio: DataFrame, semitones: float) -> DataFrame:
     return per_signal(audio, lambda x, sr: k.pitch_shift(x, sr, semitones))
 
 
+def resampled(audio: DataFrame, rate: int) -> DataFrame:
+    """Each part's signal at another rate."""
+
+    def run(pdf):
+        import pandas as pd
+
+        sr = int(pdf["sr"].iloc[0])
+        x = whole(pdf)
+        y = x if sr == rate else k.resample(x, sr, rate)
+        return pd.DataFrame([one_chunk(pdf["track_id"].iloc[0], pdf["part_key"].iloc[0], pdf["channel"].iloc[0], rate, y)], columns=COLUMNS)
+
+    return audio.groupBy("track_id", "part_key", "channel").applyInPandas(run, AUDIO)
+
+
+def moved_beats(audio: DataFrame, knots: DataFrame) -> DataFrame:
+    """Each part's signal with its beats moved by the map (track_id, source, target in microseconds); tracks without one stay."""
+    lists = knots.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("knots"))  # a track's beats
+
+    def run(pdf):
+        import pandas as pd
+
+        sr, x = int(pdf["sr"].iloc[0]), whole(pdf)
+        pairs = pdf["knots"].iloc[0]
+        at = np.array([[p["source"], p["target"]] for p in pairs], float) / 1e6 if pairs is not None and len(pairs) else np.empty((0, 2))
+        return pd.DataFrame([one_chunk(pdf["track_id"].iloc[0], pdf["part_key"].iloc[0], pdf["channel"].iloc[0], sr, k.regrid(x, at[:, 0], at[:, 1], sr))], columns=COLUMNS)
+
+    return audio.join(lists, "track_id", "left").groupBy("track_id", "part_key", "channel").applyInPandas(run, AUDIO)
+
+
+def restored(audio: DataFrame, parents: dict[str, str], notes: DataFrame, sections: DataFrame, longest_ms: float = 250.0, tolerance_db: float = 1.5) -> DataFrame:
+    """Parts of each track and channel after repairs: repeats, harmonics, short gaps, then together under the mix's ceiling.
+
+    audio has the mix and the parts; a part's parent is the one named, or else the mix. notes: track_id, part_key, t_start,
+    t_end, pitch, amplitude; sections: track_id, t_start, t_end, label. The loudest parent cells bound what is filled in."""
+    of = lambda d, name, *cols: d.groupBy("track_id").agg(F.collect_list(F.struct(*cols)).alias(name))  # noqa: E731  a track's own
+    rows = audio.join(of(notes, "notes", "part_key", "t_start", "t_end", "pitch", "amplitude"), "track_id", "left").join(of(sections, "sections", "t_start", "t_end", "label"), "track_id", "left")
+
+    def run(pdf):
+        import pandas as pd
+
+        from .restoration import cap_to_mix, restore
+
+        signals = {p: whole(g) for p, g in pdf.groupby("part_key")}
+        mix, sr = signals.pop("mix"), int(pdf["sr"].iloc[0])
+        listed = lambda name: [] if pdf[name].iloc[0] is None else list(pdf[name].iloc[0])
+        spans = [(s["t_start"], s["t_end"], s["label"]) for s in listed("sections")]
+        done = {}
+        for part, x in signals.items():
+            own = [(n["t_start"], n["t_end"], n["pitch"], n["amplitude"]) for n in listed("notes") if n["part_key"] == part]
+            done[part] = restore(x, signals.get(parents.get(part, "mix"), mix), sr, own, spans, longest_ms)[0]
+        bounded = cap_to_mix(done, signals, mix, tolerance_db)[0] if done else {}
+        return pd.DataFrame([one_chunk(pdf["track_id"].iloc[0], p, pdf["channel"].iloc[0], sr, y) for p, y in bounded.items()], columns=COLUMNS)
+
+    return rows.groupBy("track_id", "channel").applyInPandas(run, AUDIO)
+
+
 def analyse(audio: DataFrame) -> DataFrame:
     """Tempo, beats, onset rate, harmonic share and mean chroma of every part's mono mix."""
 

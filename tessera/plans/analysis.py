@@ -75,3 +75,48 @@ def analyze(audio: DataFrame, trained: DataFrame | None = None) -> DataFrame:
         out = out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("beats", "downbeats", "sections")}).drop("_beats", "_downbeats", "_sections")
     order = ["track_id", "bpm", "beats_per_bar", "key", "mode", "key_confidence", "camelot", "duration", "beats", "downbeats", "sections", "backend"]
     return out.withColumn("beats_per_bar", F.coalesce("beats_per_bar", F.lit(4))).select(*order)
+
+
+def transposed(analysis: DataFrame, semitones: int) -> DataFrame:
+    """The analysis with its key moved, and the wheel's code of the new one."""
+    moved = analysis.withColumn("key", F.pmod(F.col("key") + semitones, F.lit(12))).drop("camelot")
+    return moved.join(F.broadcast(camelot_table(analysis.sparkSession).withColumnRenamed("pitch", "key")), ["key", "mode"]).select(*analysis.columns)  # 24 rows
+
+
+def steady_map(analysis: DataFrame, target_bpm: float | None = None) -> DataFrame:
+    """track_id, source, target (microseconds): each beat and where it falls on a constant grid from the first one on, of the
+    target tempo or else the usual step; tracks with fewer than four beats have none."""
+    period = F.lit(60.0 / target_bpm) if target_bpm else median_step(F.col("beats"))
+    beats = analysis.filter(F.size("beats") >= 4).select("track_id", period.alias("period"), F.get("beats", F.lit(0)).alias("first"), F.posexplode("beats").alias("k", "t"))
+    return beats.select("track_id", (F.col("t") * SECOND).cast("long").alias("source"), ((F.col("first") + F.col("k") * F.col("period")) * SECOND).cast("long").alias("target"))
+
+
+def regridded(analysis: DataFrame, knots: DataFrame) -> DataFrame:
+    """The analysis with beats, downbeats, sections and tempo moved by the map; tracks that it doesn't have stay as they are."""
+    points = analysis.select("track_id", F.posexplode(F.concat(
+        F.transform("beats", lambda t: F.struct(F.lit("beat").alias("kind"), t.alias("t"))), F.transform(F.coalesce("downbeats", F.array().cast("array<double>")), lambda t: F.struct(F.lit("down").alias("kind"), t.alias("t"))),
+        F.flatten(F.transform(F.coalesce("sections", F.array().cast(analysis.schema["sections"].dataType)), lambda s: F.array(F.struct(F.lit("start").alias("kind"), s["start"].alias("t")), F.struct(F.lit("end").alias("kind"), s["end"].alias("t"))))),
+    )).alias("i", "x")).select("track_id", "i", "x.kind", (F.col("x.t") * SECOND).cast("long").alias("t"))
+    moved = te.warp(points, knots, "t", "source", "target", ["track_id"], DAY, clamp=True).filter("warped is not null")
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", (F.col("warped") / SECOND).alias("t"))))), lambda x: x["t"])  # noqa: E731  a track's own few
+    lists = moved.groupBy("track_id").agg(*(of(kind).alias(f"_{kind}") for kind in ("beat", "down", "start", "end")))
+    out = analysis.join(lists, "track_id", "left")
+    known = F.col("_beat").isNotNull()
+    sections = F.transform("sections", lambda s, i: F.struct(F.get("_start", i).alias("start"), F.get("_end", i).alias("end"), s["label"].alias("label"), s["ordinal"].alias("ordinal")))
+    changed = {"bpm": F.round(60 / median_step(F.col("_beat")), 2), "beats": F.col("_beat"), "downbeats": F.col("_down"), "sections": sections}
+    return out.withColumns({c: F.when(known, new).otherwise(F.col(c)) for c, new in changed.items()}).select(*analysis.columns)
+
+
+def regrid_report(knots: DataFrame) -> DataFrame:
+    """track_id, beats_used, max_stretch, mean_stretch (source time per target time) and drift_ms (the largest move)."""
+    w = Window.partitionBy("track_id").orderBy("source")
+    steps = knots.withColumn("ds", F.col("source") - F.lag("source").over(w)).withColumn("dt", F.col("target") - F.lag("target").over(w))
+    rate = F.when(F.col("dt") > 0, F.col("ds") / F.col("dt"))
+    return steps.groupBy("track_id").agg(F.count("*").alias("beats_used"), F.round(F.max(rate), 4).alias("max_stretch"), F.round(F.sum("ds") / F.sum("dt"), 4).alias("mean_stretch"), F.round(F.max(F.abs(F.col("source") - F.col("target"))) / 1000, 1).alias("drift_ms"))
+
+
+def transcription_report(parts: DataFrame, notes: DataFrame) -> DataFrame:
+    """track_id, part_key, n_notes and warning of every pitched part, from notes that a model gave for it."""
+    n = notes.groupBy("track_id", "part_key").agg(F.count("*").alias("n_notes"))
+    every = parts.select("track_id", "part_key").distinct().join(n, ["track_id", "part_key"], "left").withColumn("n_notes", F.coalesce("n_notes", F.lit(0)))
+    return every.withColumn("warning", F.when(F.col("n_notes") == 0, F.concat(F.lit("no notes in "), F.col("part_key"))))

@@ -73,8 +73,11 @@ def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(),
 
 
 def multitrack(spark: SparkSession, folder: str, overrides: DataFrame | None = None) -> Result:
-    """A folder of channels: classify, pan, sum by part, and analyse the sum of all."""
-    parts = au.sum_channels(au.classify_channels(au.read_wavs(spark, folder), overrides))
+    """A folder of channels: classify (the folder's channels.json and the overrides given come first), pan, sum by part, and analyse the sum of all."""
+    own = au.channel_overrides(spark, folder)
+    if overrides is not None:
+        own = overrides.select("file", "given").union(own.join(overrides, "file", "left_anti"))
+    parts = au.sum_channels(au.classify_channels(au.read_wavs(spark, folder), own))
     zero = F.lit(0.0).cast("float")
     add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
     all_ = parts.groupBy("track_id", "channel", "chunk_no", "sr").agg(F.min("t0").alias("t0"), F.collect_list("samples").alias("x"))

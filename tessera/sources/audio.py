@@ -10,9 +10,10 @@ import io
 import wave
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import match_length
 from ..functions.text import CHANNELS, CLICK, IGNORED, channel_base, channel_name, channel_side, first_match, own_track
 
 AUDIO = "track_id string, part_key string, channel int, chunk_no int, t0 double, sr int, samples array<float>"
@@ -63,6 +64,20 @@ def read_wavs(spark: SparkSession, path: str, recursive: bool = False) -> DataFr
     return files.mapInPandas(run, AUDIO)
 
 
+def channel_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """file, given: what the folder's channels.json (file name without ending -> part) says; no rows without one."""
+    text = spark.read.format("binaryFile").option("pathGlobFilter", "channels.json").load(path).select(F.col("content").cast("string").alias("text"))
+    return text.select(F.explode(F.from_json("text", "map<string,string>")).alias("file", "given"))
+
+
+def match_shape(audio: DataFrame, channels: int, length: int) -> DataFrame:
+    """Whole signals (one chunk a channel) with so many channels, the first repeated or the last left out, and samples, cut or silent at the end."""
+    some = audio.filter(F.col("channel") < channels)
+    n = F.max("channel").over(Window.partitionBy("track_id", "part_key"))
+    spread = some.withColumn("_n", n).withColumn("_c", F.when(F.col("channel") == 0, F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: c > F.col("_n")))).otherwise(F.array("channel")))
+    return spread.withColumn("channel", F.explode("_c")).withColumn("samples", match_length(F.col("samples"), F.lit(length))).drop("_n", "_c")
+
+
 def write_wavs(audio: DataFrame, path: str, width: int = 3) -> DataFrame:
     """One WAV file per track and part under path (a folder that all executors share); returns what was written."""
 
@@ -87,8 +102,10 @@ def classify_channels(audio: DataFrame, overrides: DataFrame | None = None) -> D
     clean = channel_name(F.col("part_key"))
     rule = first_match(channel_base(clean), CHANNELS, own_track(clean))
     named = audio.withColumn("file", F.col("part_key")).withColumn("clean", clean).withColumn("side", channel_side(clean)).withColumn("rule", rule)
-    if overrides is not None:
-        named = named.join(overrides, "file", "left")
+    if overrides is not None:  # by file name, with or without its ending
+        stem = F.regexp_replace("file", r"\.[A-Za-z0-9]+$", "")
+        given = overrides.groupBy(F.regexp_replace("file", r"\.(?i:wav|aif|aiff|flac|caf)$", "").alias("_stem")).agg(F.max("given").alias("given"))
+        named = named.withColumn("_stem", stem).join(given, "_stem", "left").drop("_stem")
     else:
         named = named.withColumn("given", F.lit(None).cast("string"))
     return named.withColumn("part_key", F.coalesce("given", "rule")).drop("rule", "given")

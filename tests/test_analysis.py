@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from tessera.operators import kernels as k
+from tessera.operators import spectral as sp
+from tessera.plans import analysis as an
 from tessera.plans.analysis import analyze
 from tessera.sources import audio as au
 
@@ -48,3 +50,28 @@ def test_analysis(spark):
     assert b.backend == "trained" and b.beats_per_bar == 3 and b.sections[0].label == "verse" and b.downbeats == [0.0, 1.5]
     silent = got["silent"]
     assert (silent.key, silent.mode, silent.key_confidence, silent.beats_per_bar) == (0, "major", 0.0, 4)
+
+
+def test_moved_tables(spark):
+    beats = [0.0, 0.5, 1.02, 1.5, 2.0, 2.5]
+    row = ("t", 119.0, 4, 7, "major", 0.9, "9B", 3.0, beats, beats[::4], [(0.0, 1.02, "verse", 1), (1.02, 3.0, "chorus", 1)], "own")
+    short = ("s", 100.0, 4, 9, "minor", 0.5, "8A", 1.0, [0.1], [0.1], None, "own")
+    schema = "track_id string, bpm double, beats_per_bar int, key int, mode string, key_confidence double, camelot string, duration double, beats array<double>, downbeats array<double>, sections array<struct<start: double, end: double, label: string, ordinal: int>>, backend string"
+    df = spark.createDataFrame([row, short], schema)
+    up = {r.track_id: (r.key, r.camelot) for r in an.transposed(df, 2).collect()}
+    assert up == {"t": (9, "11B"), "s": (11, "10A")}
+    knots = an.steady_map(df, 120.0)
+    got = {r.track_id: r for r in an.regridded(df, knots).collect()}
+    assert got["t"].beats == pytest.approx([0, 0.5, 1.0, 1.5, 2.0, 2.5]) and got["t"].bpm == 120 and got["t"].downbeats == pytest.approx([0, 2.0])
+    assert [(s.start, s.end) for s in got["t"].sections] == [(0, pytest.approx(1.0)), (pytest.approx(1.0), 2.5)]  # held at the map's end
+    assert got["s"].beats == [0.1] and got["s"].bpm == 100
+    report = an.regrid_report(knots).first()
+    assert (report.beats_used, report.max_stretch, report.drift_ms) == (6, pytest.approx(1.04), pytest.approx(20.0))
+    x = song(4)
+    audio = frame(spark, {"t": x, "s": x[:SR]})
+    moved = {r.track_id: len(r.samples) for r in sp.moved_beats(audio, an.steady_map(df, 100.0)).collect()}
+    assert moved["s"] == SR and moved["t"] > len(x)
+    parts = spark.createDataFrame([("t", "keys"), ("t", "bass")], "track_id string, part_key string")
+    notes = spark.createDataFrame([("t", "keys", 60)], "track_id string, part_key string, pitch int")
+    said = {r.part_key: (r.n_notes, r.warning) for r in an.transcription_report(parts, notes).collect()}
+    assert said == {"keys": (1, None), "bass": (0, "no notes in bass")}

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
 from tessera.operators import spectral as sp
@@ -106,6 +107,9 @@ def test_folder_of_channels(spark, tmp_path):
     folder.mkdir()
     for name, f in (("01 Kick", 60), ("02 Bass DI", 110), ("03 Lead Vox", 440), ("04 Click", 1000), ("05 Mystery", 700), ("06 BGV L", 300), ("07 BGV R", 310)):
         (folder / f"{name}.wav").write_bytes(au.encode_wav(tone(f, 1.0), SR))
+    (folder / "channels.json").write_text('{"05 Mystery": "keys"}')
+    assert {r.part_key for r in multitrack(spark, str(folder)).parts.select("part_key").distinct().collect()} == {"kick", "bass", "lead_vocal", "keys", "bgv"}
+    (folder / "channels.json").unlink()
     done = multitrack(spark, str(folder))
     assert {r.part_key for r in done.parts.select("part_key").distinct().collect()} == {"kick", "bass", "lead_vocal", "ch_mystery", "bgv"}
     error = done.proof.first().error_db
@@ -144,3 +148,25 @@ def test_patches():
         y = k.render_part("x", [(0.0, 0.4, 60, 1.0)], 0.6, SR, name)
         assert y.shape == (2, int(0.6 * SR)) and np.abs(y).max() == pytest.approx(10 ** (-14 / 20))
     assert not k.render_part("keys", [], 0.2, SR).any()
+
+
+def test_shapes_and_rates(spark):
+    df = spark.createDataFrame(rows({"x": tone(50, 0.5)})[:1], au.AUDIO)
+    got = {r.channel: r.samples for r in au.match_shape(df, 3, 5000).collect()}
+    assert sorted(got) == [0, 1, 2] and all(len(x) == 5000 for x in got.values()) and got[2][:100] == got[0][:100] and got[1][4500] == 0
+    assert au.match_shape(df.union(df.withColumn("channel", F.lit(1))), 1, 10).select("channel").collect()[0][0] == 0
+    half = sp.resampled(df, SR // 2).first()
+    assert half.sr == SR // 2 and len(half.samples) == 2000
+
+
+def test_repairs_of_all_parts(spark):
+    a, b = tone(220, 3.0), tone(660, 3.0, 0.1)
+    hurt = a.copy()
+    hurt[SR : SR + 600] = 0
+    notes = spark.createDataFrame([("song", "a", 0.0, 3.0, 57, 1.0)], "track_id string, part_key string, t_start double, t_end double, pitch int, amplitude double")
+    spans = spark.createDataFrame([("song", 0.0, 1.5, "verse"), ("song", 1.5, 3.0, "verse")], "track_id string, t_start double, t_end double, label string")
+    done = sp.restored(spark.createDataFrame(rows({"mix": a + b, "a": hurt, "b": b}), au.AUDIO), {}, notes, spans)
+    assert {(r.part_key, r.channel) for r in done.select("part_key", "channel").collect()} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    better = signal(done, "a")
+    assert np.square(better[SR : SR + 600]).mean() > 0.05 * np.square(a).mean()  # the gap has sound again
+    assert np.abs(signal(done, "b") - b)[500:-500].max() < 0.05
