@@ -56,21 +56,37 @@ def pre_tokens(text: str) -> list[str]:
     return [x[1:] for x in CHUNK.findall(" " + text)]
 
 
-def packed(rows: list[tuple], cut: bool) -> tuple:
-    """names (the block's distinct pre-tokens in order of their hashes) and freqs (each document's places among them, with how often)."""
+def hashed(words: list[bytes]) -> np.ndarray:
     import xxhash
 
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def packed(rows: list[tuple], cut: bool) -> tuple:
+    """names (the block's distinct pre-tokens in order of their hashes) and freqs (each document's places among them, as steps from one to the next, with how often)."""
     freqs = [Counter(pre_tokens(t) if cut else [t]) if t else Counter() for _, t in rows]
     words = [w.encode() for w in set().union(*freqs)]
-    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    order = np.argsort(keys, kind="stable")
-    words = [words[k] for k in order.tolist()]
+    words = [words[k] for k in np.argsort(hashed(words), kind="stable").tolist()]
     place = {w.decode(): k for k, w in enumerate(words)}
-    at = np.fromiter((place[w] for f in freqs for w in f), np.uint32)
+    sizes = np.array([len(f) for f in freqs])
+    at = np.fromiter((place[w] for f in freqs for w in f), np.int64)
     n = np.fromiter((k for f in freqs for k in f.values()), np.uint32)
-    names = squeezed(keys[order], np.array([len(w) for w in words]), np.frombuffer(b"".join(words), np.uint8))
-    docs = [np.array([len(f) for f in freqs]), np.array([d or 0 for d, _ in rows], np.int64), np.array([d is not None for d, _ in rows], np.uint8), np.array([len(t.encode()) for _, t in rows])]
-    return names, squeezed(at, n, *docs), len(words)
+    order = np.lexsort((at, np.repeat(np.arange(len(rows)), sizes)))
+    at, n = at[order], n[order]
+    steps = np.diff(at, prepend=0)
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[begin] = at[begin]
+    names = squeezed(np.array([len(w) for w in words], np.uint32), np.frombuffer(b"".join(words), np.uint8))
+    docs = [sizes, np.array([d or 0 for d, _ in rows], np.int64), np.array([d is not None for d, _ in rows], np.uint8), np.array([len(t.encode()) for _, t in rows])]
+    return names, squeezed(steps.astype(np.uint32), n, *docs), len(words)
+
+
+def places(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What packed() had before it took steps."""
+    run = np.cumsum(steps.astype(np.int64))
+    begin = np.cumsum(sizes) - sizes
+    some = sizes > 0
+    return run - np.repeat(run[begin[some]] - steps[begin[some]], sizes[some])
 
 
 def strings(lens: np.ndarray, chars: np.ndarray) -> list[bytes]:
@@ -89,10 +105,10 @@ def piece_counts(blocks: DataFrame, model: bytes, whole: bool = False) -> DataFr
     parts = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // ANSWERED + 1
 
     def ask(b: int, got: dict, data: bytes):
-        keys, lens, chars = opened(data)
-        ends = np.concatenate([[0], np.cumsum(lens)])
+        lens, chars = opened(data)
+        ends = np.concatenate([[0], np.cumsum(lens.astype(np.int64))])
         begin, out = 0, []
-        for p, part in dealt(keys, parts):
+        for p, part in dealt(hashed(strings(lens, chars)), parts):
             z = begin + len(opened(part)[0])
             out.append((p, squeezed(lens[begin:z], chars[ends[begin] : ends[z]])))
             begin = z
@@ -122,7 +138,8 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, whole: bool =
     blocks = in_pre_tokens(keep_docs(docs), whole)
 
     def add(b: int, got: dict, data: bytes):
-        at, n, sizes, doc, named, n_bytes = opened(data)
+        steps, n, sizes, doc, named, n_bytes = opened(data)
+        at = places(steps, sizes)
         pieces = gathered(got[PIECES])[0] if PIECES in got else np.empty(0, np.int64)
         total = np.concatenate([[0], np.cumsum(pieces[at] * n)]).astype(np.int64)
         ends = np.cumsum(sizes)
