@@ -27,3 +27,15 @@ def test_rows_are_judged_each(spark, tmp_path):
     got = of(cp.near_duplicates(spark, docs, str(tmp_path)))
     assert len([r for r in got if r[1].startswith(clean)]) == 1
     assert [r for r in got if not r[1].startswith(clean)] == want([(None, "too short"), (None, leak), (4, other), (5, twice), (7, "bad"), rows[-1]])
+
+
+def test_empty_tables_and_nulls(spark, tmp_path):
+    put = lambda name, **cols: pq.write_table(pa.table(cols), tmp_path / f"{name}.parquet")
+    put("labels", doc_id=pa.array([], pa.int64()), quality=pa.array([], pa.int32()), toxic=pa.array([], pa.int32()))
+    put("benchmark", item_id=pa.array([], pa.int64()), text=pa.array([], pa.string()))
+    put("documents", doc_id=pa.array([], pa.int64()), text=pa.array([], pa.string()), lang=pa.array([], pa.string()), source=pa.array([], pa.string()), n_chars=pa.array([], pa.int64()))
+    assert cp.run(spark, str(tmp_path)).collect() == []
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, None, None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {name: stage(spark, nulls, str(tmp_path)).count() for name, stage in cp.STAGES}
+    # no words fail the base; texts without words are nobody's copies, but of equal rows one stays
+    assert kept == {"quality_rules": 0, "near_duplicates": 2, "decontamination": 3, "packing": 3}
