@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import kernels as k
 from tessera.operators import restoration as re
+from tessera.operators import sections as se
 from tessera.operators import spectral as sp
 from tessera.plans.decompose import multitrack, separate
 from tessera.plans.options import Options
@@ -174,3 +175,27 @@ def test_repairs_of_all_parts(spark):
     want, _ = re.cap_to_mix(alone, parts, mix)
     assert np.allclose(signal(done, "a"), want["a"], atol=1e-4) and np.allclose(signal(done, "b"), want["b"], atol=1e-4)
     assert np.abs(signal(done, "b") - b)[500:-500].max() < 0.05
+
+
+def test_pads_and_rooms():
+    x = tone(220, 1.0)
+    assert np.array_equal(k.room(x, SR, wet=0.0), x)
+    late = k.room(np.concatenate([x, np.zeros(SR)]), SR)[SR + 100 :]
+    assert np.square(late).mean() > 1e-6  # the room goes on
+    long = k.tiled(np.ones(1000), 5000, 200)
+    assert len(long) == 5000 and long[300:700] == pytest.approx(1.0) and np.abs(long[100:]).max() <= 1.42
+    pad = k.ambient_pad([220.0, 277.2], 30.0, SR)
+    assert len(pad) == 30 * SR and abs(pad[0]) < 1e-6 and np.square(pad[10 * SR : 20 * SR]).mean() > 1e-6
+    steady = [np.sqrt(np.square(pad[s * SR : (s + 1) * SR]).mean()) for s in range(4, 26)]
+    assert max(steady) < 3 * min(steady)
+
+
+def test_notes_survive_a_room_and_human_timing(spark):
+    """Known notes, played late or early and heard in a room, are found again by their onsets within the tolerance."""
+    rng = np.random.default_rng(11)
+    notes = [(0.5 * n, 0.5 * n + 0.4, 57 + n % 5, 1.0) for n in range(16)]
+    played = [(max(0.0, a + d), z + d, p, v) for (a, z, p, v), d in zip(notes, rng.normal(0, 0.01, 16), strict=True)]
+    x = k.room(k.synthesize(played, lambda n, f: 1 / np.arange(1, n + 1) ** 2, 8.5, SR), SR, 0.4, 0.2) + 1e-4 * rng.standard_normal(int(8.5 * SR))
+    frame = lambda times: spark.createDataFrame([("t", 0, int(1e6 * t)) for t in times], "track string, p int, us long")
+    got = se.note_scores(frame(k.onsets(x, SR)), frame([a for a, *_ in notes]), ["track"], "us", "p", 100_000).first()
+    assert got.recall > 0.8
