@@ -36,7 +36,7 @@ dw AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS phrase FRO
 hit AS (SELECT DISTINCT doc_id, item_id, k, win.n AS n FROM dw JOIN win ON win.n = dw.n AND win.phrase = dw.phrase),
 pos AS (SELECT doc_id, count(DISTINCT k + o) AS n_hit FROM hit, LATERAL (SELECT unnest(range(0, n)) AS o) GROUP BY doc_id),
 its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM hit GROUP BY doc_id),
-bag AS (SELECT DISTINCT item_id, words, words[1] AS anchor, len(words) + 2 AS reach FROM (SELECT item_id, w[k + 1 : k + least(len(w), 10)] AS words FROM i, LATERAL (SELECT unnest(range(0, len(w) - least(len(w), 10) + 1)) AS k))),
+bag AS (SELECT DISTINCT item_id, words, list_reduce(words, lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END) AS anchor, len(words) + 2 AS reach FROM (SELECT item_id, w[k + 1 : k + least(len(w), 10)] AS words FROM i, LATERAL (SELECT unnest(range(0, len(w) - least(len(w), 10) + 1)) AS k))),
 dp AS (SELECT doc_id, w, p, w[p] AS anchor FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p) WHERE w[p] IN (SELECT anchor FROM bag)),
 cand AS (SELECT doc_id, item_id, w, p, words, reach FROM dp JOIN bag USING (anchor) WHERE list_has_all(w[greatest(1, p - reach + 1) : p + reach - 1], words)),
 nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id, words, w[k : k + reach - 1] AS part FROM cand, LATERAL (SELECT unnest(range(greatest(1, p - reach + 1), p + 1)) AS k))
