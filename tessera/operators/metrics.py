@@ -55,8 +55,35 @@ def occupied(df: DataFrame, by: Sequence[str], value: str, part: float = 0.02) -
     return df.join(peak, list(by)).groupBy(*by).agg(F.avg((F.col(value) > part * F.col("_peak")).cast("double")).alias("occupied"))
 
 
+def percentiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """by and the named exact percentiles (linear between ranks) of a value, for keys with any number of rows.
+
+    Values are counted in buckets between a key's least and greatest; only those of the buckets that hold a wanted rank
+    are counted by value and put in order. All counting is combined before the shuffle."""
+    keys = list(by)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("long")
+    placed = rows.join(span.drop("_n"), keys).select(*keys, bucket.alias("_b"), "_v")
+    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    held = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(order))
+    at = lambda p: p * (F.col("_n") - 1)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at(p)), F.ceil(at(p))) for p in wanted.values()))))
+    found = held.join(span.select(*keys, "_n"), keys).withColumn("_r", F.explode(ranks)).filter((F.col("_r") >= F.col("_upto") - F.col("_c")) & (F.col("_r") < F.col("_upto")))
+    found = found.select(*keys, "_b", "_r", (F.col("_r") - F.col("_upto") + F.col("_c")).alias("_k"))
+    inside = placed.join(found.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_m"))
+    reach = F.sum("_m").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    exact_ = inside.withColumn("_to", reach).join(found, [*keys, "_b"]).filter((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_m"))).select(*keys, "_r", "_v")
+    value_of = lambda rank: F.max(F.when(F.col("_r") == rank, F.col("_v")))
+    part = lambda p: at(p) - F.floor(at(p))
+    joined = exact_.join(span.select(*keys, "_n"), keys).groupBy(*keys, "_n").agg(*(x for n, p in wanted.items() for x in (value_of(F.floor(at(p))).alias(f"_{n}0"), value_of(F.ceil(at(p))).alias(f"_{n}1"))))
+    return joined.select(*keys, *(((1 - part(p)) * F.col(f"_{n}0") + part(p) * F.col(f"_{n}1")).alias(n) for n, p in wanted.items()))
+
+
 def crest(df: DataFrame, by: Sequence[str], value: str, high: float = 0.995, low: float = 0.5) -> DataFrame:
-    return df.groupBy(*by).agg(ratio_db(F.percentile(value, F.lit(high)), F.percentile(value, F.lit(low))).alias("crest_db"))
+    """crest_db: the level of a high percentile over the median's."""
+    both = percentiles(df, by, value, {"_high": high, "_low": low})
+    return both.select(*by, ratio_db(F.col("_high"), F.col("_low")).alias("crest_db"))
 
 
 def envelope(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, window: int) -> DataFrame:

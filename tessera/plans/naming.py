@@ -184,7 +184,6 @@ def difficulty_score(spark, sf_dir):
     band = lambda test: F.coalesce(F.sum(F.when(test, F.col("price"))), F.lit(0)).cast("double")
     q = F.col("l_quantity")
     g = c.groupBy("nation").agg(
-        (F.percentile("l_extendedprice", F.lit(0.995)) / F.percentile("l_extendedprice", F.lit(0.5))).alias("cr"),
         (F.greatest(band(q < 11), band((q >= 11) & (q < 21)), band(q >= 21)) / F.sum("price").cast("double")).alias("crowd"),
         (F.sum(F.round(F.col("l_discount") * 100).cast("int")).cast("double") / F.count("*") / 10).alias("dull"),
     ).join(occ, "nation")
@@ -192,7 +191,8 @@ def difficulty_score(spark, sf_dir):
     both = c.groupBy("nation", "month").agg(side(0).alias("l"), side(1).alias("r"))
     size = lambda x: F.sqrt(F.avg(F.pow(x / 2, F.lit(2.0))))
     wide = both.groupBy("nation").agg((size(F.col("l") - F.col("r")) / (size(F.col("l") + F.col("r")) + 1e-10)).alias("wide"))
-    g = g.join(wide, "nation")
+    tops = me.percentiles(c, ["nation"], "l_extendedprice", {"high": 0.995, "mid": 0.5}).select("nation", (F.col("high") / F.col("mid")).alias("cr"))
+    g = g.join(wide, "nation").join(tops, "nation")
     a, b, k, d = ramp(F.col("occupied"), 0.5, 0.5), ramp(12 - 20 * F.log10("cr"), 0.0, 12.0), ramp(F.col("crowd"), 0.3, 0.6), ramp(F.col("dull"), 0.0, 1.0)
     s = g.select("nation", a.alias("a"), b.alias("b"), k.alias("c"), d.alias("d"), ramp(0.25 - F.col("wide"), 0.0, 0.25).alias("w"))
     score, grade = ju.difficulty(F.col("a"), F.col("b"), F.col("c"), F.col("w"), F.col("d"))

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from tessera.operators import metrics as me
 from tessera.operators import sections as se
 from tessera.operators import tree as tr
 
@@ -47,3 +50,14 @@ def test_nothing_is_lost_without_a_parent(spark):
     leaf = spark.createDataFrame([("z", 1), ("y", 2), ("unknown", 4), ("z", 8)], "key string, v long")
     got = {(r.key, r.parent): r.v for r in tr.rollup(leaf, tree, "v", 3).collect()}
     assert got == {("z", "x"): 9, ("y", "root"): 2, ("unknown", "root"): 4, ("x", "root"): 9, ("root", None): 15}
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(5)
+    rows = [("few", 3.0), ("one", 7.0), ("one", 7.0), ("null", None)] + [("ties", float(rng.choice([1, 2, 2, 2, 9]))) for _ in range(200)] + [("many", rng.lognormvariate(0, 3)) for _ in range(3000)] + [("far", x) for x in (0.0, 1e-9, 2e-9, 1e9)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.a, r.b, r.c) for r in me.percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.995, "c": 0.0}, buckets=64).collect()}
+    for k in {k for k, v in rows if v is not None}:
+        x = np.array([v for j, v in rows if j == k])
+        assert np.allclose(got[k], [np.percentile(x, 50), np.percentile(x, 99.5), x.min()], rtol=1e-12), k
+    assert set(got) == {k for k, v in rows if v is not None}
