@@ -28,8 +28,8 @@ The join over a cluster:
    blocks are split, by another hash in each round. Of keys with the same classes,
    which copies give, one is kept. Components so far label the classes. Keys where
    several labels meet give the other pairs, in the same way but with every class of
-   these keys, in cells of bounded size (a hot key's classes are dealt into chunks and
-   each pair of chunks is a cell). Every link then lies within a component: each
+   these keys, in cells of bounded size (the classes of a key, or of all keys that hang
+   together if that takes fewer rows, are dealt into chunks and each pair of chunks is a cell). Every link then lies within a component: each
    component's classes are compared once more, in cells, and their links counted.
 
 Pairs are compared where they meet and are never emitted.
@@ -55,7 +55,7 @@ from .components import connected_components
 #: Groups of a point: a power of two, about an eighth of the set's size between these.
 FEWEST, MOST = 64, 1024
 #: Shingles of a block's task or a cell's chunk, classes of a family's block or a chunk, classes that a broadcast may name.
-BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 1000, 100_000
+BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 4000, 100_000
 #: Rounds of blocks.
 ROUNDS = 2
 FAN = 32
@@ -311,22 +311,22 @@ def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, n, vec (the point) and shingles (the set) of wanted classes (doc_id, id, cls)."""
+    """id, copies, n, vec (the point) and shingles (the set) of wanted classes (doc_id, id, copies, cls)."""
 
     def run(it):
         hashes = WordHashes()
         for b in batches(it, 4 << 20):
             rows = []
-            for at, cls, text in zip(*(b.column(c).to_pylist() for c in ("id", "cls", "text")), strict=True):
+            for at, copies, cls, text in zip(*(b.column(c).to_pylist() for c in ("id", "copies", "cls", "text")), strict=True):
                 s = shingle_set(text, width, hashes)
                 if name_of(s) == cls:  # rows may repeat a doc_id with another text
-                    rows.append((at, len(s), point(s), s.tobytes()))
+                    rows.append((at, copies, len(s), point(s), s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "n", "vec", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "copies", "n", "vec", "shingles"])
 
     n = wanted.count()
     known = F.broadcast(wanted) if n <= NAMED else wanted
-    out = cut(docs.join(known, "doc_id").select("id", "cls", "text").mapInArrow(run, "id long, n long, vec binary, shingles binary"))
+    out = cut(docs.join(known, "doc_id").select("id", "copies", "cls", "text").mapInArrow(run, "id long, copies long, n long, vec binary, shingles binary"))
     if out.count() == n:
         return out
     once = cut(out.dropDuplicates(["id"]))  # whole rows are repeated
@@ -354,10 +354,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     # one row for each class, also where rows are repeated
     first = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.count("*").alias("copies"))
     classes = cut(first.select("cls", "x.doc_id", F.col("x.at").alias("id"), "copies"))
-    under = found.join(classes.select(F.col("id").alias("at")), "at").select(F.col("at").alias("id"), F.explode("keys").alias("h"))
+    under = found.join(classes.select(F.col("id").alias("at")), "at").select(F.col("at").alias("id"), "n", F.explode("keys").alias("h"))
     met = under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
     shared = cut(under.join(met, "h"))
-    every_set = sets_of(docs, classes.join(shared.select("id").distinct(), "id").select("doc_id", "id", "cls"), width)
+    every_set = sets_of(docs, classes.join(shared.select("id").distinct(), "id").select("doc_id", "id", "copies", "cls"), width)
 
     # 3: families of bounded size
     star = shared.join(shared.groupBy("h").agg(F.min("id").alias("b")), "h").filter("id > b").select(F.col("id").alias("a"), "b").distinct()
@@ -370,7 +370,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             root, linked = resolved([unpacked(r[3]) for r in run], np.array([r[2] for r in run]), links, num, den)
             yield longs([(r[1], run[k][1], n) for r, k, n in zip(run, root, linked, strict=True)], ["id", "label", "linked"])
 
-    rows = families.filter("bounded").join(classes.select("id", "copies"), "id").join(every_set.select("id", "shingles"), "id").select("family", "id", "copies", "shingles")
+    rows = families.filter("bounded").join(every_set.select("id", "copies", "shingles"), "id").select("family", "id", "copies", "shingles")
     small = cut(rows.repartition("family").sortWithinPartitions("family", "id").mapInArrow(join_family, "id long, label long, linked long"))
     large = families.filter("not bounded").select("id")
     if large.isEmpty():
@@ -406,7 +406,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     label, labels = F.coalesce("label", "id").alias("label"), None
 
     def now_labelled(rows: DataFrame) -> DataFrame:
-        return rows.select("h", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("h", "id", label)
+        return rows.select("h", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "n", label)
 
     def compared(placed: DataFrame, bound_first: bool) -> DataFrame:
         """Links that merge what links in each (block, part), where a class may be in many, after a pass by the bound alone."""
@@ -420,12 +420,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             drop(near)
         return out
 
-    sizes_of = sets.select("id", "n")
     for turn in range(ROUNDS):
         # a key whose classes are all merged stays so: only the others are kept for what follows
-        before, shared = shared, open_groups(shared.select("h", "id", F.col("id").alias("label")) if labels is None else now_labelled(shared))
+        before, shared = shared, open_groups(shared.select("h", "id", "n", F.col("id").alias("label")) if labels is None else now_labelled(shared))
         drop(before)
-        block = shared.groupBy("id").agg(F.min("h").alias("block"), F.max("label").alias("label")).join(sizes_of, "id")
+        block = shared.groupBy("id").agg(F.min("h").alias("block"), F.max("label").alias("label"), F.max("n").alias("n"))
         all_of = block.groupBy("block").agg(F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         placed = block.join(all_of, "block").select("id", "block", "label", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("part"))
         found_links = compared(placed, False)
@@ -433,9 +432,19 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
             break
         labels = cut(connected_components(found_links if labels is None else labels.toDF("a", "b").union(found_links)))
 
-    # what else meets: every row of the keys that are still open, in cells of bounded size
+    # what else meets, in cells of bounded size: of each key, or of all classes that open keys connect, whichever takes fewer rows
     opened = open_groups(now_labelled(shared))
-    cells = in_cells(opened.withColumn("chunks", F.ceil(F.col("df") / CELL).cast("long")), "h", "chunks")
+    ends = opened.groupBy("h", "df").agg(F.min("id").alias("b"))
+    joint = connected_components(opened.join(ends.select("h", "b"), "h").filter("id > b").select(F.col("id").alias("a"), "b").distinct())
+    joint = cut(joint.select("node", F.col("label").alias("family")).join(opened.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n"), F.max("label").alias("label")), "node"))
+    parts = lambda count, n: F.greatest(F.ceil(F.col(count) / CELL), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("long")
+    wide = joint.groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("all")).withColumn("chunks", parts("members", "all"))
+    keys = ends.join(joint.select(F.col("node").alias("b"), "family"), "b").withColumn("key_chunks", F.ceil(F.col("df") / CELL).cast("long"))
+    cost = keys.groupBy("family").agg(F.sum(F.col("df") * F.col("key_chunks")).alias("by_key"))
+    chosen = wide.join(cost, "family").select("family", "chunks", (F.col("members") * F.col("chunks") <= F.col("by_key")).alias("whole"))
+    by_family = joint.join(chosen.filter("whole"), "family").select(F.col("family").alias("h"), F.col("node").alias("id"), "label", "chunks")
+    by_key = opened.join(keys.join(chosen.filter("not whole"), "family").select("h", F.col("key_chunks").alias("chunks")), "h").select("h", "id", "label", "chunks")
+    cells = in_cells(by_family.union(by_key), "h", "chunks")
     second = compared(cells.select(F.col("h").alias("block"), F.col("cell").alias("part"), "id", "label"), True)
     every = labels if second.isEmpty() else cut(connected_components(labels.toDF("a", "b").union(second)))
     drop(opened, shared)
