@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +34,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: How many steps of each session are being written, and what CLEANUP was before the first of them.
+_writing, _before, _lock = Counter(), {}, threading.Lock()
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """CLEANUP is on while any step of the session is written, whichever thread's step ends first."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        if not _writing[key]:
+            _before[key] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writing[key] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[key] -= 1
+            if not _writing[key]:
+                spark.conf.set(CLEANUP, _before.pop(key))
+
+
+def hadoop_path(spark: SparkSession, folder: str):
+    """A folder's file system and path, as Hadoop knows them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: this cuts its lineage, and lost
-    executors lose nothing of it. The shuffle files that the step took are removed as it ends."""
+    executors lose nothing of it. The shuffle files that the step took are removed as it ends, its
+    own files by drop() or as the application ends (the result may be read until then)."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with tidy_shuffles(spark):
         df.write.parquet(folder)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    files, path = hadoop_path(spark, folder)
+    files.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(folder)
     out.step_folder = folder
     return out
@@ -50,9 +80,8 @@ def cut(df: DataFrame) -> DataFrame:
 def drop(*steps: DataFrame) -> None:
     """Remove the files of steps that cut() wrote and nothing reads any more."""
     for step in steps:
-        jvm = step.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(step.step_folder)
-        path.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = hadoop_path(step.sparkSession, step.step_folder)
+        files.delete(path, True)
 
 
 def keep_docs(docs: DataFrame) -> DataFrame:

@@ -193,7 +193,8 @@ def pack(docs: DataFrame, spec: str, size: int = 2048, end_id: int = 0) -> DataF
     salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
+    # an order of all that a row has: rows that tie are alike, so a task that runs again places the same rows
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(first, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
 
     def place(it):
