@@ -117,8 +117,40 @@ q AS (SELECT s.*, coalesce((g3.c - 0.75) / k.c, 0) + coalesce(b3.b, 1) * p2 AS p
 SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, (SELECT n FROM z) AS train_tokens, sum(log10(p1)) AS base_score, sum(log10(p3)) AS score FROM q GROUP BY doc_id, held_out"""
 
 
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, k, term, count(*) AS n FROM (SELECT lang, source, k, unnest(w) AS term FROM d) GROUP BY ALL),
+c AS (SELECT lang, source, term, sum(n) AS n, count(*) AS df FROM t GROUP BY ALL),
+kept AS (SELECT lang, term FROM c GROUP BY lang, term HAVING sum(df) >= 10),
+g AS (SELECT DISTINCT lang, source, 0 AS whole FROM d UNION ALL SELECT DISTINCT lang, '', 1 FROM d),
+x AS (SELECT g.lang, g.source, whole, kept.term, CAST(coalesce(CASE WHEN whole = 1 THEN a.n ELSE c.n END, 0) AS HUGEINT) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term AND whole = 0
+  LEFT JOIN (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) a ON a.lang = g.lang AND a.term = kept.term AND whole = 1),
+s AS (SELECT lang, source, whole, sum(n) AS total, count(*) AS v FROM x GROUP BY ALL),
+p AS (SELECT x.*, 1 + CAST(1000000000 * (n + 2) AS HUGEINT) // CAST(total + 2 * v AS HUGEINT) AS p FROM x JOIN s USING (lang, source, whole)),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source WHERE a.whole = 0 AND b.whole = 0 GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source AND a.whole = 0 AND b.whole = 0 LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+tm AS (SELECT a.lang, a.source, 'term' AS part, a.term AS item, CAST((a.p - b.p) * (a.p - b.p) // (a.p + b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND b.whole = 1 WHERE a.whole = 0 AND a.n > 0 AND a.p > b.p)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm) QUALIFY part = 'pair' OR rank <= 10"""
+
+SPELLING = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i::BIGINT, list_transform(range(0, 8), lambda k: k::BIGINT)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END)) AS t),
+r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 17)::BIGINT)), lambda a, c: xor(a // 256, t[xor(a % 256, c) + 1])), 4294967295::BIGINT) AS h FROM b, tab),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, i, word[: i] || word[i + 2 :] AS rest FROM v, LATERAL (SELECT unnest(range(0, length(word))) AS i)),
+near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form, CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+c(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.form)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.form IS NULL"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_revisits": REVISITS, "op2_decontaminate": DECONTAMINATE, "op3_licenses": LICENSES, "op4_chat_format": CHAT,
         "op8_jaccard_join": JACCARD, "op9_quality_rules": quality(), "op10_lm_scores": SCORES,
+        "op11_divergence": DIVERGENCE, "op12_spelling": SPELLING,
     }

@@ -12,6 +12,7 @@ from .chat_format import digests as chat_digests
 from .chat_format import format_chats
 from .common import table
 from .decontamination import decontaminate
+from .divergence import audit
 from .html_text import extract
 from .jaccard_join import jaccard_join
 from .license_digests import PLANTED, known_licenses, scan_licenses
@@ -20,6 +21,7 @@ from .oracles import all_sql
 from .packing import pack
 from .quality_rules import quality_rules
 from .revisits import header_lines, resolve_revisits
+from .spelling import variants
 from .token_counts import count_tokens
 
 
@@ -99,8 +101,16 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_revisits, op2_decontaminate, op3_licenses, op4_chat_format, op5_pack, op6_main_text, op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_lm_scores)
+    every = (op1_revisits, op2_decontaminate, op3_licenses, op4_chat_format, op5_pack, op6_main_text, op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_lm_scores, op11_divergence, op12_spelling)
     return {f.__name__: f for f in every}
 
 
