@@ -6,11 +6,17 @@ each of its distinct keys once; keys are dealt out by their hash, many to a row;
 the task that has all of a key's askers works out the answer and sends it back to
 the blocks that asked, in the order in which they asked. A key that a third of all
 rows have is asked once by each block. Blocks, questions and answers are tables,
-so Spark moves, sorts and recomputes them.
+so Spark moves, sorts and recomputes them. The blocks' own data is written once, in
+buckets of their numbers: afterwards answers alone are moved, to the buckets.
+
+Blocks grow with the square root of the corpus and parts are no more than leave a
+block `ROW_KEYS` keys for each on average, so rows stay coarse at every size: at most
+one row for every `ROW_KEYS` keys.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import batches, cut, hadoop_path, shared_folder, tidy_shuffles
 
-#: Characters of a block, and keys that a task answers at once (each as often as blocks ask for it).
-BLOCK_CHARS, ANSWERED = 4_000_000, 2_000_000
-#: The place of a block's own row among the answers that it gets.
-ITSELF = 99
+#: Characters of a block of a corpus of up to CORPUS bytes of input, and of any block; keys that a task answers at once (each as often as blocks ask for it).
+BLOCK_CHARS, CORPUS, MOST_CHARS, ANSWERED = 4_000_000, 10 << 30, 64_000_000, 2_000_000
+#: Keys of a block for each part, on average, at least.
+ROW_KEYS = 256
+#: Bytes of input for each bucket.
+BUCKET = 64 << 20
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -51,8 +59,19 @@ def opened(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """Spark's own estimate of the input's size; it shapes blocks, no result depends on it."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def block_chars(size: int) -> int:
+    return min(MOST_CHARS, int(BLOCK_CHARS * max(1, size / CORPUS) ** 0.5))
+
+
 def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str, names: list[str]) -> DataFrame:
-    """b (the block's number) and what pack gives for the rows of each block; the second column of docs is the text."""
+    """b (the block's number) and what pack gives for the rows of each block, as a table in buckets of b; the second column of docs is the text."""
+    spark, size = docs.sparkSession, input_bytes(docs)
+    most = block_chars(size)
 
     def run(it):
         kinds = {"long": pa.int64(), "binary": pa.binary()}
@@ -63,13 +82,35 @@ def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str
             for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(x)
                 chars += len(x[1])
-                if chars >= BLOCK_CHARS:
+                if chars >= most:
                     yield row(held)
                     held, chars = [], 0
         if held:
             yield row(held)
 
-    return cut(docs.mapInArrow(run, schema).withColumn("b", F.monotonically_increasing_id()))
+    buckets = min(50_000, max(4 * spark.sparkContext.defaultParallelism, size // BUCKET))
+    name = f"blocks_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    numbered = docs.mapInArrow(run, schema).withColumn("b", F.monotonically_increasing_id())
+    with tidy_shuffles(spark):
+        numbered.repartition(buckets, "b").write.bucketBy(buckets, "b").option("path", folder).saveAsTable(name)
+    files, path = hadoop_path(spark, folder)
+    files.deleteOnExit(path)
+    out = spark.table(name)
+    out.block_table, out.step_folder = name, folder
+    return out
+
+
+def forget(blocks: DataFrame) -> None:
+    """Remove the table of blocks that nothing reads any more."""
+    blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {blocks.block_table}")
+    files, path = hadoop_path(blocks.sparkSession, blocks.step_folder)
+    files.delete(path, True)
+
+
+def parts_of(keys: int, blocks: int) -> int:
+    """Into how many parts the keys of all blocks are dealt."""
+    return int(max(1, min(keys // ANSWERED + 1, keys // max(1, blocks) // ROW_KEYS)))
 
 
 def dealt(keys: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -99,21 +140,28 @@ def runs(it, keys: int):
 
 
 def for_blocks(blocks: DataFrame, column: str, answers: list[DataFrame], act: Callable[[int, dict, bytes], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What act(b, answers by kind, the block's column) yields for each block."""
-    own = blocks.select("b", F.lit(ITSELF).alias("kind"), F.lit(0).cast("long").alias("p"), F.col(column).alias("data"))
-    if answers:
-        for a in answers:
-            own = own.union(a.filter("b >= 0").select("b", "kind", "p", "data"))
-        own = own.repartition("b").sortWithinPartitions("b", "kind", "p")
-
-    def run(it):
-        for rows in runs(it, 1):
-            got: dict[int, list[bytes]] = {}
-            for _, kind, _, data in rows:
-                got.setdefault(kind, []).append(data)
-            yield from act(rows[0][0], got, got.pop(ITSELF)[0])
-
-    return own.mapInArrow(run, schema)
+    """What act(b, answers by kind, the block's column) yields for each block: answers go to the blocks' buckets, blocks stay where they are."""
+    own = blocks.select("b", F.col(column).alias("data"))
+    if not answers:
+
+        def alone(it):
+            for batch in it:
+                for b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    yield from act(b, {}, data)
+
+        return own.mapInArrow(alone, schema)
+    every = answers[0]
+    for a in answers[1:]:
+        every = every.union(a)
+
+    def run(one: pa.Table, theirs: pa.Table) -> pa.Table:
+        got: dict[int, list[bytes]] = {}
+        for _, kind, _, data in sorted(zip(*(c.to_pylist() for c in theirs.columns), strict=True), key=lambda r: r[1:3]):
+            got.setdefault(kind, []).append(data)
+        return pa.Table.from_batches(list(act(one.column("b")[0].as_py(), got, one.column("data")[0].as_py())))
+
+    sent = every.filter("b >= 0").select("b", "kind", "p", "data")
+    return own.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(run, schema)
 
 
 QUESTIONS = "kind int, p long, b long, data binary"

@@ -14,14 +14,17 @@ all words, the unseen one among them, add up to 1 after each context.)
 
 As an automaton: a state stands for a context, with arcs for its kept n-grams and one
 failure arc, weighted with the log of its share, to the context less its first word.
-Texts are read from left to right: each token is looked for among the arcs of the
-state that the tokens before it lead to; where there is none, failure arcs are
-followed to shorter contexts and their weights added.
+An arc leads to the longest kept context that ends in its word. Texts are read from
+left to right, once: a token is looked for among the arcs of the state that the tokens
+before it led to; where there is none, failure arcs are followed to shorter contexts and
+their weights added; the arc's weight is added and its state carried on. All texts of
+a block are read abreast, long ones in stretches that start in the state their place has.
 
 The automaton grows with the corpus, so no task holds it. Blocks of documents ask
 for the counts of their distinct pairs; then for the counts of those triples whose pairs
 are both kept; then for the shares of their kept pairs, and for the counts and shares of
-their words. Each block thus gets the part of the automaton that its texts run through.
+their words. Each block thus gets the part of the automaton that its texts run through,
+and its states, arcs and failure arcs are arrays.
 Of the blocks that have a kept n-gram one is told to add it to its context's share.
 Keys are 64-bit hashes.
 
@@ -37,14 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ANSWERED, QUESTIONS, answered, dealt, for_blocks, gathered, in_blocks, opened, questions, squeezed
-from .common import keep_docs
+from .blocks import QUESTIONS, answered, dealt, for_blocks, forget, gathered, in_blocks, opened, parts_of, questions, squeezed
+from .common import cut, drop, keep_docs
 from .jaccard_join import WordHashes, mix
 
 #: The end token: no word has a space in it.
 END = b" "
 #: Occurrences from which on a pair or triple is kept, and what is taken off its count.
 LEAST, DISCOUNT = 2, 0.75
+#: Tokens of a text that are read in one stretch.
+STRETCH = 2048
 #: Kinds of questions: pairs, words as contexts, triples, pairs as contexts.
 PAIRS, WORDS, TRIPLES, CONTEXTS = 1, 2, 3, 4
 
@@ -112,6 +117,7 @@ class Block:
         self.at3 = at[self.kept2[self.pair[at - 1]] & self.kept2[self.pair[at]]]
         code, self.triple = np.unique(self.pair[self.at3 - 1] * len(self.vocabulary) + self.ids[self.at3], return_inverse=True)
         self.context3, last = np.divmod(code, len(self.vocabulary))
+        self.triple_pair = np.searchsorted(self.distinct, self.pw[self.context3] * len(self.vocabulary) + last)
         self.triple_key = joined(self.pair_key[self.context3], self.vocabulary[last])
         self.order3 = np.argsort(self.triple_key)
         # kept pairs that can be contexts, in order of their keys
@@ -122,6 +128,66 @@ class Block:
         self.c3, self.mine3 = np.abs(c), c < 0
 
 
+class Automaton:
+    """The part of the model that a block's texts run through.
+
+    State 0 is the empty context, 1 + w that of word w, then come those of the kept pairs. arcs: state * words + word of
+    each arc but those of state 0, in order, with weight and next state; fails and back: where failure arcs lead, and their weights.
+    """
+
+    def __init__(self, x: Block, p1: np.ndarray, some: np.ndarray, share2: np.ndarray, share3: np.ndarray):
+        m, own = len(x.vocabulary), len(x.states)
+        self.words, self.base = m, np.log10(p1)
+        self.after = x.pw + 1  # the state that a pair leads to
+        self.after[x.states] = m + 1 + np.arange(own)
+        self.back = np.log10(np.concatenate([[1.0], share2, share3]))
+        self.fails = np.concatenate([np.zeros(m + 1, np.int64), x.pw[x.states] + 1])
+        pair = np.flatnonzero(x.kept2)
+        p2 = np.where(x.kept2, (x.c2 - DISCOUNT) / some[x.pv], 0) + share2[x.pv] * p1[x.pw]
+        triple = np.flatnonzero(x.c3 > 0)
+        state = self.after[x.context3[triple]]
+        last = x.triple_pair[triple]  # the pair that a triple ends with
+        p3 = (x.c3[triple] - DISCOUNT) / x.c2[x.context3[triple]] + share3[state - m - 1] * p2[last]
+        arcs = np.concatenate([(x.pv[pair] + 1) * m + x.pw[pair], state * m + x.pw[last]])
+        order = np.argsort(arcs)
+        self.arcs = arcs[order]
+        self.weights = np.log10(np.concatenate([p2[pair], p3])[order])
+        self.to = np.concatenate([self.after[pair], self.after[last]])[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that tokens lead to from states, and the weights on the way."""
+        weight, to = self.base[word], word + 1
+        fell, at, now = np.zeros(len(word)), np.arange(len(word)), state
+        while len(at):
+            code = now * self.words + word[at]
+            k = np.minimum(np.searchsorted(self.arcs, code), max(0, len(self.arcs) - 1))
+            hit = self.arcs[k] == code if len(self.arcs) else np.zeros(len(at), bool)
+            weight[at[hit]], to[at[hit]] = self.weights[k[hit]], self.to[k[hit]]
+            at, now = at[~hit], now[~hit]
+            fell[at] += self.back[now]
+            now = self.fails[now]
+            at, now = at[now > 0], now[now > 0]
+        return weight + fell, to
+
+    def read(self, x: Block) -> np.ndarray:
+        """The sums of weights over each text of the block."""
+        cuts = -(-x.lens // STRETCH)
+        of = np.repeat(np.arange(len(x.lens)), cuts)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        begin = x.begin[of] + nth * STRETCH
+        size = np.minimum(x.lens[of] - nth * STRETCH, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        begin, size, of = begin[order], size[order], of[order]
+        first = begin == x.begin[of]
+        state = np.where(first, x.end + 1, self.after[x.pair[begin - 1]])
+        sums = np.zeros(len(of))
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t))  # stretches of more than t tokens
+            weight, state = self.step(state[:n], x.ids[begin[:n] + t])
+            sums[:n] += weight
+        return np.bincount(of, sums, len(x.lens))
+
+
 def counted(data: list[bytes]) -> tuple[list[bytes], int]:
     """For each asker's keys their count over all askers, 0 below LEAST, negative for the first asker of a key."""
     asked = [opened(d) for d in data]
@@ -165,8 +231,8 @@ def score(docs: DataFrame) -> DataFrame:
         return packed(held, hashes)
 
     blocks = in_blocks(rows, pack, "data binary, n long, trained long", ["data", "n", "trained"])
-    size, total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0))).first()
-    parts = size // ANSWERED + 1
+    size, total, count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
+    parts = parts_of(size, count)
 
     def ask_pairs(b: int, got: dict, data: bytes):
         x = Block(data)
@@ -206,26 +272,18 @@ def score(docs: DataFrame) -> DataFrame:
         c, s, k = gathered(got[WORDS])
         p1 = (c + 1) / (total + distinct + 1)
         base, some = np.log10(p1), np.maximum(c, 1)
-        # the empty state and word states: failure weights, and what the words of the block's pairs get there
-        back2 = np.log10(1 - (s - DISCOUNT * k) / some)
-        p2 = np.where(x.kept2, (x.c2 - DISCOUNT) / some[x.pv], 0) + 10 ** back2[x.pv] * p1[x.pw]
-        arc2 = np.where(x.kept2, np.log10(p2), back2[x.pv] + base[x.pw])
-        # states of kept pairs
-        back3 = np.zeros(len(x.distinct))
+        share2, share3 = 1 - (s - DISCOUNT * k) / some, np.empty(0)
         if len(x.states):
             s, k = gathered(got[CONTEXTS])
-            back3[x.states] = np.log10(1 - (s - DISCOUNT * k) / x.c2[x.states])
-        # from left to right: the state before a token is the longest kept context that ends there
-        out = arc2[x.pair]
-        out[x.inner] += back3[x.pair[np.flatnonzero(x.inner) - 1]]
-        arc3 = x.c3[x.triple] > 0
-        at, of = x.at3[arc3], x.context3[x.triple[arc3]]
-        out[at] = np.log10((x.c3[x.triple[arc3]] - DISCOUNT) / x.c2[of] + 10 ** back3[of] * p2[x.pair[at]])
+            share3 = 1 - (s - DISCOUNT * k) / x.c2[x.states]
+        out = Automaton(x, p1, some, share2, share3).read(x)
         add = lambda v: np.add.reduceat(v, x.begin)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x.doc, pa.int64(), mask=x.named == 0), pa.array(x.trained[x.begin] == 0), pa.array(x.lens), pa.array(add((c > 0)[x.ids].astype(np.int64))), pa.array(add(base[x.ids])), pa.array(add(out))],
+            [pa.array(x.doc, pa.int64(), mask=x.named == 0), pa.array(x.trained[x.begin] == 0), pa.array(x.lens), pa.array(add((c > 0)[x.ids].astype(np.int64))), pa.array(add(base[x.ids])), pa.array(out)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    done = for_blocks(blocks, "data", [pairs, triples, words, contexts], read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = cut(for_blocks(blocks, "data", [pairs, triples, words, contexts], read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    drop(pairs, triples, contexts, words)
+    forget(blocks)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,7 +9,8 @@ One pass over the texts gives each document's pre-token frequencies, in blocks o
 documents that name each pre-token once. The blocks' pre-tokens are dealt out by
 their hash; the task that gets one counts its pieces, once for the whole corpus, and
 sends the count to the blocks that have it; there the counts are joined to the
-frequencies and summed. Nothing is broadcast but the model, and no ids are made.
+frequencies and summed. Nothing is broadcast but the model, and no text's ids are
+made: a pre-token's pieces are made once, for the corpus, and only counted.
 Models whose pieces cross spaces are refused unless `whole` is set: then each whole
 text is its own pre-token.
 
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ANSWERED, QUESTIONS, answered, dealt, for_blocks, gathered, in_blocks, opened, questions, squeezed
-from .common import keep_docs
+from .blocks import QUESTIONS, answered, dealt, for_blocks, forget, gathered, in_blocks, opened, parts_of, questions, squeezed
+from .common import cut, keep_docs
 
 SPACE = "▁"  # the pieces' mark of a space
 CHUNK = re.compile(" +[^ ]*")
@@ -102,7 +103,7 @@ def in_pre_tokens(docs: DataFrame, whole: bool = False) -> DataFrame:
 def piece_counts(blocks: DataFrame, model: bytes, whole: bool = False) -> DataFrame:
     """The pieces of each block's pre-tokens, in order; n adds up to the pre-tokens that were encoded."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)
-    parts = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // ANSWERED + 1
+    parts = parts_of(*blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
 
     def ask(b: int, got: dict, data: bytes):
         lens, chars = opened(data)
@@ -146,4 +147,6 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, whole: bool =
         tokens = total[ends] - total[ends - sizes]
         yield pa.RecordBatch.from_arrays([pa.array(doc, mask=named == 0), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return for_blocks(blocks, "freqs", [piece_counts(blocks, model, whole)], add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    done = cut(for_blocks(blocks, "freqs", [piece_counts(blocks, model, whole)], add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"))
+    forget(blocks)
+    return done
