@@ -113,12 +113,18 @@ def parts_of(keys: int, blocks: int) -> int:
     return int(max(1, min(keys // ANSWERED + 1, keys // max(1, blocks) // ROW_KEYS)))
 
 
-def dealt(keys: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Each part's number and its keys with their values; keys are in order."""
+def ranges(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Each part's number and where its keys begin and end; keys are in order."""
     p = (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
     begin = np.flatnonzero(np.r_[len(p) > 0, p[1:] != p[:-1]][: len(p)])
-    for a, z in zip(begin, [*begin[1:], len(p)][: len(begin)], strict=True):
-        yield int(p[a]), squeezed(keys[a:z], *(v[a:z] for v in values))
+    for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(p)][: len(begin)], strict=True):
+        yield int(p[a]), a, z
+
+
+def dealt(keys: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Each part's number and its keys with their values; keys are in order."""
+    for p, a, z in ranges(keys, parts):
+        yield p, squeezed(keys[a:z], *(v[a:z] for v in values))
 
 
 def gathered(answers: list[bytes]) -> list[np.ndarray]:

@@ -148,9 +148,18 @@ c(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT c.word,
 SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.form IS NULL"""
 
 
+DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT r, doc_id, k, md5(array_to_string(w[k + 1 : k + 20], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(0, greatest(0, len(w) - 19))) AS k)),
+gone AS (SELECT DISTINCT r, k + o AS pos FROM (SELECT r, k FROM win QUALIFY rank() OVER (PARTITION BY g ORDER BY doc_id, k) > 1), LATERAL (SELECT unnest(range(0, 20)) AS o)),
+x AS (SELECT r, word, pos FROM (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d) ANTI JOIN gone USING (r, pos)),
+k AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM x GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op1_revisits": REVISITS, "op2_decontaminate": DECONTAMINATE, "op3_licenses": LICENSES, "op4_chat_format": CHAT,
         "op8_jaccard_join": JACCARD, "op9_quality_rules": quality(), "op10_lm_scores": SCORES,
-        "op11_divergence": DIVERGENCE, "op12_spelling": SPELLING,
+        "op11_divergence": DIVERGENCE, "op12_spelling": SPELLING, "op13_substring_dedup": DEDUP,
     }

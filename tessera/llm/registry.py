@@ -22,6 +22,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .revisits import header_lines, resolve_revisits
 from .spelling import variants
+from .substring_dedup import dedup
 from .token_counts import count_tokens
 
 
@@ -109,8 +110,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_revisits, op2_decontaminate, op3_licenses, op4_chat_format, op5_pack, op6_main_text, op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_lm_scores, op11_divergence, op12_spelling)
+    every = (op1_revisits, op2_decontaminate, op3_licenses, op4_chat_format, op5_pack, op6_main_text, op7_token_counts, op8_jaccard_join, op9_quality_rules, op10_lm_scores, op11_divergence, op12_spelling, op13_substring_dedup)
     return {f.__name__: f for f in every}
 
 
