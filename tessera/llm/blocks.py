@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, hadoop_path, shared_folder, tidy_shuffles
 
-#: Characters of a block of a corpus of up to CORPUS bytes of input, and of any block; keys that a task answers at once (each as often as blocks ask for it).
+#: Characters of a block of a corpus of up to CORPUS bytes of text, and of any block; keys that a task answers at once (each as often as blocks ask for it).
 BLOCK_CHARS, CORPUS, MOST_CHARS, ANSWERED = 4_000_000, 10 << 30, 64_000_000, 2_000_000
 #: Keys of a block for each part, on average, at least.
 ROW_KEYS = 256
-#: Bytes of input for each bucket.
-BUCKET = 64 << 20
+#: Bytes of text for each bucket.
+BUCKET = 128 << 20
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -59,18 +59,13 @@ def opened(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def input_bytes(docs: DataFrame) -> int:
-    """Spark's own estimate of the input's size; it shapes blocks, no result depends on it."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def block_chars(size: int) -> int:
     return min(MOST_CHARS, int(BLOCK_CHARS * max(1, size / CORPUS) ** 0.5))
 
 
 def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str, names: list[str]) -> DataFrame:
     """b (the block's number) and what pack gives for the rows of each block, as a table in buckets of b; the second column of docs is the text."""
-    spark, size = docs.sparkSession, input_bytes(docs)
+    spark, size = docs.sparkSession, docs.agg(F.coalesce(F.sum(F.octet_length(docs.columns[1])), F.lit(0))).first()[0]
     most = block_chars(size)
 
     def run(it):
@@ -88,7 +83,7 @@ def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str
         if held:
             yield row(held)
 
-    buckets = min(50_000, max(4 * spark.sparkContext.defaultParallelism, size // BUCKET))
+    buckets = min(50_000, max(2 * spark.sparkContext.defaultParallelism, size // BUCKET))
     name = f"blocks_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark)}/{name}"
     numbered = docs.mapInArrow(run, schema).withColumn("b", F.monotonically_increasing_id())

@@ -51,7 +51,7 @@ def word_counts(docs: DataFrame, shortest: int = 5, least: int = 3, every: int =
     """word and n of the words of at least `shortest` letters that occur `least` times."""
 
     def rows(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in n]), pa.array(n.values(), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in n], pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     def run(it):
         n: Counter = Counter()
