@@ -46,7 +46,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut, drop, keep_docs
@@ -59,6 +59,7 @@ BLOCK_SHINGLES, CELL, NAMED = 1_000_000, 4000, 100_000
 #: Rounds of blocks.
 ROUNDS = 2
 FAN = 32
+NO_KEYS = np.empty(0, np.int64)
 
 
 class WordHashes(dict):
@@ -292,17 +293,22 @@ def longs(rows: list[tuple], names: list[str]):
 
 
 def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, cls (name of the set), n, keys (those under which it must be looked for)."""
+    """doc_id, cls (name of the set), n, keys (those under which it must be looked for; once for the copies that a task meets)."""
 
     def run(it):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for b in batches(it, 4 << 20):
             cls, n, keys = [], [], []
-            for t in b.column(1).to_pylist():
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(t, width, hashes)
                 cls.append(name_of(s))
                 n.append(len(s))
-                keys.append(keys_of(s, num, den).view(np.int64))
+                new = len(s) > 0 and doc_id is not None and cls[-1] not in seen
+                keys.append(keys_of(s, num, den).view(np.int64) if new else NO_KEYS)
+                if new:
+                    seen.add(cls[-1])
+            if len(seen) > NAMED:
+                seen.clear()
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "cls", "n", "keys"])
@@ -352,11 +358,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     docs = keep_docs(docs)
     found = cut(signatures(docs, width, num, den).withColumn("at", F.monotonically_increasing_id()))
     # one row for each class, also where rows are repeated
-    first = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.count("*").alias("copies"))
-    classes = cut(first.select("cls", "x.doc_id", F.col("x.at").alias("id"), "copies"))
-    under = found.join(classes.select(F.col("id").alias("at")), "at").select(F.col("at").alias("id"), "n", F.explode("keys").alias("h"))
-    met = under.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1").select("h")
-    shared = cut(under.join(met, "h"))
+    first = found.filter("n > 0 and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "at", "n")).alias("x"), F.count("*").alias("copies"))
+    classes = cut(first.select("cls", "x.doc_id", F.col("x.at").alias("id"), "x.n", "copies"))
+    # keys where classes meet, in one shuffle of them all: neither sets nor their lists of keys are moved
+    under, key = found.select(F.xxhash64("cls").alias("c"), F.explode("keys").alias("h")), Window.partitionBy("h")
+    met = under.select("h", "c", F.min("c").over(key).alias("lo"), F.max("c").over(key).alias("hi")).filter("lo < hi").select("h", "c").distinct()
+    shared = cut(met.join(classes.select(F.xxhash64("cls").alias("c"), "id", "n"), "c").select("h", "id", "n"))
     every_set = sets_of(docs, classes.join(shared.select("id").distinct(), "id").select("doc_id", "id", "copies", "cls"), width)
 
     # 3: families of bounded size
