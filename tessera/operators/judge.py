@@ -57,7 +57,13 @@ SIBLINGS = {"vocals": (["lead_vocal", "bgv"], "lead_vocal"), "instrumental": (["
 
 
 def apply_inventory(parts: DataFrame, verdicts: DataFrame, track: str, part: str, cell: Sequence[str], amount: str, keep_uncertain: bool = True) -> DataFrame:
-    """track, part, cell and amount once rejected parts have given theirs to a sibling; sums of siblings stay.
+    """track, part, cell and amount once rejected parts have given theirs to a sibling; sums of siblings stay."""
+    energies = parts.groupBy(track, part).agg(F.sum(F.col(amount).cast("double") * F.col(amount).cast("double")).alias("_e"))
+    return parts.join(inventory_moves(energies, verdicts, track, part, keep_uncertain), [track, part]).groupBy(track, F.col("_to").alias(part), *cell).agg(F.sum(amount).alias(amount))
+
+
+def inventory_moves(energies: DataFrame, verdicts: DataFrame, track: str, part: str, keep_uncertain: bool = True) -> DataFrame:
+    """track, part and _to: where what a part has belongs by the verdicts; parts that leave the mix have no row. energies: track, part, _e.
 
     verdicts: track, part, decision. A part is rejected if it is absent (or uncertain, unless those are kept) and at
     least two of its siblings are there; its group's residual never is. Without a residual the loudest kept sibling
@@ -65,8 +71,7 @@ def apply_inventory(parts: DataFrame, verdicts: DataFrame, track: str, part: str
     group = {p: g for g, (members, _) in SIBLINGS.items() for p in members}
     rest = {p: r for members, r in SIBLINGS.values() for p in members if r}
     named = lambda table: F.coalesce(*(F.when(F.col(part) == k, v) for k, v in table.items()))
-    there = parts.groupBy(track, part).agg(F.sum(F.col(amount).cast("double") * F.col(amount).cast("double")).alias("_e"))
-    known = there.withColumn("_g", named(group)).withColumn("_r", named(rest)).join(verdicts.select(track, part, "decision"), [track, part], "left")
+    known = energies.withColumn("_g", named(group)).withColumn("_r", named(rest)).join(verdicts.select(track, part, "decision"), [track, part], "left")
     out = F.col("decision").isin(["absent"] if keep_uncertain else ["absent", "uncertain"])
     siblings = Window.partitionBy(track, "_g")
     judged = known.withColumn("_out", F.coalesce(out & F.col("_g").isNotNull() & ~F.col(part).eqNullSafe(F.col("_r")), F.lit(False))).withColumn("_n", F.count("*").over(siblings)).withColumn("_kept", F.count_if(~F.col("_out")).over(siblings))
@@ -75,4 +80,4 @@ def apply_inventory(parts: DataFrame, verdicts: DataFrame, track: str, part: str
     has_rest = F.max(F.when(F.col(part) == F.col("_r"), F.col("_r"))).over(siblings)
     kit = F.max(F.when((F.col(part) == "drums") & F.col("_out"), True)).over(Window.partitionBy(track))
     placed = judged.withColumn("_to", F.when(F.col("_out"), F.coalesce(has_rest, loudest)).otherwise(F.col(part))).withColumn("_gone", F.coalesce(kit & F.col(part).isin(SIBLINGS["drums"][0]), F.lit(False)))
-    return parts.join(placed.filter(~F.col("_gone")).select(track, part, "_to"), [track, part]).groupBy(track, F.col("_to").alias(part), *cell).agg(F.sum(amount).alias(amount))
+    return placed.filter(~F.col("_gone")).select(track, part, "_to")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as k
+from .chunks import by_cell
 
 AUDIO = "track_id string, part_key string, channel int, chunk_no int, t0 double, sr int, samples array<float>"
 COLUMNS = ["track_id", "part_key", "channel", "chunk_no", "t0", "sr", "samples"]
@@ -20,20 +21,23 @@ def one_chunk(track, part, channel, sr, x: np.ndarray) -> tuple:
     return (track, part, int(channel), 0, 0.0, int(sr), x.astype(np.float32))
 
 
-def split_tree(audio: DataFrame, splits: list[tuple], power: float = 2.0, exact: bool = True, rounds: int = 0, end: float = 5.0) -> DataFrame:
-    """All parts of the mixes in audio, from the estimates in it, per track and channel: one pass for the whole tree."""
+#: Samples of a frame and of a cell in which a tree is split: a multiple of the frames' step.
+N_FFT, CELL = 4096, 1 << 17
 
-    def run(pdf):
-        import pandas as pd
 
-        signals = {p: whole(g) for p, g in pdf.groupby("part_key")}
-        rows = []
-        if "mix" in signals:
-            parts = k.split_tree(signals, splits, power, exact, rounds, end)
-            rows = [one_chunk(pdf["track_id"].iloc[0], p, pdf["channel"].iloc[0], pdf["sr"].iloc[0], y) for p, y in parts.items() if p != "mix"]
-        return pd.DataFrame(rows, columns=COLUMNS)
+def split_tree(audio: DataFrame, splits: list[tuple], power: float = 2.0, exact: bool = True, rounds: int = 0, end: float = 5.0, size: int = CELL) -> DataFrame:
+    """All parts of the mixes in audio, from the estimates in it: the whole tree of a track and channel in one pass, cell by cell.
+
+    Cells see as much of their neighbours as frames of all levels and rounds reach, so the parts are those of the signal as a whole."""
+    levels: dict[str, int] = {}
+    for parent, members, *_ in splits:
+        levels |= {p: levels.get(parent, 0) + 1 for p in members}
+    halo = N_FFT * max(levels.values(), default=0) * (1 + (rounds if exact else 0))
+
+    def act(signals: dict, sr: int) -> dict:
+        return {p: y for p, y in k.split_tree(signals, splits, power, exact, rounds, end).items() if p != "mix"}
 
-    return audio.groupBy("track_id", "channel").applyInPandas(run, AUDIO)
+    return by_cell(audio, size, halo, act, "mix", AUDIO, COLUMNS)
 
 
 def per_signal(audio: DataFrame, change, name: str | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS
 from ..functions.text import lookup
+from ..operators import chunks as ch
 from ..operators import spectral as sp
-from ..operators.judge import apply_inventory
+from ..operators.judge import inventory_moves
 from ..sources import audio as au
 from .options import PART_TREE, SPLITS, Options
 
@@ -38,21 +39,26 @@ def leaves(parts: DataFrame) -> DataFrame:
 
 
 def proof(leaves: DataFrame, mix: DataFrame) -> DataFrame:
-    """track_id, error_db: the level of what the leaves' sum misses of the mix (null if nothing measurable)."""
-    long = lambda d, name: d.select("track_id", "channel", "chunk_no", F.posexplode("samples").alias("i", name))
-    key = ["track_id", "channel", "chunk_no", "i"]
-    total = long(leaves, "v").groupBy(*key).agg(F.sum(F.col("v").cast("double")).alias("v"))
-    both = long(mix, "m").join(total, key, "left").withColumn("d", F.col("m") - F.coalesce("v", F.lit(0.0)))
-    miss, level = F.sqrt(F.avg(F.col("d") * F.col("d"))), F.sqrt(F.avg(F.col("m").cast("double") * F.col("m")))
-    return both.groupBy("track_id").agg(F.when((miss > EPS) & (level > EPS), 20 * F.log10(miss / level)).alias("error_db"))
+    """track_id, error_db: the level of what the leaves' sum misses of the mix (null if nothing measurable), or has beyond its end.
+
+    Both are laid on one grid by their samples' places, however they are cut into chunks, and compared array by array."""
+    key = ["track_id", "channel"]
+    total = ch.added(ch.on_grid(leaves), key)
+    both = ch.added(ch.on_grid(mix), key).withColumnRenamed("total", "m").join(total, [*key, "cell"], "full")
+    zero, none = F.lit(0.0), F.array().cast("array<double>")
+    miss = F.zip_with(F.coalesce("m", none), F.coalesce("total", none), lambda m, v: F.coalesce(m, zero) - F.coalesce(v, zero))
+    sums = both.select("track_id", ch.squares(miss).alias("d"), ch.squares(F.coalesce("m", none)).alias("m"), F.size(miss).alias("n")).groupBy("track_id").agg(*(F.sum(c).alias(c) for c in "dmn"))
+    missed, level = F.sqrt(F.col("d") / F.col("n")), F.sqrt(F.col("m") / F.col("n"))
+    return sums.select("track_id", F.when((missed > EPS) & (level > EPS), 20 * F.log10(missed / level)).alias("error_db"))
 
 
 def folded(parts: DataFrame, verdicts: DataFrame, options: Options) -> DataFrame:
     """parts (AUDIO) once rejected ones have given their samples to a sibling; verdicts: track_id, part_key, decision."""
-    cells = parts.select("track_id", "part_key", "channel", "chunk_no", "t0", "sr", F.posexplode("samples").alias("i", "v"))
-    done = apply_inventory(cells, verdicts, "track_id", "part_key", ["channel", "chunk_no", "t0", "sr", "i"], "v", options.keep_uncertain)
-    samples = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"].cast("float")).alias("samples")  # one chunk's
-    return done.groupBy("track_id", "part_key", "channel", "chunk_no", "t0", "sr").agg(samples).select(*sp.COLUMNS)
+    energies = parts.groupBy("track_id", "part_key").agg(F.sum(ch.squares(F.transform("samples", lambda x: x.cast("double")))).alias("_e"))
+    moved = parts.join(inventory_moves(energies, verdicts, "track_id", "part_key", options.keep_uncertain), ["track_id", "part_key"]).withColumn("part_key", F.col("_to")).drop("_to")
+    done = ch.added(ch.on_grid(moved), ["track_id", "part_key", "channel", "sr"])
+    samples = F.transform("total", lambda x: x.cast("float")).alias("samples")
+    return done.select("track_id", "part_key", "channel", F.col("cell").cast("int").alias("chunk_no"), (F.col("cell") * ch.CELL / F.col("sr")).alias("t0"), "sr", samples)
 
 
 def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(), verdicts: DataFrame | None = None) -> Result:
@@ -78,8 +84,7 @@ def multitrack(spark: SparkSession, folder: str, overrides: DataFrame | None = N
     if overrides is not None:
         own = overrides.select("file", "given").union(own.join(overrides, "file", "left_anti"))
     parts = au.sum_channels(au.classify_channels(au.read_wavs(spark, folder), own))
-    zero = F.lit(0.0).cast("float")
-    add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
-    all_ = parts.groupBy("track_id", "channel", "chunk_no", "sr").agg(F.min("t0").alias("t0"), F.collect_list("samples").alias("x"))
-    mix = all_.withColumn("samples", F.reduce(F.slice("x", 2, 1 << 20), F.get("x", F.lit(0)), add)).withColumn("part_key", F.lit("mix")).select(*sp.COLUMNS)
+    key = ["track_id", "channel", "sr"]
+    total = ch.added(ch.on_grid(parts), key).withColumn("samples", F.transform("total", lambda x: x.cast("float"))).withColumn("part_key", F.lit("mix"))
+    mix = total.withColumn("chunk_no", F.col("cell").cast("int")).withColumn("t0", F.col("cell") * ch.CELL / F.col("sr")).select(*sp.COLUMNS)
     return Result(parts, proof(parts, mix), sp.analyse(mix))

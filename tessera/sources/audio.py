@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import match_length
 from ..functions.text import CHANNELS, CLICK, IGNORED, channel_base, channel_name, channel_side, first_match, own_track
+from ..operators.chunks import added, on_grid
 
 AUDIO = "track_id string, part_key string, channel int, chunk_no int, t0 double, sr int, samples array<float>"
 CHUNK = 1 << 16
@@ -116,10 +117,9 @@ def sum_channels(audio: DataFrame, ceiling: float = 0.99) -> DataFrame:
 
     Clicks and ignored channels are left out; shorter channels count as silent at the end."""
     on = audio.filter(~F.col("part_key").isin(CLICK, IGNORED)).filter(((F.col("side") == "l") & (F.col("channel") == 0)) | ((F.col("side") == "r") & (F.col("channel") == 1)) | (F.col("side") == ""))
-    add = lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, F.lit(0.0).cast("float")) + F.coalesce(b, F.lit(0.0).cast("float")))
-    # a part's channels of one chunk are a handful of arrays
-    parts = on.groupBy("track_id", "part_key", "channel", "chunk_no", "sr").agg(F.min("t0").alias("t0"), F.collect_list("samples").alias("all"))
-    summed = parts.withColumn("samples", F.reduce(F.slice("all", 2, 1 << 20), F.get("all", F.lit(0)), add)).drop("all")
+    # a part's channels of one cell are a handful of arrays, added in doubles and in order
+    total = added(on_grid(on), ["track_id", "part_key", "channel", "sr"])
+    summed = total.select("track_id", "part_key", "channel", F.col("cell").cast("int").alias("chunk_no"), (F.col("cell") * CHUNK / F.col("sr")).alias("t0"), "sr", F.col("total").alias("samples"))
     peak = summed.groupBy("track_id").agg(F.max(F.array_max(F.transform("samples", F.abs))).alias("peak"))
     gain = F.when(F.col("peak") > ceiling, ceiling / F.col("peak")).otherwise(1.0)
     scaled = summed.join(peak, "track_id").withColumn("samples", F.transform("samples", lambda v: (v * gain).cast("float")))
