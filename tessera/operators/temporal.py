@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import absorbed, running
+
 
 def range_join(points: DataFrame, intervals: DataFrame, t: str, low: str, high: str, width: int, by: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Points with low <= t < high, by an equal join on buckets of `width` (about an interval's length).
@@ -65,17 +67,19 @@ def warp(points: DataFrame, knots: DataFrame, t: str, source: str, target: str,
     return out.withColumn("warped", F.coalesce(line, last, held) if clamp else F.coalesce(line, last)).drop("_x0", "_y0", "_x1", "_y1", "_a", "_z")
 
 
-def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str) -> DataFrame:
-    """df with run: the number (from 1) of its run of equal labels."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    changed = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)), 0).otherwise(1)
-    return df.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, slice_: Column | None = None) -> DataFrame:
+    """df with run: the number (from 1) of its run of equal labels. slice_ grows with the order: a key's slices are then worked on by many tasks."""
+    slice_ = F.lit(0) if slice_ is None else slice_
+    before = previous(df, by, order, label, slice_, "_l")
+    changed = F.when(F.col("_l").eqNullSafe(F.col(label)), 0).otherwise(1)
+    return running(before.withColumn("_c", changed), by, order, "_c", slice_, "run").drop("_c", "_l")
 
 
-def merge_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, start: str, end: str) -> DataFrame:
+def merge_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, start: str, end: str, slice_: Column | None = None) -> DataFrame:
     """One row per run: label, its first start and last end, and ordinal: which run of that label it is."""
-    runs = islands(df, by, order, label).groupBy(*by, "run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("size"))
-    return runs.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by, label).orderBy("run")))
+    runs = islands(df, by, order, label, slice_).groupBy(*by, "run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("size"))
+    ordinal = running(runs, [*by, label], ["run"], F.lit(1), F.floor(F.col("run") / 65_536), "ordinal")
+    return ordinal.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 def absorb_short_runs(labels: list, least: int) -> list:
@@ -119,15 +123,16 @@ def absorb_short_runs(labels: list, least: int) -> list:
     return [x for x, n, *_ in runs for _ in range(n)]
 
 
-def min_run_merge(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, least: int) -> DataFrame:
-    """by, order columns and merged: labels after absorb_short_runs, per key (one track's labels are one group)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by, *order).schema) + ", merged string"
-
-    def run(pdf):
-        pdf = pdf.sort_values(list(order)).reset_index(drop=True)
-        return pdf[[*by, *order]].assign(merged=absorb_short_runs(pdf[label].tolist(), least))
+def min_run_merge(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, least: int, slice_: Column | None = None, together: int = 20_000) -> DataFrame:
+    """by, order columns and merged: labels once the shortest runs under `least` are absorbed, as absorb_short_runs does for a list.
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    Runs are contracted in slices, so a track may have any number of them; each row then takes the label of the run that its place came to lie in."""
+    keys, slice_ = list(by), F.lit(0) if slice_ is None else slice_
+    rows = running(df.select(*keys, *order, label), keys, order, F.lit(1), slice_, "_pos")
+    runs = islands(rows, keys, ["_pos"], label, F.floor(F.col("_pos") / 65_536)).groupBy(*keys, "run", label).agg(F.min("_pos").alias("first"), F.count("*").alias("size"))
+    left = absorbed(runs.select(*keys, F.col("run").cast("long").alias("num"), F.col(label).cast("string").alias("label"), "size", F.col("first").cast("long").alias("first")), keys, least, together)
+    placed = around(rows.select(*keys, *order, F.col("_pos").cast("long").alias("_pos")), left, "_pos", "first", keys, 65_536)
+    return placed.join(left.select(*keys, F.col("first").alias("prev"), F.col("label").alias("merged")), [*keys, "prev"]).select(*keys, *order, "merged")
 
 
 def steady_grid(spans: DataFrame, start: str, end: str, period: str) -> DataFrame:

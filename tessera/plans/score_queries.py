@@ -71,6 +71,16 @@ def satb_voicings(spark, sf_dir):
 PROGRESSION = [([7, 11, 2], 7, 11, 71), ([2, 6, 9], 2, 6, 69), ([4, 7, 11], 4, 7, 67), ([0, 4, 7], 0, 4, 64)]
 
 
+def move_sql() -> tuple[str, str]:
+    """Whether a move from voicing p to n is legal, and its cost."""
+    legal = [f"abs(n.{v} - p.{v}) <= {mu.LEAPS[v]}" for v in mu.VOICES]
+    for x, y in mu.PAIRS:
+        both = f"n.{x} <> p.{x} AND n.{y} <> p.{y} AND sign(n.{x} - p.{x}) = sign(n.{y} - p.{y})"
+        legal += [f"NOT ({both} AND (p.{x} - p.{y} + 120) % 12 = {i} AND (n.{x} - n.{y} + 120) % 12 = {i})" for i in (7, 0)]
+    moves = " + ".join(f"{mu.MOVES[v]} * abs(n.{v} - p.{v})" for v in mu.VOICES) + " - 0.5 * (" + " + ".join(f"CASE WHEN n.{v} = p.{v} THEN 1 ELSE 0 END" for v in mu.VOICES) + ")"
+    return " AND ".join(legal), moves
+
+
 def chain_sql(own: str = "0.0") -> str:
     """The cheapest path through the progression's voicings; own: what a voicing costs by itself."""
     layers = []
@@ -80,14 +90,10 @@ def chain_sql(own: str = "0.0") -> str:
         thirds = " + ".join(f"CASE WHEN {v} % 12 = {third} THEN 1 ELSE 0 END" for v in mu.VOICES)
         ranges = ", ".join(f"{RANGE[v]} {v}_" for v in mu.VOICES)
         layers.append(f"l{k} AS (SELECT s, a, t, b, round({own}, 6) AS own, concat_ws(',', s, a, t, b) AS txt FROM {ranges} WHERE s = {melody} AND {tones} AND {spaced} AND {root} IN (s % 12, a % 12, t % 12, b % 12) AND {thirds} <= 1)")
-    legal = [f"abs(n.{v} - p.{v}) <= {mu.LEAPS[v]}" for v in mu.VOICES]
-    for x, y in mu.PAIRS:
-        both = f"n.{x} <> p.{x} AND n.{y} <> p.{y} AND sign(n.{x} - p.{x}) = sign(n.{y} - p.{y})"
-        legal += [f"NOT ({both} AND (p.{x} - p.{y} + 120) % 12 = {i} AND (n.{x} - n.{y} + 120) % 12 = {i})" for i in (7, 0)]
-    moves = " + ".join(f"{mu.MOVES[v]} * abs(n.{v} - p.{v})" for v in mu.VOICES) + " - 0.5 * (" + " + ".join(f"CASE WHEN n.{v} = p.{v} THEN 1 ELSE 0 END" for v in mu.VOICES) + ")"
+    legal, moves = move_sql()
     steps = ["c0 AS (SELECT s, a, t, b, own AS cost, txt AS path FROM l0)"]
     for k in range(1, len(PROGRESSION)):
-        steps.append(f"c{k} AS (SELECT s, a, t, b, m.cost AS cost, m.path AS path FROM (SELECT n.s, n.a, n.t, n.b, min(struct_pack(cost := round(CAST(p.cost + {moves} + n.own AS DOUBLE), 6), path := p.path || ' ' || n.txt)) AS m FROM c{k - 1} p, l{k} n WHERE {' AND '.join(legal)} GROUP BY 1, 2, 3, 4))")
+        steps.append(f"c{k} AS (SELECT s, a, t, b, m.cost AS cost, m.path AS path FROM (SELECT n.s, n.a, n.t, n.b, min(struct_pack(cost := round(CAST(p.cost + {moves} + n.own AS DOUBLE), 6), path := p.path || ' ' || n.txt)) AS m FROM c{k - 1} p, l{k} n WHERE {legal} GROUP BY 1, 2, 3, 4))")
     return f"WITH {', '.join(layers)}, {', '.join(steps)}, f AS (SELECT min(struct_pack(cost := CAST(cost AS DOUBLE), path := path)) AS m FROM c{len(PROGRESSION) - 1}) SELECT m.cost AS cost, m.path AS path FROM f WHERE m IS NOT NULL"
 
 

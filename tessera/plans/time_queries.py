@@ -12,7 +12,7 @@ from ..operators import music as mu
 from ..operators import repair as rp
 from ..operators import temporal as te
 from ..sources import exports as ex
-from .base import EV, HOURLY, REV, events, hourly, query, r6, revenue, table
+from .base import EV, HOUR, HOURLY, REV, events, hourly, query, r6, revenue, table
 
 MINUTE = 60_000_000
 
@@ -103,7 +103,7 @@ g AS (SELECT user_id, run, part, min(us) AS us0, max(us) AS us1, count(*) AS siz
 def runs_islands(spark, sf_dir):
     """Runs of equal parts on each track, numbered by part."""
     e = events(spark, sf_dir).withColumn("us0", F.col("us")).withColumn("us1", F.col("us"))
-    return te.merge_runs(e, ["user_id"], ["us", "event_id"], "part", "us0", "us1").select("user_id", "run", "part", "us0", "us1", "size", "ordinal")
+    return te.merge_runs(e, ["user_id"], ["us", "event_id"], "part", "us0", "us1", F.expr(f"us div {24 * HOUR}")).select("user_id", "run", "part", "us0", "us1", "size", "ordinal")
 
 
 MERGED = "CASE WHEN k > 1 AND k < z AND r[k - 1].label = r[k + 1].label THEN list_concat(list_append(r[1:k - 2], struct_pack(label := r[k - 1].label, n := r[k - 1].n + r[k].n + r[k + 1].n)), r[k + 2:]) WHEN k > 1 AND (k = z OR r[k - 1].n >= r[k + 1].n) THEN list_concat(list_append(r[1:k - 2], struct_pack(label := r[k - 1].label, n := r[k - 1].n + r[k].n)), r[k + 1:]) ELSE list_concat(list_append(r[1:k - 1], struct_pack(label := r[k + 1].label, n := r[k + 1].n + r[k].n)), r[k + 2:]) END"
@@ -117,7 +117,7 @@ SELECT e.user_id, us, event_id, label AS merged FROM e JOIN w ON w.user_id = e.u
 def min_run_merge(spark, sf_dir):
     """Labels after the shortest runs under three are absorbed, again and again."""
     e = events(spark, sf_dir).select("user_id", "us", "event_id", "part")
-    return te.min_run_merge(e, ["user_id"], ["us", "event_id"], "part", 3)
+    return te.min_run_merge(e, ["user_id"], ["us", "event_id"], "part", 3, F.expr(f"us div {24 * HOUR}"))
 
 
 CELLS = f"{HOURLY}, mx AS (SELECT hour, CAST(sum(amount) AS DOUBLE) AS m FROM hp GROUP BY hour), cl AS (SELECT part, hour, CAST(amount AS DOUBLE) AS v, m FROM hp JOIN mx USING (hour)), dm AS (SELECT *, v > 0.001 * max(v) OVER (PARTITION BY part) AND v / greatest(m, 1e-10) > 0.12 AS alive, m > 0.001 * max(m) OVER (PARTITION BY part) AND v / greatest(m, 1e-10) <= 0.12 AS lost FROM cl)"
