@@ -2,19 +2,21 @@
 
 The page becomes a tree whose parts that are never article text (scripts, forms,
 navigation, page headers and footers, parts named as adverts, notices, sidebars
-or comments, hidden parts) are left out. Each block of text passes points to its
-ancestors, for itself, its commas and its length, all of them to its container,
-half to the next and less further up; a container's points are discounted by its
-link density. The best container (or the article or main part around it) is
-kept, with those of its siblings that score well or are plain prose, and the
-headings, lists and other paragraphs that stand next to those. A part's name alone
+or comments, hidden parts) are left out. Each block of text has points, for itself, its
+commas and its length, discounted by the share of it that is links, and passes them
+to its container and all ancestors. The best container is the lowest that holds most of
+the page's points (or the article or main part around it; a page's only article is it
+already with a quarter of them). It is kept, with those of its siblings that score well or are plain
+prose, and the headings, lists and other paragraphs that stand next to those, and, where
+wrappers around it have siblings of the same kind that score well or have prose, with these:
+columns and rows of one text. A part's score is its points, discounted by its link density. A part's name alone
 does not leave it out if it has the page's main element or most of the prose around
 it, nor if hardly anything would be left; inside an article only a name all of whose
-words speak of page furniture does (related-posts, but not related-work).
+words speak of page furniture does (related-posts, but not related-work), and prose never.
 
 Time is linear in the page's length, however deep its elements are nested: what is asked
-of all ancestors is kept at each element as it opens, sums over what an element holds
-are passed on once from child to parent, and points reach LEVELS ancestors.
+of all ancestors is kept at each element as it opens, and sums over what an element holds
+are passed on once from child to parent.
 
 Defined results: null or empty html, and pages with no text, give an empty text;
 repeated rows are read each; markup that ends early or isn't closed is read as
@@ -39,7 +41,7 @@ NAME = re.compile(r"[a-z0-9]+")
 # Elements of HTML by their role here.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "label", "dialog", "menu", "svg", "canvas", "audio", "video", "object", "template", "head", "annotation", "annotation-xml"}
+LEFT_OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "fieldset", "label", "dialog", "menu", "svg", "canvas", "audio", "video", "template", "head", "annotation", "annotation-xml"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -56,31 +58,35 @@ UNLIKELY = {
     "footer", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "toolbar", "widget", "pagination", "pager", "skip", "masthead", "contentinfo", "complementary", "alert", "dialog",
 }
+# Names of reader comments outside an article; inside one they name a part of it.
+OUTSIDE = {"discussion", "discussions"}
 # Of these, names of parts that can be longer than the article that they go with.
-WITH_ARTICLE = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "sidebar", "cookie", "cookies", "consent", "gdpr"}
+WITH_ARTICLE = {"comment", "comments", "disqus", "reply", "replies", "respond", "related", "recommended", "sidebar", "cookie", "cookies", "consent", "gdpr", "discussion", "discussions"}
 # Words that go with those in the names of page furniture.
 FURNITURE = {
     "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "center", "code", "col", "column", "container", "content", "count", "element", "field", "first", "foot", "form", "frame", "grid", "group",
     "head", "header", "heading", "holder", "icon", "icons", "image", "img", "inner", "input", "item", "items", "label", "large", "last", "layer", "left", "link", "links", "list", "logo", "message", "messages", "module", "news", "outer", "page", "pages",
     "panel", "placeholder", "post", "posts", "primary", "right", "row", "rail", "secondary", "section", "side", "slot", "small", "space", "stories", "strip", "tab", "tabs", "text", "thread", "tile", "tiles", "title", "top", "unit", "view", "wrap", "wrapper", "zone",
 }
-#: Ancestors that points reach.
-LEVELS = 32
+#: The best container is no element that holds parts of a text itself.
+NO_CONTAINER = PARAGRAPH - {"td", "th"}
+#: The share of the best part's score from which on a sibling is kept.
+SIBLING = 0.2
 #: Text of fewer characters is hardly anything.
 LITTLE = 25
 KEPT_WHOLE = {"html", "body", "article", "main"}
-BONUS = {"article": 30.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
 
 class Node:
-    """An element. block: the block it is in; region: the article, main or root around it; marked: the nearest element of
-    itself and those around it that names mark."""
+    """An element. block: the block it is in; sentence: its blocks of prose; region: the article, main or root around it; marked: the nearest element of
+    itself and those around it that names mark; inner: in an article."""
 
-    __slots__ = ("block", "bonus", "chars", "found", "kept", "links", "main", "marked", "names", "out", "own", "parent", "points", "prose", "region", "seen", "tag", "whole")
+    __slots__ = ("block", "chars", "inner", "kept", "kind", "links", "main", "marked", "names", "out", "own", "parent", "points", "prose", "region", "sentence", "tag", "whole")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, names: set[str] | None = None):
-        self.tag, self.parent, self.out, self.names, self.main, self.prose = tag, parent, out, names, tag == "main", 0
-        self.points, self.chars, self.links, self.bonus, self.seen = 0.0, 0, 0, BONUS.get(tag, 0.0), False
+    def __init__(self, tag: str, parent: Node | None, out: bool, names: set[str] | None = None, kind: str = ""):
+        self.tag, self.parent, self.out, self.names, self.main, self.prose, self.kind = tag, parent, out, names, tag == "main", 0, f"{tag} {kind}"
+        self.points, self.chars, self.links, self.sentence = 0.0, 0, 0, 0
+        self.inner = parent is not None and (parent.inner or parent.tag == "article")
         self.block = self if tag in BLOCK or parent is None else parent.block
         self.region = self if parent is None else parent if parent.tag in ("article", "main") or parent.parent is None else parent.region
         self.marked = self if names else parent.marked if parent else None
@@ -93,22 +99,25 @@ class Node:
             n = n.parent
 
     def score(self) -> float:
-        return (self.points + self.bonus) * (1 - self.links / self.chars) if self.chars and self.points else 0.0
+        return self.points * (1 - self.links / self.chars) if self.chars else 0.0
 
 
-def read_attributes(tag: str, attributes: str, inside: bool) -> tuple[bool, set[str]]:
-    """Whether an element's attributes hide it, and the names among them that mark it as no article text."""
+def read_attributes(tag: str, attributes: str, inside: bool) -> tuple[bool, set[str], str]:
+    """Whether an element's attributes hide it, the names among them that mark it as no article text, and its classes."""
     names: set[str] = set()
+    kind = ""
     for a in ATTRIBUTE.finditer(attributes):
         key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-            return True, names
+            return True, names, kind
+        if key == "class":
+            kind = value
         if key in ("class", "id", "role") and tag not in KEPT_WHOLE:
             for x in value.split():
                 words = NAME.findall(x)
                 if not x.startswith(("has-", "no-", "with-")) and (not inside or all(w in UNLIKELY or w in FURNITURE or w.isdigit() for w in words)):
-                    names |= UNLIKELY.intersection(words)
-    return False, names
+                    names |= UNLIKELY.intersection(words) if inside else (UNLIKELY | OUTSIDE).intersection(words)
+    return False, names, kind
 
 
 def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int, Node]]]:
@@ -194,11 +203,11 @@ def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str, int, Node]]]:
                         close(n)
                         break
         inside = bool(open_.get("article") or open_.get("main"))
-        hidden, names = read_attributes(tag, attributes, inside)
+        hidden, names, kind = read_attributes(tag, attributes, inside)
         out = here.out or tag in LEFT_OUT or (tag == "header" and not inside) or hidden
         if names or (out and not here.out):
             end_block()
-        here = Node(tag, here, out, names)
+        here = Node(tag, here, out, names, kind)
         nodes.append(here)
         open_[tag] = open_.get(tag, 0) + 1
         if tag == "main" and not out:
@@ -219,51 +228,70 @@ def to_parents(nodes: list[Node], *sums: str) -> None:
                 setattr(n.parent, s, getattr(n.parent, s) + getattr(n, s))
 
 
+def is_prose(text: str, linked: int) -> bool:
+    return linked < 0.25 * len(text) and (len(text) > 80 or text.endswith((".", "!", "?")))
+
+
 def without_named(nodes: list[Node], found: list[tuple[Node, str, int, Node]]) -> list[tuple[Node, str, int, Node]]:
     """The blocks that lie in no part which its name leaves out."""
     for node, text, linked, _ in found:
         if node.tag in PARAGRAPH:
             node.prose += len(text) - linked
-    to_parents(nodes, "prose")
+            node.sentence += is_prose(text, linked)
+    to_parents(nodes, "prose", "sentence")
     for n in nodes:  # parents first
         n.whole = n.parent.whole if n.parent is not None else True
         if n.names and n.whole:
-            n.whole = n.main or (2 * n.prose > n.region.prose and not n.names & WITH_ARTICLE)
+            said = n.tag in PARAGRAPH and n.sentence and n.region.tag in ("article", "main")
+            n.whole = n.main or said or (2 * n.prose > n.region.prose and not n.names & WITH_ARTICLE)
     return [b for b in found if b[3].whole]
 
 
+def best_part(nodes: list[Node]) -> Node:
+    """The container of most of the page's points, whose sums are those of all that elements hold."""
+    total = nodes[0].points
+    outer = [n for n in nodes if n.tag == "article" and n.points and not n.inner]
+    if len(outer) == 1 and 4 * outer[0].points >= total:
+        return outer[0]
+    best = nodes[0]
+    for n in nodes:  # parents first; at most one child has most
+        if n.parent is best and 2 * n.points > total and n.tag not in NO_CONTAINER:
+            best = n
+    return next((n for n in best.up() if n.tag in ("article", "main")), best)
+
+
 def kept_blocks(nodes: list[Node], found: list[tuple[Node, str, int, Node]]) -> str:
     for n in nodes:
-        n.points, n.chars, n.links, n.seen, n.own, n.found = 0.0, 0, 0, False, None, False
+        n.points, n.chars, n.links, n.own = 0.0, 0, 0, None
     for node, text, linked, _ in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
         start = node.parent if node.tag in PARAGRAPH and node.parent is not None else node
-        for level, n in zip(range(LEVELS), start.up()):  # noqa: B905  there may be fewer
-            n.points += points * (1 - linked / len(text)) / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            n.seen = True
+        start.points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
         node.chars += len(text)
         node.links += linked
-        node.found = True
-    to_parents(nodes, "chars", "links")
-    best = max((n for n in nodes if n.seen), key=Node.score)
-    best = next((n for n in best.up() if n.tag in ("article", "main")), best)
+    to_parents(nodes, "points", "chars", "links")
+    best = best_part(nodes)
+    named = best.tag in ("article", "main")
     keep = {id(best)}
+    way = {id(n.parent): n for n in best.up() if n.parent is not None}
+    for n in nodes if not named else ():  # of each wrapper's siblings those of its kind
+        wrapper = way.get(id(n.parent))
+        if wrapper is not None and n is not wrapper and n.kind == wrapper.kind and n.links < 0.25 * n.chars and (n.sentence or n.score() >= SIBLING * wrapper.score()):
+            keep.add(id(n))
     if best.parent is not None:
-        least = best.score() * 0.2
-        beside: dict[int, Node] = {}
+        least = best.score() * SIBLING
+        beside_: dict[int, Node] = {}
         for n in nodes:  # own: the child of the best part's parent that an element is in
             n.own = n if n.parent is best.parent else n.parent.own if n.parent is not None else None
         for node, text, linked, _ in found:
             n = node.own
             if n is not None:
-                beside[id(n)] = n
-                prose = n.tag == "p" and linked < 0.25 * len(text) and (len(text) > 80 or text.endswith((".", "!", "?")))
-                if n.score() >= least or prose:
+                beside_[id(n)] = n
+                if (n.score() >= least and (not named or n.tag == best.tag)) or (n.tag == "p" and is_prose(text, linked)):
                     keep.add(id(n))
-        if best.tag not in ("article", "main"):
-            for row in (list(beside.values()), list(beside.values())[::-1]):
+        if not named:
+            for row in (list(beside_.values()), list(beside_.values())[::-1]):
                 run: list[Node] = []
-                near, back = False, row[0] is not next(iter(beside.values()))
+                near, back = False, row[0] is not next(iter(beside_.values()))
                 for n in [*row, None]:
                     if n is not None and id(n) not in keep and n.tag in BESIDE and n.links < 0.25 * n.chars:
                         run.append(n)

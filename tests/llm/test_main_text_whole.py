@@ -35,7 +35,7 @@ def test_names_inside_an_article(page, want):
     assert main_text(page) == want
 
 
-@pytest.mark.parametrize("tag", ["div", "span", "b", "ul><li", "p", "blockquote", "main"])
+@pytest.mark.parametrize("tag", ["div", "article", "span", "b", "ul><li", "p", "blockquote", "main"])
 def test_deep_nesting_is_linear(tag):
     import time
 
@@ -72,3 +72,46 @@ def test_random_pages():
         deep = rng.randint(0, 4)
         page = f"<html><head><title>{text(3)}</title></head><body>{''.join(around[:2])}{'<div>' * deep}<article>{''.join(pieces)}</article>{'</div>' * deep}{''.join(around[2:])}</body></html>"
         assert main_text(page).replace("\xa0", " ").split() == " ".join(want).split(), page
+
+
+@pytest.mark.parametrize("wrap", ["<div class=row><div class=col>{}</div></div>", "<div><div>{}</div></div>", "<section><div><div>{}</div></div></section>", "<table><tr><td>{}</td></tr></table>"])
+@pytest.mark.parametrize("groups", [[1, 1, 1, 1], [2, 2], [3, 1, 1], [1]])
+def test_rows_and_columns(wrap, groups):
+    """A text in rows and columns, or in groups of paragraphs, without an article element."""
+    body = "".join(wrap.format(f"<p>{LONG}</p>" * n) for n in groups)
+    for page in (f"<div id=content>{body}</div>", f"<body><nav>x</nav><div><div id=content>{body}</div></div><footer>y</footer>", f"<body>{'<div>' * 60}{body}"):
+        assert main_text(page) == " ".join([LONG] * sum(groups))
+
+
+def test_prose_inside_an_article_is_no_furniture():
+    assert main_text(f"<article><p>{LONG}</p><p class='search'>{LONG}</p><object><p>Shown without it.</p></object><p class=share>Share</p></article>") == f"{LONG} {LONG} Shown without it."
+    assert main_text(f"<article><p>{LONG}</p><section class=discussion><h2>Discussion</h2><p>{LONG}</p></section></article><div class='user-discussion'><p>{LONG} {LONG}</p></div>") == f"{LONG} Discussion {LONG}"
+
+
+def test_random_pages_without_article():
+    """The article's blocks, in nested wrappers or columns, among menus, teasers and named furniture: all of them and nothing else."""
+    import random
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta", "epsilon"]) for _ in range(n)) + "."
+    teaser = lambda: f"<div class=teaser><a href=x>{text(9)}</a><a href=y>{text(8)}</a></div>"
+    around = [
+        teaser, lambda: f"<nav><ul><li><a href=x>{text(2)}</a></ul></nav>", lambda: f"<div class='ad-slot'>{text(9)}</div>", lambda: f"<div id=sidebar><p>{text(30)}</p></div>", lambda: f"<ul class=links>{'<li><a href=x>' + text(4) + '</a>' * 5}</ul>",
+        lambda: f"<div class=comments><p>{text(40)}</p></div>", lambda: f"<footer><p>{text(20)}</p></footer>", lambda: f"<form><p>{text(20)}</p></form>",
+    ]
+    for _ in range(200):
+        blocks = [text(rng.randint(15, 60)) for _ in range(rng.randint(3, 9))]
+        tagged = [f"<{t}>{x}</{t}>" for x, t in zip(blocks, ["p", *rng.choices(["p", "p", "p", "blockquote", "pre"], k=len(blocks))], strict=False)]
+        shape = rng.choice(["plain", "each", "groups"])
+        if shape == "each":
+            tagged = [f"<div class=block><div>{x}</div></div>" for x in tagged]
+        elif shape == "groups":
+            at = rng.randint(1, len(tagged) - 1)
+            tagged = [f"<section><div>{''.join(part)}</div></section>" for part in (tagged[:at], tagged[at:])]
+            if not 0.25 < at / len(blocks) < 0.75:
+                continue  # a part of a few words beside a long one may be anything
+        inner = "".join(tagged)
+        for _ in range(rng.randint(0, 4)):
+            inner = f"<div>{inner}</div>"
+        page = f"<html><body>{''.join(rng.choice(around)() for _ in range(3))}<div id=page>{rng.choice(around)()}<div id=main-column>{inner}</div>{teaser()}</div>{''.join(rng.choice(around)() for _ in range(2))}</body></html>"
+        assert main_text(page) == " ".join(blocks), page
