@@ -7,7 +7,6 @@ spread; kernels regroup them by (track, part, channel).
 from __future__ import annotations
 
 import io
-import wave
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,53 +15,20 @@ from pyspark.sql import functions as F
 from ..functions.arrays import match_length
 from ..functions.text import CHANNELS, CLICK, IGNORED, channel_base, channel_name, channel_side, first_match, own_track
 from ..operators.chunks import added, on_grid
-
-AUDIO = "track_id string, part_key string, channel int, chunk_no int, t0 double, sr int, samples array<float>"
-CHUNK = 1 << 16
+from .wav import AUDIO, CHUNK, encoded, header, read_format, read_wavs, write_wavs  # noqa: F401  the tables of audio and its files
 
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
     """float32 (channel, sample) and the rate; one channel becomes two."""
-    with wave.open(io.BytesIO(data)) as f:
-        n, width, sr, raw = f.getnchannels(), f.getsampwidth(), f.getframerate(), f.readframes(f.getnframes())
-    if width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) << 8 >> 8
-    else:
-        x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.int64) - (128 if width == 1 else 0)
-    x = (x.reshape(-1, n).T / float(1 << (8 * width - 1))).astype(np.float32)
-    return (np.repeat(x, 2, 0) if n == 1 else x), sr
+    form = read_format(io.BytesIO(data), len(data))
+    x = form.decoded(data[form.begin : form.begin + form.frames * form.frame])
+    return (np.repeat(x, 2, 0) if form.channels == 1 else x), form.rate
 
 
 def encode_wav(x: np.ndarray, sr: int, width: int = 3) -> bytes:
     """WAV bytes (24 or 16 bits) of a (channel, sample) array, clipped to +-1."""
-    top = (1 << (8 * width - 1)) - 1
-    v = np.ascontiguousarray(np.round(np.clip(np.atleast_2d(x), -1, 1).T * top).astype("<i4"))
-    raw = v.view(np.uint8).reshape(*v.shape, 4)[:, :, :width].tobytes()
-    out = io.BytesIO()
-    with wave.open(out, "wb") as f:
-        f.setnchannels(v.shape[1])
-        f.setsampwidth(width)
-        f.setframerate(sr)
-        f.writeframes(raw)
-    return out.getvalue()
-
-
-def read_wavs(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Every WAV file under path as rows of AUDIO; part_key is the file's name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
-
-    def run(it):
-        import pandas as pd
-
-        for pdf in it:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                x, sr = decode_wav(data)
-                folder, _, file = name.rpartition("/")
-                rows = [(folder.rpartition("/")[2], file, c, k, k * CHUNK / sr, sr, x[c, k * CHUNK : (k + 1) * CHUNK]) for c in range(len(x)) for k in range(-(-x.shape[1] // CHUNK))]
-                yield pd.DataFrame(rows, columns=["track_id", "part_key", "channel", "chunk_no", "t0", "sr", "samples"])
-
-    return files.mapInPandas(run, AUDIO)
+    x = np.atleast_2d(x)
+    return header(x.shape[1], len(x), sr, width) + encoded(x, width)
 
 
 def channel_overrides(spark: SparkSession, path: str) -> DataFrame:
@@ -79,25 +45,6 @@ def match_shape(audio: DataFrame, channels: int, length: int) -> DataFrame:
     return spread.withColumn("channel", F.explode("_c")).withColumn("samples", match_length(F.col("samples"), F.lit(length))).drop("_n", "_c")
 
 
-def write_wavs(audio: DataFrame, path: str, width: int = 3) -> DataFrame:
-    """One WAV file per track and part under path (a folder that all executors share); returns what was written."""
-
-    def run(pdf):
-        import pandas as pd
-        from pathlib import Path
-
-        pdf = pdf.sort_values(["channel", "chunk_no"])
-        x = np.stack([np.concatenate(list(g["samples"])) for _, g in pdf.groupby("channel")])
-        track, part = pdf["track_id"].iloc[0], pdf["part_key"].iloc[0]
-        where = Path(path) / str(track) / f"{str(part).removesuffix('.wav')}.wav"
-        where.parent.mkdir(parents=True, exist_ok=True)
-        where.write_bytes(encode_wav(x, int(pdf["sr"].iloc[0]), width))
-        peak = float(np.abs(x).max(initial=0))
-        return pd.DataFrame([(track, part, str(where), 20 * np.log10(peak) if peak > 1e-10 else None)], columns=["track_id", "part_key", "path", "peak_db"])
-
-    return audio.groupBy("track_id", "part_key").applyInPandas(run, "track_id string, part_key string, path string, peak_db double")
-
-
 def classify_channels(audio: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """audio with clean, side and part_key by the channel rules; overrides (file, given) come first."""
     clean = channel_name(F.col("part_key"))
