@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, ramp, reasons
+from ..functions.numeric import EPS, clip, ramp, reasons
 
 # Weights of the evidence (energy, band, onset, harmonic, distinct), and limits.
 WEIGHTS = {False: (0.20, 0.15, 0.15, 0.15, 0.35), True: (0.20, 0.15, 0.15, 0.0, 0.50)}
@@ -42,9 +42,11 @@ def quality(bleed: Column, artifact: Column, fullness: Column) -> tuple[Column,
     return verdict, F.array_join(notes, "; ")
 
 
-def difficulty(density: Column, crest: Column, crowd: Column, width: Column, dull: Column) -> tuple[Column, Column]:
-    """A weighted score and its grade."""
+def difficulty(density: Column, crest: Column, crowd: Column, width: Column, dull: Column, energy: Column | None = None) -> tuple[Column, Column]:
+    """A weighted score and its grade; with no energy (where that is given) there is nothing to take apart, which is easy."""
     score = F.round(0.30 * density + 0.25 * crest + 0.20 * crowd + 0.15 * width + 0.10 * dull, 6)
+    if energy is not None:
+        score = F.when(energy < EPS, 0.0).otherwise(score)
     return score, F.when(score < 0.28, "easy").when(score < 0.48, "moderate").when(score < 0.68, "hard").otherwise("very hard")
 
 

@@ -116,6 +116,21 @@ def profile(df: DataFrame, note: Sequence[str], part: Sequence[str], harmonic: s
     return both.withColumn("share", F.col("_m") / F.sum("_m").over(Window.partitionBy(*(part or [F.lit(1)])))).drop("_m")
 
 
+def with_fallback(shares: DataFrame, parts: DataFrame, part: Sequence[str], harmonic: str, harmonics: int = 16, fall: float = 1.2) -> DataFrame:
+    """shares (part, harmonic, share) and, for each of parts that has none, a gently falling series: 1 / h ** fall, made to sum to 1."""
+    total = sum(1 / h**fall for h in range(1, harmonics + 1))
+    series = F.explode(F.array(*(F.struct(F.lit(h).cast(shares.schema[harmonic].dataType).alias(harmonic), F.lit(1 / h**fall / total).alias("share")) for h in range(1, harmonics + 1))))
+    bare = parts.select(*part).distinct().join(shares.select(*part).distinct(), list(part), "left_anti").select(*part, series.alias("_h")).select(*part, f"_h.{harmonic}", "_h.share")
+    return shares.select(*part, harmonic, "share").unionByName(bare)
+
+
+def middle(df: DataFrame, by: Sequence[str], t: str, span: int) -> DataFrame:
+    """The rows of each key within `span` of time around the middle of its own; all of a shorter one."""
+    ends = df.groupBy(*by).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    begin = F.col("_lo") + F.floor((F.col("_hi") - F.col("_lo") - span) / 2)
+    return df.join(ends, list(by)).filter((F.col("_hi") - F.col("_lo") <= span) | ((F.col(t) >= begin) & (F.col(t) < begin + span))).drop("_lo", "_hi")
+
+
 def pan_spread(df: DataFrame, by: Sequence[str], left: str, right: str, least_spread: float = 0.22, least_side: float = 0.12) -> DataFrame:
     """Weighted mean and spread of the position, side against mid, and whether a split by position is worth it."""
     weight = F.col(left) + F.col(right)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMBERED, lookup
-from .temporal import nearest
+from .scans import running
+from .temporal import nearest, previous
 
 # What a spoken cue calls a section, by language, and number words.
 PHRASES = {
@@ -75,6 +76,70 @@ def strongest_apart(peaks: DataFrame, by: Sequence[str], freq: str, height: str,
     return kept
 
 
+def largest_matching(mine: list[tuple], theirs: list[tuple], near: tuple[float, float]) -> list[tuple[int, int]]:
+    """As many pairs (i, j) as can be, no note in two, of notes (t, pitch) that are within `near` in time and in pitch."""
+    links = [[j for j, b in enumerate(theirs) if abs(a[0] - b[0]) <= near[0] and abs(a[1] - b[1]) <= near[1]] for a in mine]
+    own, partner = [-1] * len(mine), [-1] * len(theirs)
+    for i in range(len(mine)):
+        came: dict[int, int] = {}  # who looked at a note of theirs first
+        queue, free = [i], -1
+        for k in queue:
+            for j in links[k]:
+                if j not in came:
+                    came[j] = k
+                    if partner[j] < 0:
+                        free = j
+                        break
+                    queue.append(partner[j])
+            if free >= 0:
+                break
+        while free >= 0:  # along the way back everyone moves on by one
+            k = came[free]
+            own[k], partner[free], free = free, k, own[k]
+    return [(i, j) for i, j in enumerate(own) if j >= 0]
+
+
+def note_pairs(est: DataFrame, ref: DataFrame, by: Sequence[str], t: str, pitch: str, near_t: int, near_pitch: float, slice_width: int) -> DataFrame:
+    """by, ref_t, ref_pitch, est_t, est_pitch: a largest one-to-one matching of notes at most near_t apart in time and near_pitch in pitch.
+
+    A track's notes are parted wherever two neighbours in pitch are further apart than near_pitch, and those parts wherever two neighbours in
+    time are further apart than near_t: no pair lies across. What is left together, a few notes in music, is matched by augmenting ways."""
+    keys = list(by)
+    one = lambda d, kind: d.select(*keys, F.col(pitch).cast("double").alias("_p"), F.col(t).cast("long").alias("_t"), F.lit(kind).alias("_kind"))
+    both = one(ref, 0).unionByName(one(est, 1)).filter("_p is not null and _t is not null")
+
+    def parted(df: DataFrame, keys: list[str], at: str, near: float, slice_, out: str) -> DataFrame:
+        order = [at, "_t", "_p", "_kind"]
+        step = previous(df, keys, order, at, slice_, "_last").withColumn("_new", F.when(F.col(at) - F.col("_last") <= near, 0).otherwise(1))
+        return running(step, keys, order, "_new", slice_, out).drop("_last", "_new")
+
+    groups = parted(both, keys, "_p", near_pitch, F.floor(F.col("_p") / (1000 * near_pitch)), "_line")
+    groups = parted(groups, [*keys, "_line"], "_t", near_t, F.floor(F.col("_t") / slice_width), "_island")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema)
+    columns = ["ref_t", "ref_pitch", "est_t", "est_pitch"]
+
+    def run(pdf):
+        import pandas as pd
+
+        mine, theirs = (sorted(zip(pdf["_t"][pdf["_kind"] == k].tolist(), pdf["_p"][pdf["_kind"] == k].tolist(), strict=True)) for k in (0, 1))
+        pairs = largest_matching(mine, theirs, (near_t, near_pitch))
+        out = pd.DataFrame([(*mine[i], *theirs[j]) for i, j in pairs], columns=columns)
+        for c in keys:
+            out[c] = pdf[c].iloc[0]
+        return out[[*keys, *columns]]
+
+    both_kinds = groups.groupBy(*keys, "_line", "_island").agg(F.count_if(F.col("_kind") == 0).alias("_a"), F.count_if(F.col("_kind") == 1).alias("_b")).filter("_a > 0 and _b > 0").select(*keys, "_line", "_island")
+    return groups.join(both_kinds, [*keys, "_line", "_island"]).groupBy(*keys, "_line", "_island").applyInPandas(run, f"{kinds}, ref_t long, ref_pitch double, est_t long, est_pitch double")
+
+
+def scored(pairs: DataFrame, est: DataFrame, ref: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, n_ref, n_est, matched, precision, recall, f1 of a matching."""
+    count = lambda d, name: d.groupBy(*by).agg(F.count("*").alias(name))
+    out = count(ref, "n_ref").join(count(est, "n_est"), list(by), "full").join(count(pairs, "matched"), list(by), "left").na.fill(0, ["n_ref", "n_est", "matched"])
+    part = lambda c: F.when(F.col(c) > 0, F.col("matched") / F.col(c)).otherwise(0.0)
+    return out.withColumn("precision", part("n_est")).withColumn("recall", part("n_ref")).withColumn("f1", 2 * F.col("matched") / (F.col("n_ref") + F.col("n_est")))
+
+
 def note_scores(est: DataFrame, ref: DataFrame, by: Sequence[str], t: str, pitch: str, tolerance: int) -> DataFrame:
     """by, n_ref, n_est, matched, precision, recall, f1: the largest one-to-one matching of notes of one pitch whose onsets
     are at most `tolerance` apart.

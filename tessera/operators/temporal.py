@@ -135,6 +135,18 @@ def min_run_merge(df: DataFrame, by: Sequence[str], order: Sequence[str], label:
     return placed.join(left.select(*keys, F.col("first").alias("prev"), F.col("label").alias("merged")), [*keys, "prev"]).select(*keys, *order, "merged")
 
 
+def frame_spans(spans: DataFrame, start: str, end: str, hop: int, least: int = 4) -> DataFrame:
+    """spans with frame0 and frame1: the frames (every hop) from the first at or after start to before the first at or after end; spans of fewer than `least` are left out."""
+    first = lambda c: F.ceil(F.col(c) / hop).cast("long")
+    return spans.withColumn("frame0", first(start)).withColumn("frame1", first(end)).filter(F.col("frame1") - F.col("frame0") >= least)
+
+
+def frame_at(t: Column, hop: int, frames: Column) -> tuple[Column, Column]:
+    """The first frame at or after t, clipped to those that there are, and whether it was one of them (null t: the first, and no)."""
+    k = F.ceil(t / hop).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.coalesce(k, F.lit(0)), frames - 1)), F.coalesce((k >= 0) & (k < frames), F.lit(False))
+
+
 def steady_grid(spans: DataFrame, start: str, end: str, period: str) -> DataFrame:
     """spans with k and t: the steps of a constant grid over [start, end]."""
     n = F.floor((F.col(end) - F.col(start)) / F.col(period))

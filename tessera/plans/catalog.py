@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, more_queries, naming, scan_queries, score_queries, time_queries, track_queries  # noqa: F401  each module registers its queries
+from . import allocation, feature_queries, more_queries, naming, scan_queries, score_queries, time_queries, track_queries  # noqa: F401  each module registers its queries
 from .base import REGISTRY
 
 
