@@ -61,8 +61,12 @@ def folded(parts: DataFrame, verdicts: DataFrame, options: Options) -> DataFrame
     return done.select("track_id", "part_key", "channel", F.col("cell").cast("int").alias("chunk_no"), (F.col("cell") * ch.CELL / F.col("sr")).alias("t0"), "sr", samples)
 
 
-def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(), verdicts: DataFrame | None = None) -> Result:
-    """Split the mix down the tree by its estimates (AUDIO rows from any model), then fold what the verdicts reject.
+def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(), verdicts: DataFrame | None = None, notes: DataFrame | None = None, sections: DataFrame | None = None, knots: DataFrame | None = None) -> Result:
+    """Split the mix down the tree by its estimates (AUDIO rows from any model), then fold what the verdicts reject, repair, regrid and transpose.
+
+    Each step takes what it needs or is left out: verdicts (track_id, part_key, decision) for folds; notes and sections (as spectral.restored has
+    them) for repairs, if options.restore; knots (track_id, source, target in microseconds) for a steady tempo, if that is asked for. The proof is
+    of the split and its folds: repairs and what follows change the parts on purpose.
 
     A split's parts sum to their parent, so the leaves sum to the mix. A residual without an estimate is the parent less
     the others; lead and backing vocals, and the kit's pieces, need two estimates; without one of the vocals the mix stays whole."""
@@ -72,6 +76,11 @@ def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(),
     if verdicts is not None:
         parts = folded(parts, verdicts, options)
     proven = proof(leaves(parts), whole)
+    if options.restore and notes is not None and sections is not None:
+        kept = parts.unionByName(whole.select(*sp.COLUMNS))
+        parts = sp.restored(kept, PARENT, notes, sections, options.max_gap_ms, options.tolerance_db)
+    if options.steady_tempo and knots is not None:
+        parts = sp.moved_beats(parts, knots)
     if options.semitones:
         fixed = F.col("part_key").isin(UNPITCHED)
         parts = parts.filter(fixed).unionByName(sp.transpose(parts.filter(~fixed), options.semitones))

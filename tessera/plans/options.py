@@ -3,31 +3,23 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
-from typing import Any, Literal
+from typing import Any
 
 
 @dataclass(frozen=True)
 class Options:
-    quality: Literal["fast", "standard", "maximum"] = "standard"
+    """Each is read by plans/decompose.py: how splits are weighted and sharpened, what verdicts and repairs may do, and what is done to the parts."""
+
     separation_power: float = 2.0
     exact: bool = True
     refine_rounds: int = 0
-    power_start: float = 2.0
     power_end: float = 5.0
-    band_floor: float = 0.25
     keep_uncertain: bool = True
-    strictness: float = 1.0
-    split_positions: bool = False
     restore: bool = True
     max_gap_ms: float = 250.0
     tolerance_db: float = 1.5
-    min_agreement: float = 0.45
-    semitones: int = 0
     steady_tempo: bool = False
-    target_bpm: float | None = None
-    count_in_bars: int = 2
-    subdivision: int = 1
-    group_channels: bool = True
+    semitones: int = 0
 
     def merged(self, given: dict[str, Any]) -> Options:
         """These settings with the known ones of given; unknown names are ignored."""
