@@ -23,6 +23,8 @@ class Result(NamedTuple):
     parts: DataFrame
     proof: DataFrame
     analysis: DataFrame
+    click: DataFrame | None = None
+    report: DataFrame | None = None
 
 
 PARENT = {p[0]: p[1] for p in PART_TREE if p[1]}
@@ -88,12 +90,13 @@ def separate(mix: DataFrame, estimates: DataFrame, options: Options = Options(),
 
 
 def multitrack(spark: SparkSession, folder: str, overrides: DataFrame | None = None) -> Result:
-    """A folder of channels: classify (the folder's channels.json and the overrides given come first), pan, sum by part, and analyse the sum of all."""
+    """A folder of channels: classify (the folder's channels.json and the overrides given come first), pan, sum by part, and analyse the sum of all; the click and what became of each channel come with it."""
     own = au.channel_overrides(spark, folder)
     if overrides is not None:
         own = overrides.select("file", "given").union(own.join(overrides, "file", "left_anti"))
-    parts = au.sum_channels(au.classify_channels(au.read_wavs(spark, folder), own))
+    named = au.classify_channels(au.read_wavs(spark, folder), own)
+    parts = au.sum_channels(named)
     key = ["track_id", "channel", "sr"]
     total = ch.added(ch.on_grid(parts), key).withColumn("samples", F.transform("total", lambda x: x.cast("float"))).withColumn("part_key", F.lit("mix"))
     mix = total.withColumn("chunk_no", F.col("cell").cast("int")).withColumn("t0", F.col("cell") * ch.CELL / F.col("sr")).select(*sp.COLUMNS)
-    return Result(parts, proof(parts, mix), sp.analyse(mix))
+    return Result(parts, proof(parts, mix), sp.analyse(mix), au.click_channel(named), au.channel_report(named))

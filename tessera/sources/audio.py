@@ -59,6 +59,22 @@ def classify_channels(audio: DataFrame, overrides: DataFrame | None = None) -> D
     return named.withColumn("part_key", F.coalesce("given", "rule")).drop("rule", "given")
 
 
+def channel_report(classified: DataFrame) -> DataFrame:
+    """track_id, file, clean, part_key, side, kind, sr, seconds of each channel: kind says whether it is a part's, the click's, ignored, or unmatched,
+    which then is a part of its own."""
+    part = F.col("part_key")
+    kind = F.when(part == CLICK, "click").when(part == IGNORED, "ignored").when(part.startswith("ch_"), "unmatched").otherwise("part")
+    ends = F.max(F.col("t0") + F.size("samples") / F.col("sr")).alias("seconds")
+    return classified.groupBy("track_id", "file", "clean", "part_key", "side", "sr").agg(ends).withColumn("kind", kind)
+
+
+def click_channel(classified: DataFrame) -> DataFrame:
+    """The click's audio of each track: its first channel file by name."""
+    clicks = classified.filter(F.col("part_key") == CLICK)
+    first = clicks.groupBy("track_id").agg(F.min("file").alias("file"))
+    return clicks.join(first, ["track_id", "file"]).select("track_id", F.lit("click").alias("part_key"), "channel", "chunk_no", "t0", "sr", "samples")
+
+
 def sum_channels(audio: DataFrame, ceiling: float = 0.99) -> DataFrame:
     """Channels of a part panned by side and summed sample by sample, all parts under one gain per track.
 

@@ -116,6 +116,10 @@ def test_folder_of_channels(spark, tmp_path):
     assert {r.part_key for r in done.parts.select("part_key").distinct().collect()} == {"kick", "bass", "lead_vocal", "ch_mystery", "bgv"}
     error = done.proof.first().error_db
     assert error is None or error < -100
+    kinds = {r.file: (r.kind, r.part_key, r.seconds) for r in done.report.collect()}
+    assert kinds["04 Click.wav"][0] == "click" and kinds["05 Mystery.wav"][:2] == ("unmatched", "ch_mystery") and kinds["01 Kick.wav"] == ("part", "kick", 1.0) and len(kinds) == 7
+    click = done.click.filter("channel = 0").collect()
+    assert [r.part_key for r in click] == ["click"] and np.allclose(click[0].samples, tone(1000, 1.0), atol=1e-4)
     x, sr = au.decode_wav(au.encode_wav(tone(50), SR, 2))
     assert sr == SR and np.allclose(x[0], tone(50), atol=1e-4)
     out = au.write_wavs(done.parts, str(tmp_path / "out"))
