@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import bands as bd
 from ..operators import metrics as me
+from ..operators import pursuit as pu
 from ..operators import sections as se
 from ..operators import temporal as te
-from .base import EV, HOUR, events, query, r6, table
+from .base import EV, HOUR, HOURLY, events, hourly, query, r6, table
 from .time_queries import SEC, sections
 
 #: Frames of twelve hours, bins of ten units of value, bands from 20 on.
@@ -81,3 +82,35 @@ def note_matching(spark, sf_dir):
     est, ref = e.filter("part = 'view'"), e.filter("part = 'click'")
     pairs = se.note_pairs(est, ref, ["user_id"], "us", "value", 24 * HOUR, 50.0, 240 * HOUR)
     return se.scored(pairs, est, ref, ["user_id"]).withColumns({c: r6(F.col(c)) for c in ("precision", "recall", "f1")})
+
+
+ROUNDS, LEAST = 4, 0.01
+
+
+def rounds_sql() -> str:
+    """The rounds of the pursuit, one after the other."""
+    steps = []
+    for n in range(1, ROUNDS + 1):
+        before = " ".join(f"AND NOT EXISTS (SELECT 1 FROM t{k} WHERE t{k}.part = d.part AND t{k}.atom = d.atom)" for k in range(1, n))
+        open_ = f"AND part IN (SELECT part FROM t{n - 1})" if n > 1 else ""
+        steps += [
+            f"d{n} AS (SELECT r.part, atom, sum(v * w) AS d FROM r{n - 1} r JOIN tp USING (part, cell) WHERE true {open_} GROUP BY 1, 2)",
+            f"b{n} AS (SELECT d.part, d.atom, d / ww AS size, d * d / ww AS gain FROM d{n} d JOIN nm ON nm.part = d.part AND nm.atom = d.atom WHERE d > 0 {before} QUALIFY row_number() OVER (PARTITION BY d.part ORDER BY round(d * d / ww, 9) DESC, d.atom) = 1)",
+            f"t{n} AS (SELECT b.part, atom, {n} AS round, size, gain / total AS more FROM b{n} b JOIN al USING (part) WHERE gain / total >= {LEAST})",
+            f"r{n} AS (SELECT r.part, r.cell, r.v - coalesce(t.size * tp.w, 0) AS v FROM r{n - 1} r LEFT JOIN t{n} t ON t.part = r.part LEFT JOIN tp ON tp.part = r.part AND tp.atom = t.atom AND tp.cell = r.cell)",
+        ]
+    return ", ".join(steps) + f" SELECT part, atom, round, round(size, 6) AS size, round(more, 6) AS share FROM ({' UNION ALL '.join(f'SELECT * FROM t{n}' for n in range(1, ROUNDS + 1))})"
+
+
+@query(f"""WITH {HOURLY}, r0 AS (SELECT part, hour AS cell, CAST(amount AS DOUBLE) AS v FROM hp), tp AS (SELECT part, cell, (cell + o + 24) % 24 AS atom, CASE o WHEN 0 THEN 1.0 ELSE 0.5 END AS w FROM r0, (SELECT unnest([-1, 0, 1]) AS o)),
+nm AS MATERIALIZED (SELECT part, atom, sum(w * w) AS ww FROM tp GROUP BY 1, 2), al AS (SELECT part, sum(v * v) AS total FROM r0 GROUP BY 1), {rounds_sql()}""")
+def explained_rounds(spark, sf_dir):
+    """Which hours of the day, each with half of its neighbours, explain most of a part's hours, one after the other."""
+    h = hourly(spark, sf_dir).select("part", F.col("hour").alias("cell"), F.col("amount").cast("double").alias("v"))
+    near = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.lit(1.0 if o == 0 else 0.5).alias("w")) for o in (-1, 0, 1))))
+    atoms = h.select("part", "cell", near.alias("x")).select("part", ((F.col("cell") + F.col("x.o") + 24) % 24).alias("atom"), "cell", "x.w")
+    done = pu.explain(h, atoms, ["part"], "cell", "v", "atom", "w", ROUNDS, LEAST)
+    total = h.groupBy("part").agg(F.sum(F.col("v") * F.col("v")).alias("total"))
+    size = atoms.groupBy("part", "atom").agg(F.sum(F.col("w") * F.col("w")).alias("ww"))
+    rows = done.found.join(total, "part").join(size, ["part", "atom"])
+    return rows.select("part", "atom", "round", r6(F.col("size")).alias("size"), r6(F.col("size") * F.col("size") * F.col("ww") / F.col("total")).alias("share"))
