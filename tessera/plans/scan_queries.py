@@ -13,23 +13,27 @@ from ..operators.chains import cheapest_chains
 from .base import EV, HOUR, events, query, r6, table
 from .score_queries import move_sql
 
-DAY = F.expr(f"us div {24 * HOUR}")
+
+def day():
+    """A slice of time: events of one day."""
+    return F.expr(f"us div {24 * HOUR}")
+
 
 
 @query(f"""WITH {EV} SELECT event_id, part, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY part ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM ev""")
 def running_total(spark, sf_dir):
     """What each part has come to by each of its events; a part's days are worked on side by side."""
     e = events(spark, sf_dir).withColumn("v", F.col("value").cast("decimal(18,4)"))
-    return sc.running(e, ["part"], ["us", "event_id"], "v", DAY, "total").select("event_id", "part", F.col("total").cast("double").alias("total"))
+    return sc.running(e, ["part"], ["us", "event_id"], "v", day(), "total").select("event_id", "part", F.col("total").cast("double").alias("total"))
 
 
 @query(f"""WITH {EV}, o AS (SELECT event_id, part, us, value, row_number() OVER (PARTITION BY part ORDER BY us, event_id) AS i FROM ev)
 SELECT a.event_id, a.part, round(sum(b.value * pow(0.5, (a.us - b.us) / 3600000000.0)), 6) AS level FROM o a JOIN o b ON b.part = a.part AND b.i <= a.i AND b.us >= a.us - 60 * 3600000000 GROUP BY a.event_id, a.part""")
 def decaying_level(spark, sf_dir):
     """A part's level at each event: every event adds its value, and what is there halves each hour (a filter of the first order with gaps of any length)."""
-    e = te.previous(events(spark, sf_dir), ["part"], ["us", "event_id"], "us", DAY, "before")
+    e = te.previous(events(spark, sf_dir), ["part"], ["us", "event_id"], "us", day(), "before")
     kept = F.coalesce(F.pow(F.lit(0.5), (F.col("us") - F.col("before")) / 3_600_000_000), F.lit(0.0))
-    return sc.affine(e.select("event_id", "part", "us", "before", "value"), ["part"], ["us", "event_id"], kept, F.col("value"), DAY, "y").select("event_id", "part", r6(F.col("y")).alias("level"))
+    return sc.affine(e.select("event_id", "part", "us", "before", "value"), ["part"], ["us", "event_id"], kept, F.col("value"), day(), "y").select("event_id", "part", r6(F.col("y")).alias("level"))
 
 
 N_FFT, HOP, BANDS = 256, 64, 3
