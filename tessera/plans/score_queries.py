@@ -60,11 +60,20 @@ def satb_sampling(spark, sf_dir):
 RANGE = {v: f"(SELECT unnest(range({lo}, {hi + 1})) AS {v})" for v, (lo, hi) in mu.RANGES.items()}
 
 
-@query(f"""SELECT s, a, t, b FROM {RANGE['s']} s, {RANGE['a']} a, {RANGE['t']} t, {RANGE['b']} b WHERE s % 12 IN (0, 4, 7) AND a % 12 IN (0, 4, 7) AND t % 12 IN (0, 4, 7) AND b % 12 IN (0, 4, 7) AND a <= s AND t <= a AND b <= t AND s - a <= 12 AND a - t <= 12 AND t - b <= 24
-AND 0 IN (s % 12, a % 12, t % 12, b % 12) AND (CASE WHEN s % 12 = 4 THEN 1 ELSE 0 END + CASE WHEN a % 12 = 4 THEN 1 ELSE 0 END + CASE WHEN t % 12 = 4 THEN 1 ELSE 0 END + CASE WHEN b % 12 = 4 THEN 1 ELSE 0 END) <= 1""")
+TONES = " AND ".join(f"{v} % 12 IN (root, (root + 4) % 12, (root + 7) % 12)" for v in mu.VOICES)
+THIRDS = " + ".join(f"CASE WHEN {v} % 12 = (root + 4) % 12 THEN 1 ELSE 0 END" for v in mu.VOICES)
+
+
+@query(f"""WITH c AS (SELECT CAST(l_partkey % 12 AS INTEGER) AS root, count(*) AS n FROM lineitem GROUP BY 1) SELECT root, n, CAST(s AS BIGINT) AS s, CAST(a AS BIGINT) AS a, CAST(t AS BIGINT) AS t, CAST(b AS BIGINT) AS b FROM c, {RANGE['s']} s, {RANGE['a']} a, {RANGE['t']} t, {RANGE['b']} b
+WHERE {TONES} AND a <= s AND t <= a AND b <= t AND s - a <= 12 AND a - t <= 12 AND t - b <= 24 AND root IN (s % 12, a % 12, t % 12, b % 12) AND {THIRDS} <= 1""")
 def satb_voicings(spark, sf_dir):
-    """All placements of a C major chord in four voices."""
-    return mu.voicings(spark, [0, 4, 7], 0, 4).select(*(F.col(v).cast("long").alias(v) for v in mu.VOICES))
+    """All placements in four voices of each major chord that the line items have, and how many of them have it."""
+    chord = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 12).cast("int").alias("root")).agg(F.count("*").alias("n"))
+    every = None
+    for root in range(12):
+        one = mu.voicings(spark, [root, (root + 4) % 12, (root + 7) % 12], root, (root + 4) % 12).withColumn("root", F.lit(root))
+        every = one if every is None else every.unionByName(one)
+    return chord.join(every, "root").select("root", "n", *(F.col(v).cast("long").alias(v) for v in mu.VOICES))
 
 
 #: A progression: classes, root and third of each chord, and its melody note: G, D, Em, C.
