@@ -50,7 +50,9 @@ def brute(rows):
 def test_every_repeated_gram_counts(spark, monkeypatch, n_docs, length, block, answered):
     """The same model however the corpus is cut into blocks and its keys into parts."""
     monkeypatch.setattr(blocks, "BLOCK_CHARS", block)
-    monkeypatch.setattr(lm, "ANSWERED", answered)
+    monkeypatch.setattr(blocks, "ANSWERED", answered)
+    monkeypatch.setattr(blocks, "ROW_KEYS", 2 if answered < 1000 else blocks.ROW_KEYS)
+    monkeypatch.setattr(lm, "STRETCH", 7 if answered < 1000 else lm.STRETCH)
     rng = random.Random(5)
     rows = [(k, " ".join("w%d" % (rng.paretovariate(0.7) % 3000) for _ in range(rng.randint(0, length)))) for k in range(n_docs)]
     rows += [(1000, "two words seen twice"), (1001, "and two words seen twice"), (1002, "Two words seen once"), (1003, None)]

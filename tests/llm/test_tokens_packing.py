@@ -35,7 +35,8 @@ def test_counts_equal_the_library(docs):
 def test_each_pre_token_is_encoded_once(spark, monkeypatch):
     """Also where many blocks have it, whose pre-tokens are dealt over many parts."""
     monkeypatch.setattr(blocks, "BLOCK_CHARS", 400)
-    monkeypatch.setattr(token_counts, "ANSWERED", 20)
+    monkeypatch.setattr(blocks, "ANSWERED", 20)
+    monkeypatch.setattr(blocks, "ROW_KEYS", 2)
     rng = random.Random(7)
     rows = [(k, " ".join("w%d" % (rng.paretovariate(0.8) % 500) for _ in range(rng.randint(0, 60)))) for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
