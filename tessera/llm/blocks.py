@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .common import batches, cut, hadoop_path, shared_folder, tidy_shuffles
 
 #: Characters of a block of a corpus of up to CORPUS bytes of text, and of any block; keys that a task answers at once (each as often as blocks ask for it).
-BLOCK_CHARS, CORPUS, MOST_CHARS, ANSWERED = 4_000_000, 10 << 30, 64_000_000, 2_000_000
+BLOCK_CHARS, CORPUS, MOST_CHARS, ANSWERED = 4_000_000, 10 << 30, 64_000_000, 1_000_000
 #: Keys of a block for each part, on average, at least.
 ROW_KEYS = 256
 #: Bytes of text for each bucket.
-BUCKET = 128 << 20
+BUCKET = 32 << 20
 
 
 def squeezed(*arrays: np.ndarray) -> bytes:
@@ -83,7 +83,7 @@ def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str
         if held:
             yield row(held)
 
-    buckets = min(50_000, max(2 * spark.sparkContext.defaultParallelism, size // BUCKET))
+    buckets = min(50_000, max(4 * spark.sparkContext.defaultParallelism, size // BUCKET))
     name = f"blocks_{uuid.uuid4().hex}"
     folder = f"{shared_folder(spark)}/{name}"
     numbered = docs.mapInArrow(run, schema).withColumn("b", F.monotonically_increasing_id())
@@ -147,8 +147,8 @@ def for_blocks(blocks: DataFrame, column: str, answers: list[DataFrame], act: Ca
 
         def alone(it):
             for batch in it:
-                for b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield from act(b, {}, data)
+                for k in range(batch.num_rows):  # one block at a time is copied
+                    yield from act(batch.column(0)[k].as_py(), {}, batch.column(1)[k].as_py())
 
         return own.mapInArrow(alone, schema)
     every = answers[0]
