@@ -28,6 +28,13 @@ def rms(c: Column) -> Column:
     return F.sqrt(F.avg(c * c))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """The correlation of a and b over a group's rows that have both; not a number where one of them doesn't vary (F.corr divides by zero there)."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.coalesce(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))), F.when(F.count(x) > 0, F.lit(float("nan"))))
+
+
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import EPS, power_db, ratio_db, rms
+from ..functions.numeric import EPS, correlation, power_db, ratio_db, rms
 from .temporal import previous
 
 
@@ -147,14 +147,14 @@ def pan_spread(df: DataFrame, by: Sequence[str], left: str, right: str, least_sp
 
 
 def best_sibling(df: DataFrame, parent: Sequence[str], part: str, at: str, value: str) -> DataFrame:
-    """Per part the largest |correlation| of its series with a sibling's (0 without siblings)."""
+    """Per part the largest |correlation| of its series with a sibling's (0 without siblings; a series that doesn't vary is like none)."""
     a, b = df.alias("a"), df.alias("b")
     keys = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*parent, at)]
     on = keys[0]
     for k in keys[1:]:
         on = on & k
-    pairs = a.join(b, on & (F.col(f"a.{part}") != F.col(f"b.{part}"))).groupBy(*(F.col(f"a.{c}").alias(c) for c in (*parent, part)), F.col(f"b.{part}").alias("_other")).agg(F.corr(f"a.{value}", f"b.{value}").alias("_r"))
-    best = pairs.groupBy(*parent, part).agg(F.max(F.round(F.abs("_r"), 6)).alias("likeness"))
+    pairs = a.join(b, on & (F.col(f"a.{part}") != F.col(f"b.{part}"))).groupBy(*(F.col(f"a.{c}").alias(c) for c in (*parent, part)), F.col(f"b.{part}").alias("_other")).agg(correlation(F.col(f"a.{value}"), F.col(f"b.{value}")).alias("_r"))
+    best = pairs.groupBy(*parent, part).agg(F.max(F.when(~F.isnan("_r"), F.round(F.abs("_r"), 6))).alias("likeness"))
     return df.select(*parent, part).distinct().join(best, [*parent, part], "left").withColumn("likeness", F.coalesce("likeness", F.lit(0.0)))
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import correlation
 from ..functions.pitch import key_templates
 from .temporal import steady_grid
 
@@ -23,7 +24,7 @@ PAIRS = [(x, y) for k, x in enumerate(VOICES) for y in VOICES[k + 1 :]]
 def detect_key(profile: DataFrame, by: Sequence[str], degree: str, weight: str) -> DataFrame:
     """Best and second key of a 12-bin profile by correlation with 24 templates, and a confidence."""
     t = key_templates(profile.sparkSession)
-    r = profile.join(F.broadcast(t), profile[degree] == t["degree"]).groupBy(*by, "key", "mode").agg(F.round(F.corr(F.col(weight).cast("double"), t["weight"]), 6).alias("r"))
+    r = profile.join(F.broadcast(t), profile[degree] == t["degree"]).groupBy(*by, "key", "mode").agg(F.round(correlation(F.col(weight).cast("double"), t["weight"]), 6).alias("r"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("r"), F.desc("key"), F.desc("mode")))
     top = r.withColumn("_k", rank).filter("_k <= 2").groupBy(*by).agg(*(F.max(F.when(F.col("_k") == k, F.col(c))).alias(f"{c}{k}") for k in (1, 2) for c in ("key", "mode", "r")))
     return top.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("r1") - F.col("r2")) * 4 + F.col("r1"))), 6))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import EPS
+from ..functions.numeric import EPS, correlation
 
 
 def damage(df: DataFrame, by: Sequence[str], value: str, parent: str, floor_db: float, share: float = 0.35) -> DataFrame:
@@ -68,7 +68,7 @@ def borrow(df: DataFrame, group: Sequence[str], instance: str, at: str, value: s
     donor = df.filter(clean).select(*keys, F.col(instance).alias("_donor"), F.col(value).alias("_dv"))
     pairs = host.join(donor, keys).filter("_host <> _donor")
     log = lambda c: F.ln(F.greatest(F.col(c), F.lit(EPS)))
-    agree = pairs.filter("_hc").groupBy(*group, "_host", "_donor").agg(F.round(F.corr(log("_hv"), log("_dv")), 6).alias("_r"), F.count("*").alias("_n")).filter((F.col("_n") >= least_cells) & (F.col("_r") >= least_agreement))
+    agree = pairs.filter("_hc").groupBy(*group, "_host", "_donor").agg(F.round(correlation(log("_hv"), log("_dv")), 6).alias("_r"), F.count("*").alias("_n")).filter((F.col("_n") >= least_cells) & (F.col("_r") >= least_agreement))
     lent = pairs.filter("not _hc").join(agree.select(*group, "_host", "_donor"), [*group, "_host", "_donor"]).groupBy(*keys, "_host").agg(F.percentile("_dv", F.lit(0.5)).alias("_b"), F.count("*").alias("donors"))
     out = df.join(lent.withColumnRenamed("_host", instance), [*keys, instance], "left")
     better = ~F.col(clean) & (F.least("_b", parent) > F.col(value))
