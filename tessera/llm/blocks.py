@@ -63,10 +63,10 @@ def block_chars(size: int) -> int:
     return min(MOST_CHARS, int(BLOCK_CHARS * max(1, size / CORPUS) ** 0.5))
 
 
-def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str, names: list[str]) -> DataFrame:
-    """b (the block's number) and what pack gives for the rows of each block, as a table in buckets of b; the second column of docs is the text."""
+def in_blocks(docs: DataFrame, pack: Callable[[list[tuple]], tuple], schema: str, names: list[str], part: float = 1.0) -> DataFrame:
+    """b (the block's number) and what pack gives for the rows of each block, as a table in buckets of b; the second column of docs is the text. part: of a block's usual size."""
     spark, size = docs.sparkSession, docs.agg(F.coalesce(F.sum(F.octet_length(docs.columns[1])), F.lit(0))).first()[0]
-    most = block_chars(size)
+    most = int(block_chars(size) * part)
 
     def run(it):
         kinds = {"long": pa.int64(), "binary": pa.binary()}

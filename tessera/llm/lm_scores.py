@@ -35,6 +35,9 @@ with no training document N is 0 and every token is unseen.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,14 +45,16 @@ from pyspark.sql import functions as F
 
 from .blocks import QUESTIONS, answered, dealt, for_blocks, forget, gathered, in_blocks, opened, parts_of, questions, squeezed
 from .common import cut, drop, keep_docs
-from .jaccard_join import WordHashes, mix
+from .jaccard_join import mix
 
 #: The end token: no word has a space in it.
 END = b" "
 #: Occurrences from which on a pair or triple is kept, and what is taken off its count.
 LEAST, DISCOUNT = 2, 0.75
 #: Tokens of a text that are read in one stretch.
-STRETCH = 2048
+STRETCH = 1024
+#: Its blocks are this part of others: what a worker holds of one besides its texts is some 25 bytes for each character.
+PART_OF_BLOCK = 0.6
 #: Kinds of questions: pairs, words as contexts, triples, pairs as contexts.
 PAIRS, WORDS, TRIPLES, CONTEXTS = 1, 2, 3, 4
 
@@ -70,18 +75,20 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + b)
 
 
-def packed(rows: list[tuple], hashes: WordHashes) -> tuple:
+def packed(rows: list[tuple]) -> tuple:
     """data of a block's rows (doc_id, text, out), its tokens and training tokens."""
-    words = [tokens(text) for _, text, _ in rows]
-    lens = np.array([len(w) for w in words])
-    own = {w: k for k, w in enumerate(set().union(*words))}
-    keys = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
+    import xxhash
+
+    own: dict[bytes, int] = defaultdict(count().__next__)  # one text's words at a time are held, its numbers in four bytes each
+    numbers = [np.fromiter(map(own.__getitem__, tokens(text)), np.uint32) for _, text, _ in rows]
+    lens = np.array([len(w) for w in numbers])
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
     vocabulary, place = np.unique(keys, return_inverse=True)
-    ids = place[np.concatenate([np.fromiter(map(own.__getitem__, w), np.int64, len(w)) for w in words])]
+    ids = place.astype(np.uint32)[np.concatenate(numbers)]
     train = np.array([not out for *_, out in rows])
     doc = np.array([d or 0 for d, *_ in rows], np.int64)
     end = place[own[END]]
-    data = squeezed(vocabulary, ids.astype(np.uint32), lens, train.astype(np.uint8), doc, np.array([d is not None for d, *_ in rows]).astype(np.uint8), np.array([end]))
+    data = squeezed(vocabulary, ids, lens, train.astype(np.uint8), doc, np.array([d is not None for d, *_ in rows]).astype(np.uint8), np.array([end]))
     return data, int(lens.sum()), int(lens[train].sum())
 
 
@@ -90,14 +97,15 @@ class Block:
 
     def __init__(self, data: bytes):
         self.vocabulary, ids, self.lens, train, self.doc, self.named, (end,) = opened(data)
-        self.ids = ids.astype(np.int64)
+        self.ids = ids.astype(np.int32)  # numbers of words, pairs and triples of a block take four bytes
         self.begin = np.concatenate([[0], np.cumsum(self.lens)[:-1]])
-        before = np.concatenate([[end], self.ids[:-1]])
+        before = np.concatenate([np.array([end], np.int32), self.ids[:-1]])
         before[self.begin] = end
         self.trained = np.repeat(train, self.lens)
         self.inner = np.ones(len(self.ids), bool)
         self.inner[self.begin] = False
-        self.distinct, self.pair = np.unique(before * len(self.vocabulary) + self.ids, return_inverse=True)
+        self.distinct, pair = np.unique(before * np.int64(len(self.vocabulary)) + self.ids, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.pv, self.pw = np.divmod(self.distinct, len(self.vocabulary))
         self.end = end
         self.pair_key = joined(self.vocabulary[self.pv], self.vocabulary[self.pw])
@@ -115,7 +123,8 @@ class Block:
         self.kept2 = self.c2 > 0
         at = np.flatnonzero(self.inner)
         self.at3 = at[self.kept2[self.pair[at - 1]] & self.kept2[self.pair[at]]]
-        code, self.triple = np.unique(self.pair[self.at3 - 1] * len(self.vocabulary) + self.ids[self.at3], return_inverse=True)
+        code, triple = np.unique(self.pair[self.at3 - 1] * np.int64(len(self.vocabulary)) + self.ids[self.at3], return_inverse=True)
+        self.triple = triple.astype(np.int32)
         self.context3, last = np.divmod(code, len(self.vocabulary))
         self.triple_pair = np.searchsorted(self.distinct, self.pw[self.context3] * len(self.vocabulary) + last)
         self.triple_key = joined(self.pair_key[self.context3], self.vocabulary[last])
@@ -156,10 +165,10 @@ class Automaton:
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states that tokens lead to from states, and the weights on the way."""
-        weight, to = self.base[word], word + 1
+        weight, to = self.base[word], word.astype(np.int64) + 1
         fell, at, now = np.zeros(len(word)), np.arange(len(word)), state
         while len(at):
-            code = now * self.words + word[at]
+            code = now * np.int64(self.words) + word[at]
             k = np.minimum(np.searchsorted(self.arcs, code), max(0, len(self.arcs) - 1))
             hit = self.arcs[k] == code if len(self.arcs) else np.zeros(len(at), bool)
             weight[at[hit]], to[at[hit]] = self.weights[k[hit]], self.to[k[hit]]
@@ -227,10 +236,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     rows = keep_docs(docs).withColumn("out", held_out(F.col("doc_id")))
 
-    def pack(held: list[tuple], hashes=WordHashes()) -> tuple:
-        return packed(held, hashes)
-
-    blocks = in_blocks(rows, pack, "data binary, n long, trained long", ["data", "n", "trained"])
+    blocks = in_blocks(rows, packed, "data binary, n long, trained long", ["data", "n", "trained"], PART_OF_BLOCK)
     size, total, count = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
     parts = parts_of(size, count)
 

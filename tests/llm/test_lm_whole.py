@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from tessera.llm import blocks
@@ -70,3 +72,17 @@ def test_null_and_repeated_ids_and_no_rows(spark):
     held = [d for d in range(60) if crc32(str(d).encode()) % 7 == 2]
     alone = lm.score(docs.filter("false").union(spark.createDataFrame([(held[0], "x y")], "doc_id long, text string"))).collect()
     assert [(r.held_out, r.n_known, r.train_tokens, r.score) for r in alone] == [(True, 0, 0, 0.0)]
+
+
+def test_blocks_leave_nothing_in_a_worker():
+    """Words of blocks gone by aren't held, and a block in work takes a bounded number of bytes for each token."""
+    rng = np.random.default_rng(3)
+    block = lambda k: [(d, " ".join(f"w{k}_{x}" for x in rng.zipf(1.3, 2000) % 20_000), False) for d in range(20)]
+    data = lm.packed(block(0))[0]
+    tracemalloc.start()
+    for k in range(1, 9):
+        lm.packed(block(k))
+    assert tracemalloc.get_traced_memory()[0] < 300_000
+    x = lm.Block(data)
+    assert sum(v.nbytes for v in vars(x).values() if isinstance(v, np.ndarray)) < 60 * len(x.ids)
+    tracemalloc.stop()
