@@ -5,10 +5,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scans import absorbed, running
+from .tracks import in_order, kinds, split, starts, whole
 
 
 def range_join(points: DataFrame, intervals: DataFrame, t: str, low: str, high: str, width: int, by: Sequence[str] = (), how: str = "inner") -> DataFrame:
@@ -126,9 +128,25 @@ def absorb_short_runs(labels: list, least: int) -> list:
 def min_run_merge(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, least: int, slice_: Column | None = None, together: int = 20_000) -> DataFrame:
     """by, order columns and merged: labels once the shortest runs under `least` are absorbed, as absorb_short_runs does for a list.
 
-    Runs are contracted in slices, so a track may have any number of them; each row then takes the label of the run that its place came to lie in."""
+    A track of up to `together` rows is one task's, with many others. Runs of a longer one are contracted in slices, so it may have any number of
+    them; each row then takes the label of the run that its place came to lie in."""
+    keys, columns = list(by), [*by, *order]
+    named = df.withColumn("_label", F.col(label).cast("string"))
+    short, long = split(named, keys, named.groupBy(*keys).agg(F.count("*").alias("size")), together)
+
+    def act(rows: pa.Table) -> pa.Table:
+        labels, begin = rows.column("_label").to_pylist(), starts(rows, keys).tolist()
+        merged = [x for a, z in zip(begin, [*begin[1:], len(labels)], strict=True) for x in absorb_short_runs(labels[a:z], least)]
+        return rows.select(columns).append_column("merged", pa.array(merged, pa.string()))
+
+    done = whole(in_order(short.select(*columns, "_label"), keys, order), keys, act, f"{kinds(df, columns)}, merged string")
+    return done if long is None else done.unionByName(long_merge(long, keys, order, label, least, slice_, together))
+
+
+def long_merge(df: DataFrame, by: Sequence[str], order: Sequence[str], label: str, least: int, slice_: Column | None, together: int) -> DataFrame:
+    """What min_run_merge does for tracks of any length."""
     keys, slice_ = list(by), F.lit(0) if slice_ is None else slice_
-    rows = running(df.select(*keys, *order, label), keys, order, F.lit(1), slice_, "_pos")
+    rows = running(df.withColumn("_slice0", slice_).select(*keys, *order, label, "_slice0"), keys, order, F.lit(1), F.col("_slice0"), "_pos").drop("_slice0")
     runs = islands(rows, keys, ["_pos"], label, F.floor(F.col("_pos") / 65_536)).groupBy(*keys, "run", label).agg(F.min("_pos").alias("first"), F.count("*").alias("size"))
     left = absorbed(runs.select(*keys, F.col("run").cast("long").alias("num"), F.col(label).cast("string").alias("label"), "size", F.col("first").cast("long").alias("first")), keys, least, together)
     placed = around(rows.select(*keys, *order, F.col("_pos").cast("long").alias("_pos")), left, "_pos", "first", keys, 65_536)
