@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMBERED, lookup
 from .scans import running
 from .temporal import nearest, previous
+from .tracks import in_order, kinds, split, starts, whole
 
 # What a spoken cue calls a section, by language, and number words.
 PHRASES = {
@@ -99,14 +102,44 @@ def largest_matching(mine: list[tuple], theirs: list[tuple], near: tuple[float,
     return [(i, j) for i, j in enumerate(own) if j >= 0]
 
 
-def note_pairs(est: DataFrame, ref: DataFrame, by: Sequence[str], t: str, pitch: str, near_t: int, near_pitch: float, slice_width: int) -> DataFrame:
+def note_pairs(est: DataFrame, ref: DataFrame, by: Sequence[str], t: str, pitch: str, near_t: int, near_pitch: float, slice_width: int, together: int = 100_000) -> DataFrame:
     """by, ref_t, ref_pitch, est_t, est_pitch: a largest one-to-one matching of notes at most near_t apart in time and near_pitch in pitch.
 
     A track's notes are parted wherever two neighbours in pitch are further apart than near_pitch, and those parts wherever two neighbours in
-    time are further apart than near_t: no pair lies across. What is left together, a few notes in music, is matched by augmenting ways."""
+    time are further apart than near_t: no pair lies across. What is left together, a few notes in music, is matched by augmenting ways. Tracks of up to `together` notes are a task's, with many others."""
     keys = list(by)
     one = lambda d, kind: d.select(*keys, F.col(pitch).cast("double").alias("_p"), F.col(t).cast("long").alias("_t"), F.lit(kind).alias("_kind"))
-    both = one(ref, 0).unionByName(one(est, 1)).filter("_p is not null and _t is not null")
+    every = one(ref, 0).unionByName(one(est, 1)).filter("_p is not null and _t is not null")
+    columns = ["ref_t", "ref_pitch", "est_t", "est_pitch"]
+    schema = f"{kinds(every, keys)}, ref_t long, ref_pitch double, est_t long, est_pitch double"
+    short, both = split(every, keys, every.groupBy(*keys).agg(F.count("*").alias("size")), together)
+
+    def act(rows: pa.Table) -> pa.Table:
+        p, at, kind = (rows.column(c).to_numpy() for c in ("_p", "_t", "_kind"))
+        new = ~(np.diff(p, prepend=np.nan) <= near_pitch)
+        new[starts(rows, keys)] = True
+        line = np.cumsum(new)
+        order = np.lexsort((kind, p, at, line))
+        p, at, kind, line = p[order], at[order], kind[order], line[order]
+        begin = np.flatnonzero(np.r_[True, (np.diff(line) > 0) | (np.diff(at) > near_t)])
+        size, theirs = np.diff(np.r_[begin, len(p)]), np.add.reduceat(kind, begin)
+        found, of = [], []
+        for k in np.flatnonzero((theirs > 0) & (theirs < size)).tolist():
+            here = slice(begin[k], begin[k] + size[k])
+            notes = sorted(zip(kind[here].tolist(), at[here].tolist(), p[here].tolist(), strict=True))
+            mine, others = ([x[1:] for x in notes if x[0] == which] for which in (0, 1))
+            pairs = largest_matching(mine, others, (near_t, near_pitch))
+            found += [(*mine[i], *others[j]) for i, j in pairs]
+            of += [order[begin[k]]] * len(pairs)
+        values = list(zip(*found, strict=True)) or [()] * 4
+        out = rows.select(keys).take(pa.array(of, pa.int64()))
+        for name, x, t in zip(columns, values, (pa.int64(), pa.float64()) * 2, strict=True):
+            out = out.append_column(name, pa.array(x, t))
+        return out
+
+    done = whole(in_order(short, keys, ["_p", "_t", "_kind"]), keys, act, schema)
+    if both is None:
+        return done
 
     def parted(df: DataFrame, keys: list[str], at: str, near: float, slice_, out: str) -> DataFrame:
         order = [at, "_t", "_p", "_kind"]
@@ -115,8 +148,6 @@ def note_pairs(est: DataFrame, ref: DataFrame, by: Sequence[str], t: str, pitch:
 
     groups = parted(both, keys, "_p", near_pitch, F.floor(F.col("_p") / (1000 * near_pitch)), "_line")
     groups = parted(groups, [*keys, "_line"], "_t", near_t, F.floor(F.col("_t") / slice_width), "_island")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select(*keys).schema)
-    columns = ["ref_t", "ref_pitch", "est_t", "est_pitch"]
 
     def run(pdf):
         import pandas as pd
@@ -129,7 +160,7 @@ def note_pairs(est: DataFrame, ref: DataFrame, by: Sequence[str], t: str, pitch:
         return out[[*keys, *columns]]
 
     both_kinds = groups.groupBy(*keys, "_line", "_island").agg(F.count_if(F.col("_kind") == 0).alias("_a"), F.count_if(F.col("_kind") == 1).alias("_b")).filter("_a > 0 and _b > 0").select(*keys, "_line", "_island")
-    return groups.join(both_kinds, [*keys, "_line", "_island"]).groupBy(*keys, "_line", "_island").applyInPandas(run, f"{kinds}, ref_t long, ref_pitch double, est_t long, est_pitch double")
+    return done.unionByName(groups.join(both_kinds, [*keys, "_line", "_island"]).groupBy(*keys, "_line", "_island").applyInPandas(run, schema))
 
 
 def scored(pairs: DataFrame, est: DataFrame, ref: DataFrame, by: Sequence[str]) -> DataFrame:
