@@ -77,13 +77,13 @@ def borrow(df: DataFrame, group: Sequence[str], instance: str, at: str, value: s
 
 def harmonic_fit(df: DataFrame, note: Sequence[str], frame: Sequence[str], partial: str, value: str, parent: str, clean: str, worst: float = 0.45, least: int = 3) -> DataFrame:
     """Per frame the level that fits a note's partial ratios to the clean ones by least squares; a good fit raises damaged partials."""
-    ratio = df.filter(clean).groupBy(*note, partial).agg(F.percentile(value, F.lit(0.5)).alias("_q"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
-    both = df.join(ratio, [*note, partial])
-    ok = F.col(clean)
-    level = F.sum(F.when(ok, F.col(value) * F.col("_q"))) / F.sum(F.when(ok, F.col("_q") * F.col("_q")))
-    fit = both.groupBy(*note, *frame).agg(F.round(level, 9).alias("level"), F.count_if(ok).alias("siblings"))
-    gap = both.filter(clean).join(fit, [*note, *frame]).groupBy(*note, *frame).agg((F.sum(F.abs(F.col(value) - F.col("level") * F.col("_q"))) / F.greatest(F.sum(value), F.lit(EPS))).alias("error"))
-    used = both.join(fit, [*note, *frame]).join(gap, [*note, *frame])
+    ok, q, v = F.col(clean), F.col("_q"), F.col(value)
+    per, at = Window.partitionBy(*note, partial), Window.partitionBy(*note, *frame)  # windows: df is worked out once
+    both = df.withColumn("_q", F.percentile(F.when(ok, v), F.lit(0.5)).over(per)).withColumn("_n", F.count_if(ok).over(per)).filter("_n >= 2").drop("_n")
+    level = F.sum(F.when(ok, v * q)).over(at) / F.sum(F.when(ok, q * q)).over(at)
+    fit = both.withColumn("siblings", F.count_if(ok).over(at)).withColumn("level", F.round(level, 9)).filter("siblings > 0")
+    error = F.sum(F.when(ok, F.abs(v - F.col("level") * q))).over(at) / F.greatest(F.sum(F.when(ok, v)).over(at), F.lit(EPS))
+    used = fit.withColumn("error", error)
     good = ~ok & (F.col("siblings") >= least) & (F.round("error", 6) <= worst)
     guess = F.least(F.col("level") * F.col("_q"), F.col(parent))
     return used.withColumn("raised", good & (guess > F.col(value))).withColumn("restored", F.when(F.col("raised"), guess).otherwise(F.col(value))).drop("_q")

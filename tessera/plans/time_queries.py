@@ -176,7 +176,8 @@ f AS (SELECT note, frame, round(sum(v * q) FILTER (clean) / sum(q * q) FILTER (c
 u AS (SELECT *, NOT clean AND sib >= 3 AND round(error, 6) <= 0.45 AND least(level * q, parent) > v AS raised FROM b JOIN f USING (note, frame) JOIN e USING (note, frame)) SELECT note, frame, partial, raised, round(CASE WHEN raised THEN least(level * q, parent) ELSE v END, 4) AS restored FROM u""")
 def harmonic_lsq(spark, sf_dir):
     """Damaged partials raised to the level that fits the clean ones, under their parent."""
-    c = revenue(spark, sf_dir).groupBy(F.col("l_suppkey").alias("note"), F.col("month").alias("frame"), F.col("l_linenumber").alias("partial")).agg(F.sum("price").cast("double").alias("v"))
+    li = revenue(spark, sf_dir).select(F.col("l_suppkey").alias("note"), F.col("month").alias("frame"), F.col("l_linenumber").alias("partial"), "price").repartition("note", "frame")
+    c = li.groupBy("note", "frame", "partial").agg(F.sum("price").cast("double").alias("v"))
     x = c.withColumn("parent", F.max("v").over(Window.partitionBy("note", "frame")) * 1.2).withColumn("clean", F.col("v") >= 20000)
     return rp.harmonic_fit(x, ["note"], ["frame"], "partial", "v", "parent", "clean").select("note", "frame", "partial", "raised", F.round("restored", 4).alias("restored"))
 
