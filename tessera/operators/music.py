@@ -173,15 +173,21 @@ def style(chords: DataFrame, by: Sequence[str]) -> DataFrame:
     return chords.groupBy(*by).agg(*(F.avg(c.cast("double")).alias(f"mean_{n}") for n, c in spaces.items()), *(F.stddev_pop(c.cast("double")).alias(f"sd_{n}") for n, c in spaces.items()), unison.alias("unison_pct"))
 
 
-def singability(chords: DataFrame, by: Sequence[str], order: str) -> DataFrame:
-    """Per voice, in percent: steps and leaps of its moves, notes at the edges of its range, and rests on a note."""
-    w = Window.partitionBy(*by, "voice").orderBy(order)
-    long = chords.select(*by, order, F.explode(F.array(*(F.struct(F.lit(v).alias("voice"), F.col(v).alias("p"), F.lit(RANGES[v][0]).alias("lo"), F.lit(RANGES[v][1]).alias("hi")) for v in VOICES))).alias("x")).select(*by, order, "x.*")
-    d = F.abs(F.col("p") - F.lag("p").over(w))
-    moved = long.withColumn("_d", d)
-    edge = 0.15 * (F.col("hi") - F.col("lo"))
+def singability(chords: DataFrame, by: Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """Per voice, in percent: steps and leaps of its moves, notes at the edges of its range, and rests on a note.
+
+    Voices stay side by side until their shares are known: a chord is one row."""
+    w = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
+    moved = chords.select(*by, *VOICES, *(F.abs(F.col(v) - F.lag(v).over(w)).alias(f"_{v}") for v in VOICES))
     pct = lambda c: F.round(100 * F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 6)
-    return moved.groupBy(*by, "voice").agg(
-        pct(F.when(F.col("_d") > 0, F.col("_d") <= 2)).alias("step_pct"), pct(F.when(F.col("_d") > 0, F.col("_d") > 5)).alias("leap_pct"),
-        pct((F.col("p") <= F.col("lo") + edge) | (F.col("p") >= F.col("hi") - edge)).alias("edge_pct"), pct(F.when(F.col("_d").isNotNull(), F.col("_d") == 0)).alias("static_pct"),
-    )
+
+    def shares(v: str) -> list[Column]:
+        p, d, (low, high) = F.col(v), F.col(f"_{v}"), RANGES[v]
+        edge = 0.15 * (high - low)
+        rules = {"step_pct": F.when(d > 0, d <= 2), "leap_pct": F.when(d > 0, d > 5), "edge_pct": (p <= low + edge) | (p >= high - edge), "static_pct": F.when(d.isNotNull(), d == 0)}
+        return [pct(c).alias(f"{v}_{name}") for name, c in rules.items()]
+
+    names = ("step_pct", "leap_pct", "edge_pct", "static_pct")
+    wide = moved.groupBy(*by).agg(*(c for v in VOICES for c in shares(v)))
+    long = F.explode(F.array(*(F.struct(F.lit(v).alias("voice"), *(F.col(f"{v}_{n}").alias(n) for n in names)) for v in VOICES))).alias("x")
+    return wide.select(*by, long).select(*by, "x.*")

@@ -11,14 +11,22 @@ from ..operators import temporal as te
 from .base import EV, HOURLY, REV, events, hourly, query, r6, revenue, table
 
 
-def chords(spark, sf_dir):
-    """piece, idx, s, a, t, b: four voices made of line items."""
+ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+
+
+def voices(spark, sf_dir):
+    """piece, s, a, t, b and what orders a piece: four voices made of line items."""
     s = 62 + F.col("l_quantity").cast("long") % 20
     a = s - 2 - F.col("l_partkey") % 12
     t = a - 2 - F.col("l_linenumber") * 2
     b = t - 3 - F.col("l_orderkey") % 20
-    li = table(spark, sf_dir, "lineitem").withColumn("idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
-    return li.select(F.col("l_suppkey").alias("piece"), F.col("idx").cast("long").alias("idx"), s.alias("s"), a.alias("a"), t.alias("t"), b.alias("b"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("piece"), *ORDER, s.alias("s"), a.alias("a"), t.alias("t"), b.alias("b"))
+
+
+def chords(spark, sf_dir):
+    """piece, idx, s, a, t, b: the voices, numbered."""
+    idx = F.row_number().over(Window.partitionBy("piece").orderBy(*ORDER))
+    return voices(spark, sf_dir).select("piece", idx.cast("long").alias("idx"), "s", "a", "t", "b")
 
 
 CHORDS = """c0 AS (SELECT l_suppkey AS piece, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS idx, 62 + CAST(l_quantity AS BIGINT) % 20 AS s, l_partkey % 12 AS da, l_linenumber AS dt, l_orderkey % 20 AS db FROM lineitem),
@@ -132,7 +140,7 @@ def style_profile(spark, sf_dir):
 SELECT piece, voice, round(100 * coalesce(avg(CASE WHEN d > 0 THEN (d <= 2)::INT::DOUBLE END), 0), 6) AS step_pct, round(100 * coalesce(avg(CASE WHEN d > 0 THEN (d > 5)::INT::DOUBLE END), 0), 6) AS leap_pct,
 round(100 * avg((p <= lo + 0.15 * (hi - lo) OR p >= hi - 0.15 * (hi - lo))::INT::DOUBLE), 6) AS edge_pct, round(100 * coalesce(avg(CASE WHEN d IS NOT NULL THEN (d = 0)::INT::DOUBLE END), 0), 6) AS static_pct FROM d GROUP BY 1, 2""")
 def singability(spark, sf_dir):
-    return mu.singability(chords(spark, sf_dir), ["piece"], "idx")
+    return mu.singability(voices(spark, sf_dir), ["piece"], ORDER)
 
 
 @query(f"""WITH {REV}, o AS (SELECT l_returnflag AS part, CAST(l_quantity AS INTEGER) AS q, avg(CAST(price AS DOUBLE)) AS v FROM li GROUP BY 1, 2), l AS (SELECT part, q / 10.0 AS x, log10(v) - avg(log10(v)) OVER (PARTITION BY part) AS a FROM o),
